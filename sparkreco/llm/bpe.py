@@ -14,7 +14,6 @@ text in Spark is always valid UTF-8, and every byte has an id, so decoding gives
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -25,16 +24,12 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Encodings of words kept by a worker; at the bound the store is emptied.
-KEPT_WORDS = 400_000
 #: Places within this many characters of a cut end may still change with what follows it ('re and the like).
 UNSURE = 3
-#: White space beside a single blank: such a blank may be part of a longer run, and its word doesn't stand alone.
-_RUNS = re.compile(r" \s|\s |^ | $")
 
 
 class Codec:
-    """Encodes texts as tiktoken would; words, with the blank before them, are encoded once and kept."""
+    """Encodes texts as tiktoken would."""
 
     def __init__(self, ranks: bytes, pattern: str):
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
@@ -43,25 +38,9 @@ class Codec:
         self.bytes_of = [b""] * (max(table.values()) + 1)
         for token, i in table.items():
             self.bytes_of[i] = token
-        self.words: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
-        if _RUNS.search(text):
-            return self.encoding.encode_ordinary(text)
-        # every blank stands between two words, so it starts a pre-token: each word can be encoded with its blank alone
-        head, *rest = text.split(" ")
-        kept, plain = self.words, self.encoding.encode_ordinary
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
-        out = []
-        for w in rest:
-            ids = kept.get(w)
-            if ids is None:
-                ids = plain(" " + w)
-                if len(w) < 40:
-                    kept[w] = ids
-            out.append(ids)
-        return [*plain(head), *chain.from_iterable(out)]
+        return self.encoding.encode_ordinary(text)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -38,3 +38,20 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkreco.llm.html_text import extract_main_text
 
     return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkreco.llm.samples import fold
+    from sparkreco.llm.toxicity import fit_toxicity, score_toxicity, threshold
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    scored = score_toxicity(docs.select("doc_id", "text", "lang"), model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        (F.col("toxicity") >= threshold(model)).cast("int").alias("rejected"),
+    )
