@@ -30,11 +30,9 @@ BYTES = mix(np.arange(1, 257, dtype=_U) * _U(BYTE_M))
 
 
 def powers(m: int, n: int) -> np.ndarray:
-    out = np.empty(n, _U)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(n - 1, m, _U)]), out=out)
-    return out
+    out = np.full(n, m, _U)
+    out[:1] = 1
+    return np.multiply.accumulate(out, out=out)
 
 
 _KEPT: dict[int, np.ndarray] = {}
@@ -42,7 +40,7 @@ _KEPT: dict[int, np.ndarray] = {}
 
 def kept_powers(m: int, n: int) -> np.ndarray:
     if len(_KEPT.get(m, ())) < n:
-        _KEPT[m] = powers(m, max(n, 1 << 16))
+        _KEPT[m] = powers(m, max(1 << 16, 1 << (n - 1).bit_length()))
     return _KEPT[m][:n]
 
 

@@ -55,3 +55,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
         (F.col("toxicity") >= threshold(model)).cast("int").alias("rejected"),
     )
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkreco.llm.quality import fit_quality, score_quality
+    from sparkreco.llm.samples import fold
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2, decide_at=0.7)
+    return score_quality(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.7).cast("int").alias("predicted"),
+    )

@@ -28,10 +28,10 @@ from sparkreco.llm.hashing import LOWER, bytes_prefix, mix
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
-#: Rows of the table, columns, filters of each width, widths, and words scored at once.
-ROWS, DIM, FILTERS, WIDTHS, STRETCH = 1 << 17, 8, 6, (1, 2, 3), 1 << 16
+#: Rows of the table, columns, filters of each width, widths, words and bytes of documents scored at once.
+ROWS, DIM, FILTERS, WIDTHS, STRETCH, SLICE = 1 << 19, 4, 6, (1, 2, 3), 1 << 15, 1 << 19
 #: Lengths in bytes of the beginnings and of the end that are features beside the whole word.
-HEADS, TAIL = (4, 6), 5
+HEADS, TAIL = (3, 4, 5, 6), 5
 N_FEATURES = 2 + len(HEADS)
 
 
@@ -107,17 +107,21 @@ class ToxicityModel:
         return out
 
     def logits(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-        rows, at = features(offsets, data)
-        if len(at) == 1:
-            return np.zeros(0)
-        return self.pooled(rows, at).astype(np.float64) @ self.out + self.out_bias - self.shift
+        """Of each document; some documents at a time, so that the work stays in the processor's cache."""
+        out, at, n = [np.zeros(0)], 0, len(offsets) - 1
+        while at < n:
+            upto = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1))
+            rows, places = features(offsets[at : upto + 1] - offsets[at], data[offsets[at] : offsets[upto]])
+            out.append(self.pooled(rows, places).astype(np.float64) @ self.out + self.out_bias - self.shift)
+            at = upto
+        return np.concatenate(out)
 
 
 def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(pa.array(texts, pa.string()))
 
 
-def train(sample: pd.DataFrame, epochs: int = 6, rate: float = 0.05, seed: int = 7) -> ToxicityModel:
+def train(sample: pd.DataFrame, epochs: int = 3, rate: float = 0.05, seed: int = 7) -> ToxicityModel:
     """sample: text, lang, label. A fifth of it is set aside for the thresholds."""
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.01, (ROWS, DIM)).astype(np.float32)
@@ -202,7 +206,7 @@ def _cut(scores: np.ndarray, y: np.ndarray) -> float:
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 2500) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 1500) -> ToxicityModel:
     """Train on up to per_class labelled documents of each class among those that allowed lets through."""
     return train(samples.labelled(docs, labels, "toxic", allowed, per_class))
 
