@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from sparkreco.llm.hashing import LOWER, WORD_M, Prefix, word_hashes, word_spans
 from sparkreco.llm.storage import materialize
 
 #: Bytes of text after which a block is closed; a longer document makes a block of its own.
@@ -63,6 +64,40 @@ class Block:
         """The document of each place in data."""
         return np.searchsorted(self.offsets, places, side="right") - 1
 
+    def words(self, lower: bool = False) -> Words:
+        return Words(self, LOWER[self.data] if lower else self.data)
+
+
+class Words:
+    """The words of a block's texts: where they start and end in data, their hashes, and at[i] to at[i + 1] those of document i."""
+
+    def __init__(self, block: Block, data: np.ndarray):
+        starts, ends = word_spans(data)
+        inner = np.unique(block.offsets[1:-1])
+        k = np.searchsorted(starts, inner, side="right") - 1
+        if len(starts):  # texts lie side by side: words end where their text ends
+            inner = inner[(k >= 0) & (starts[np.maximum(k, 0)] < inner) & (ends[np.maximum(k, 0)] > inner)]
+            starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+        self.data, self.starts, self.ends = data, starts, ends
+        self.at = np.searchsorted(starts, block.offsets, side="left")
+        self.hashes = word_hashes(data, starts, ends)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of n words from each word on, and which of them lie within one document."""
+        h = Prefix(self.hashes, WORD_M).grams(n)
+        return h, self.until(n)[: len(h)]
+
+    def until(self, n: int) -> np.ndarray:
+        """For each word, whether n words from it on belong to its document."""
+        last = np.repeat(self.at[1:], np.diff(self.at))
+        return np.arange(len(self)) + n <= last
+
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column; null counts as empty."""
@@ -74,7 +109,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data
 
 
-BLOCK_SCHEMA = "block long, n_docs int, payload binary"
+BLOCK_SCHEMA = "block long, n_docs int, n_bytes long, payload binary"
 
 
 def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -93,7 +128,7 @@ def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
             offsets = np.zeros(len(size) + 1, np.int64)
             np.cumsum(size, out=offsets[1:])
             block = Block(np.concatenate(ids), offsets, np.concatenate(parts))
-            out = pa.RecordBatch.from_pydict({"block": [base + seq], "n_docs": pa.array([len(block)], pa.int32()), "payload": [block.pack()]})
+            out = pa.RecordBatch.from_pydict({"block": [base + seq], "n_docs": pa.array([len(block)], pa.int32()), "n_bytes": pa.array([int(offsets[-1])], pa.int64()), "payload": [block.pack()]})
             seq, ids, sizes, parts, held = seq + 1, [], [], [], 0
             return out
 
@@ -171,11 +206,11 @@ def exchange(blocks: DataFrame, ask: Ask, answer: Answer, name: str, answers: Da
         out = ask(block, got)
         yield pa.table({"block": pa.array([b] * len(out), pa.int64()), "bucket": pa.array(list(out), pa.int32()), "ask": pa.array(list(out.values()), pa.binary())})
 
-    def answers_of(table: pa.Table) -> pa.Table:
+    def answers_of(table: pa.Table) -> pa.Table:  # a bucket below 0 holds notes of blocks to themselves
         rows = table.column("ask").to_pylist()
-        said = answer(rows)
+        said = rows if table.column("bucket").to_pylist()[0] < 0 else answer(rows)
         who, bucket = table.column("block").to_pylist(), table.column("bucket").to_pylist()[0]
-        if summary:
+        if summary and bucket >= 0:
             said, who = [*said, summary(rows)], [*who, -1]
         return pa.table({"block": pa.array(who, pa.int64()), "bucket": pa.array([bucket] * len(who), pa.int32()), "answer": pa.array(said, pa.binary())})
 
@@ -183,6 +218,75 @@ def exchange(blocks: DataFrame, ask: Ask, answer: Answer, name: str, answers: Da
     return materialize(requests.groupBy("bucket").applyInArrow(answers_of, "block long, bucket int, answer binary"), name)
 
 
+#: Bytes of a hash that are sent where a false match only costs work, for so many bytes of text.
+def key_bytes(total: int) -> int:
+    return min(8, max(5, -(-(max(1, total).bit_length() + 10) // 8)))
+
+
+def send_keys(keys: np.ndarray, width: int) -> bytes:
+    """The high bytes of sorted keys."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def read_keys(data: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def send_by_bucket(keys: np.ndarray, n: int, width: int) -> dict[int, bytes]:
+    """Sorted keys as requests."""
+    edges = bucket_bounds(keys, n)
+    return {k: send_keys(keys[edges[k] : edges[k + 1]], width) for k in np.flatnonzero(np.diff(edges)).tolist()}
+
+
+def answer_shared(rows: list[bytes], width: int) -> list[bytes]:
+    """For each request a bit for each of its keys: whether another request has it too."""
+    lists = [read_keys(r, width) for r in rows]
+    values, counts = np.unique(np.concatenate(lists), return_counts=True)
+    # a truncated key may stand twice in one request: count requests, not entries
+    if width < 8:
+        again = np.concatenate([x[1:][x[1:] == x[:-1]] for x in lists])
+        if len(again):
+            np.subtract.at(counts, np.searchsorted(values, again), 1)
+            # such a key stands for several; it counts as shared
+            counts[np.searchsorted(values, np.unique(again))] += 1
+    many = counts > 1
+    return [np.packbits(many[np.searchsorted(values, x)]).tobytes() for x in lists]
+
+
+def read_bits(got: dict[int, bytes], keys: np.ndarray, n: int) -> np.ndarray:
+    """The answered bits in the order of the sorted keys that were sent."""
+    edges = bucket_bounds(keys, n)
+    out = np.zeros(len(keys), bool)
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        size = int(edges[k + 1] - edges[k])
+        out[edges[k] : edges[k + 1]] = np.unpackbits(np.frombuffer(got[k], np.uint8), count=size).astype(bool)
+    return out
+
+
+def minimizers(hashes: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
+    """For each place i the place of the least of the w hashes from i on (the last one, among equals); -1 where not valid[i].
+
+    Equal windows have their least hash at the same place, whatever surrounds them.
+    """
+    n = len(hashes) - w + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    # the low bits give way to the place, so that a running minimum carries it; places count downwards
+    bits = max(1, int(len(hashes)).bit_length())
+    packed = (hashes >> np.uint64(bits) << np.uint64(bits)) | (np.uint64(len(hashes)) - np.arange(len(hashes), dtype=np.uint64))
+    least, span = packed, 1
+    while span * 2 <= w:
+        least = np.minimum(least[: len(least) - span], least[span:])
+        span *= 2
+    if span < w:
+        least = np.minimum(least[:n], least[w - span : w - span + n])
+    place = len(hashes) - (least[:n] & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return np.where(valid[:n], place, -1)
+
+
 def split_buckets(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the keys by bucket (the high bits, scaled) and value; the sorted keys; n + 1 bounds of the buckets."""
     order = np.argsort(keys, kind="stable")
