@@ -25,7 +25,7 @@ from sparkreco.llm.hashing import LOWER, WORD_M, Prefix, word_hashes, word_spans
 from sparkreco.llm.storage import materialize
 
 #: Bytes of text after which a block is closed; a longer document makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 19
 NO_ID = np.iinfo(np.int64).max
 
 
