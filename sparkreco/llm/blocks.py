@@ -26,6 +26,9 @@ from sparkreco.llm.storage import materialize
 
 #: Bytes of text after which a block is closed; a longer document makes a block of its own.
 BLOCK_BYTES = 3 << 19
+#: A document's key is its block's number and its place in the block, of so many bits.
+PLACE_BITS = 19
+MOST_DOCS = 1 << PLACE_BITS
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -116,20 +119,20 @@ def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     """Pack (id, text) rows into blocks, written to shared storage: block numbers stay the same for every later job."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, seq = TaskContext.get().partitionId() << 32, 0
+        base, seq = TaskContext.get().partitionId() << 24, 0
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         parts: list[np.ndarray] = []
-        held = 0
+        held = count = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, ids, sizes, parts, held
+            nonlocal seq, ids, sizes, parts, held, count
             size = np.concatenate(sizes)
             offsets = np.zeros(len(size) + 1, np.int64)
             np.cumsum(size, out=offsets[1:])
             block = Block(np.concatenate(ids), offsets, np.concatenate(parts))
             out = pa.RecordBatch.from_pydict({"block": [base + seq], "n_docs": pa.array([len(block)], pa.int32()), "n_bytes": pa.array([int(offsets[-1])], pa.int64()), "payload": [block.pack()]})
-            seq, ids, sizes, parts, held = seq + 1, [], [], [], 0
+            seq, ids, sizes, parts, held, count = seq + 1, [], [], [], 0, 0
             return out
 
         for batch in batches:
@@ -139,13 +142,14 @@ def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
             while at < len(own):
                 # as many rows as still fit, one at least
                 upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block_bytes - held, side="right")) - 1)
-                upto = min(upto, len(own))
+                upto = min(upto, len(own), at + MOST_DOCS - count)
                 ids.append(own[at:upto])
                 sizes.append(np.diff(offsets[at : upto + 1]))
                 parts.append(data[offsets[at] : offsets[upto]])
                 held += int(offsets[upto] - offsets[at])
+                count += upto - at
                 at = upto
-                if held >= block_bytes:
+                if held >= block_bytes or count == MOST_DOCS:
                     yield flush()
         if ids:
             yield flush()

@@ -107,3 +107,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = remove_repeated_bytes(table(spark, sf_dir, "documents"), length=50)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkreco.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=75)
