@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -41,10 +41,10 @@ def unsqueeze(data: bytes) -> bytes:
 
 
 class Block:
-    """ids: int64 (a null id: the largest there is); offsets: where each text starts in data, and the end."""
+    """ids: int64 (a null id: the largest there is); offsets: where each text starts in data, and the end; flags: what the caller marked."""
 
-    def __init__(self, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray):
-        self.ids, self.offsets, self.data = ids, offsets, data
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, flags: np.ndarray):
+        self.ids, self.offsets, self.data, self.flags = ids, offsets, data, flags
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -53,7 +53,7 @@ class Block:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
     def pack(self) -> bytes:
-        return squeeze(struct.pack("<q", len(self.ids)) + self.ids.tobytes() + self.offsets.tobytes() + self.data.tobytes())
+        return squeeze(struct.pack("<q", len(self.ids)) + self.ids.tobytes() + self.offsets.tobytes() + self.flags.tobytes() + self.data.tobytes())
 
     @classmethod
     def unpack(cls, payload: bytes) -> Block:
@@ -61,7 +61,8 @@ class Block:
         n = struct.unpack_from("<q", raw)[0]
         ids = np.frombuffer(raw, np.int64, n, 8)
         offsets = np.frombuffer(raw, np.int64, n + 1, 8 + 8 * n)
-        return cls(ids, offsets, np.frombuffer(raw, np.uint8, offset=16 + 16 * n))
+        flags = np.frombuffer(raw, np.uint8, n, 16 + 16 * n)
+        return cls(ids, offsets, np.frombuffer(raw, np.uint8, offset=16 + 17 * n), flags)
 
     def owner(self, places: np.ndarray) -> np.ndarray:
         """The document of each place in data."""
@@ -115,35 +116,38 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 BLOCK_SCHEMA = "block long, n_docs int, n_bytes long, payload binary"
 
 
-def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Pack (id, text) rows into blocks, written to shared storage: block numbers stay the same for every later job."""
+def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks", block_bytes: int = BLOCK_BYTES, flag: Column | None = None) -> DataFrame:
+    """Pack (id, text, flag) rows into blocks, written to shared storage: block numbers stay the same for every later job."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 24, 0
         ids: list[np.ndarray] = []
+        flags: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         parts: list[np.ndarray] = []
         held = count = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, ids, sizes, parts, held, count
+            nonlocal seq, ids, flags, sizes, parts, held, count
             size = np.concatenate(sizes)
             offsets = np.zeros(len(size) + 1, np.int64)
             np.cumsum(size, out=offsets[1:])
-            block = Block(np.concatenate(ids), offsets, np.concatenate(parts))
+            block = Block(np.concatenate(ids), offsets, np.concatenate(parts), np.concatenate(flags))
             out = pa.RecordBatch.from_pydict({"block": [base + seq], "n_docs": pa.array([len(block)], pa.int32()), "n_bytes": pa.array([int(offsets[-1])], pa.int64()), "payload": [block.pack()]})
-            seq, ids, sizes, parts, held, count = seq + 1, [], [], [], 0, 0
+            seq, ids, flags, sizes, parts, held, count = seq + 1, [], [], [], [], 0, 0
             return out
 
         for batch in batches:
             own = pa.compute.fill_null(batch.column(0).cast(pa.int64()), int(NO_ID)).to_numpy(zero_copy_only=False)
             offsets, data = text_bytes(batch.column(1))
+            marked = batch.column(2).cast(pa.uint8()).to_numpy(zero_copy_only=False)
             at = 0
             while at < len(own):
                 # as many rows as still fit, one at least
                 upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block_bytes - held, side="right")) - 1)
                 upto = min(upto, len(own), at + MOST_DOCS - count)
                 ids.append(own[at:upto])
+                flags.append(marked[at:upto])
                 sizes.append(np.diff(offsets[at : upto + 1]))
                 parts.append(data[offsets[at] : offsets[upto]])
                 held += int(offsets[upto] - offsets[at])
@@ -154,7 +158,7 @@ def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
         if ids:
             yield flush()
 
-    return materialize(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, BLOCK_SCHEMA), name)
+    return materialize(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.lit(False) if flag is None else flag, F.lit(False)).alias("flag")).mapInArrow(pack, BLOCK_SCHEMA), name)
 
 
 def bucket_count(blocks: DataFrame) -> int:

@@ -114,3 +114,12 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkreco.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=75)
+
+
+@query
+def op3_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkreco.llm.bilinear import score_texts
+    from sparkreco.llm.samples import fold
+
+    scored = score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 5) != 1)
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
