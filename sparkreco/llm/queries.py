@@ -123,3 +123,11 @@ def op3_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 5) != 1)
     return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkreco.llm.decontaminate import find_leaks
+
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", F.round("leak.score", 6).alias("score"), F.round("leak.question", 6).alias("question_overlap"), F.round("leak.answer", 6).alias("answer_overlap"))
