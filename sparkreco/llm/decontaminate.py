@@ -1,6 +1,6 @@
 """Benchmark decontamination: passages of training documents as BM25 queries against an inverted index of test items.
 
-Words are lower-cased runs of letters, digits and bytes beyond ASCII. Every document is read whole, as passages of twice the longest
+Words are runs of letters, digits and bytes beyond ASCII, in lower case. Every document is read whole, as passages of twice the longest
 item's words, each starting halfway into the one before, so that any item lies within one passage. A passage's score for
 an item is the sum of the BM25 weights of the item's terms that it has, divided by the item's sum over all of its terms: from 0 to 1. All
 items of `retrieve` or more are retrieved: first the block-max bounds, the sums over a passage's terms of each term's
@@ -22,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkreco.llm.blocks import text_bytes
-from sparkreco.llm.hashing import LOWER, WORD_M, Prefix, bytes_prefix
+from sparkreco.llm.hashing import WORD_M, Prefix, bytes_prefix
 from sparkreco.llm.toxicity import _WORD, slices
 
 SHARD_ITEMS, BLOCK_ITEMS, LEAST_WORDS, K1, B = 1024, 4, 5, 1.2, 0.75
@@ -35,9 +36,13 @@ PAIRS = 1 << 14
 LEAKS = "array<struct<item_id: bigint, score: double, question: double, answer: double>>"
 
 
+def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of the texts in lower case, of whatever script."""
+    return text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
+
+
 def term_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, and where each text's words start, and the end."""
-    data = LOWER[data]
+    """Hashes of the words of lowered texts, and where each text's words start, and the end."""
     is_word = np.zeros(len(data) + 2, bool)
     is_word[1:-1] = _WORD[data]
     starts, ends = np.flatnonzero(is_word[1:] & ~is_word[:-1]), np.flatnonzero(~is_word[1:] & is_word[:-1])
@@ -67,7 +72,7 @@ class Index:
 
 
 def build_index(ids: list, texts: list[str | None]) -> Index:
-    hashes, at = term_hashes(*text_bytes(pa.array(texts, pa.string())))
+    hashes, at = term_hashes(*lowered(pa.array(texts, pa.string())))
     use = [i for i in range(len(ids)) if at[i + 1] - at[i] >= LEAST_WORDS]
     words = [hashes[at[i] : at[i + 1]] for i in use]
     sizes = np.array([len(w) for w in words], float)
@@ -198,7 +203,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                offsets, data = text_bytes(b.column(text_at))
+                offsets, data = lowered(b.column(text_at))
                 found: list[list] = []
                 for s, e in slices(offsets):
                     found += leaks_of(index.value, offsets[s : e + 1] - offsets[s], data[offsets[s] : offsets[e]], retrieve, overlap)
