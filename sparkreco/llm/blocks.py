@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -43,8 +44,8 @@ def unsqueeze(data: bytes) -> bytes:
 class Block:
     """ids: int64 (a null id: the largest there is); offsets: where each text starts in data, and the end; flags: what the caller marked."""
 
-    def __init__(self, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, flags: np.ndarray):
-        self.ids, self.offsets, self.data, self.flags = ids, offsets, data, flags
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, flags: np.ndarray, extra: bytes | None = None):
+        self.ids, self.offsets, self.data, self.flags, self.extra = ids, offsets, data, flags, extra
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -56,13 +57,28 @@ class Block:
         return squeeze(struct.pack("<q", len(self.ids)) + self.ids.tobytes() + self.offsets.tobytes() + self.flags.tobytes() + self.data.tobytes())
 
     @classmethod
-    def unpack(cls, payload: bytes) -> Block:
+    def unpack(cls, payload: bytes, extra: bytes | None = None) -> Block:
         raw = unsqueeze(payload)
         n = struct.unpack_from("<q", raw)[0]
         ids = np.frombuffer(raw, np.int64, n, 8)
         offsets = np.frombuffer(raw, np.int64, n + 1, 8 + 8 * n)
         flags = np.frombuffer(raw, np.uint8, n, 16 + 16 * n)
-        return cls(ids, offsets, np.frombuffer(raw, np.uint8, offset=16 + 17 * n), flags)
+        return cls(ids, offsets, np.frombuffer(raw, np.uint8, offset=16 + 17 * n), flags, extra)
+
+    def rows(self, columns: list[str], text_col: str, keep: np.ndarray, texts: list[bytes] | None = None, counted: str = "") -> pa.Table:
+        """The kept rows with all columns of the packed table; texts: new ones, of which the column `counted` gets the lengths."""
+        table = pa.ipc.open_stream(unsqueeze(self.extra)).read_all()
+        null = table.column("__null").to_numpy()
+        out = {c: table.column(c).combine_chunks() for c in columns if c != text_col}
+        if texts is None:
+            out[text_col] = pa.array([None if null[i] else self.text(i) for i in range(len(self))], pa.binary()).cast(pa.string())
+        else:
+            strings = [t.decode("utf-8", "ignore") for t in texts]
+            out[text_col] = pa.array([None if null[i] else t for i, t in enumerate(strings)], pa.string())
+            if counted in out:
+                changed = np.array([len(t) for t in texts]) != np.diff(self.offsets)
+                out[counted] = pc.if_else(pa.array(changed), pa.array([len(t) for t in strings]).cast(out[counted].type), out[counted])
+        return pa.table({c: out[c] for c in columns}).filter(pa.array(keep))
 
     def owner(self, places: np.ndarray) -> np.ndarray:
         """The document of each place in data."""
@@ -107,38 +123,47 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column; null counts as empty."""
     column = column.cast(pa.large_binary())
     if column.null_count:
-        column = pa.compute.fill_null(column, b"")
+        column = pc.fill_null(column, b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     return offsets - offsets[0], data
 
 
-BLOCK_SCHEMA = "block long, n_docs int, n_bytes long, payload binary"
+BLOCK_SCHEMA = "block long, n_docs int, n_bytes long, payload binary, extra binary"
 
 
-def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks", block_bytes: int = BLOCK_BYTES, flag: Column | None = None) -> DataFrame:
-    """Pack (id, text, flag) rows into blocks, written to shared storage: block numbers stay the same for every later job."""
+def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks", block_bytes: int | None = None, flag: Column | None = None, whole_rows: bool = False) -> DataFrame:
+    """Pack (id, text, flag) rows into blocks, written to shared storage: block numbers stay the same for every later job.
+
+    whole_rows: all other columns are packed too, and Block.rows() gives them back.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 24, 0
         ids: list[np.ndarray] = []
         flags: list[np.ndarray] = []
+        extras: list[pa.RecordBatch] = []
         sizes: list[np.ndarray] = []
         parts: list[np.ndarray] = []
         held = count = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, ids, flags, sizes, parts, held, count
+            nonlocal seq, ids, flags, sizes, parts, extras, held, count
             size = np.concatenate(sizes)
             offsets = np.zeros(len(size) + 1, np.int64)
             np.cumsum(size, out=offsets[1:])
             block = Block(np.concatenate(ids), offsets, np.concatenate(parts), np.concatenate(flags))
-            out = pa.RecordBatch.from_pydict({"block": [base + seq], "n_docs": pa.array([len(block)], pa.int32()), "n_bytes": pa.array([int(offsets[-1])], pa.int64()), "payload": [block.pack()]})
-            seq, ids, flags, sizes, parts, held, count = seq + 1, [], [], [], [], 0, 0
+            sink = pa.BufferOutputStream()
+            if whole_rows:
+                with pa.ipc.new_stream(sink, extras[0].schema) as stream:
+                    for x in extras:
+                        stream.write_batch(x)
+            out = pa.RecordBatch.from_pydict({"block": [base + seq], "n_docs": pa.array([len(block)], pa.int32()), "n_bytes": pa.array([int(offsets[-1])], pa.int64()), "payload": [block.pack()], "extra": pa.array([squeeze(sink.getvalue().to_pybytes()) if whole_rows else None], pa.binary())})
+            seq, ids, flags, sizes, parts, extras, held, count = seq + 1, [], [], [], [], [], 0, 0
             return out
 
         for batch in batches:
-            own = pa.compute.fill_null(batch.column(0).cast(pa.int64()), int(NO_ID)).to_numpy(zero_copy_only=False)
+            own = pc.fill_null(batch.column(0).cast(pa.int64()), int(NO_ID)).to_numpy(zero_copy_only=False)
             offsets, data = text_bytes(batch.column(1))
             marked = batch.column(2).cast(pa.uint8()).to_numpy(zero_copy_only=False)
             at = 0
@@ -148,6 +173,8 @@ def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
                 upto = min(upto, len(own), at + MOST_DOCS - count)
                 ids.append(own[at:upto])
                 flags.append(marked[at:upto])
+                if whole_rows:
+                    extras.append(pa.RecordBatch.from_arrays(batch.columns[3:], names).slice(at, upto - at))
                 sizes.append(np.diff(offsets[at : upto + 1]))
                 parts.append(data[offsets[at] : offsets[upto]])
                 held += int(offsets[upto] - offsets[at])
@@ -158,12 +185,16 @@ def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
         if ids:
             yield flush()
 
-    return materialize(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.lit(False) if flag is None else flag, F.lit(False)).alias("flag")).mapInArrow(pack, BLOCK_SCHEMA), name)
+    block_bytes = block_bytes or BLOCK_BYTES
+    names = [*(c for c in df.columns if c != text_col), "__null"] if whole_rows else []
+    others = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names[:-1])] + [F.col(f"`{text_col}`").isNull().alias("__null")] * whole_rows
+    flagged = F.coalesce(F.lit(False) if flag is None else flag, F.lit(False)).alias("__flag")
+    return materialize(df.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), flagged, *others).mapInArrow(pack, BLOCK_SCHEMA), name)
 
 
-def bucket_count(blocks: DataFrame) -> int:
-    """Buckets of an exchange: as many as there are shuffle partitions, so that each stays one partition's work."""
-    return max(8, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def bucket_count(blocks: DataFrame, total: int = 0, bucket_bytes: int = 4 << 20) -> int:
+    """Buckets of an exchange: as many as there are shuffle partitions; given the bytes of all texts, enough for bucket_bytes each."""
+    return max(8, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
 
 
 #: What a block asks: for each bucket, bytes. What a bucket answers: for each block, bytes.
@@ -175,33 +206,35 @@ def _grouped_rows(table: pa.Table, name: str) -> dict[int, bytes]:
     return dict(zip(table.column("bucket").to_pylist(), table.column(name).to_pylist(), strict=True))
 
 
-def _with_answers(blocks: DataFrame, answers: DataFrame | None, fn: Callable[[int, Block, dict[int, bytes]], Iterator[pa.RecordBatch] | Iterator[pa.Table]], schema: str) -> DataFrame:
+def _with_answers(blocks: DataFrame, answers: DataFrame | None, fn: Callable[[int, Block, dict[int, bytes]], Iterator[pa.RecordBatch] | Iterator[pa.Table]], schema: str, whole_rows: bool = False) -> DataFrame:
     """Run fn over each block, with the answers that it got."""
+    columns = ["block", "payload", *["extra"] * whole_rows]
     if answers is None:
 
         def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for b, payload in zip(batch.column(0), batch.column(1), strict=True):
-                    for out in fn(b.as_py(), Block.unpack(payload.as_py()), {}):
+                for b, *packed in zip(*batch.columns, strict=True):
+                    for out in fn(b.as_py(), Block.unpack(*(x.as_py() for x in packed)), {}):
                         yield from [out] if isinstance(out, pa.RecordBatch) else out.to_batches()
 
-        return blocks.select("block", "payload").mapInArrow(alone, schema)
+        return blocks.select(*columns).mapInArrow(alone, schema)
 
     empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         got = _grouped_rows(right, "answer")
         tables = [empty]
-        for b, payload in zip(left.column("block"), left.column("payload"), strict=True):
-            for out in fn(b.as_py(), Block.unpack(payload.as_py()), got):
+        for b, *packed in zip(*(left.column(c) for c in columns), strict=True):
+            for out in fn(b.as_py(), Block.unpack(*(x.as_py() for x in packed)), got):
                 tables.append(pa.Table.from_batches([out]) if isinstance(out, pa.RecordBatch) else out)
         return pa.concat_tables(tables)
 
-    return blocks.select("block", "payload").groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(both, schema)
+    return blocks.select(*columns).groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(both, schema)
 
 
-def per_block(blocks: DataFrame, answers: DataFrame | None, fn: Callable[[int, Block, dict[int, bytes]], Iterator[pa.Table]], schema: str) -> DataFrame:
-    return _with_answers(blocks, answers, fn, schema)
+def per_block(blocks: DataFrame, answers: DataFrame | None, fn: Callable[[int, Block, dict[int, bytes]], Iterator[pa.Table]], schema: str, whole_rows: bool = False) -> DataFrame:
+    """fn over each block with its answers; Block.rows() works with whole_rows."""
+    return _with_answers(blocks, answers, fn, schema, whole_rows)
 
 
 def exchange(blocks: DataFrame, ask: Ask, answer: Answer, name: str, answers: DataFrame | None = None, summary: Callable[[list[bytes]], bytes] | None = None) -> DataFrame:

@@ -80,9 +80,25 @@ def _frequencies(rows: list[bytes], width: int) -> list[bytes]:
     return [squeeze(found[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def jaccard_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col long, n_shingles long, component_id long), a row for each row of df."""
-    blocks = pack_blocks(df, id_col, text_col, "jaccard-blocks")
+def _place_lists(rows: DataFrame) -> DataFrame:
+    """(block, place) rows as an answer with the bucket -1 to each block. A block's list is bounded by the block."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.array(x.as_py(), np.int32).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([-1] * len(lists), pa.int32()), pa.array(lists, pa.binary())], ["block", "bucket", "answer"])
+
+    return rows.groupBy("block").agg(F.collect_list("place")).mapInArrow(pack, "block long, bucket int, answer binary")
+
+
+def _listed(block: Block, got: dict[int, bytes]) -> np.ndarray:
+    out = np.zeros(len(block), bool)
+    out[np.frombuffer(got.get(-1, b""), np.int32)] = True
+    return out
+
+
+def _components(blocks: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of each row its block, place, key, id and number of shingles, and its component's least id and the key of the first row that has it."""
     buckets = bucket_count(blocks)
     width = key_bytes(blocks.agg({"n_bytes": "sum"}).first()[0] or 0)
 
@@ -100,28 +116,17 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str
     classes = rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "key")).alias("rep")).select("h1", "h2", "n", F.col("rep.key").alias("rep"))
     known = materialize(rows.join(classes, ["h1", "h2", "n"], "left").select("block", "place", "key", "id", "n", F.coalesce("rep", "key").alias("rep")), "jaccard-classes")
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.array(x.as_py(), np.int32).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([-1] * len(lists), pa.int32()), pa.array(lists, pa.binary())], ["block", "bucket", "answer"])
-
-    # a block's list is bounded by the block
-    reps = materialize(known.filter("key = rep AND n > 0").groupBy("block").agg(F.collect_list("place")).mapInArrow(places, "block long, bucket int, answer binary"), "jaccard-reps")
-
-    def wanted(block: Block, got: dict[int, bytes]) -> np.ndarray:
-        out = np.zeros(len(block), bool)
-        out[np.frombuffer(got.get(-1, b""), np.int32)] = True
-        return out
+    reps = materialize(_place_lists(known.filter("key = rep AND n > 0").select("block", "place")), "jaccard-reps")
 
     def ask(block: Block, got: dict[int, bytes]) -> dict[int, bytes]:
-        _, hashes = shingles(block, n, wanted(block, got))
+        _, hashes = shingles(block, n, _listed(block, got))
         keys, counts = np.unique(hashes, return_counts=True)
         return _send(keys, counts > 1, buckets, width)
 
     counted = exchange(blocks, ask, lambda asked: _frequencies(asked, width), "jaccard-counts", reps)
 
     def candidates(b: int, block: Block, got: dict[int, bytes]) -> Iterator[pa.Table]:
-        owner, hashes = shingles(block, n, wanted(block, got))
+        owner, hashes = shingles(block, n, _listed(block, got))
         keys = np.unique(hashes)
         edges = bucket_bounds(keys, buckets)
         often = np.zeros(len(keys), np.uint8)
@@ -151,10 +156,28 @@ def jaccard_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str
     links = _links(found.drop("tokens"), groups, percent, buckets)
     label = connected_components(links, "jaccard-links")
     rep_label = known.filter("key = rep").select("rep", "id").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "id", F.coalesce("label", "rep").alias("label"))
-    smallest = rep_label.groupBy("label").agg(F.min("id").alias("smallest"))
-    component = materialize(rep_label.join(smallest, "label").select("rep", "smallest"), "jaccard-components")
+    smallest = rep_label.groupBy("label").agg(F.min(F.struct("id", "rep")).alias("least"))
+    component = materialize(rep_label.join(smallest, "label").select("rep", F.col("least.id").alias("smallest"), F.col("least.rep").alias("first")), "jaccard-components")
+    return known.join(component, "rep").select("block", "place", "key", "id", "n", "smallest", "first")
+
+
+def jaccard_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col long, n_shingles long, component_id long), a row for each row of df."""
+    found = _components(pack_blocks(df, id_col, text_col, "jaccard-blocks"), n, percent)
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return known.join(component, "rep").select(real("id").alias(id_col), F.col("n").alias("n_shingles"), real("smallest").alias("component_id"))
+    return found.select(real("id").alias(id_col), F.col("n").alias("n_shingles"), real("smallest").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of each component: the one with the smallest id (of rows with the same id, one). Columns as in docs."""
+    blocks = pack_blocks(docs, id_col, text_col, "jaccard-blocks", whole_rows=True)
+    gone = _place_lists(_components(blocks, n, percent).filter("key <> first").select("block", "place"))
+    names = docs.columns
+
+    def finish(_: int, block: Block, got: dict[int, bytes]) -> Iterator[pa.Table]:
+        yield block.rows(names, text_col, ~_listed(block, got))
+
+    return per_block(blocks, materialize(gone, "jaccard-gone"), finish, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes), whole_rows=True)
 
 
 def _links(found: DataFrame, groups: DataFrame, percent: int, buckets: int) -> DataFrame:

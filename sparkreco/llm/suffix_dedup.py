@@ -162,25 +162,53 @@ def _removed(block: Block, got_anchors: dict[int, bytes], got: dict[int, bytes],
     return np.cumsum(marks[: len(block.data)]) > 0
 
 
+def _rounds(blocks: DataFrame, length: int) -> tuple[DataFrame, int]:
+    """Both rounds' answers, and the number of buckets; the second round's are numbered beyond the first's."""
+    total = blocks.agg({"n_bytes": "sum"}).first()[0] or 0
+    n, width = bucket_count(blocks), key_bytes(total)
+    anchors = exchange(blocks, lambda block, _: send_by_bucket(np.unique(_Anchors(block, length).keys), n, width), lambda rows: answer_shared(rows, width), "suffix-anchors")
+    texts = exchange(blocks, lambda block, got: _ask_texts(block, got, n, length), lambda rows: _answer_texts(rows, length), "suffix-texts", anchors)
+    return anchors.unionByName(texts.withColumn("bucket", (F.col("bucket") + n).cast("int"))), n
+
+
+def _kept(block: Block, got: dict[int, bytes], n: int, length: int) -> tuple[list[bytes], list[int], list[int]]:
+    """Of each document what is left, how many bytes go, and in how many stretches."""
+    gone = _removed(block, got, {k - n: v for k, v in got.items() if k >= n}, n, length)
+    kept, removed, spans = [], [], []
+    for i in range(len(block)):
+        a, b = block.offsets[i], block.offsets[i + 1]
+        g = gone[a:b]
+        kept.append(block.data[a:b][~g].tobytes())
+        removed.append(int(g.sum()))
+        spans.append(int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()))
+    return kept, removed, spans
+
+
 def remove_repeated_bytes(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes long, n_removed long, n_spans long, kept binary), a row for each row of df."""
     blocks = pack_blocks(df, id_col, text_col, "suffix-blocks")
-    n = bucket_count(blocks)
-    width = key_bytes(blocks.agg({"n_bytes": "sum"}).first()[0] or 0)
-    anchors = exchange(blocks, lambda block, _: send_by_bucket(np.unique(_Anchors(block, length).keys), n, width), lambda rows: answer_shared(rows, width), "suffix-anchors")
-    texts = exchange(blocks, lambda block, got: _ask_texts(block, got, n, length), lambda rows: _answer_texts(rows, length), "suffix-texts", anchors)
-    # both rounds' answers meet the block; the second round's buckets are numbered beyond the first's
-    both = anchors.unionByName(texts.withColumn("bucket", (F.col("bucket") + n).cast("int")))
+    answers, n = _rounds(blocks, length)
 
     def finish(_: int, block: Block, got: dict[int, bytes]) -> Iterator[pa.Table]:
-        gone = _removed(block, got, {k - n: v for k, v in got.items() if k >= n}, n, length)
-        kept, removed, spans = [], [], []
-        for i in range(len(block)):
-            a, b = block.offsets[i], block.offsets[i + 1]
-            g = gone[a:b]
-            kept.append(block.data[a:b][~g].tobytes())
-            removed.append(int(g.sum()))
-            spans.append(int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()))
+        kept, removed, spans = _kept(block, got, n, length)
         yield pa.table({id_col: pa.array(block.ids, pa.int64(), mask=block.ids == NO_ID), "n_bytes": pa.array(np.diff(block.offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    return per_block(blocks, both, finish, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return per_block(blocks, answers, finish, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def cut_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the repeated text cut out of text_col, and n_chars, if there is one, counted anew where text went.
+
+    A character of which some byte is removed goes as a whole. Rows whose text was not empty and is now go.
+    """
+    blocks = pack_blocks(docs, id_col, text_col, "suffix-blocks", whole_rows=True)
+    answers, n = _rounds(blocks, length)
+    names = docs.columns
+
+    def finish(_: int, block: Block, got: dict[int, bytes]) -> Iterator[pa.Table]:
+        kept, _, _ = _kept(block, got, n, length)
+        kept = [k if len(k) == e - s else k.decode("utf-8", "ignore").encode() for k, s, e in zip(kept, block.offsets[:-1], block.offsets[1:], strict=True)]
+        stays = np.array([len(k) > 0 for k in kept], bool) | (np.diff(block.offsets) == 0)
+        yield block.rows(names, text_col, stays, kept, "n_chars")
+
+    return per_block(blocks, answers, finish, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes), whole_rows=True)
