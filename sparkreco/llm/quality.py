@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 from sparkreco.llm import samples
 from sparkreco.llm.blocks import text_bytes
 from sparkreco.llm.hashing import bytes_prefix, word_spans
-from sparkreco.llm.toxicity import _cut
+from sparkreco.llm.toxicity import _cut, slices
 
-SLICE = 1 << 19
 #: Byte classes: each ASCII byte beyond letters and digits alone; lower case, upper case, digits, beyond ASCII, controls together.
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 4
@@ -81,12 +80,8 @@ def _within(starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray, data: np.
 
 
 def shares(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-    out, at, n = [np.zeros((0, N_FEATURES))], 0, len(offsets) - 1
-    while at < n:
-        upto = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1))
-        out.append(_shares(offsets[at : upto + 1] - offsets[at], data[offsets[at] : offsets[upto]]))
-        at = upto
-    return np.concatenate(out)
+    parts = [_shares(offsets[s : e + 1] - offsets[s], data[offsets[s] : offsets[e]]) for s, e in slices(offsets)]
+    return np.concatenate([np.zeros((0, N_FEATURES)), *parts])
 
 
 @dataclass

@@ -57,6 +57,15 @@ def features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rows, np.searchsorted(starts, offsets, side="left")
 
 
+def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of documents of about SLICE bytes, one document at least."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        upto = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1))
+        yield at, upto
+        at = upto
+
+
 @dataclass
 class ToxicityModel:
     table: np.ndarray
@@ -108,12 +117,10 @@ class ToxicityModel:
 
     def logits(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Of each document; some documents at a time, so that the work stays in the processor's cache."""
-        out, at, n = [np.zeros(0)], 0, len(offsets) - 1
-        while at < n:
-            upto = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1))
-            rows, places = features(offsets[at : upto + 1] - offsets[at], data[offsets[at] : offsets[upto]])
+        out = [np.zeros(0)]
+        for s, e in slices(offsets):
+            rows, places = features(offsets[s : e + 1] - offsets[s], data[offsets[s] : offsets[e]])
             out.append(self.pooled(rows, places).astype(np.float64) @ self.out + self.out_bias - self.shift)
-            at = upto
         return np.concatenate(out)
 
 
@@ -134,14 +141,21 @@ def train(sample: pd.DataFrame, epochs: int = 3, rate: float = 0.05, seed: int =
         return model
     aside = np.arange(len(y)) % 5 == 4
     offsets, data = _encode(sample["text"].tolist())
-    rows, at = features(offsets, data)
+    # some documents at a time: hashing needs many times the memory of the text
+    parts, at = [np.zeros((0, N_FEATURES), np.int32)], [np.zeros(1, np.int64)]
+    for s, e in slices(offsets):
+        own, places = features(offsets[s : e + 1] - offsets[s], data[offsets[s] : offsets[e]])
+        parts.append(own)
+        at.append(places[1:] + at[-1][-1])
+    rows, at = np.concatenate(parts), np.concatenate(at)
+    del parts
     # log ratios: how many documents of either class have a feature
-    doc = np.repeat(np.arange(len(y)), np.diff(at))
     fit = ~aside
-    pairs = np.unique((doc.astype(np.int64)[:, None] * ROWS + rows)[fit[doc]].ravel())
-    d, r = pairs // ROWS, pairs % ROWS
+    counts = np.zeros((2, ROWS), np.int32)
+    for i in np.flatnonzero(fit):
+        counts[y[i], np.unique(rows[at[i] : at[i + 1]])] += 1
+    f0, f1 = counts
     n1, n0 = max(1, (y[fit] == 1).sum()), max(1, (y[fit] == 0).sum())
-    f1, f0 = np.bincount(r[y[d] == 1], minlength=ROWS), np.bincount(r[y[d] == 0], minlength=ROWS)
     ratio = np.log((f1 + 1) / (n1 + 2)) - np.log((f0 + 1) / (n0 + 2)) - np.log((n0 + 2) / (n1 + 2))
     table[:, 0] += np.clip(ratio, -3, 6).astype(np.float32) / 2
     for w in WIDTHS:
