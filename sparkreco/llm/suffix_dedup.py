@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkreco.llm.blocks import NO_ID, Block, answer_shared, bucket_bounds, bucket_count, exchange, key_bytes, minimizers, pack_blocks, per_block, read_bits, send_by_bucket, squeeze, unsqueeze
-from sparkreco.llm.hashing import bytes_prefix
+from sparkreco.llm.hashing import bytes_prefix, mix
 from sparkreco.llm.suffix import SuffixSorter
 
 PERIOD, BUCKET_SUFFIXES = 32, 1 << 19
@@ -42,7 +42,8 @@ class _Anchors:
         #: For each place the place of the anchor of the stretch from there on, or -1.
         self.place = minimizers(self.hashes, valid, length - size + 1)
         self.places = np.unique(self.place[self.place >= 0])
-        self.keys = self.hashes[self.places]
+        # least hashes are small numbers: mixed anew, they spread over the buckets
+        self.keys = mix(self.hashes[self.places])
 
 
 class _Stretches:
@@ -68,7 +69,7 @@ class _Stretches:
         self.ids = block.ids[self.docs]
         self.anchor = place[starts] - starts
         texts = a.prefix.spans(starts, ends + length - 1)
-        key = a.hashes[place[starts]]
+        key = mix(a.hashes[place[starts]])
         order = np.lexsort((self.ids, texts, key))
         new = np.ones(len(order), bool)
         new[1:] = texts[order][1:] != texts[order][:-1]
@@ -122,8 +123,8 @@ def _answer_texts(rows: list[bytes], length: int) -> list[bytes]:
     base = np.concatenate([[0], np.cumsum(stretches)])
     inner = np.arange(base[-1]) - np.repeat(base[:-1], stretches)
     places = np.repeat(at, stretches) + inner
-    number = np.full(len(laid), -1, np.int64)
-    number[places] = np.arange(len(places))
+    number = np.full(len(laid), -1, np.int32)
+    number[places] = np.arange(len(places), dtype=np.int32)
     holder = np.repeat(ids[first], stretches)
     least = np.empty(len(places), np.int64)
     sorter = SuffixSorter(laid, PERIOD, length)
@@ -165,7 +166,7 @@ def _removed(block: Block, got_anchors: dict[int, bytes], got: dict[int, bytes],
 def _rounds(blocks: DataFrame, length: int) -> tuple[DataFrame, int]:
     """Both rounds' answers, and the number of buckets; the second round's are numbered beyond the first's."""
     total = blocks.agg({"n_bytes": "sum"}).first()[0] or 0
-    n, width = bucket_count(blocks), key_bytes(total)
+    n, width = bucket_count(blocks, total), key_bytes(total)
     anchors = exchange(blocks, lambda block, _: send_by_bucket(np.unique(_Anchors(block, length).keys), n, width), lambda rows: answer_shared(rows, width), "suffix-anchors")
     texts = exchange(blocks, lambda block, got: _ask_texts(block, got, n, length), lambda rows: _answer_texts(rows, length), "suffix-texts", anchors)
     return anchors.unionByName(texts.withColumn("bucket", (F.col("bucket") + n).cast("int"))), n
