@@ -109,6 +109,7 @@ class ToxicityModel:
             x = self.vectors(np.maximum(piece, 0)) * (piece[:, :1] >= 0)
             x = np.concatenate([x, np.zeros((e - s + pad - len(x), DIM), np.float32)]) if len(x) < e - s + pad else x
             y = self.responses(x.astype(np.float32))
+            y[piece[: e - s, 0] < 0] = 0  # no filter starts beyond a text's last word, where it would read the next text
             first = int(np.searchsorted(place, s, side="right")) - 1
             last = int(np.searchsorted(place, e, side="left"))
             starts = np.maximum(place[first:last] - s, 0)
@@ -169,7 +170,9 @@ def train(sample: pd.DataFrame, epochs: int = 3, rate: float = 0.05, seed: int =
         order = np.stack([rng.permutation(np.resize(rng.permutation(g), size)) for g in groups], 1).ravel()  # the classes in turn
         for i in order:
             own = rows[at[i] : at[i + 1]]
-            x = np.zeros((len(own) + pad + 1, DIM), np.float32)
+            if not len(own):
+                continue
+            x = np.zeros((len(own) + pad, DIM), np.float32)
             x[: len(own)] = model.vectors(own)
             resp = model.responses(x)
             best = resp.argmax(0)
@@ -225,12 +228,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, per_class:
     return train(samples.labelled(docs, labels, "toxic", allowed, per_class))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column toxicity (0 to 1). The model's size is fixed, so it is broadcast."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+    """docs with a column `name` (0 to 1), which takes the place of one of that name. The model's size is fixed, so it is broadcast."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != "toxicity"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[F.col(f"`{c}`") for c in names]).dtypes) + ", toxicity double"
+    names = [c for c in docs.columns if c != name]
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[F.col(f"`{c}`") for c in names]).dtypes) + f", `{name}` double"
     text_at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +241,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             offsets, data = text_bytes(b.column(text_at))
             # the score also holds for the largest texts: the exponential stays finite
             score = 1 / (1 + np.exp(-np.clip(sent.value.logits(offsets, data), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*names, name])
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
 
@@ -253,5 +256,6 @@ def threshold(model: ToxicityModel, lang_col: str = "lang") -> Column:
 
 def reject_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of docs below their language's threshold; columns as in docs."""
-    kept = score_toxicity(docs, model).filter(F.col("toxicity") < threshold(model) if "lang" in docs.columns else F.col("toxicity") < 0.5)
+    least = threshold(model) if "lang" in docs.columns else F.lit(0.5)
+    kept = score_toxicity(docs, model, name="__toxicity").filter(F.col("__toxicity") < least)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
