@@ -187,15 +187,15 @@ def leaks_of(index: Index, offsets: np.ndarray, data: np.ndarray, retrieve: floa
     return [[{"item_id": index.ids[i], "score": s, "question": q, "answer": a} for i, (s, q, a) in sorted(found.items())] for found in out]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", retrieve: float = 0.5, overlap: float = 0.5) -> DataFrame:
-    """docs with a column leaks: the items that a row's text holds, one struct each."""
+def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", retrieve: float = 0.5, overlap: float = 0.5, name: str = "leaks") -> DataFrame:
+    """docs with a column `name`, in the place of one of that name: the items that a row's text holds, one struct each."""
     spark = docs.sparkSession
     rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
     n_items = rows.count()
     shards = max(1, -(-n_items // (SHARD_ITEMS // 2)))  # by hash: half full on average, so that none is over
-    names = [c for c in docs.columns if c != "leaks"]
-    out = docs.select(*[F.col(f"`{c}`") for c in names], F.expr(f"CAST(array() AS {LEAKS})").alias("leaks"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in out.dtypes[:-1]) + f", leaks {LEAKS}"
+    names = [c for c in docs.columns if c != name]
+    out = docs.select(*[F.col(f"`{c}`") for c in names], F.expr(f"CAST(array() AS {LEAKS})").alias(name))
+    schema = ", ".join(f"`{c}` {t}" for c, t in out.dtypes[:-1]) + f", `{name}` {LEAKS}"
     text_at = names.index(text_col)
     for shard in range(shards):
         own = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == shard).orderBy("id", "text").collect() if shards > 1 else rows.orderBy("id", "text").collect()
@@ -208,7 +208,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
                 for s, e in slices(offsets):
                     found += leaks_of(index.value, offsets[s : e + 1] - offsets[s], data[offsets[s] : offsets[e]], retrieve, overlap)
                 found = [x + y for x, y in zip(b.column(len(names)).to_pylist(), found, strict=True)] if shards > 1 else found
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, b.schema.field("leaks").type)], b.schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, b.schema.field(name).type)], b.schema.names)
 
         out = out.mapInArrow(run, schema)
     return out
@@ -216,4 +216,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
 
 def drop_leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs without leaked items; columns as in docs."""
-    return find_leaks(docs, items).filter(F.size("leaks") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return find_leaks(docs, items, name="__leaks").filter(F.size("__leaks") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
