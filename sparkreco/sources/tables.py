@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCHEMAS = {
-    "orders": T.StructType.fromDDL("user_id bigint, item_id bigint, created_timestamp timestamp_ntz, last_status string"),
-    "tracker": T.StructType.fromDDL("user_id bigint, item_id bigint, timestamp timestamp_ntz, action_type string"),
-    "items": T.StructType.fromDDL("item_id bigint, itemname string, fclip_embed array<float>, catalogid int"),
-    "categories": T.StructType.fromDDL("catalogid int, catalogpath string, ids array<int>"),
-    "test_users": T.StructType.fromDDL("user_id bigint"),
+    "orders": "user_id bigint, item_id bigint, created_timestamp timestamp_ntz, last_status string",
+    "tracker": "user_id bigint, item_id bigint, timestamp timestamp_ntz, action_type string",
+    "items": "item_id bigint, itemname string, fclip_embed array<float>, catalogid int",
+    "categories": "catalogid int, catalogpath string, ids array<int>",
+    "test_users": "user_id bigint",
 }
 
 
