@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkreco.llm import oracles
+
 QUERIES = {}
 #: DuckDB SQL for what SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_knn": oracles.KNN, "op4_html_text": oracles.HTML, "op6_suffix_dedup": oracles.SUFFIX, "op7_repeats": oracles.REPEATS, "op10_jaccard": oracles.JACCARD}
 
 
 def query(f):
@@ -79,20 +81,6 @@ def op2_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-ORACLE_SQL["op2_knn"] = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (
-  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score
-  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
-"""
-
-
 @query
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkreco.llm.repeats import remove_repeats
