@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkreco.functions.scalar import spread_hash
 from sparkreco.operators.signals import ranked, top_per_group
 
 
@@ -230,5 +229,3 @@ def negatives(positives: DataFrame, items: DataFrame, n: int) -> DataFrame:
     return spread_sample(positives.select("user_id").distinct(), items, n, positives.distinct())
 
 
-def hash_column() -> Column:
-    return spread_hash()

@@ -1,4 +1,9 @@
-"""The frames that the queries share, derived once from a folder of tables."""
+"""The frames that the queries share, derived once from a folder of tables.
+
+What several branches of a plan read is persisted: the cleaned orders, and the small frames that come from them (the cutoff, the
+popularity list, recent items, neighbours). Spark finds a persisted frame again by its plan, also from another query, spills it to disk
+if need be, and computes lost parts anew.
+"""
 
 from __future__ import annotations
 
@@ -21,7 +26,7 @@ class Frames:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return clean.clean_orders(self.raw.orders)
+        return clean.clean_orders(self.raw.orders).persist()
 
     @cached_property
     def tracker(self) -> DataFrame:
@@ -41,7 +46,7 @@ class Frames:
 
     @cached_property
     def cut(self) -> DataFrame:
-        return clean.cutoff(self.orders)
+        return clean.cutoff(self.orders).persist()
 
     @cached_property
     def train(self) -> DataFrame:
@@ -70,7 +75,7 @@ class Frames:
     @cached_property
     def popular(self) -> DataFrame:
         counts = self.delivered.groupBy("item_id").agg(F.count("*").alias("score"))
-        return signals.top_items(counts, POPULAR)
+        return signals.top_items(counts, POPULAR).persist()
 
     @cached_property
     def n_popular(self) -> int:
@@ -86,16 +91,16 @@ class Frames:
 
     @cached_property
     def recents(self) -> DataFrame:
-        return signals.recent_items(self.interactions, 5)
+        return signals.recent_items(self.interactions, 5).persist()
 
     @cached_property
     def neighbours(self) -> DataFrame:
-        return signals.copurchase(self.train)
+        return signals.copurchase(self.train).persist()
 
     @cached_property
     def category_list(self) -> DataFrame:
         listed = signals.category_items(self.items, self.categories).join(self.popular.select("item_id", "pop_rank"), "item_id", "left")
-        return signals.ranked(listed, ["catalogid"], [F.asc_nulls_last("pop_rank"), F.asc("item_id")], "nth")
+        return signals.ranked(listed, ["catalogid"], [F.asc_nulls_last("pop_rank"), F.asc("item_id")], "nth").persist()
 
     @cached_property
     def user_features(self) -> DataFrame:
