@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparkreco.llm.blocks import NO_ID, Block, Words, answer_shared, bucket_count, exchange, key_bytes, minimizers, pack_blocks, per_block, read_bits, send_by_bucket
+from sparkreco.llm.hashing import mix
 
 
 def _anchors(words: Words, window: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Anchor length; its hash from each word on; for each word the place of the anchor of the window from it on, or -1."""
     n = window // 2 + 1
     hashes, _ = words.grams(n)
-    return n, hashes, minimizers(hashes, words.until(window), window - n + 1)
+    # least hashes are small numbers: mixed anew, they spread over the buckets
+    return n, mix(hashes), minimizers(hashes, words.until(window), window - n + 1)
 
 
 def _runs(flags: np.ndarray) -> np.ndarray:
