@@ -68,7 +68,7 @@ def slice_of_popular(users: DataFrame, popular: DataFrame, start: Column, length
     at = F.lit(at) if isinstance(at, int) else at
     asked = users.filter(length > 0).select("user_id", start.cast("int").alias("s"), length.cast("int").alias("n"), at.cast("int").alias("base"))
     ranks = asked.select("user_id", "base", "s", F.explode(F.expr("sequence(s, s + n - 1)")).alias("pop_rank"))
-    return ranks.join(F.broadcast(popular.select("item_id", "pop_rank")), "pop_rank").select("user_id", "item_id", (F.col("base") + F.col("pop_rank") - F.col("s")).cast("int").alias("at"))
+    return ranks.join(popular.select("item_id", "pop_rank"), "pop_rank").select("user_id", "item_id", (F.col("base") + F.col("pop_rank") - F.col("s")).cast("int").alias("at"))
 
 
 def cold_candidates(users: DataFrame, popular: DataFrame, n_popular: int, size: int = 300) -> DataFrame:

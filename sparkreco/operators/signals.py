@@ -24,6 +24,16 @@ def top_items(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return best.withColumn("pop_rank", (F.row_number().over(Window.orderBy(F.desc(score), "item_id")) - 1).cast("int"))
 
 
+def ranked_items(scores: DataFrame, score: str = "score") -> DataFrame:
+    """All items with their ranks from 0, best first, without sorting them in one task: offsets of sorted partitions are added."""
+    # persisted, so that the sizes and the rows are of the same range partitions
+    parts = scores.repartitionByRange(F.desc(score), F.asc("item_id")).withColumn("__p", F.spark_partition_id()).persist()
+    sizes = parts.groupBy("__p").agg(F.count("*").alias("n"))
+    before = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("before"))
+    local = F.row_number().over(Window.partitionBy("__p").orderBy(F.desc(score), "item_id")) - 1
+    return parts.withColumn("__i", local).join(F.broadcast(before), "__p").select(*scores.columns, (F.col("before") + F.col("__i")).cast("int").alias("pop_rank"))
+
+
 def popularity(orders: DataFrame, cut: DataFrame) -> DataFrame:
     """Orders of an item before the cutoff, as a share of the most ordered item's."""
     counts = orders.crossJoin(F.broadcast(cut)).filter("created_timestamp < cutoff").groupBy("item_id").count()

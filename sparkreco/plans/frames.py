@@ -1,7 +1,7 @@
 """The frames that the queries share, derived once from a folder of tables.
 
-What several branches of a plan read is persisted: the cleaned orders, and the small frames that come from them (the cutoff, the
-popularity list, recent items, neighbours). Spark finds a persisted frame again by its plan, also from another query, spills it to disk
+What several branches of a plan read is persisted: the cleaned orders, and the frames that come from them (the cutoff, the
+popularity list of all delivered items, recent items, neighbours). Spark finds a persisted frame again by its plan, also from another query, spills it to disk
 if need be, and computes lost parts anew.
 """
 
@@ -16,9 +16,6 @@ from sparkreco.operators import candidates as C
 from sparkreco.operators import clean, signals
 from sparkreco.sources.tables import Retail
 
-#: Length of the popularity list; a bound, so the list may be broadcast.
-POPULAR = 2000
-
 
 class Frames:
     def __init__(self, spark: SparkSession, folder: str):
@@ -75,11 +72,11 @@ class Frames:
     @cached_property
     def popular(self) -> DataFrame:
         counts = self.delivered.groupBy("item_id").agg(F.count("*").alias("score"))
-        return signals.top_items(counts, POPULAR).persist()
+        return signals.ranked_items(counts).persist()
 
     @cached_property
     def n_popular(self) -> int:
-        return min(POPULAR, self.delivered.select("item_id").distinct().count())
+        return self.delivered.select("item_id").distinct().count()
 
     @cached_property
     def pairs(self) -> DataFrame:

@@ -33,6 +33,22 @@ def _lists(df):
     return out
 
 
+def test_popularity_list_has_all_items(spark):
+    from sparkreco.plans.frames import Frames
+
+    f = Frames(spark, "nowhere")
+    # item i is delivered 1 + i % 3 times: more items than any fixed list, with many ties
+    f.delivered = spark.range(5000).select(F.col("id").alias("item_id"), F.explode(F.sequence(F.lit(0), F.col("id") % 3)).alias("n")).drop("n")
+    want = sorted(range(5000), key=lambda i: (-(i % 3), i))
+    assert [r["item_id"] for r in f.popular.orderBy("pop_rank").collect()] == want
+    assert sorted(r["pop_rank"] for r in f.popular.collect()) == list(range(5000)) and f.n_popular == 5000
+    users = spark.createDataFrame([(19,), (49,)], "user_id long")
+    assert _lists(C.cold_candidates(users, f.popular, f.n_popular)) == {19: want[2280:2520], 49: want[:240]}  # 49 starts beyond the end
+    assert _lists(C.segment_popular(users, f.popular, f.n_popular)) == {19: want[4750:4850], 49: want[2250:2350]}
+    got = _lists(C.truncate_by_popularity(spark.createDataFrame([(1, want[4000]), (1, want[3000]), (1, 9999)], "user_id long, item_id long"), f.popular, 3))
+    assert got == {1: [want[3000], want[4000], 9999]}
+
+
 def test_clean_orders_keeps_first_of_each_status(spark):
     o = _orders(spark, [(1, 1, "2024-01-02", "delivered_orders"), (1, 1, "2024-01-01", "delivered_orders"), (1, 1, "2024-01-01", "canceled_orders"), (1, 2, "2024-01-01", "other")])
     got = {(r["item_id"], r["last_status"], str(r["created_timestamp"])[:10], r["target"]) for r in clean.clean_orders(o).collect()}
