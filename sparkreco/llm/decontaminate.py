@@ -6,12 +6,13 @@ an item is the sum of the BM25 weights of the item's terms that it has, divided
 items of `retrieve` or more are retrieved: first the block-max bounds, the sums over a passage's terms of each term's
 largest weight in a block of items, leave out blocks that can't reach the threshold; in the blocks that are left, WAND moves along the
 posting lists to each item whose terms' largest weights can. A retrieved item counts as leaked if enough of the word
-trigrams of its first half (the question) and of its second half (the answer) stand in the passage.
+trigrams of its first half (the question) and of its second half (the answer) stand in the passage; a half of fewer words is compared
+whole, and so is an item of fewer than 5 words: its word sequence must stand in the passage.
 
 The index is broadcast; the items are read in shards of at most SHARD_ITEMS, so its size is bounded, and a larger benchmark takes more
 passes. Term statistics are those of the shard.
 
-Defined cases: null or empty texts match nothing; items of fewer than 5 words are not searched for; a null item id is carried along; repeated
+Defined cases: null or empty texts match nothing; items without words are not searched for; a null item id is carried along; repeated
 items match each by itself; documents of any id and length are rows of their own; without items nothing is leaked.
 """
 
@@ -30,7 +31,7 @@ from sparkreco.llm.blocks import text_bytes
 from sparkreco.llm.hashing import WORD_M, Prefix, bytes_prefix
 from sparkreco.llm.toxicity import _WORD, slices
 
-SHARD_ITEMS, BLOCK_ITEMS, LEAST_WORDS, K1, B = 1024, 4, 5, 1.2, 0.75
+SHARD_ITEMS, BLOCK_ITEMS, HALVED_WORDS, K1, B = 1024, 4, 5, 1.2, 0.75
 #: Pairs of a passage and a term whose block bounds are summed up at once.
 PAIRS = 1 << 14
 LEAKS = "array<struct<item_id: bigint, score: double, question: double, answer: double>>"
@@ -53,9 +54,17 @@ def term_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     return bytes_prefix(data).spans(starts, ends), np.searchsorted(starts, offsets, side="left")
 
 
-def trigrams(words: np.ndarray) -> np.ndarray:
-    """Hashes of three words in a row, of all words together if there are fewer."""
-    return np.unique(Prefix(words, WORD_M).grams(min(3, len(words)))) if len(words) else np.zeros(0, np.uint64)
+def grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n words in a row."""
+    return np.unique(Prefix(words, WORD_M).grams(n))
+
+
+def halves(words: np.ndarray) -> tuple[tuple[int, np.ndarray], tuple[int, np.ndarray]]:
+    """What is compared of question and answer: the number of words in a row, and their hashes."""
+    h = len(words) // 2
+    if len(words) < HALVED_WORDS:
+        return ((len(words), grams(words, len(words))),) * 2
+    return tuple((min(3, len(w)), grams(w, min(3, len(w)))) for w in (words[:h], words[h:]))
 
 
 @dataclass
@@ -66,14 +75,13 @@ class Index:
     weights: list[np.ndarray]
     most: np.ndarray  # each term's largest weight
     block_most: np.ndarray  # [term, block]
-    questions: list[np.ndarray]
-    answers: list[np.ndarray]
+    halves: list[tuple]  # of each item, as halves() gives them
     longest: int
 
 
 def build_index(ids: list, texts: list[str | None]) -> Index:
     hashes, at = term_hashes(*lowered(pa.array(texts, pa.string())))
-    use = [i for i in range(len(ids)) if at[i + 1] - at[i] >= LEAST_WORDS]
+    use = [i for i in range(len(ids)) if at[i + 1] > at[i]]
     words = [hashes[at[i] : at[i + 1]] for i in use]
     sizes = np.array([len(w) for w in words], float)
     terms = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
@@ -95,8 +103,7 @@ def build_index(ids: list, texts: list[str | None]) -> Index:
     block_most = np.zeros((len(terms), -(-len(use) // BLOCK_ITEMS)), np.float32)
     for t, (i, w) in enumerate(zip(items, weights, strict=True)):
         np.maximum.at(block_most[t], i // BLOCK_ITEMS, w * (1 + 1e-6))
-    halves = [len(w) // 2 for w in words]
-    return Index([ids[i] for i in use], terms, items, weights, np.array([w.max() for w in weights]), block_most, [trigrams(w[:h]) for w, h in zip(words, halves, strict=True)], [trigrams(w[h:]) for w, h in zip(words, halves, strict=True)], int(sizes.max()) if words else 0)
+    return Index([ids[i] for i in use], terms, items, weights, np.array([w.max() for w in weights]), block_most, [halves(w) for w in words], int(sizes.max()) if words else 0)
 
 
 def wand(index: Index, terms: np.ndarray, blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -162,8 +169,7 @@ def leaks_of(index: Index, offsets: np.ndarray, data: np.ndarray, retrieve: floa
     doc = np.searchsorted(at, place, side="right") - 1
     step = index.longest
     half = (place - at[doc]) // step  # a passage is two halves
-    halves = -(-np.diff(at) // step)
-    base = np.concatenate([[0], np.cumsum(np.maximum(halves, 1))])
+    base = np.concatenate([[0], np.cumsum(np.maximum(-(-np.diff(at) // step), 1))])
     n_terms = len(index.terms)
     one = base[doc] + half
     both = np.unique(np.concatenate([one * n_terms + term, (one - 1)[half > 0] * n_terms + term[half > 0]]))
@@ -177,11 +183,12 @@ def leaks_of(index: Index, offsets: np.ndarray, data: np.ndarray, retrieve: floa
         number = int(passage[starts[k]])
         d = int(np.searchsorted(base, number, side="right")) - 1
         s = int(at[d] + (number - base[d]) * step)
-        words = None
+        words: dict[int, np.ndarray] = {}
         for item, score in wand(index, own, blocks, retrieve):
-            if words is None:
-                words = trigrams(hashes[s : min(s + 2 * step, at[d + 1])])
-            q, a = (float(np.isin(g, words, assume_unique=True).mean()) for g in (index.questions[item], index.answers[item]))
+            for n, _ in index.halves[item]:
+                if n not in words:
+                    words[n] = grams(hashes[s : min(s + 2 * step, at[d + 1])], n)
+            q, a = (float(np.isin(g, words[n], assume_unique=True).mean()) for n, g in index.halves[item])
             if q >= overlap and a >= overlap and score > out[d].get(item, (0.0,))[0]:
                 out[d][item] = (score, q, a)
     return [[{"item_id": index.ids[i], "score": s, "question": q, "answer": a} for i, (s, q, a) in sorted(found.items())] for found in out]

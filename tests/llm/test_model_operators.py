@@ -119,6 +119,18 @@ def test_decontamination(spark, shard, monkeypatch):
     assert decontaminate.drop_leaked(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_finds_short_items(spark):
+    items = ["Zeta", "Zeta kappa?", "Is zeta kappa", "Zeta is kappa now", "Why is zeta kappa now", "Why is zeta kappa right now", "..."]
+    texts = [f"some words before, {t} and others after" for t in items] + ["kappa now is what zeta was", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    split = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    holds = lambda t, w: any(t[k : k + len(w)] == w for k in range(len(t) - len(w) + 1))
+    want = {d: [i for i, t in enumerate(items) if split(t) and holds(split(text), split(t))] for d, text in enumerate(texts)}
+    got = decontaminate.find_leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), overlap=1.0).collect()
+    assert {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in got} == want
+    assert want[4] == [0, 1, 2, 4]
+
+
 def test_wand_finds_what_a_full_scan_finds():
     rng = random.Random(5)
     vocabulary = [f"w{k}" for k in range(60)]
