@@ -10,7 +10,7 @@ trigrams of its first half (the question) and of its second half (the answer) st
 whole, and so is an item of fewer than 5 words: its word sequence must stand in the passage.
 
 The index is broadcast; the items are read in shards of at most SHARD_ITEMS, so its size is bounded, and a larger benchmark takes more
-passes. Term statistics are those of the shard.
+passes. The number of items, their average and largest length and the terms' document frequencies are those of all items, counted once.
 
 Defined cases: null or empty texts match nothing; items without words are not searched for; a null item id is carried along; repeated
 items match each by itself; documents of any id and length are rows of their own; without items nothing is leaked.
@@ -44,6 +44,8 @@ def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def term_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of lowered texts, and where each text's words start, and the end."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     is_word = np.zeros(len(data) + 2, bool)
     is_word[1:-1] = _WORD[data]
     starts, ends = np.flatnonzero(is_word[1:] & ~is_word[:-1]), np.flatnonzero(~is_word[1:] & is_word[:-1])
@@ -79,7 +81,18 @@ class Index:
     longest: int
 
 
-def build_index(ids: list, texts: list[str | None]) -> Index:
+@dataclass
+class Stats:
+    """Of all items that have words: their number, average and largest number of words, and how many of them have each term."""
+
+    items: int
+    mean: float
+    longest: int
+    having: dict[int, int]  # by the term's hash as a signed number
+
+
+def build_index(ids: list, texts: list[str | None], stats: Stats | None = None) -> Index:
+    """stats: of all items, if these are a shard of them."""
     hashes, at = term_hashes(*lowered(pa.array(texts, pa.string())))
     use = [i for i in range(len(ids)) if at[i + 1] > at[i]]
     words = [hashes[at[i] : at[i + 1]] for i in use]
@@ -90,20 +103,22 @@ def build_index(ids: list, texts: list[str | None]) -> Index:
         kinds, counts = np.unique(w, return_counts=True)
         for t, c in zip(np.searchsorted(terms, kinds).tolist(), counts.tolist(), strict=True):
             found[t].append((i, c))
-    idf = np.array([np.log(1 + (len(use) - len(f) + 0.5) / (len(f) + 0.5)) for f in found])
+    having = [stats.having[t] for t in terms.view(np.int64).tolist()] if stats else [len(f) for f in found]
+    n, mean, longest = (stats.items, stats.mean, stats.longest) if stats else (len(use), sizes.mean() if use else 0.0, int(sizes.max(initial=0)))
+    idf = np.array([np.log(1 + (n - df + 0.5) / (df + 0.5)) for df in having])
     items = [np.array([i for i, _ in f]) for f in found]
     weights = []
     total = np.zeros(len(use))
     for t, f in enumerate(found):
         tf = np.array([c for _, c in f], float)
-        w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[items[t]] / sizes.mean()))
+        w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[items[t]] / mean))
         total[items[t]] += w
         weights.append(w)
     weights = [w / total[i] for w, i in zip(weights, items, strict=True)]
     block_most = np.zeros((len(terms), -(-len(use) // BLOCK_ITEMS)), np.float32)
     for t, (i, w) in enumerate(zip(items, weights, strict=True)):
         np.maximum.at(block_most[t], i // BLOCK_ITEMS, w * (1 + 1e-6))
-    return Index([ids[i] for i in use], terms, items, weights, np.array([w.max() for w in weights]), block_most, [halves(w) for w in words], int(sizes.max()) if words else 0)
+    return Index([ids[i] for i in use], terms, items, weights, np.array([w.max() for w in weights]), block_most, [halves(w) for w in words], longest)
 
 
 def wand(index: Index, terms: np.ndarray, blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -194,19 +209,36 @@ def leaks_of(index: Index, offsets: np.ndarray, data: np.ndarray, retrieve: floa
     return [[{"item_id": index.ids[i], "score": s, "question": q, "answer": a} for i, (s, q, a) in sorted(found.items())] for found in out]
 
 
+def _counted(items: DataFrame) -> DataFrame:
+    """(id, text) with the number of words and the different terms of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes, at = term_hashes(*lowered(b.column(1)))
+            terms = [np.unique(hashes[s:e]).view(np.int64) for s, e in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.diff(at), pa.int64()), pa.array(terms, pa.list_(pa.int64()))], ["id", "text", "words", "terms"])
+
+    return items.mapInArrow(run, "id long, text string, words long, terms array<long>")
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", retrieve: float = 0.5, overlap: float = 0.5, name: str = "leaks") -> DataFrame:
     """docs with a column `name`, in the place of one of that name: the items that a row's text holds, one struct each."""
     spark = docs.sparkSession
     rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
-    n_items = rows.count()
+    counted = _counted(rows).persist()
+    n_items, n_used, mean, longest = counted.agg(F.count("*"), F.count_if(F.col("words") > 0), F.avg(F.when(F.col("words") > 0, F.col("words"))), F.max("words")).first()
+    having = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).persist()
     shards = max(1, -(-n_items // (SHARD_ITEMS // 2)))  # by hash: half full on average, so that none is over
     names = [c for c in docs.columns if c != name]
     out = docs.select(*[F.col(f"`{c}`") for c in names], F.expr(f"CAST(array() AS {LEAKS})").alias(name))
     schema = ", ".join(f"`{c}` {t}" for c, t in out.dtypes[:-1]) + f", `{name}` {LEAKS}"
     text_at = names.index(text_col)
     for shard in range(shards):
-        own = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == shard).orderBy("id", "text").collect() if shards > 1 else rows.orderBy("id", "text").collect()
-        index = spark.sparkContext.broadcast(build_index([r["id"] for r in own], [r["text"] for r in own]))
+        part = counted.filter(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == shard)
+        own = part.select("id", "text").orderBy("id", "text").collect()
+        terms = having.join(part.select(F.explode("terms").alias("term")), "term", "left_semi").collect()
+        stats = Stats(n_used, mean, longest, {r["term"]: r["n"] for r in terms})
+        index = spark.sparkContext.broadcast(build_index([r["id"] for r in own], [r["text"] for r in own], stats))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -218,6 +250,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, b.schema.field(name).type)], b.schema.names)
 
         out = out.mapInArrow(run, schema)
+    counted.unpersist()
+    having.unpersist()
     return out
 
 

@@ -131,6 +131,22 @@ def test_decontamination_finds_short_items(spark):
     assert want[4] == [0, 1, 2, 4]
 
 
+def test_decontamination_is_alike_in_any_number_of_shards(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{int(60 * rng.random() ** 2)}" for _ in range(rng.randrange(6, 30)))) for i in range(40)] + [(None, "w1 w2"), (50, None)]
+    texts = []
+    for i in range(80):  # copies with words lost, near the threshold
+        words = items[i % 40][1].split()
+        texts.append((i, " ".join(f"x{rng.randrange(9)}" if rng.random() < 0.3 else w for w in words * 2)))
+    docs, rows = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    runs = []
+    for shard in (1024, 16):
+        monkeypatch.setattr(decontaminate, "SHARD_ITEMS", shard)
+        found = decontaminate.find_leaks(docs, rows, overlap=0.2).collect()
+        runs.append(sorted((r["doc_id"], x["item_id"] or -1, round(x["score"], 9), x["question"], x["answer"]) for r in found for x in r["leaks"]))
+    assert len(runs[0]) > 20 and runs[0] == runs[1]
+
+
 def test_wand_finds_what_a_full_scan_finds():
     rng = random.Random(5)
     vocabulary = [f"w{k}" for k in range(60)]
