@@ -3,7 +3,8 @@
 A page becomes a tree. Parts that are never the article (menus, headers and footers of the page, sidebars, notices, adverts,
 forms, scripts, styles, comments of readers) are cut off by element, role and class names. Each block with text of its own
 passes points for its length and its commas to its ancestors, less with each level up, discounted by the share of its text that
-stands in links. The container with the most points is kept, with those siblings that score well beside it; its blocks are
+stands in links. The container with the most points is kept; if it lies in an article or main element, that whole element is, however
+long, and elsewhere its parent is if what that adds is poor in links. Siblings that score well beside it are kept too; the blocks are
 joined in page order.
 
 Defined cases: null, empty or text-free html gives an empty text; broken markup is repaired as browsers do in outline (implied
@@ -46,6 +47,8 @@ SCOPES = {"table", "td", "th", "caption", "html", "object", "button"}
 FAVOURED = {"article": 25.0, "main": 15.0}
 #: Points for one block: 1, each comma, each 100 characters; a level up halves them, the next ones get a third and less.
 CHARS_A_POINT, SIBLING_SHARE = 100.0, 0.2
+#: Of a block that is poor in links, at most this share stands in links.
+LINK_POOR = 1 / 3
 
 
 class Node:
@@ -170,6 +173,26 @@ def _walk(root: Node) -> tuple[list[list], list[Node]]:
     return [[b, " ".join("".join(t).split()), linked] for b, t, linked in blocks], nodes
 
 
+def _within(node: Node | None, outer: Node) -> bool:
+    while node is not None and node is not outer:
+        node = node.parent
+    return node is outer
+
+
+def _whole(best: Node, blocks: list[list]) -> Node:
+    """The nearest article or main element around the best container; outside of these its parent, if that adds nothing rich in links."""
+    node = best
+    while node is not None:
+        if node.tag in ("article", "main"):
+            return node
+        node = node.parent
+    outer = best.parent
+    if outer is None or outer.tag in ("body", "html"):
+        return best
+    added = [(t, linked) for b, t, linked in blocks if _within(b, outer) and not _within(b, best)]
+    return outer if all(linked <= LINK_POOR * len(t) for t, linked in added) else best
+
+
 def main_text(page: str | None) -> str:
     """The article's text: blocks joined by one blank."""
     if not page:
@@ -192,7 +215,7 @@ def main_text(page: str | None) -> str:
     for node in nodes:
         if node.chars:
             node.points = (node.points + FAVOURED.get(node.tag, 0.0)) * (1 - node.linked / node.chars)
-    best = max(nodes, key=lambda n: n.points)
+    best = _whole(max(nodes, key=lambda n: n.points), blocks)
     kept = {id(best)}
     if best.parent is not None:
         least = max(1.0, SIBLING_SHARE * best.points)

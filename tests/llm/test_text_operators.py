@@ -210,6 +210,15 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("sentences", [1, 30, 300])
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_main_text_keeps_what_stands_beside_the_body(outer, sentences):
+    body = " ".join(["One sentence, with a comma, and some more words in it."] * sentences)
+    inner = f"<h1>T</h1><p>Lead.</p><div class=text><p>{body}</p><p>{body}</p></div><div class=share>Send it</div><section><h2>End</h2><p>Last words.</p></section>"
+    page = PAGE.format(f"<div><{outer}>{inner}</{outer}></div><div class=sidebar><p>Other, other, other</p></div>")
+    assert main_text(page) == f"T Lead. {body} {body} End Last words."
+
+
 def test_main_text_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE.format("<article><p>x, y</article>"), 3), (None, None, None, 4), (1, "u", "plain words", 5)], "page_id long, url string, html string, text2 int")
     got = sorted((r["page_id"] or 0, r["text"]) for r in extract_main_text(df).collect())
