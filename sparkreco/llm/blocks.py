@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from sparkreco.llm.hashing import LOWER, WORD_M, Prefix, word_hashes, word_spans
+from sparkreco.llm.hashing import LOWER, grams, span_hashes, word_spans
 from sparkreco.llm.storage import materialize
 
 #: Bytes of text after which a block is closed; a longer document makes a block of its own.
@@ -100,14 +100,14 @@ class Words:
             starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
         self.data, self.starts, self.ends = data, starts, ends
         self.at = np.searchsorted(starts, block.offsets, side="left")
-        self.hashes = word_hashes(data, starts, ends)
+        self.hashes = span_hashes(data, starts, ends)
 
     def __len__(self) -> int:
         return len(self.starts)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of n words from each word on, and which of them lie within one document."""
-        h = Prefix(self.hashes, WORD_M).grams(n)
+        h = grams(self.hashes, n)
         return h, self.until(n)[: len(h)]
 
     def until(self, n: int) -> np.ndarray:

@@ -27,8 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkreco.llm import hashing
 from sparkreco.llm.blocks import text_bytes
-from sparkreco.llm.hashing import WORD_M, Prefix, bytes_prefix
+from sparkreco.llm.hashing import span_hashes
 from sparkreco.llm.toxicity import _WORD, slices
 
 SHARD_ITEMS, BLOCK_ITEMS, HALVED_WORDS, K1, B = 1024, 4, 5, 1.2, 0.75
@@ -53,12 +54,12 @@ def term_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     inner = inner[(inner > 0) & (inner < len(data))]
     inner = inner[is_word[inner] & is_word[inner + 1]]
     starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
-    return bytes_prefix(data).spans(starts, ends), np.searchsorted(starts, offsets, side="left")
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets, side="left")
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n words in a row."""
-    return np.unique(Prefix(words, WORD_M).grams(n))
+    return np.unique(hashing.grams(words, n))
 
 
 def halves(words: np.ndarray) -> tuple[tuple[int, np.ndarray], tuple[int, np.ndarray]]:

@@ -1,12 +1,21 @@
-"""Vectorised 64-bit hashing of bytes, words and word sequences, alike on every machine and in every process."""
+"""Vectorised 64-bit hashing of bytes, words and word sequences, alike on every machine and in every process.
+
+What tells words and passages apart (span_hashes, grams) mixes eight bytes or two halves at a time by bijective, non-linear
+steps: there is no power of a base that a patterned text, such as one of Thue and Morse, could cancel out. The polynomial sums of
+Prefix, which have that weakness, serve the hashed features of classifiers alone, where a collision costs nothing.
+"""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 _U = np.uint64
-#: Odd multipliers of the polynomial hashes over bytes and over words.
-BYTE_M, WORD_M = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+#: Odd multipliers: of the polynomial over bytes, and of the left half of a pair.
+BYTE_M, PAIR_M = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+#: Longer spans are hashed one by one.
+LONG = 96
 #: The ASCII white space that separates words: 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -78,5 +87,43 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return bytes_prefix(data).spans(starts, ends)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros beyond the end; a view on a copy of data."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+#: The low bytes that count, by their number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], _U)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span, and of their number."""
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(_U) + _U(BYTE_M))
+    view = eights(data)
+    live, d = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        rest = size[live] - d
+        out[live] = mix(out[live] ^ (view[starts[live] + d] & _LOW[np.minimum(rest, 8)]))
+        live, d = live[rest > 8], d + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order."""
+    return mix(left * _U(PAIR_M) + right)
+
+
+def grams(values: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k hashes from each place on; one for each place that has k. Halves are joined pairwise."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.empty(0, _U)
+    out, span = values, 1
+    while span * 2 <= k:
+        out = join(out[: len(out) - span], out[span:])
+        span *= 2
+    return out[:n] if span == k else join(out[:n], out[k - span : k - span + n])

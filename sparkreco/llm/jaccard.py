@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sparkreco.llm.blocks import NO_ID, PLACE_BITS, Block, bucket_bounds, bucket_count, exchange, key_bytes, pack_blocks, per_block, squeeze, unsqueeze
 from sparkreco.llm.components import connected_components
-from sparkreco.llm.hashing import WORD_M, Prefix, mix
+from sparkreco.llm.hashing import grams, mix
 from sparkreco.llm.signature_tree import Linker, Tree, order_sets
 from sparkreco.llm.storage import materialize
 
@@ -35,15 +35,14 @@ PART = 1024
 def shingles(block: Block, n: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Documents' numbers and shingle hashes, sorted by both, each pair once; of the wanted documents."""
     words = block.words(lower=True)
-    prefix = Prefix(words.hashes, WORD_M)
-    hashes = prefix.grams(n)
-    inside = words.until(n)[: len(hashes)]
+    hashes, inside = words.grams(n)
     owner = words.owner()[: len(hashes)][inside]
     hashes = hashes[inside]
     count = np.diff(words.at)
-    short = np.flatnonzero((count > 0) & (count < n))
-    owner = np.concatenate([owner, short])
-    hashes = np.concatenate([hashes, prefix.spans(words.at[short], words.at[short + 1])])
+    for size in range(1, n):  # the whole of a short text
+        short = np.flatnonzero(count == size)
+        owner = np.concatenate([owner, short])
+        hashes = np.concatenate([hashes, grams(words.hashes, size)[words.at[short]]])
     if wanted is not None:
         take = wanted[owner]
         owner, hashes = owner[take], hashes[take]
