@@ -26,10 +26,13 @@ def difference_cover(v: int) -> tuple[int, ...]:
 
 
 class SuffixSorter:
-    """Sorts suffixes of text (uint8). With depth, suffixes that agree on that many bytes may come in any order."""
+    """Sorts suffixes of text (uint8). With depth, suffixes that agree on that many bytes may come in any order.
 
-    def __init__(self, text: np.ndarray, v: int = 32, depth: int | None = None):
-        self.n, self.v = len(text), v
+    used: which places belong to suffixes that are of interest; only these cover places are ranked (with depth).
+    """
+
+    def __init__(self, text: np.ndarray, v: int = 32, depth: int | None = None, used: np.ndarray | None = None):
+        self.n, self.v, self.depth = len(text), v, depth
         cover = np.array(difference_cover(v))
         self.slot = np.full(v, -1, np.int64)
         self.slot[cover] = np.arange(len(cover))
@@ -38,39 +41,52 @@ class SuffixSorter:
         self.step = np.array([min(d for d in range(v) if self.slot[(r + d) % v] >= 0) for r in range(v)])
         self.common = np.array([[min(d for d in range(v) if self.slot[(a + d) % v] >= 0 and self.slot[(b + d) % v] >= 0) for b in range(v)] for a in range(v)])
         self.padded = np.concatenate([text, np.zeros(2 * v + 8, np.uint8)])
-        self.view = np.lib.stride_tricks.as_strided(self.padded, (len(self.padded) - 7, 8), (1, 1))
-        self._rank_cover(cover, depth or self.n + v + 1)
+        self.view = np.ndarray((len(self.padded) - 7,), "<u8", self.padded, strides=(1,))
+        self._rank_cover(cover, depth or self.n + v + 1, used)
 
     def key8(self, places: np.ndarray) -> np.ndarray:
-        return self.view[np.minimum(places, len(self.view) - 1)].view(">u8").ravel().astype(np.uint64)
+        """The next eight bytes, as a number of the same order."""
+        return self.view[np.minimum(places, len(self.view) - 1)].byteswap()
 
-    def _rank_cover(self, cover: np.ndarray, depth: int) -> None:
+    def by_bytes(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order by the first v bytes, and where in it other bytes begin. Only what is still tied is looked at again."""
+        key = self.key8(places)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(places), bool)
+        new[1:] = key[1:] != key[:-1]
+        for d in range(8, self.v, 8):
+            slots = _tied(new)
+            if not len(slots):
+                break
+            own = order[slots]
+            key = self.key8(places[own] + d)
+            again = np.lexsort((key, np.cumsum(new)[slots]))
+            order[slots], key = own[again], key[again]
+            new[slots[1:]] |= key[1:] != key[:-1]
+        return order, new
+
+    def _rank_cover(self, cover: np.ndarray, depth: int, used: np.ndarray | None) -> None:
         v = self.v
         rows = -(-(self.n + 1) // v)
         places = (np.arange(rows)[:, None] * v + cover[None, :]).ravel()
         inside = np.flatnonzero(places < self.n)
+        if used is not None:
+            inside = inside[used[places[inside]]]
         own = places[inside]
-        rank = np.zeros(len(places), np.int64)
-        if len(own):
-            order = np.lexsort([self.key8(own + d) for d in range(v - 8, -1, -8)])
-            new = np.zeros(len(order), bool)
-            for d in range(0, v, 8):
-                k = self.key8(own[order] + d)
-                new[1:] |= k[1:] != k[:-1]
-            rank[inside[order]] = np.cumsum(new)
-        self.rank, h = rank, v
-        while h < depth:
-            ranks = rank[inside]
-            if len(inside) and len(np.unique(ranks)) == len(inside):
-                break
-            after = self.cover_rank(own + h)
-            order = np.lexsort((after, ranks))
-            new = np.zeros(len(order), bool)
-            new[1:] = (ranks[order][1:] != ranks[order][:-1]) | (after[order][1:] != after[order][:-1])
-            rank[inside[order]] = np.cumsum(new)
+        order, new = self.by_bytes(own)
+        self.rank, h = np.zeros(len(places), np.int64), v
+        self.rank[inside[order]] = np.cumsum(new)
+        while h < depth and len(slots := _tied(new)):
+            found = order[slots]
+            after = self.cover_rank(own[found] + h)
+            after -= after.min()
+            both = np.cumsum(new)[slots] << 32 | after
+            again = np.argsort(both)
+            order[slots], both = found[again], both[again]
+            new[slots[1:]] |= both[1:] != both[:-1]
+            self.rank[inside[order]] = np.cumsum(new)
             h *= 2
-            if not len(inside):
-                break
 
     def cover_rank(self, places: np.ndarray) -> np.ndarray:
         """Ranks of suffixes at cover places; beyond the end the farther place is the shorter, and so the smaller suffix."""
@@ -90,43 +106,31 @@ class SuffixSorter:
                 yield places[(first >= lo) & (first < hi)] if total[hi] - total[lo] < len(places) else places
             lo = hi
 
-    def sort(self, places: np.ndarray) -> np.ndarray:
-        """One bucket's places in the order of their suffixes."""
+    def sort(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One bucket's places in the order of their suffixes, and which differ from the one before in their first v bytes."""
         places = places.astype(np.int64)
-        key = self.key8(places)
-        order = np.argsort(key, kind="stable")
-        places, key = places[order], key[order]
-        new = np.ones(len(places), bool)
-        new[1:] = key[1:] != key[:-1]
-        for d in range(8, self.v + 1, 8):
-            tied = ~new
-            tied[:-1] |= ~new[1:]
-            slots = np.flatnonzero(tied)
-            if not len(slots):
-                return places
-            group = np.cumsum(new)[slots]
-            own = places[slots]
-            if d < self.v:
-                key = self.key8(own + d)
-            else:
-                key, mixed = self._ranked(own, group)
-            order = np.lexsort((key, group))
-            places[slots], key = own[order], key[order]
-            group = group[order]
-            new[slots[1:]] |= (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-            if d == self.v:
-                for s, e in mixed:
-                    part = places[slots[s:e]]
-                    places[slots[s:e]] = sorted(part.tolist(), key=cmp_to_key(self.compare))
-        return places
-
-    def _ranked(self, places: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """Keys for places that agree on v bytes; groups of more than one residue are left to compare()."""
-        residue = places % self.v
-        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        ends = np.concatenate([starts[1:], [len(group)]])
-        low, high = np.minimum.reduceat(residue, starts), np.maximum.reduceat(residue, starts)
-        return self.cover_rank(places + self.step[residue]), [(int(s), int(e)) for s, e in zip(starts[low != high], ends[low != high], strict=True)]
+        order, new = self.by_bytes(places)
+        places = places[order]
+        slots = _tied(new)
+        if len(slots):
+            own, group = places[slots], np.cumsum(new)[slots]
+            residue = own % self.v
+            key = self.cover_rank(own + self.step[residue])
+            own = own[np.argsort(group << 32 | key - key.min())]
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            # groups of more than one residue: their ranks are not at the same distance
+            mixed = np.minimum.reduceat(residue, starts) != np.maximum.reduceat(residue, starts)
+            sizes = np.diff(np.concatenate([starts, [len(group)]]))
+            if mixed.any() and self.depth:
+                m = np.repeat(mixed, sizes)
+                part = own[m]
+                rest = [*range(self.v, self.depth - 8, 8), self.depth - 8]
+                own[m] = part[np.lexsort([self.key8(part + d) for d in reversed(rest)] + [group[m]])]
+            elif mixed.any():
+                for s, e in zip(starts[mixed], (starts + sizes)[mixed], strict=True):
+                    own[s:e] = sorted(own[s:e].tolist(), key=cmp_to_key(self.compare))
+            places[slots] = own
+        return places, new
 
     def compare(self, a: int, b: int) -> int:
         """Of two places that agree on v bytes."""
@@ -136,12 +140,23 @@ class SuffixSorter:
 
     def array(self, most: int = 1 << 20) -> np.ndarray:
         """The whole suffix array, bucket by bucket."""
-        parts = [self.sort(b) for b in self.buckets(np.arange(self.n), most)]
+        parts = [self.sort(b)[0] for b in self.buckets(np.arange(self.n), most)]
         return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
-    def agree(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-        """Whether the suffixes at a and b agree on depth bytes (8 or more); both must have them."""
-        same = np.ones(len(a), bool)
-        for d in [*range(0, depth - 7, 8), depth - 8]:
+    def runs(self, places: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Where in the sorted places runs begin that agree on depth bytes (v at least; all places must have them)."""
+        new = new.copy()
+        slots = np.flatnonzero(~new)
+        a, b = places[slots - 1], places[slots]
+        same = np.ones(len(slots), bool)
+        for d in [*range(self.v, self.depth - 8, 8), self.depth - 8]:
             same &= self.key8(a + d) == self.key8(b + d)
-        return same
+        new[slots] = ~same
+        return np.flatnonzero(new)
+
+
+def _tied(new: np.ndarray) -> np.ndarray:
+    """Which places share their group with a neighbour."""
+    tied = ~new
+    tied[:-1] |= ~new[1:]
+    return np.flatnonzero(tied)

@@ -1,13 +1,14 @@
 """Suffix-array dedup: removes text that also stands in a document with a smaller id.
 
-Every stretch of `length` bytes holds an anchor, the half-length string with the least hash, and equal stretches hold it
+Every stretch of `length` bytes holds an anchor, the string of a third of its length with the least hash, and equal stretches hold it
 at the same place; so all suffixes that could agree on `length` bytes fall into one bucket by their anchor. Blocks first learn which of
 their anchors occur in more than one document. For these they send the text around each anchor, once a block, with the least document
 id. A bucket is one task's work: it sorts the suffixes one range of first bytes at a time with difference-cover ranks (see
 suffix.py), and in each run of suffixes that agree on `length` bytes finds the least document id. Texts are laid out so that anchors fall on
 multiples of the cover's period: suffixes that agree then compare by one cover rank each.
 
-Anchors and the dedup of equal texts within a bucket use 64-bit hashes; what is removed is decided on the bytes themselves.
+Anchors and the dedup of equal texts within a block or bucket use 64-bit hashes; which stretches of different texts are equal is
+decided on the bytes themselves.
 
 Defined cases: a null or empty text has no bytes and stays empty; a null id counts as larger than all others; rows with the same
 id never remove each other's text; texts shorter than length stay whole; an empty table gives no rows.
@@ -16,34 +17,77 @@ id never remove each other's text; texts shorter than length stay whole; an empt
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkreco.llm.blocks import NO_ID, Block, answer_shared, bucket_bounds, bucket_count, exchange, key_bytes, minimizers, pack_blocks, per_block, read_bits, send_by_bucket, squeeze, unsqueeze
-from sparkreco.llm.hashing import bytes_prefix, mix
+from sparkreco.llm.blocks import NO_ID, Block, answer_shared, bucket_bounds, bucket_count, exchange, key_bytes, pack_blocks, per_block, read_bits, send_by_bucket, squeeze, unsqueeze
+from sparkreco.llm.hashing import BYTE_M, PAIR_M, eights, mix, span_hashes
 from sparkreco.llm.suffix import SuffixSorter
 
-PERIOD, BUCKET_SUFFIXES = 32, 1 << 19
+BUCKET_SUFFIXES = 1 << 19
+#: Places whose anchors are looked for at once.
+SLICE = 1 << 15
+
+
+def _gram(load: Callable[[int], np.ndarray], size: int) -> np.ndarray:
+    """A hash of size bytes; load(d) gives the eight bytes d places on. High bits count most."""
+    if size < 8:
+        out = (load(0) & np.uint64((1 << 8 * size) - 1)) * np.uint64(PAIR_M)
+    else:
+        out = load(0) * np.uint64(PAIR_M)
+        for d in [*range(8, size - 8, 8), *[size - 8] * (size > 8)]:
+            out ^= out >> np.uint64(29)
+            out += load(d)
+            out *= np.uint64(PAIR_M)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(BYTE_M)
+    return out
+
+
+def _anchor_places(view: np.ndarray, n: int, length: int, size: int) -> np.ndarray:
+    """For each of n places the place of the anchor of the stretch from there on; some places at a time, which stay in the cache."""
+    w = length - size + 1
+    bits = np.uint64((SLICE + w).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    down = low - np.arange(SLICE + w, dtype=np.uint64)
+    out = np.empty(n, np.int64)
+    for s in range(0, n, SLICE):
+        e = min(n, s + SLICE)
+        m = e - s + w - 1
+        # the low bits give way to the place, so that a running minimum carries it; places count downwards
+        least = _gram(lambda d, s=s, m=m: view[s + d : s + d + m], size) & ~low | down[:m]
+        span = 1
+        while span * 2 <= w:
+            least = np.minimum(least[: len(least) - span], least[span:])
+            span *= 2
+        if span < w:
+            least = np.minimum(least[: e - s], least[w - span : w - span + e - s])
+        out[s:e] = s + (low - (least & low)).astype(np.int64)
+    return out
 
 
 class _Anchors:
-    """The anchors of all stretches of length bytes in a block."""
+    """The runs of stretches of length bytes that have the same anchor: their starts, and the anchor's place and key."""
 
     def __init__(self, block: Block, length: int):
         size = length // 3 + 1
-        self.prefix = bytes_prefix(block.data)
-        self.hashes = self.prefix.grams(size)
-        last = np.repeat(block.offsets[1:], np.diff(block.offsets))
-        valid = np.arange(len(block.data)) + length <= last
-        #: For each place the place of the anchor of the stretch from there on, or -1.
-        self.place = minimizers(self.hashes, valid, length - size + 1)
-        self.places = np.unique(self.place[self.place >= 0])
+        n = max(0, len(block.data) - length + 1)
+        view = eights(block.data)
+        place = _anchor_places(view, n, length, size)
+        # no stretch starts within the last length - 1 bytes of a text
+        ends = block.offsets[1:]
+        short = np.minimum(np.diff(block.offsets), length - 1)
+        over = np.repeat(ends - short, short) + np.arange(short.sum()) - np.repeat(np.cumsum(short) - short, short)
+        place[over[over < n]] = -1
+        edges = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [n]]) if n else np.zeros(1, np.int64)
+        own = place[edges[:-1]]
+        self.starts, self.ends, self.place = edges[:-1][own >= 0], edges[1:][own >= 0], own[own >= 0]
         # least hashes are small numbers: mixed anew, they spread over the buckets
-        self.keys = mix(self.hashes[self.places])
+        self.keys = mix(_gram(lambda d: view[self.place + d], size))
 
 
 class _Stretches:
@@ -51,25 +95,18 @@ class _Stretches:
 
     def __init__(self, block: Block, got: dict[int, bytes], n: int, length: int):
         a = _Anchors(block, length)
-        keys = np.unique(a.keys)
+        keys, inverse = np.unique(a.keys, return_inverse=True)
         # in two documents of this block, or in another block
-        owner = block.owner(a.places)
-        order = np.lexsort((owner, a.keys))
-        k, o = a.keys[order], owner[order]
-        several = np.unique(k[1:][(k[1:] == k[:-1]) & (o[1:] != o[:-1])])
-        recurs = read_bits(got, keys, n) | np.isin(keys, several, assume_unique=True)
-        hit = np.zeros(len(block.data) + 1, bool)
-        hit[a.places[recurs[np.searchsorted(keys, a.keys)]]] = True
-        place = np.where(hit[a.place], a.place, -1) if len(a.place) else a.place
-        change = np.flatnonzero(np.diff(np.concatenate([[-1], place, [-1]])))
-        starts, ends = change[:-1], change[1:]
-        starts, ends = starts[place[starts] >= 0], ends[place[starts] >= 0]
-        self.starts, self.ends = starts, ends  # stretches start at starts to ends - 1
-        self.docs = block.owner(starts)
-        self.ids = block.ids[self.docs]
-        self.anchor = place[starts] - starts
-        texts = a.prefix.spans(starts, ends + length - 1)
-        key = mix(a.hashes[place[starts]])
+        owner = block.owner(a.starts)
+        least, most = np.full(len(keys), len(block)), np.full(len(keys), -1)
+        np.minimum.at(least, inverse, owner)
+        np.maximum.at(most, inverse, owner)
+        hit = (read_bits(got, keys, n) | (least < most))[inverse]
+        self.starts, self.ends = a.starts[hit], a.ends[hit]  # stretches start at starts to ends - 1
+        self.ids = block.ids[owner[hit]]
+        self.anchor = a.place[hit] - self.starts
+        texts = span_hashes(block.data, self.starts, self.ends + length - 1)
+        key = a.keys[hit]
         order = np.lexsort((self.ids, texts, key))
         new = np.ones(len(order), bool)
         new[1:] = texts[order][1:] != texts[order][:-1]
@@ -105,7 +142,7 @@ def _answer_texts(rows: list[bytes], length: int) -> list[bytes]:
         counts.append(m)
     ids, sizes, anchors, data = (np.concatenate(x) for x in (ids, sizes, anchors, texts))
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    hashes = bytes_prefix(data).spans(offsets[:-1], offsets[1:])
+    hashes = span_hashes(data, offsets[:-1], offsets[1:])
     order = np.lexsort((ids, hashes))
     new = np.ones(len(order), bool)
     new[1:] = hashes[order][1:] != hashes[order][:-1]
@@ -113,12 +150,15 @@ def _answer_texts(rows: list[bytes], length: int) -> list[bytes]:
     text_of[order] = np.cumsum(new) - 1
     first = order[new]
     # each different text once, its anchor at a multiple of the period
-    own, lead = sizes[first], (-anchors[first]) % PERIOD
-    room = -(-(lead + own) // PERIOD) * PERIOD + PERIOD
+    period = min(32, 1 << length.bit_length() - 1)
+    own, lead = sizes[first], (-anchors[first]) % period
+    room = -(-(lead + own) // period) * period
     at = np.concatenate([[0], np.cumsum(room)])[:-1] + lead
-    laid = np.zeros(int(room.sum()), np.uint8)
-    inner = np.arange(own.sum()) - np.repeat(np.concatenate([[0], np.cumsum(own)])[:-1], own)
-    laid[np.repeat(at, own) + inner] = data[np.repeat(offsets[first], own) + inner]
+    laid, used = np.zeros(int(room.sum()), np.uint8), np.zeros(int(room.sum()), bool)
+    before = np.concatenate([[0], np.cumsum(own)])
+    inner = np.arange(before[-1]) + np.repeat(at - before[:-1], own)
+    laid[inner] = data[np.arange(before[-1]) + np.repeat(offsets[first] - before[:-1], own)]
+    used[inner] = True
     stretches = own - length + 1
     base = np.concatenate([[0], np.cumsum(stretches)])
     inner = np.arange(base[-1]) - np.repeat(base[:-1], stretches)
@@ -127,11 +167,10 @@ def _answer_texts(rows: list[bytes], length: int) -> list[bytes]:
     number[places] = np.arange(len(places), dtype=np.int32)
     holder = np.repeat(ids[first], stretches)
     least = np.empty(len(places), np.int64)
-    sorter = SuffixSorter(laid, PERIOD, length)
+    sorter = SuffixSorter(laid, period, length, used)
     for bucket in sorter.buckets(places, BUCKET_SUFFIXES):
-        sa = sorter.sort(bucket)
-        w = number[sa]
-        starts = np.concatenate([[0], 1 + np.flatnonzero(~sorter.agree(sa[:-1], sa[1:], length))])
+        sa, new = sorter.sort(bucket)
+        w, starts = number[sa], sorter.runs(sa, new)
         least[w] = np.repeat(np.minimum.reduceat(holder[w], starts), np.diff(np.concatenate([starts, [len(w)]])))
     out, at = [], 0
     for m in counts:
@@ -166,7 +205,7 @@ def _removed(block: Block, got_anchors: dict[int, bytes], got: dict[int, bytes],
 def _rounds(blocks: DataFrame, length: int) -> tuple[DataFrame, int]:
     """Both rounds' answers, and the number of buckets; the second round's are numbered beyond the first's."""
     total = blocks.agg({"n_bytes": "sum"}).first()[0] or 0
-    n, width = bucket_count(blocks, total), key_bytes(total)
+    n, width = bucket_count(blocks, total, 8 << 20), key_bytes(total)
     anchors = exchange(blocks, lambda block, _: send_by_bucket(np.unique(_Anchors(block, length).keys), n, width), lambda rows: answer_shared(rows, width), "suffix-anchors")
     texts = exchange(blocks, lambda block, got: _ask_texts(block, got, n, length), lambda rows: _answer_texts(rows, length), "suffix-texts", anchors)
     return anchors.unionByName(texts.withColumn("bucket", (F.col("bucket") + n).cast("int"))), n
@@ -186,7 +225,7 @@ def _kept(block: Block, got: dict[int, bytes], n: int, length: int) -> tuple[lis
 
 
 def remove_repeated_bytes(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_bytes long, n_removed long, n_spans long, kept binary), a row for each row of df."""
+    """(id_col, n_bytes long, n_removed long, n_spans long, kept binary), a row for each row of df. length: 8 at least."""
     blocks = pack_blocks(df, id_col, text_col, "suffix-blocks")
     answers, n = _rounds(blocks, length)
 
