@@ -1,128 +1,204 @@
 """Substring dedup by repeated-phrase automata.
 
 A window is a run of consecutive words. Each window holds an anchor, the phrase of half its length with the least hash, and
-equal windows hold it at the same place. First the blocks exchange the hashes of their anchors and learn which recur. Each block
-compiles its recurring anchors into an Aho-Corasick automaton, its shard, and streams its documents through it to locate
-every occurrence. Then the windows around these are exchanged by their full hashes, which confirms the recurring passages to the
-word; words covered by a recurring window are removed. An automaton holds only phrases of one block, so its size is bounded
-by the block's, and no list of phrases is held in one place.
+equal windows hold it at the same place. Three rounds between the blocks of documents and the buckets of hashes, then a pass:
 
-Windows are compared by 64-bit hashes of their word sequences: among m different windows the odds of any false match are
-about m^2 / 2^65, for 10^7 near 10^-6.
+1. Blocks exchange the hashes of their anchors and learn which recur.
+2. They exchange the hashes of the windows around these and learn which may recur; so a phrase that a third of all documents have
+   in surroundings of their own costs each block one entry a window, and no bucket gets these surroundings' texts.
+3. Runs of windows that may recur, around one anchor, go to the anchor's bucket as texts, each different text once a block. The bucket
+   confirms the recurring passages: it compares their windows word by word.
+4. Each block compiles the confirmed passages into an Aho-Corasick automaton over words, its shard, and streams all of its documents
+   through it. What the automaton locates is removed, and nothing else is.
+
+A shard holds the passages that occur in its block alone, so its size is bounded by the block's, no document needs another
+shard, and no list of passages is held in one place. The hashes of rounds 1 and 2 only leave out what can't recur: a false
+match there costs work.
 
 Defined cases: a null or empty text has no words and stays empty; texts shorter than a window keep all words; a null or
-repeated id is carried along, each row is a document of its own; an empty table gives no rows.
+repeated id is carried along, each row is a document of its own; other columns are left out, whatever their names; an empty
+table gives no rows. A document is one task's work, at some 100 bytes of memory for each of its own.
 """
 
 from __future__ import annotations
 
+import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparkreco.llm.blocks import NO_ID, Block, Words, answer_shared, bucket_bounds, bucket_count, exchange, key_bytes, minimizers, pack_blocks, per_block, read_bits, send_by_bucket, squeeze, unsqueeze
+from sparkreco.llm.hashing import grams, mix, span_hashes
+
 
-from sparkreco.llm.blocks import NO_ID, Block, Words, answer_shared, bucket_count, exchange, key_bytes, minimizers, pack_blocks, per_block, read_bits, send_by_bucket
-from sparkreco.llm.hashing import mix
+class _Anchors:
+    """For each word the place of the anchor of the window from it on, or -1; the anchors' places and keys."""
 
+    def __init__(self, words: Words, window: int):
+        size = window // 2 + 1
+        hashes, _ = words.grams(size)
+        self.place = minimizers(hashes, words.until(window), window - size + 1)
+        self.places = np.unique(self.place[self.place >= 0])
+        # least hashes are small numbers: mixed anew, they spread over the buckets
+        self.keys = mix(hashes[self.places])
 
-def _anchors(words: Words, window: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Anchor length; its hash from each word on; for each word the place of the anchor of the window from it on, or -1."""
-    n = window // 2 + 1
-    hashes, _ = words.grams(n)
-    # least hashes are small numbers: mixed anew, they spread over the buckets
-    return n, mix(hashes), minimizers(hashes, words.until(window), window - n + 1)
 
+def _around(words: Words, got: dict[int, bytes], n: int, window: int) -> tuple[np.ndarray, _Anchors]:
+    """Windows (by their first words) around anchors that recur, in this block or beyond."""
+    a = _Anchors(words, window)
+    keys, inverse, counts = np.unique(a.keys, return_inverse=True, return_counts=True)
+    hit = np.zeros(len(words) + 1, bool)
+    hit[a.places[((counts > 1) | read_bits(got, keys, n))[inverse]]] = True
+    return np.flatnonzero(hit[a.place] & (a.place >= 0)), a
 
-def _runs(flags: np.ndarray) -> np.ndarray:
-    """Starts and ends of the runs of true values, alternating."""
-    return np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
 
+class _Pieces:
+    """Runs of windows that may recur, around one anchor: each different word sequence once, in the order of buckets and hashes."""
 
-def _between(runs: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n + 1, np.int32)
-    np.add.at(out, runs[0::2], 1)
-    np.add.at(out, runs[1::2], -1)
-    return np.cumsum(out[:n]) > 0
+    def __init__(self, words: Words, got: dict[int, bytes], n: int, window: int):
+        places, a = _around(words, got, n, window)
+        hashes, _ = words.grams(window)
+        keys, inverse, counts = np.unique(hashes[places], return_inverse=True, return_counts=True)
+        asked = {k - n: v for k, v in got.items() if n <= k < 2 * n}
+        places = places[((counts > 1) | read_bits(asked, keys, n))[inverse]]
+        anchor = a.place[places]
+        first = np.ones(len(places), bool)
+        first[1:] = (places[1:] != places[:-1] + 1) | (anchor[1:] != anchor[:-1])
+        starts, ends = places[first], places[np.append(first[1:], True)[: len(places)]] + window
+        key = a.keys[np.searchsorted(a.places, anchor[first])]
+        #: All words, one blank after each, and where each starts, and the end.
+        self.text, self.at = _gather(words, np.arange(len(words)))
+        own = span_hashes(np.frombuffer(self.text, np.uint8), self.at[starts], self.at[ends])
+        order = np.lexsort((starts, own, key))
+        new = np.ones(len(order), bool)
+        new[1:] = own[order][1:] != own[order][:-1]
+        begins = np.flatnonzero(new)
+        chosen = order[begins]
+        self.starts, self.ends, self.windows = starts[chosen], ends[chosen], ends[chosen] - starts[chosen] - window + 1
+        self.several = np.diff(np.append(begins, len(order))) > 1
+        self.edges = bucket_bounds(key[chosen], n)
+
+    def ask(self) -> dict[int, bytes]:
+        out = {}
+        for k in np.flatnonzero(np.diff(self.edges)).tolist():
+            own = range(self.edges[k], self.edges[k + 1])
+            lines = b"\n".join(self.text[self.at[self.starts[i]] : self.at[self.ends[i]] - 1] for i in own)
+            out[k] = squeeze(struct.pack("<q", len(own)) + self.several[own.start : own.stop].astype(np.uint8).tobytes() + lines)
+        return out
 
 
-def cover(flags: np.ndarray, width: int) -> np.ndarray:
-    """Places within width of a flagged one, itself the first."""
-    n = len(flags)
-    marks = np.zeros(n + width + 1, np.int64)
-    places = np.flatnonzero(flags)
-    marks[places] += 1
-    marks[places + width] -= 1
-    return np.cumsum(marks[:n]) > 0
+def _confirm(rows: list[bytes], window: int) -> list[bytes]:
+    """For each request a bit for each window of its pieces, one piece after the other: whether its words start elsewhere too."""
+    known: dict[bytes, int] = {}
+    ids, sizes, times, counts = [], [], [], []
+    for r in rows:
+        raw = unsqueeze(r)
+        m = struct.unpack_from("<q", raw)[0]
+        times.append(1 + np.frombuffer(raw, np.uint8, m, 8).astype(np.int64))
+        counts.append(m)
+        for line in raw[8 + m :].split(b"\n"):
+            own = [known.setdefault(w, len(known)) for w in line.split(b" ")]
+            ids += own
+            sizes.append(len(own))
+    ids, sizes, times = np.array(ids, np.int64), np.array(sizes), np.concatenate(times)
+    windows = sizes - window + 1
+    inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    places = np.repeat(np.cumsum(sizes) - sizes, windows) + inner
+    weight = np.repeat(times, windows)
+    keys = grams(mix(ids.astype(np.uint64)), window)[places]
+    order = np.argsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    a, b = places[order][:-1][~new[1:]], places[order][1:][~new[1:]]
+    same = np.ones(len(a), bool)
+    for k in range(window):
+        same &= ids[a + k] == ids[b + k]
+    group = np.cumsum(new) - 1
+    total = np.bincount(group, weight[order]).astype(np.int64)
+    recurs = np.empty(len(order), bool)
+    recurs[order] = total[group] > 1
+    for g in np.unique(group[1:][~new[1:]][~same]).tolist():  # one hash, several word sequences
+        own = order[group == g]
+        exact = [tuple(ids[p : p + window].tolist()) for p in places[own]]
+        found = Counter()
+        for e, w in zip(exact, weight[own].tolist(), strict=True):
+            found[e] += w
+        recurs[own] = [found[e] > 1 for e in exact]
+    bounds = np.concatenate([[0], np.cumsum(windows)])[np.concatenate([[0], np.cumsum(counts)])]
+    return [np.packbits(recurs[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def automaton(passages: list[tuple[int, ...]]) -> ahocorasick.Automaton:
+    """A shard: passages as sequences of word numbers."""
+    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    for p in passages:
+        out.add_word(p)
+    out.make_automaton()
+    return out
+
+
+def _located(words: Words, got: dict[int, bytes], n: int, window: int) -> np.ndarray:
+    """Words covered by an occurrence of a confirmed passage."""
+    pieces = _Pieces(words, got, n, window)
+    bits = np.zeros(int(pieces.windows.sum()), bool)
+    base = np.concatenate([[0], np.cumsum(pieces.windows)])
+    for k in np.flatnonzero(np.diff(pieces.edges)).tolist():
+        s, e = base[pieces.edges[k]], base[pieces.edges[k + 1]]
+        bits[s:e] = np.unpackbits(np.frombuffer(got[2 * n + k], np.uint8), count=int(e - s)).astype(bool)
+    # confirmed passages: runs of confirmed windows within a piece
+    piece = np.repeat(np.arange(len(pieces.starts)), pieces.windows)
+    word = pieces.starts[piece] + np.arange(len(bits)) - base[piece]
+    word, piece = word[bits], piece[bits]
+    covered = np.zeros(len(words) + 1, np.int64)
+    if not len(word):
+        return covered[:-1] > 0
+    first = np.ones(len(word), bool)
+    first[1:] = (word[1:] != word[:-1] + 1) | (piece[1:] != piece[:-1])
+    known: dict[bytes, int] = {}
+    ids = [known.setdefault(w, len(known)) for w in pieces.text[:-1].split(b" ")]
+    ends = word[np.append(first[1:], True)] + window
+    shard = automaton([tuple(ids[s:e]) for s, e in zip(word[first].tolist(), ends.tolist(), strict=True)])
+    for s, e in zip(words.at[:-1].tolist(), words.at[1:].tolist(), strict=True):
+        if e - s >= window:
+            for end, size in shard.iter(tuple(ids[s:e])):
+                covered[s + end + 1 - size] += 1
+                covered[s + end + 1] -= 1
+    return np.cumsum(covered[:-1]) > 0
 
 
 def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words long, n_removed long, kept string): the words not covered by a window that also starts elsewhere, joined by one blank."""
     blocks = pack_blocks(df, id_col, text_col, "repeats-blocks")
-    n = bucket_count(blocks)
     total = blocks.agg({"n_bytes": "sum"}).first()[0] or 0
-    width = key_bytes(total)
+    n, width = bucket_count(blocks, total, 8 << 20), key_bytes(total)
 
     def ask_anchors(block: Block, _: dict[int, bytes]) -> dict[int, bytes]:
-        _, hashes, place = _anchors(block.words(), window)
-        return send_by_bucket(np.unique(hashes[np.unique(place[place >= 0])]), n, width)
-
-    anchors = exchange(blocks, ask_anchors, lambda rows: answer_shared(rows, width), "repeats-anchors")
-
-    def located(words: Words, got: dict[int, bytes]) -> np.ndarray:
-        """Windows around the occurrences that the automaton finds of this block's recurring anchors."""
-        size, hashes, place = _anchors(words, window)
-        places = np.unique(place[place >= 0])
-        out = np.zeros(len(words), bool)
-        if not len(places):
-            return out
-        keys, first, counts = np.unique(hashes[places], return_index=True, return_counts=True)
-        recurring = places[first[(counts > 1) | read_bits(got, keys, n)]]
-        if not len(recurring):
-            return out
-        # one blank between words, so that a phrase is a plain string; every byte is one character
-        text, starts = _joined(words)
-        shard = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in recurring.tolist():
-            shard.add_word(text[starts[p] - 1 : starts[p + size]])
-        shard.make_automaton()
-        ends = np.fromiter((e for e, _ in shard.iter(text)), np.int64)
-        found = np.zeros(len(words) + 1, bool)
-        found[np.searchsorted(starts, ends, side="right") - size] = True
-        hit = place >= 0
-        out[: len(place)][hit] = found[place[hit]]
-        return out
+        return send_by_bucket(np.unique(_Anchors(block.words(), window).keys), n, width)
 
     def ask_windows(block: Block, got: dict[int, bytes]) -> dict[int, bytes]:
         words = block.words()
-        around = located(words, got)
-        hashes, _ = words.grams(window)
-        keys = np.unique(hashes[around[: len(hashes)]])
-        asked = send_by_bucket(keys, n, 8)
-        runs = _runs(around).astype(np.int32)
-        # the block's own note of where the windows are, carried past the buckets
-        asked[-1 - (len(words) % n)] = runs.tobytes()
-        return asked
+        places, _ = _around(words, got, n, window)
+        return send_by_bucket(np.unique(words.grams(window)[0][places]), n, width)
+
+    def ask_pieces(block: Block, got: dict[int, bytes]) -> dict[int, bytes]:
+        return _Pieces(block.words(), got, n, window).ask()
 
-    def answer_windows(rows: list[bytes]) -> list[bytes]:
-        return answer_shared(rows, 8)
+    def later(answers: DataFrame, k: int) -> DataFrame:
+        """Answers of round k, their buckets numbered on."""
+        return answers.withColumn("bucket", (F.col("bucket") + k * n).cast("int"))
 
-    windows = exchange(blocks, ask_windows, answer_windows, "repeats-windows", anchors)
+    answers = exchange(blocks, ask_anchors, lambda rows: answer_shared(rows, width), "repeats-anchors")
+    answers = answers.unionByName(later(exchange(blocks, ask_windows, lambda rows: answer_shared(rows, width), "repeats-windows", answers), 1))
+    answers = answers.unionByName(later(exchange(blocks, ask_pieces, lambda rows: _confirm(rows, window), "repeats-pieces", answers), 2))
 
     def finish(_: int, block: Block, got: dict[int, bytes]) -> Iterator[pa.Table]:
         words = block.words()
-        removed = np.zeros(len(words), bool)
-        note = [v for k, v in got.items() if k < 0]
-        if note:
-            around = _between(np.frombuffer(note[0], np.int32), len(words))
-            hashes, _ = words.grams(window)
-            places = np.flatnonzero(around[: len(hashes)])
-            keys, inverse, counts = np.unique(hashes[places], return_inverse=True, return_counts=True)
-            recurs = (counts > 1) | read_bits(got, keys, n)
-            flags = np.zeros(len(words), bool)
-            flags[places[recurs[inverse]]] = True
-            removed = cover(flags, window)
+        removed = _located(words, got, n, window)
         owner = words.owner()
         kept, pieces = np.flatnonzero(~removed), []
         text, offsets = _gather(words, kept)
@@ -139,7 +215,7 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
             }
         )
 
-    return per_block(blocks, windows, finish, f"`{id_col}` long, n_words long, n_removed long, kept string")
+    return per_block(blocks, answers, finish, f"`{id_col}` long, n_words long, n_removed long, kept string")
 
 
 def _ids(ids: np.ndarray) -> pa.Array:
@@ -155,9 +231,3 @@ def _gather(words: Words, chosen: np.ndarray) -> tuple[bytes, np.ndarray]:
     out = words.data[np.minimum(source, max(0, len(words.data) - 1))] if len(chosen) else np.zeros(0, np.uint8)
     out[offsets[1:] - 1] = 32
     return out.tobytes(), offsets
-
-
-def _joined(words: Words) -> tuple[str, np.ndarray]:
-    """All words with a blank before the first and after each; where each starts, and the place after the last blank."""
-    text, offsets = _gather(words, np.arange(len(words)))
-    return " " + text.decode("latin-1"), offsets + 1
