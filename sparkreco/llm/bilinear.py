@@ -3,15 +3,17 @@
 Outcomes of the network are the most frequent words of the training texts, the end of a text, and classes of all other
 words by their last letters. The two outcomes before a token predict its outcome: each has a vector, a diagonal matrix for its distance
 weighs it, and the sum is compared with the vectors of all outcomes. The vectors are trained in numpy by noise-contrastive
-estimation on a bounded, documented sample of training texts; the normalisers of all pairs of contexts then come from batched matrix
-products, so every probability is normalised exactly. Within a class a word has its share of the class's count in ALL training
-texts, less the share that Good and Turing give to words never seen.
+estimation on ALL training texts: from a start that a bounded sample gives, each task goes on over the tokens of its own blocks, and the
+tasks' networks are averaged by their numbers of tokens, some at a time. The normalisers of all pairs of contexts then come from
+batched matrix products, so every probability is normalised exactly. Within a class a word has its share of the class's count in all
+training texts, less the share that Good and Turing give to words never seen.
 
 Counts cover all training texts: each block asks the buckets for its words' counts, so a word that is in every text costs one
 entry a block, and no vocabulary is held in one place. Words are told apart by 64-bit hashes.
 
 Defined cases: a null or empty text is one token, the end; a null id takes part in scoring but not in training; a repeated id is a
-row of its own; without training texts all counts are 0 and all outcomes alike.
+row of its own; without training texts all counts are 0 and all outcomes alike; other columns are left out, whatever their names; an
+empty table gives no rows. A document is one task's work, at some 100 bytes of memory for each of its own.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkreco.llm.blocks import NO_ID, Block, Words, bucket_bounds, bucket_count, exchange, pack_blocks, per_block, squeeze, text_bytes, unsqueeze
+from sparkreco.llm.blocks import NO_ID, Block, Words, bucket_bounds, bucket_count, exchange, pack_blocks, per_block, squeeze, text_bytes, tree_merge, unsqueeze
+from sparkreco.llm.storage import materialize
 
 #: Most frequent words with outcomes of their own; classes of the others; columns of the vectors.
 SHORTLIST, CLASSES, DIM = 800, 64, 20
@@ -53,14 +57,50 @@ class Counts:
     short_class: np.ndarray
 
 
+@dataclass
+class Net:
+    """Vectors of contexts (one more than outcomes: what stands before a text) and of outcomes, weights by distance, biases; sums of squared gradients."""
+
+    context: np.ndarray
+    target: np.ndarray
+    weights: np.ndarray
+    bias: np.ndarray
+    sums: list[np.ndarray]
+
+    @property
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.context, self.target, self.weights, self.bias
+
+    def pack(self, weight: int) -> bytes:
+        return struct.pack("<d", weight) + (np.concatenate([x.ravel() for x in self.parts]) * weight).tobytes()
+
+    def unpack(self, state: bytes) -> Net:
+        """A network of this one's shape from the summed states of several."""
+        flat, at, out = np.frombuffer(state, np.float64), 1, []
+        for x in self.parts:
+            out.append((flat[at : at + x.size] / flat[0]).reshape(x.shape))
+            at += x.size
+        return Net(*out, self.sums)
+
+
+def add_states(states: list[bytes]) -> bytes:
+    return np.sum([np.frombuffer(x, np.float64) for x in states], axis=0).tobytes()
+
+
 @dataclass
 class Model:
     counts: Counts
-    first: np.ndarray  # [context before the last, outcome], [last context, outcome], normaliser of both
-    second: np.ndarray
-    bias: np.ndarray
-    normaliser: np.ndarray
+    prior: np.ndarray  # how often each outcome is in all training texts
     unseen: np.ndarray
+    first: np.ndarray | None = None  # [context before the last, outcome], [last context, outcome], normaliser of both
+    second: np.ndarray | None = None
+    bias: np.ndarray | None = None
+    normaliser: np.ndarray | None = None
+
+    def use(self, net: Net) -> None:
+        first, second = (net.context * net.weights[0]) @ net.target.T, (net.context * net.weights[1]) @ net.target.T
+        self.first, self.second, self.bias = (x.astype(np.float32) for x in (first, second, net.bias))
+        self.normaliser = normalisers(first, second, net.bias)
 
     def outcomes(self, keys: np.ndarray, classes: np.ndarray) -> np.ndarray:
         short = self.counts.short_keys
@@ -72,6 +112,14 @@ class Model:
     def log10(self, before: np.ndarray, last: np.ndarray, outcome: np.ndarray) -> np.ndarray:
         return (self.first[before, outcome] + self.second[last, outcome] + self.bias[outcome] - self.normaliser[before, last]) / np.log(10)
 
+    def training_tokens(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Outcomes and the two before each, of the block's marked texts."""
+        words = block.words(lower=True)
+        marked = block.flags.astype(bool)
+        sizes = np.diff(words.at)
+        outcome = self.outcomes(words.hashes, word_class(words))[np.repeat(marked, sizes)]
+        return contexts(outcome, np.concatenate([[0], np.cumsum(sizes[marked])]), len(self.prior))[:3]
+
 
 def contexts(outcomes: np.ndarray, at: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts' tokens with an end each: outcomes, the two before each, and where each text's tokens start, and the end."""
@@ -87,35 +135,48 @@ def contexts(outcomes: np.ndarray, at: np.ndarray, start: int) -> tuple[np.ndarr
     return tokens, before, last, begin
 
 
-def train(tokens: np.ndarray, before: np.ndarray, last: np.ndarray, prior: np.ndarray, epochs: int = 3, noise: int = 8, batch: int = 512, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Noise-contrastive estimation; prior: how often each outcome is in all training texts, which is also the noise."""
-    rng = np.random.default_rng(seed)
+def start_net(prior: np.ndarray, seed: int = 3) -> Net:
+    rng, n = np.random.default_rng(seed), len(prior)
+    parts = [rng.normal(0, 0.1, (n + 1, DIM)), rng.normal(0, 0.1, (n, DIM)), np.ones((2, DIM)), np.log(prior)]
+    return Net(*parts, [np.full(x.shape, 1e-3) for x in parts])
+
+
+def _scattered(n: int, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of values by row, for n rows."""
+    out = np.zeros((n, values.shape[1]))
+    order = np.argsort(rows)
+    rows = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    out[rows[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
+
+
+def learn(net: Net, tokens: np.ndarray, before: np.ndarray, last: np.ndarray, prior: np.ndarray, rng: np.random.Generator, epochs: int = 1, noise: int = 64, batch: int = 1024, rate: float = 0.1) -> None:
+    """Noise-contrastive estimation: tokens against noise drawn from prior, the same for all tokens of a batch, so that scores are matrix products."""
     n = len(prior)
-    context, target = rng.normal(0, 0.1, (n + 1, DIM)), rng.normal(0, 0.1, (n, DIM))
-    weights, bias = np.ones((2, DIM)), np.log(prior)
     cumulative, log_noise = np.cumsum(prior), np.log(noise * prior)
-    sums = [np.full(x.shape, 1e-3) for x in (context, target, weights, bias)]
-    for epoch in range(epochs if len(tokens) else 0):
+    context, target, weights, bias = net.parts
+    for _ in range(epochs):
         order = rng.permutation(len(tokens))
         for s in range(0, len(order), batch):
             own = order[s : s + batch]
-            a, b = before[own], last[own]
-            w = np.concatenate([tokens[own][:, None], np.minimum(np.searchsorted(cumulative, rng.random((len(own), noise)) * cumulative[-1]), n - 1)], 1)
+            w, a, b = tokens[own], before[own], last[own]
+            drawn = np.minimum(np.searchsorted(cumulative, rng.random(noise) * cumulative[-1]), n - 1)
             ca, cb = context[a], context[b]
             predicted = weights[0] * ca + weights[1] * cb
-            vectors = target[w]
-            score = np.einsum("bd,bkd->bk", predicted, vectors) + bias[w] - log_noise[w]
-            error = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-            error[:, 0] -= 1
-            back = np.einsum("bk,bkd->bd", error, vectors)
-            grads = [np.zeros_like(context), np.zeros_like(target), np.stack([(back * ca).sum(0), (back * cb).sum(0)]), np.bincount(w.ravel(), error.ravel(), n)]
-            np.add.at(grads[0], a, back * weights[0])
-            np.add.at(grads[0], b, back * weights[1])
-            np.add.at(grads[1], w.ravel(), (error[:, :, None] * predicted[:, None, :]).reshape(-1, DIM))
-            for x, g, total in zip((context, target, weights, bias), grads, sums, strict=True):
+            true, false = target[w], target[drawn]
+            error = 1 / (1 + np.exp(-np.clip((predicted * true).sum(1) + bias[w] - log_noise[w], -30, 30))) - 1
+            wrong = 1 / (1 + np.exp(-np.clip(predicted @ false.T + bias[drawn] - log_noise[drawn], -30, 30)))
+            back = error[:, None] * true + wrong @ false
+            grads = [
+                _scattered(n + 1, np.concatenate([a, b]), np.concatenate([back * weights[0], back * weights[1]])),
+                _scattered(n, np.concatenate([w, drawn]), np.concatenate([error[:, None] * predicted, wrong.T @ predicted])),
+                np.stack([(back * ca).sum(0), (back * cb).sum(0)]),
+                np.bincount(w, error, n) + np.bincount(drawn, wrong.sum(0), n),
+            ]
+            for x, g, total in zip(net.parts, grads, net.sums, strict=True):
                 total += g * g
-                x -= 0.1 * g / np.sqrt(total)
-    return (context * weights[0]) @ target.T, (context * weights[1]) @ target.T, bias
+                x -= rate * g / np.sqrt(total)
 
 
 def normalisers(first: np.ndarray, second: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -184,44 +245,62 @@ def _merge(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _gather(counted: DataFrame) -> Counts:
-    """The buckets' summaries, merged in two steps so that the driver gets a fixed number of rows."""
-
-    def merge(table: pa.Table) -> pa.Table:
-        return pa.table({"merged": pa.array([_pack_summary(*_merge(table.column("answer").to_pylist()))], pa.binary())})
-
-    rows = counted.filter("block = -1").groupBy(F.expr("bucket % 32").alias("part")).applyInArrow(merge, "merged binary").collect()
-    by_class, keys, total, classes = _merge([r["merged"] for r in rows])
+    """The buckets' summaries, merged step by step, so that the driver gets a fixed number of rows."""
+    summaries = counted.filter("block = -1").select(F.col("bucket").cast("long").alias("part"), F.col("answer").alias("state"))
+    by_class, keys, total, classes = _merge(tree_merge(summaries, lambda states: _pack_summary(*_merge(states))))
     order = np.argsort(keys)
     return Counts(int(by_class[0].sum()), int(by_class[1].sum()), 0, by_class, keys[order], total[order], classes[order])
 
 
-def fit(texts: list[str], counts: Counts) -> Model:
-    """The network from sample texts, everything else from the counts of all training texts."""
+def start(texts: list[str], counts: Counts) -> tuple[Model, Net]:
+    """What the counts of all training texts give, and the network that the sample texts give to start from."""
     by_class = counts.by_class.astype(float).copy()
     for row, add in ((0, counts.short_counts), (1, 1), (2, counts.short_counts == 1)):
         by_class[row] -= np.bincount(counts.short_class, np.broadcast_to(add, counts.short_class.shape), CLASSES)
     seen, once = by_class[0], by_class[2]
     unseen = np.clip((once + 1) / (seen + once + 2), 1e-4, 1.0)
     prior = np.concatenate([seen + once + 1, [counts.texts + 1], counts.short_counts]).astype(float)
-    prior /= prior.sum()
-    model = Model(counts, None, None, None, None, unseen)
-    parts, start = [], len(prior)
-    for text in texts:
-        offsets, data = text_bytes(pa.array([text], pa.string()))
-        words = Block(np.zeros(1, np.int64), offsets, data, np.zeros(1, np.uint8)).words(lower=True)
-        parts.append(contexts(model.outcomes(words.hashes, word_class(words)), words.at, start)[:3])
-    tokens, before, last = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
-    first, second, bias = train(tokens, before, last, prior)
-    model.first, model.second, model.bias = (x.astype(np.float32) for x in (first, second, bias))
-    model.normaliser = normalisers(first, second, bias)
+    model = Model(counts, prior / prior.sum(), unseen)
+    net = start_net(model.prior)
+    offsets, data = text_bytes(pa.array(texts, pa.string()))
+    sample = Block(np.zeros(len(texts), np.int64), offsets, data, np.ones(len(texts), np.uint8))
+    learn(net, *model.training_tokens(sample), model.prior, np.random.default_rng(3), epochs=3, batch=512)
+    return model, net
+
+
+def fit(texts: list[str], counts: Counts) -> Model:
+    """A model whose network knows the sample texts alone."""
+    model, net = start(texts, counts)
+    model.use(net)
     return model
 
 
-def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", sample_texts: int = 1500) -> DataFrame:
+def _learned(blocks: DataFrame, model: Model, net: Net) -> Net:
+    """The network after the tokens of all marked texts: each task's own pass from the same start, averaged by tokens."""
+    sent = blocks.sparkSession.sparkContext.broadcast((model, net))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, begin = sent.value
+        own = Net(*(x.copy() for x in begin.parts), [x.copy() for x in begin.sums])
+        part, seen = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for number, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                tokens = m.training_tokens(Block.unpack(payload.as_py()))
+                learn(own, *tokens, m.prior, np.random.default_rng(number))
+                seen += len(tokens[0])
+        if seen:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "state": pa.array([own.pack(seen)], pa.binary())})
+
+    states = materialize(blocks.select("block", "payload").mapInArrow(run, "part long, state binary"), "bilinear-nets")
+    found = tree_merge(states, add_states)
+    return net.unpack(add_states(found)) if found else net
+
+
+def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", sample_texts: int = 1500, longest: int = 100_000) -> DataFrame:
     """(id_col, trained boolean, n_tokens, n_known, train_tokens long, base_score, score double), a row for each row of df.
 
-    training: which rows are learned from. sample_texts: about how many of them, chosen by a hash of the id, the network is trained on
-    (twice as many at most); all counts come from all training rows.
+    training: which rows are learned from. sample_texts: about how many of them, of up to `longest` characters and chosen by a hash of the
+    id, the network starts from (twice as many at most); it then learns from all training rows, and all counts come from these.
     """
     chosen = F.coalesce(training & F.col(id_col).isNotNull(), F.lit(False))
     blocks = pack_blocks(df, id_col, text_col, "bilinear-blocks", flag=chosen)
@@ -230,9 +309,12 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
     counts = _gather(counted)
     counts.texts = df.filter(chosen).count()
     share = max(1, min(1_000_000, round(1_000_000 * sample_texts / max(1, counts.texts))))
-    picked = df.filter(chosen).filter(F.pmod(F.xxhash64(id_col, F.lit("bilinear")), F.lit(1_000_000)) < share)
-    picked = picked.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).limit(2 * sample_texts).collect()
-    model = fit([r["text"] for r in sorted(picked, key=lambda r: (r["id"], r["text"]))], counts)
+    rank = F.xxhash64(id_col, F.lit("bilinear"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    picked = df.filter(chosen & (F.pmod(rank, F.lit(1_000_000)) < share) & (F.length(text) <= longest))
+    picked = picked.select(F.col(id_col).alias("id"), text.alias("text")).orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(2 * sample_texts).collect()
+    model, net = start([r["text"] for r in picked], counts)
+    model.use(_learned(blocks, model, net))
     sent = df.sparkSession.sparkContext.broadcast(model)
     # the end is a token that each text has
     total, kinds = counts.tokens + counts.texts, counts.kinds + (counts.texts > 0)

@@ -259,6 +259,19 @@ def exchange(blocks: DataFrame, ask: Ask, answer: Answer, name: str, answers: Da
     return materialize(requests.groupBy("bucket").applyInArrow(answers_of, "block long, bucket int, answer binary"), name)
 
 
+def tree_merge(rows: DataFrame, merge: Callable[[list[bytes]], bytes], width: int = 16) -> list[bytes]:
+    """merge() the states of rows (part long, state binary), width parts at a time, until the driver gets width of them at most."""
+
+    def some(table: pa.Table) -> pa.Table:
+        return pa.table({"part": table.column("part").slice(0, 1), "state": pa.array([merge(table.column("state").to_pylist())], pa.binary())})
+
+    most = rows.agg(F.max("part")).first()[0] or 0
+    while most >= width:
+        rows = rows.withColumn("part", F.expr(f"part div {width}")).groupBy("part").applyInArrow(some, "part long, state binary")
+        most //= width
+    return [r["state"] for r in rows.select("state").collect()]
+
+
 #: Bytes of a hash that are sent where a false match only costs work, for so many bytes of text.
 def key_bytes(total: int) -> int:
     return min(8, max(5, -(-(max(1, total).bit_length() + 10) // 8)))
