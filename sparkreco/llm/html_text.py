@@ -9,21 +9,24 @@ joined in page order.
 
 Defined cases: null, empty or text-free html gives an empty text; broken markup is repaired as browsers do in outline (implied
 ends of paragraphs, items and cells; unmatched end tags are ignored; an unclosed comment, script or tag runs to the end); a
-null or repeated page_id is carried along; nothing is cut for length.
+null or repeated page_id is carried along; nothing is cut for length; other columns than the id and those to keep are left out, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A quote opens a value only right behind an equals sign; elsewhere in a tag it is a character like others.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)|[^<]+|<", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?", re.S)
 _NAME_PARTS = re.compile(r"[a-z]+")
 
 # fixed values: elements of HTML, and names that sites use for what isn't the article
@@ -33,8 +36,8 @@ CUT = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "
 CUT_OUTSIDE_ARTICLE = {"header"}
 CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar"}
 CUT_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "adbox", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "aside", "footer", "masthead", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "widget", "pagination", "pager", "paging", "skip", "toolbar", "copyright"}
-#: Names that mark the article itself; with one of these no other name of the same element counts.
-KEPT_NAMES = {"article", "content", "main", "entry", "post", "story", "body"}
+#: Names that mark the article itself, and what is around it; "content-sidebar-wrap" is no sidebar, nor is what has or lacks one.
+KEPT_NAMES, AROUND_NAMES, HAVING_NAMES = {"article", "content", "main", "entry", "post", "story", "body"}, {"wrap", "wrapper", "layout"}, {"with", "has", "no", "without"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr"}
 ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul"}
 #: What a start tag ends, and what it doesn't reach beyond.
@@ -45,7 +48,8 @@ IMPLIED = {
 #: What an end tag or an implied end of a paragraph doesn't reach beyond.
 SCOPES = {"table", "td", "th", "caption", "html", "object", "button"}
 FAVOURED = {"article": 25.0, "main": 15.0}
-#: Points for one block: 1, each comma, each 100 characters; a level up halves them, the next ones get a third and less.
+#: Points for one block: 1, each comma, each 100 characters; a level up halves them, the next ones get a third and less, up to so many levels.
+LEVELS = 12
 CHARS_A_POINT, SIBLING_SHARE = 100.0, 0.2
 #: Of a block that is poor in links, at most this share stands in links.
 LINK_POOR = 1 / 3
@@ -66,8 +70,12 @@ def _is_cut(tag: str, attributes: str, parent: Node) -> bool:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
+    seen = set()
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
+        if name in seen:  # of attributes with one name the first counts
+            continue
+        seen.add(name)
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
         if name == "role" and value in CUT_ROLES:
@@ -75,7 +83,7 @@ def _is_cut(tag: str, attributes: str, parent: Node) -> bool:
         if name in ("class", "id", "itemprop"):
             for word in value.split():
                 parts = set(_NAME_PARTS.findall(word))
-                if parts & CUT_NAMES and not (parts & KEPT_NAMES and not parts & {"comment", "comments", "ad", "ads", "advert", "sidebar", "footer", "nav", "menu", "related", "share"}):
+                if parts & CUT_NAMES and not parts & HAVING_NAMES and not (parts & KEPT_NAMES and parts & AROUND_NAMES):
                     return True
     return False
 
@@ -83,7 +91,14 @@ def _is_cut(tag: str, attributes: str, parent: Node) -> bool:
 def parse(page: str) -> Node:
     root = Node("html", None)
     stack = [root]
+    is_open: Counter = Counter()  # how many elements of each tag are on the stack: what isn't open is not looked for
     at, end = 0, len(page)
+
+    def close(k: int) -> None:
+        for node in stack[k:]:
+            is_open[node.tag] -= 1
+        del stack[k:]
+
     while at < end:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -95,38 +110,38 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if is_open[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPES and tag not in ("table", "body", "html", "article", "main", "tr", "tbody", "thead", "tfoot"):
                     break
             continue
         if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if is_open["p"] else ():
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPES:
                     break
         if tag in IMPLIED:
             ended, limit = IMPLIED[tag]
             lowest = 0
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(is_open[t] for t in ended) else ():
                 if stack[k].tag in limit:
                     break
                 if stack[k].tag in ended:
                     lowest = k
             if lowest:
-                del stack[lowest:]
-        if tag in ("html", "body") and (tag == "html" or any(n.tag == "body" for n in stack)):
+                close(lowest)
+        if tag in ("html", "body") and (tag == "html" or is_open["body"]):
             continue
         if tag == "body":
-            del stack[1:]
+            close(1)
         parent = stack[-1]
         if tag in RAW and not m[0].endswith("/>"):
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else end
+            ended = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = ended.end() if ended else end
             continue
         if tag in VOID:
             if tag not in INLINE:
@@ -136,11 +151,12 @@ def parse(page: str) -> Node:
         parent.children.append(node)
         if not m[0].endswith("/>") or tag not in ("svg", "path"):
             stack.append(node)
+            is_open[tag] += 1
     return root
 
 
 def _walk(root: Node) -> tuple[list[list], list[Node]]:
-    """The blocks in page order, as [container, text, linked characters], and the nodes, parents first. Blocks keep no inline markup."""
+    """The blocks in page order, as [container, text, linked characters], and all nodes, parents first. Blocks keep no inline markup."""
     blocks: list[list] = []
     nodes: list[Node] = []
     open_block: list | None = None
@@ -163,8 +179,8 @@ def _walk(root: Node) -> tuple[list[list], list[Node]]:
                 open_block = None
             continue
         inline = node.tag in INLINE
+        nodes.append(node)
         if not inline:
-            nodes.append(node)
             open_block = None
             block = node
             todo.append((None, None, False))
@@ -173,13 +189,16 @@ def _walk(root: Node) -> tuple[list[list], list[Node]]:
     return [[b, " ".join("".join(t).split()), linked] for b, t, linked in blocks], nodes
 
 
-def _within(node: Node | None, outer: Node) -> bool:
-    while node is not None and node is not outer:
-        node = node.parent
-    return node is outer
+def _below(nodes: list[Node], tops: set[int]) -> set[int]:
+    """The ids of these nodes and of all below them."""
+    found = set(tops)
+    for node in nodes:  # parents come first
+        if id(node.parent) in found:
+            found.add(id(node))
+    return found
 
 
-def _whole(best: Node, blocks: list[list]) -> Node:
+def _whole(best: Node, blocks: list[list], nodes: list[Node]) -> Node:
     """The nearest article or main element around the best container; outside of these its parent, if that adds nothing rich in links."""
     node = best
     while node is not None:
@@ -189,7 +208,8 @@ def _whole(best: Node, blocks: list[list]) -> Node:
     outer = best.parent
     if outer is None or outer.tag in ("body", "html"):
         return best
-    added = [(t, linked) for b, t, linked in blocks if _within(b, outer) and not _within(b, best)]
+    around, inside = _below(nodes, {id(outer)}), _below(nodes, {id(best)})
+    added = [(t, linked) for b, t, linked in blocks if id(b) in around and id(b) not in inside]
     return outer if all(linked <= LINK_POOR * len(t) for t, linked in added) else best
 
 
@@ -204,34 +224,33 @@ def main_text(page: str | None) -> str:
     for block, text, linked in blocks:
         size = len(text)
         points = (1 + text.count(",") + text.count("،") + text.count("、") + size / CHARS_A_POINT) * max(0.0, 1 - linked / size)
+        block.chars += size
+        block.linked += linked
         # the block's own element counts as its container only if it holds more than text
         node = block.parent if block.parent is not None and block.tag not in ("div", "article", "main", "section", "body", "html", "td") else block
         level = 0
-        while node is not None:
+        while node is not None and level < LEVELS:
             node.points += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
-            node.chars += size
-            node.linked += linked
             node, level = node.parent, level + 1
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
     for node in nodes:
         if node.chars:
             node.points = (node.points + FAVOURED.get(node.tag, 0.0)) * (1 - node.linked / node.chars)
-    best = _whole(max(nodes, key=lambda n: n.points), blocks)
+    best = _whole(max((n for n in nodes if n.tag not in INLINE), key=lambda n: n.points), blocks, nodes)
     kept = {id(best)}
     if best.parent is not None:
         least = max(1.0, SIBLING_SHARE * best.points)
-        for c in best.parent.children:
-            if isinstance(c, Node) and not c.cut and c is not best:
-                own = c.points if c.points else sum((1 + t.count(",") + len(t) / CHARS_A_POINT) * (1 - k / len(t)) for b, t, k in blocks if b is c)
-                if own >= least:
-                    kept.add(id(c))
-    out = []
-    for block, text, _ in blocks:
-        node = block
-        while node is not None and id(node) not in kept:
-            node = node.parent
-        if node is not None:
-            out.append(text)
-    return " ".join(out)
+        beside = {id(c): c for c in best.parent.children if isinstance(c, Node) and not c.cut and c is not best}
+        own = {k: c.points for k, c in beside.items()}
+        for b, t, linked in blocks:
+            if id(b) in beside and not b.points:
+                own[id(b)] += (1 + t.count(",") + len(t) / CHARS_A_POINT) * (1 - linked / len(t))
+        kept |= {k for k, points in own.items() if points >= least}
+    inside = _below(nodes, kept)
+    return " ".join(text for block, text, _ in blocks if id(block) in inside)
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
