@@ -33,6 +33,8 @@ ROWS, DIM, FILTERS, WIDTHS, STRETCH, SLICE = 1 << 19, 4, 6, (1, 2, 3), 1 << 15,
 #: Lengths in bytes of the beginnings and of the end that are features beside the whole word.
 HEADS, TAIL = (3, 4, 5, 6), 5
 N_FEATURES = 2 + len(HEADS)
+#: A language's threshold needs so many rows of either class; its logit keeps within so much of the common cut, and is drawn to it as by so many rows.
+LEAST_ROWS, FARTHEST, SHRINK = 30, 2.0, 60
 
 
 def features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,8 +207,10 @@ def train(sample: pd.DataFrame, epochs: int = 3, rate: float = 0.05, seed: int =
     langs = sample["lang"].to_numpy(object)
     for lang in {x for x in langs if x is not None}:
         own = held & (langs == lang)
-        if (y[own] == 1).sum() >= 10 and (y[own] == 0).sum() >= 10:
-            model.thresholds[lang] = float(1 / (1 + np.exp(-(_cut(found[own], y[own]) - model.shift))))
+        few = min((y[own] == 1).sum(), (y[own] == 0).sum())
+        if few >= LEAST_ROWS:  # the fewer rows, the closer to the cut of all languages
+            cut = np.clip(_cut(found[own], y[own]) - model.shift, -FARTHEST, FARTHEST) * few / (few + SHRINK)
+            model.thresholds[lang] = float(1 / (1 + np.exp(-cut)))
     return model
 
 
