@@ -1,12 +1,14 @@
 """Quality: positive-unlabelled learning on the shape of a text.
 
 A small network is trained in numpy on trusted positives and on unlabelled web text, minimising the non-negative unbiased
-risk: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). The class prior is estimated from the labelled
-training rows. Inputs are shares of byte classes and of repeated words and lines; labels, language, source and id are never
-inputs. The output is shifted so that the cut between the labelled training rows of both classes lies at decide_at.
+risk: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). The class prior is estimated from positives and
+unlabelled texts alone: networks trained on halves rank the other halves, and the prior is the least ratio of their shares above a score.
+Rows labelled 0 are not looked at. Inputs are shares of byte classes and of repeated words and lines; labels, language,
+source and id are never inputs. The output is shifted so that the network's own cut gets the score decide_at.
 
 Defined cases: a null or empty text has all shares zero and is scored like any other; texts are read whole; a null or repeated id is
-carried along, a row is a row; with no trusted positives or no unlabelled text every score is the prior.
+carried along, a row is a row; a column quality_score takes the place of one of that name; with no trusted positives or no unlabelled
+text all scores are alike.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from sparkreco.llm import samples
 from sparkreco.llm.blocks import text_bytes
 from sparkreco.llm.hashing import bytes_prefix, word_spans
-from sparkreco.llm.toxicity import _cut, slices
+from sparkreco.llm.toxicity import slices
 
 #: Byte classes: each ASCII byte beyond letters and digits alone; lower case, upper case, digits, beyond ASCII, controls together.
 _CLASS = np.zeros(256, np.int64)
@@ -90,7 +92,6 @@ class QualityModel:
     mean: np.ndarray
     scale: np.ndarray
     weights: list[np.ndarray]
-    shift: float = 0.0
     decide_at: float = 0.5
 
     def margins(self, x: np.ndarray) -> np.ndarray:
@@ -98,7 +99,7 @@ class QualityModel:
         return np.tanh(np.clip((x - self.mean) / self.scale, -8, 8) @ w1 + b1) @ w2 + b2[0]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margins(x) - self.shift + np.log(self.decide_at / (1 - self.decide_at)), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.margins(x) + np.log(self.decide_at / (1 - self.decide_at)), -30, 30)))
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 400, rate: float = 0.01, seed: int = 5) -> QualityModel:
@@ -108,7 +109,6 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: in
     model = QualityModel(prior, both.mean(0), both.std(0) + 0.02, [rng.normal(0, 0.3, (N_FEATURES, hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), np.zeros(1)])
     if not len(positive) or not len(unlabelled):
         model.weights[2][:] = 0
-        model.weights[3][:] = np.log(prior / (1 - prior))
         return model
     xs = [np.clip((x - model.mean) / model.scale, -8, 8) for x in (positive, unlabelled)]
     m, v = [np.zeros_like(w) for w in model.weights], [np.zeros_like(w) for w in model.weights]
@@ -140,21 +140,31 @@ def _features(texts: list[str]) -> np.ndarray:
     return shares(*text_bytes(pa.array(texts, pa.string())))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 1500, unlabelled: int = 3000, decide_at: float = 0.5) -> QualityModel:
-    """Trusted positives: up to per_class rows labelled 1 among the allowed; about unlabelled texts of whatever label.
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.5) -> float:
+    """The share of positives among the unlabelled: a ranking of either half by a network that learned from the other.
 
-    The labelled rows of class 0 serve the prior and the place of the cut alone.
+    Above a score where all are positives, the unlabelled share is the prior times the positives' share; elsewhere it is more. So the least
+    ratio counts, among the scores that `least` of the positives reach: above higher ones stand too few.
     """
-    known = samples.labelled(docs, labels, "quality", allowed, per_class)
-    counts = {r["quality"]: r["n"] for r in labels.filter(allowed & F.col("quality").isin(0, 1)).groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    texts = samples.unlabelled(docs, labels, allowed, unlabelled)
-    y = known["label"].to_numpy(int) if len(known) else np.zeros(0, int)
-    x = _features(known["text"].tolist())
-    model = train(x[y == 1], _features(texts["text"].tolist()), min(0.98, max(0.02, prior)))
+    scores: list[list[np.ndarray]] = [[], []]
+    for half in (0, 1):
+        ranking = train(positive[half::2], unlabelled[half::2], 0.5)
+        for k, x in enumerate((positive, unlabelled)):
+            scores[k].append(ranking.margins(x[1 - half :: 2]))
+    p, u = (np.sort(np.concatenate(x)) for x in scores)
+    if not len(p) or not len(u):
+        return 0.5
+    cuts = np.unique(p[: max(1, int(len(p) * (1 - least)))])
+    above_p, above_u = (1 - np.searchsorted(x, cuts) / len(x) for x in (p, u))
+    return float(np.clip((above_u / above_p).min(), 0.02, 0.98))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 1500, unlabelled: int = 3000, decide_at: float = 0.5) -> QualityModel:
+    """Trusted positives: up to per_class rows labelled 1 among the allowed; about unlabelled texts of whatever label."""
+    positive = _features(samples.labelled(docs, labels, "quality", allowed, per_class, (1,))["text"].tolist())
+    mixed = _features(samples.unlabelled(docs, allowed, unlabelled)["text"].tolist())
+    model = train(positive, mixed, estimate_prior(positive, mixed))
     model.decide_at = decide_at
-    if 0 < y.sum() < len(y):
-        model.shift = _cut(model.margins(x), y)
     return model
 
 
