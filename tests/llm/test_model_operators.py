@@ -15,14 +15,12 @@ from sparkreco.llm.samples import fold
 
 
 def _brute_knn(rows, k):
-    whole = {}
     vectors = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    out = set()
-    for i, v in vectors:
-        if i % 5 == 0 and i not in whole:
-            whole[i] = 1
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for j, w in vectors if j != i)[:k]
-            out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)}
+    out = Counter()
+    for n, (i, v) in enumerate(vectors):
+        if i % 5 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for m, (j, w) in enumerate(vectors) if m != n)[:k]
+            out.update((i, r + 1, j, -s) for r, (s, j) in enumerate(scores))
     return out
 
 
@@ -35,10 +33,11 @@ def test_knn_join(spark, small, monkeypatch):
     centres = rng.normal(size=(6, 8))
     rows = [(i, [float(x) for x in centres[i % 6] + 0.1 * rng.normal(size=8)]) for i in range(150)]
     rows += [(200 + i, rows[0][1]) for i in range(20)]  # ties
+    rows += [(10, rows[1][1]), (10, rows[10][1]), (31, rows[31][1])]  # repeated ids, as queries and as candidates
     rows += [(None, rows[0][1]), (300, None), (301, [None] * 8), (305, [float("nan")] * 8), (310, [0.0] * 8), (315, [float("inf")] * 8)]
     df = spark.createDataFrame([(i, v, i, 1) for i, v in rows], "vec_id long, embedding array<float>, id long, q int")
     got = knn.knn_join(df, F.col("vec_id") % 5 == 0, 5, pivots=8).collect()
-    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == _brute_knn(rows, 5)
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == _brute_knn(rows, 5)
     assert knn.knn_join(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
     few = df.filter("vec_id < 3")
     assert knn.knn_join(few, F.col("vec_id") == 0).count() == 2

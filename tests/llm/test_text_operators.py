@@ -119,8 +119,7 @@ def test_cut_repeats_keeps_columns_and_whole_characters(docs, texts):
     assert Counter((r["doc_id"], r["text"] or "") for r in got.collect()) == want
 
 
-@pytest.mark.parametrize("window", [35, 8])
-def test_repeats_against_brute_force(docs, texts, window):
+def _brute_repeats(texts, window):
     words = [(i, (t or "").encode().split()) for i, t in texts]
     seen = Counter(tuple(w[p : p + window]) for _, w in words for p in range(len(w) - window + 1))
     want = Counter()
@@ -130,8 +129,13 @@ def test_repeats_against_brute_force(docs, texts, window):
             if seen[tuple(w[p : p + window])] > 1:
                 gone[p : p + window] = [True] * window
         want[i, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()] += 1
+    return want
+
+
+@pytest.mark.parametrize("window", [35, 8])
+def test_repeats_against_brute_force(docs, texts, window):
     got = remove_repeats(docs, window).collect()
-    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == want
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == _brute_repeats(texts, window)
 
 
 def _sets(texts):
@@ -204,6 +208,10 @@ PAGE = "<html><head><title>T</title><script>var a='<p>';</script></head><body><n
         (PAGE.format("<main><p>Text, and more text.</p><section class='comments'><p>I agree, I agree, I agree</p></section></main>"), "Text, and more text."),
         (PAGE.format("<form><p>Name, address, and so on</p></form><article><p>Body &lt;b&gt; here, yes</article>"), "Body <b> here, yes"),
         ("<article><p>never closed, still read <!-- and this not", "never closed, still read"),
+        ("<article><p title=it's>one, two</p><p>three, four</p></article>", "one, two three, four"),
+        ("<article><a href=x title=Bob's>Link</a><p data-id='share' title = 'a > b'>one, two</p><p title=\"id=ad\">three, four</p></article>", "Link one, two three, four"),
+        ("<article><p>one, two</p><div class='sponsored-content'><p>Buy, buy</p></div><div id=newsletter-content>Sign up</div><div class='cookie-content post'>We bake</div><p>three</p></article>", "one, two three"),
+        ("<body class=content><div class='content-sidebar-wrap'><div class='main no-sidebar'><p>one, two</p></div><div class=sidebar-content>more, more</div></div>", "one, two"),
     ],
 )
 def test_main_text(page, want):
@@ -219,6 +227,19 @@ def test_main_text_keeps_what_stands_beside_the_body(outer, sentences):
     assert main_text(page) == f"T Lead. {body} {body} End Last words."
 
 
+def test_main_text_of_deep_and_broken_pages():
+    deep = "<div>" * 20000 + "<p>one, two</p></span></b>" + "<p>three</p></x>" * 2000
+    assert main_text(deep) == "one, two" + " three" * 2000
+    assert main_text("<article><p>one, two <a title='never closed>three</p></article>") == "one, two"
+
+
+def test_main_text_of_no_pages(spark):
+    df = spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars long")
+    assert extract_main_text(df).count() == 0
+    clash = spark.createDataFrame([(1, "u", PAGE.format("<article><p>x, y</article>"), "mine", 7)], df.schema)
+    assert [tuple(r) for r in extract_main_text(clash).collect()] == [(1, "u", "x, y")]
+
+
 def test_main_text_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE.format("<article><p>x, y</article>"), 3), (None, None, None, 4), (1, "u", "plain words", 5)], "page_id long, url string, html string, text2 int")
     got = sorted((r["page_id"] or 0, r["text"]) for r in extract_main_text(df).collect())
@@ -233,3 +254,38 @@ def test_digests_of_queries(spark, tmp_path):
     assert got[2]["n_tokens"] == 0 and got[2]["ids_sha256"] == got[2]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
     assert got[1]["decoded_sha256"] == hashlib.sha256(b"hello world").hexdigest()
     assert QUERIES["op6_suffix_dedup"](spark, str(tmp_path)).filter(F.col("n_removed") > 0).count() == 0
+
+
+def _thue_morse(bits, a, b):
+    out = [a]
+    for _ in range(bits):
+        out += [b if x == a else a for x in out]
+    return out
+
+
+def test_patterned_texts_do_not_collide(spark):
+    """Texts on which a polynomial modulo a power of two is blind."""
+    from sparkreco.llm.bilinear import score_texts
+
+    x, y = "".join(_thue_morse(11, "a", "b")), "".join(_thue_morse(11, "b", "a"))
+    pair = spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard_components(pair).collect()} == {1, 2}
+    scored = {r["doc_id"]: r["n_known"] for r in score_texts(pair, F.col("doc_id") == 1).collect()}
+    assert scored == {1: 2, 2: 1}
+    rest = " ".join(f"w{k}" for k in range(34))
+    words = spark.createDataFrame([(1, f"{rest} {x[:1024]}"), (2, f"{rest} {y[:1024]}"), (3, " ".join(_thue_morse(10, "u", "v"))), (4, " ".join(_thue_morse(10, "v", "u")))], "doc_id long, text string")
+    plain = [(r["doc_id"], r["text"]) for r in words.collect()]
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in remove_repeats(words, 35).collect()) == _brute_repeats(plain, 35)
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in remove_repeated_bytes(pair, 50).collect()) == _brute_bytes([(1, x), (2, y)], 50)
+
+
+def test_only_what_the_automaton_locates_is_removed(spark, texts, monkeypatch):
+    from sparkreco.llm import repeats
+
+    words = B.Block(np.arange(2), np.array([0, 300, 600]), np.frombuffer((b"ab cd ef gh " * 25) * 2, np.uint8), np.zeros(2, np.uint8)).words()
+    n, window = 1, 8
+    got = {0: b"\xff" * 99, 1: b"\xff" * 99}
+    got[2] = repeats._confirm([repeats._Pieces(words, got, n, window).ask()[0]], window)[0]
+    assert repeats._located(words, got, n, window).all()
+    monkeypatch.setattr(repeats, "automaton", lambda passages: type("None_", (), {"iter": staticmethod(lambda text: [])}))
+    assert not repeats._located(words, got, n, window).any()
