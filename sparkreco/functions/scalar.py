@@ -61,22 +61,14 @@ def added(a: Column | str, b: Column | str) -> Column:
     return F.zip_with(a, b, lambda x, y: F.coalesce(x.cast("double"), F.lit(0.0)) + F.coalesce(y.cast("double"), F.lit(0.0)))
 
 
-def spread_hash(item: str = "item_id", user: str = "user_id") -> Column:
-    """A repeatable stand-in for chance, of user and item."""
-    return F.expr(f"({item} * 7919 + ({user} % 1000) * 104729) % 1000003")
+def parse_time(column: str) -> Column:
+    """A time in text; what can't be read becomes null."""
+    return F.try_to_timestamp(F.col(column))
 
 
-def factorized(df: DataFrame, column: str) -> DataFrame:
-    """Codes 0, 1, ... of the sorted different values; the values' list is small, the rows are not sorted."""
-    codes = df.select(column).distinct()
-    ranked = codes.withColumn("code", _dense(column))
-    return df.join(ranked, df[column].eqNullSafe(ranked[column]), "left").drop(ranked[column])
-
-
-def _dense(column: str) -> Column:
-    from pyspark.sql import Window
-
-    return (F.dense_rank().over(Window.orderBy(column)) - 1).cast("int")
+def merged_arrays(first: Column | str, second: Column | str, n: int) -> Column:
+    """The first n different elements: the second array's from its end, then the first's."""
+    return F.slice(F.array_distinct(F.concat(F.reverse(second), first)), 1, n)
 
 
 def aligned(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:

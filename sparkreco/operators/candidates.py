@@ -13,9 +13,24 @@ from pyspark.sql import functions as F
 from sparkreco.operators.signals import ranked, top_per_group
 
 
+def _as_one(df: DataFrame, order: list[str]) -> Column:
+    """One column of the same order: a number, which can be aggregated by hashing, where the columns are whole numbers.
+
+    Of three, the first is a source's place from -1 to 6, the second a position, the third a place in a list (below 2^29).
+    """
+    if len(order) == 1:
+        return F.col(order[0])
+    if any(dict(df.dtypes)[c] != "int" for c in order) or len(order) > 3:
+        return F.struct(*order)
+    *lead, a, b = (F.col(c).cast("long") for c in order)
+    if not lead:
+        return F.shiftleft(a, 32) + b
+    return F.shiftleft(lead[0] + 1, 60) + F.shiftleft(a, 29) + b
+
+
 def first_occurrences(df: DataFrame, order: list[str], k: int | None = None) -> DataFrame:
-    """Each user's items once, at the least of `order`; positions counted anew; the first k."""
-    least = df.groupBy("user_id", "item_id").agg(F.min(F.struct(*order)).alias("__o"))
+    """Each user's items once, at the least of `order`; positions counted anew; the first k. One shuffle, by user, serves both steps."""
+    least = df.repartition("user_id").groupBy("user_id", "item_id").agg(F.min(_as_one(df, order)).alias("__o"))
     out = ranked(least, ["user_id"], [F.asc("__o"), F.asc("item_id")], "pos").drop("__o")
     return out.filter(F.col("pos") <= k) if k else out
 
@@ -33,10 +48,15 @@ def fill_up(lists: DataFrame, users: DataFrame, popular: DataFrame, k: int) -> D
     return lists.select("user_id", "item_id", "pos").unionByName(more.filter(F.col("pos") <= k))
 
 
+def recent_lists(events: DataFrame, users: DataFrame, last_n: int, k: int) -> DataFrame:
+    """The users' latest items, not filled up."""
+    own = events.join(users.select("user_id"), "user_id", "left_semi")
+    last = top_per_group(own, ["user_id"], [F.desc("timestamp"), F.desc("item_id"), F.desc("event_type")], last_n, "at")
+    return first_occurrences(last, ["at"], k)
+
+
 def recent_candidates(events: DataFrame, users: DataFrame, popular: DataFrame, last_n: int, k: int) -> DataFrame:
-    last = top_per_group(events, ["user_id"], [F.desc("timestamp"), F.desc("item_id"), F.desc("event_type")], last_n, "at")
-    lists = first_occurrences(last.join(users.select("user_id"), "user_id", "left_semi"), ["at"], k)
-    return fill_up(lists, users, popular, k)
+    return fill_up(recent_lists(events, users, last_n, k), users, popular, k)
 
 
 def history_of(events: DataFrame) -> DataFrame:
@@ -44,13 +64,17 @@ def history_of(events: DataFrame) -> DataFrame:
     return first_occurrences(events, ["timestamp"])
 
 
-def covis_candidates(history: DataFrame, pairs: DataFrame, users: DataFrame, popular: DataFrame, per_item: int, k: int) -> DataFrame:
-    """Neighbours of the history's items in its order, without the history; filled up."""
+def covis_lists(history: DataFrame, pairs: DataFrame, users: DataFrame, per_item: int, k: int) -> DataFrame:
+    """Neighbours of the history's items in its order, without the history."""
     near = top_per_group(pairs, ["item_x"], [F.desc("weight"), F.asc("item_y")], per_item, "nbr").select(F.col("item_x").alias("item_id"), "item_y", "nbr")
     own = history.join(users.select("user_id"), "user_id", "left_semi")
     met = own.join(near, "item_id").select("user_id", F.col("item_y").alias("item_id"), "pos", "nbr")
-    new = met.join(history.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    return fill_up(first_occurrences(new, ["pos", "nbr"], k), users, popular, k)
+    new = met.join(own.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    return first_occurrences(new, ["pos", "nbr"], k)
+
+
+def covis_candidates(history: DataFrame, pairs: DataFrame, users: DataFrame, popular: DataFrame, per_item: int, k: int) -> DataFrame:
+    return fill_up(covis_lists(history, pairs, users, per_item, k), users, popular, k)
 
 
 def merge_lists(sources: list[DataFrame], users: DataFrame, popular: DataFrame, k: int) -> DataFrame:
@@ -71,13 +95,20 @@ def slice_of_popular(users: DataFrame, popular: DataFrame, start: Column, length
     return ranks.join(popular.select("item_id", "pop_rank"), "pop_rank").select("user_id", "item_id", (F.col("base") + F.col("pop_rank") - F.col("s")).cast("int").alias("at"))
 
 
-def cold_candidates(users: DataFrame, popular: DataFrame, n_popular: int, size: int = 300) -> DataFrame:
-    """For users without much history: a stretch of the popularity list that depends on the user, wrapping round; repeats stay."""
+def _with_length(users: DataFrame, n: DataFrame | int) -> DataFrame:
+    return users.withColumn("n", F.lit(n)) if isinstance(n, int) else users.crossJoin(F.broadcast(n))
+
+
+def cold_candidates(users: DataFrame, popular: DataFrame, n_popular: DataFrame | int, size: int = 300) -> DataFrame:
+    """For users without much history: a stretch of the popularity list that depends on the user, wrapping round; repeats stay.
+
+    n_popular: the length of the popularity list, or one row (n) with it.
+    """
     p = int(size * 0.8)
     start = (F.col("user_id") % 50) * (p // 2)
-    u = users.select("user_id", start.cast("int").alias("start"))
-    l1 = F.least(F.lit(p), F.greatest(F.lit(n_popular) - F.col("start"), F.lit(0)))
-    l2 = F.least(F.lit(p) - l1, F.lit(n_popular))
+    u = _with_length(users, n_popular).select("user_id", "n", start.cast("int").alias("start"))
+    l1 = F.least(F.lit(p), F.greatest(F.col("n") - F.col("start"), F.lit(0)))
+    l2 = F.least(F.lit(p) - l1, F.col("n"))
     u = u.withColumn("l1", l1).withColumn("l2", l2).withColumn("l3", F.greatest(F.lit(p) - F.col("l1") - F.col("l2"), F.lit(0)))
     parts = [slice_of_popular(u, popular, F.col("start"), F.col("l1")), slice_of_popular(u, popular, F.lit(0), F.col("l2"), F.col("l1")), slice_of_popular(u, popular, F.lit(500), F.col("l3"), F.col("l1") + F.col("l2"))]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -88,21 +119,24 @@ def warm_candidates(users: DataFrame, history: DataFrame, neighbours: DataFrame,
     """History, then co-purchase neighbours, then items of its categories, then two stretches of the popularity list.
 
     history: (user_id, item_id, pos); neighbours: (item_id, nbr_id, rank); category_list: (catalogid, item_id, nth).
-    Each category gives its first ten items once: a later history item of it would add none of the others.
+    Each category gives its first ten items once: a later history item of it would add none of the others. Only items of the
+    catalogue count: the lists are cut to it before any user meets them.
     """
     known = item_category.select("item_id")
+    popular = popular.join(known, "item_id", "left_semi")
+    category_list = category_list.filter("nth <= 10").join(known, "item_id", "left_semi")
     own = history.join(users.select("user_id"), "user_id", "left_semi").join(known, "item_id", "left_semi")
     a = own.filter("pos <= 30").select("user_id", "item_id", F.lit(0).alias("prio"), F.col("pos").alias("p1"), F.lit(0).alias("p2"))
-    near = neighbours.filter("rank <= 8")
+    near = neighbours.filter("rank <= 8").join(known.withColumnRenamed("item_id", "nbr_id"), "nbr_id", "left_semi")
     b = own.filter("pos <= 15").join(near, "item_id").select("user_id", F.col("nbr_id").alias("item_id"), F.lit(1).alias("prio"), F.col("pos").alias("p1"), F.col("rank").alias("p2"))
     cats = own.filter("pos <= 20").join(item_category, "item_id").filter("catalogid IS NOT NULL AND catalogid <> 0").groupBy("user_id", "catalogid").agg(F.min("pos").alias("p1"))
-    c = cats.join(category_list.filter("nth <= 10"), "catalogid").select("user_id", "item_id", F.lit(2).alias("prio"), "p1", F.col("nth").alias("p2"))
-    first = first_occurrences(a.unionByName(b.join(known, "item_id", "left_semi")).unionByName(c.join(known, "item_id", "left_semi")), ["prio", "p1", "p2"], size)
+    c = cats.join(category_list, "catalogid").select("user_id", "item_id", F.lit(2).alias("prio"), "p1", F.col("nth").alias("p2"))
+    first = first_occurrences(a.unionByName(b).unionByName(c), ["prio", "p1", "p2"], size)
     counts = first.groupBy("user_id").agg(F.count("*").alias("have"))
     u = users.select("user_id").join(counts, "user_id", "left").na.fill(0, ["have"]).withColumn("needed", (F.lit(size) - F.col("have")).cast("int")).filter("needed > 0")
     sa = slice_of_popular(u, popular, 50 + F.col("user_id") % 100, F.floor(F.col("needed") / 2)).withColumn("prio", F.lit(3))
     sb = slice_of_popular(u, popular, 200 + F.col("user_id") % 150, F.col("needed")).withColumn("prio", F.lit(4))
-    more = sa.unionByName(sb).join(known, "item_id", "left_semi").select("user_id", "item_id", "prio", F.col("at").alias("p1"), F.lit(0).alias("p2"))
+    more = sa.unionByName(sb).select("user_id", "item_id", "prio", F.col("at").alias("p1"), F.lit(0).alias("p2"))
     done = first.select("user_id", "item_id", F.lit(-1).alias("prio"), F.col("pos").alias("p1"), F.lit(0).alias("p2"))
     return first_occurrences(done.unionByName(more), ["prio", "p1", "p2"], size)
 
@@ -184,15 +218,16 @@ def spread_sample(users: DataFrame, items: DataFrame, n: int, not_of: DataFrame
 
 
 def explore(recs: DataFrame, fresh: DataFrame, k: int, most: int = 10) -> DataFrame:
-    """Up to most fresh items take the last places of the lists."""
-    new = fresh.join(recs.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").filter(F.col("rank") <= most)
-    kept = recs.filter(F.col("pos") <= k - most).select("user_id", "item_id", F.lit(0).alias("prio"), F.col("pos").alias("at"))
-    rest = recs.filter(F.col("pos") > k - most).select("user_id", "item_id", F.lit(2).alias("prio"), F.col("pos").alias("at"))
-    return first_occurrences(kept.unionByName(new.select("user_id", "item_id", F.lit(1).alias("prio"), F.col("rank").alias("at"))).unionByName(rest), ["prio", "at"], k)
+    """Up to most fresh items take the last places of the lists; what a list has already is not fresh."""
+    old = recs.select("user_id", "item_id", F.when(F.col("pos") <= k - most, 0).otherwise(2).alias("prio"), F.col("pos").cast("int").alias("at"), F.lit(1).alias("listed"))
+    new = fresh.filter(F.col("rank") <= most).select("user_id", "item_id", F.lit(1).alias("prio"), F.col("rank").cast("int").alias("at"), F.lit(0).alias("listed"))
+    both = old.unionByName(new).withColumn("listed", F.max("listed").over(Window.partitionBy("user_id", "item_id")))
+    return first_occurrences(both.filter("prio <> 1 OR listed = 0"), ["prio", "at"], k)
 
 
-def segment_popular(users: DataFrame, popular: DataFrame, n_popular: int, length: int = 100) -> DataFrame:
-    return slice_of_popular(users, popular, (F.col("user_id") % 20) * (n_popular // 20), length).select("user_id", "item_id", (F.col("at") + 1).cast("int").alias("pos"))
+def segment_popular(users: DataFrame, popular: DataFrame, n_popular: DataFrame | int, length: int = 100) -> DataFrame:
+    """n_popular: the length of the popularity list, or one row (n) with it."""
+    return slice_of_popular(_with_length(users, n_popular), popular, (F.col("user_id") % 20) * F.expr("n div 20"), length).select("user_id", "item_id", (F.col("at") + 1).cast("int").alias("pos"))
 
 
 def similar_users(lists: DataFrame, least: int = 5) -> DataFrame:
@@ -202,6 +237,22 @@ def similar_users(lists: DataFrame, least: int = 5) -> DataFrame:
     return shared.groupBy("user_id").agg(F.min("other_id").alias("other_id"))
 
 
+def same_recents(recents: DataFrame, n: int = 5) -> DataFrame:
+    """Of each user the least other user with the same n recent items (of lists of n items: who shares n of them).
+
+    Users meet by their sorted lists as a key; no item gathers its users and no pairs are made.
+    """
+    lists = recents.groupBy("user_id").agg(F.array_sort(F.collect_set("item_id")).alias("items")).filter(F.size("items") == n)
+    least = lists.groupBy("items").agg(F.min("user_id").alias("other_id"))
+    return lists.join(least, "items").filter("other_id < user_id").select("user_id", "other_id")
+
+
+def reuse_lists(recs: DataFrame, similar: DataFrame) -> DataFrame:
+    """The lists of users who have a similar user are that user's: similar (user_id, other_id)."""
+    taken = recs.withColumnRenamed("user_id", "other_id").join(similar, "other_id").select("user_id", "item_id", "pos")
+    return recs.join(similar.select("user_id"), "user_id", "left_anti").select("user_id", "item_id", "pos").unionByName(taken)
+
+
 def diversify(scored: DataFrame, k: int, per_category: int = 2) -> DataFrame:
     """At most per_category items of a category in the order of scores, then the others; unknown categories are one."""
     rows = scored.withColumn("cat", F.coalesce("catalogid", F.lit(-1)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -10,7 +12,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkreco.functions.scalar import dot, norm, normalized
+from sparkreco.functions.scalar import dot, normalized
 from sparkreco.operators.signals import ranked, top_per_group
 
 
@@ -25,11 +27,29 @@ def id_index(df: DataFrame, column: str) -> DataFrame:
     return parts.withColumn("__i", local).join(F.broadcast(before), "__p").select(column, (F.col("before") + F.col("__i")).cast("bigint").alias("idx"))
 
 
+def factorized(df: DataFrame, column: str) -> DataFrame:
+    """df with a column code: 0, 1, ... by the sorted different values, null the first."""
+    codes = id_index(df, column).select(F.col(column).alias("__c"), F.col("idx").cast("int").alias("code"))
+    return df.join(codes, F.col(column).eqNullSafe(F.col("__c")), "left").drop("__c")
+
+
 def factorize(weights: DataFrame, rank: int = 64, iterations: int = 5, reg: float = 1e-3, seed: int = 42) -> ALSModel:
     """Matrix factorisation of summed weights by alternating least squares."""
     return ALS(rank=rank, maxIter=iterations, regParam=reg, userCol="user_id", itemCol="item_id", ratingCol="weight", seed=seed, coldStartStrategy="drop").fit(weights)
 
 
+def factorize_ids(weights: DataFrame, rank: int = 64, **options) -> tuple[ALSModel, DataFrame, DataFrame]:
+    """Factors of rows whose ids may be any 64-bit numbers: they join their dense numbers first. Also the two indexes."""
+    users, items = id_index(weights, "user_id"), id_index(weights, "item_id")
+    return factorize(indexed(weights, users, items), rank, **options), users, items
+
+
+def indexed(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """pairs with the dense numbers of both ids in the ids' place; pairs with an unknown id go."""
+    own = pairs.join(users.withColumnRenamed("idx", "__u"), "user_id").join(items.withColumnRenamed("idx", "__i"), "item_id")
+    return own.withColumn("user_id", F.col("__u").cast("int")).withColumn("item_id", F.col("__i").cast("int")).drop("__u", "__i")
+
+
 def factor_scores(model: ALSModel, pairs: DataFrame) -> DataFrame:
     u, i = model.userFactors.withColumnRenamed("id", "user_id").withColumnRenamed("features", "uf"), model.itemFactors.withColumnRenamed("id", "item_id").withColumnRenamed("features", "vf")
     return pairs.join(u, "user_id").join(i, "item_id").select("user_id", "item_id", dot("uf", "vf").alias("score"))
@@ -70,12 +90,42 @@ def components_for(variance: DataFrame, share: float = 0.95) -> DataFrame:
     return variance.filter(F.col("cumulative") >= share).agg(F.min("component").alias("k"))
 
 
+#: Queries and items that one task compares at once.
+QUERY_ROWS, ITEM_ROWS = 4096, 16384
+
+
+def _dealt(rows: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+    """Rows dealt to n parts of their own, once for each of the other side's m parts."""
+    return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+
 def similar_items(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 4) -> DataFrame:
-    """The k items with the highest rounded cosine; queries are a stated, bounded set and are broadcast in blocks of rows."""
-    q = queries.select(F.col("item_id").alias("query_id"), normalized("vector").alias("qv"))
-    v = vectors.select("item_id", normalized("vector").alias("v"))
-    scored = v.crossJoin(F.broadcast(q)).filter("item_id <> query_id").select("query_id", "item_id", F.round(dot("qv", "v"), digits).alias("cosine"))
-    return top_per_group(scored, ["query_id"], [F.desc("cosine"), F.asc("item_id")], k)
+    """The k items with the highest rounded cosine for each of a stated set of queries.
+
+    Parts of the queries meet parts of the items, a pair of parts a task: a matrix product gives all cosines, of which each
+    query's k best go on. Nothing is broadcast; what moves is the items once for every QUERY_ROWS queries.
+    """
+    q = queries.select(F.col("item_id").alias("query_id"), normalized("vector").alias("qv")).filter("qv IS NOT NULL")
+    v = vectors.select(F.col("item_id").alias("item_id"), normalized("vector").alias("v")).filter("v IS NOT NULL")
+    n_q, n_v = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_ROWS), (vectors, ITEM_ROWS)))
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left) and len(right):
+            right = right.sort_by("item_id")  # among equal cosines the first is the one with the smaller id
+            (qi, qm), (vi, vm) = ((t.column(i).to_numpy(), np.array(t.column(x).to_pylist(), float)) for t, i, x in ((left, "query_id", "qv"), (right, "item_id", "v")))
+            cosines = np.round(qm @ vm.T, digits) + 0.0
+            for i, row in enumerate(cosines):
+                free = np.flatnonzero(vi != qi[i])
+                if len(free) > 4 * k:
+                    free = free[row[free] >= np.partition(row[free], len(free) - k)[len(free) - k]]
+                best = free[np.argsort(-row[free], kind="stable")[:k]]
+                out.append((np.full(len(best), qi[i]), vi[best], row[best]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "item_id", "cosine"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+    met = _dealt(q, "query_id", "qp", n_q, "vp", n_v).groupBy("qp", "vp").cogroup(_dealt(v, "item_id", "vp", n_v, "qp", n_q).groupBy("qp", "vp")).applyInArrow(solve, "query_id long, item_id long, cosine double")
+    return top_per_group(met, ["query_id"], [F.desc("cosine"), F.asc("item_id")], k)
 
 
 def embedding_neighbours(vectors: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -124,9 +174,14 @@ def scoring_frame(candidates: DataFrame, user_features: DataFrame, item_features
     return out.drop("catalogid").na.fill(0)
 
 
-def train_ranker(frame: DataFrame, features: list[str], label: str = "target", rounds: int = 20, depth: int = 4, seed: int = 42) -> PipelineModel:
-    """Gradient-boosted trees on the logistic loss: what ranks candidates."""
+def train_ranker(frame: DataFrame, features: list[str], label: str = "target", rounds: int = 50, depth: int = 6, seed: int = 42, validation: str | None = None, tolerance: float = 0.01) -> PipelineModel:
+    """Gradient-boosted trees on the logistic loss: what ranks candidates.
+
+    validation: a boolean column that marks rows to validate on; training stops when a round gains them less than tolerance.
+    """
     gbt = GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=seed)
+    if validation:
+        gbt = gbt.setParams(validationIndicatorCol=validation, validationTol=tolerance)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), gbt]).fit(frame)
 
 
@@ -134,6 +189,15 @@ def predict(model: PipelineModel, frame: DataFrame) -> DataFrame:
     return model.transform(frame).withColumn("score", vector_to_array("probability")[1])
 
 
+def marked(frame: DataFrame, features: list[str]) -> DataFrame:
+    """Rows by target, and how many of them lack some feature."""
+    missing = None
+    for c in features:
+        lacks = F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+        missing = lacks if missing is None else missing | lacks
+    return frame.groupBy("target").agg(F.count("*").alias("rows"), F.count_if(missing).alias("lacking"))
+
+
 def importances(model: PipelineModel, features: list[str], spark, k: int = 20) -> DataFrame:
     values = model.stages[-1].featureImportances
     return spark.createDataFrame([(f, float(values[i])) for i, f in enumerate(features)], "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(k)
@@ -164,7 +228,3 @@ def ndcg_grouped(scored: DataFrame, k: int = 100, fast: bool = False) -> DataFra
 
 def uniqueness(recs: DataFrame) -> DataFrame:
     return recs.agg(F.round(100.0 * F.countDistinct("item_id") / F.count("*"), 6).alias("uniqueness"))
-
-
-def cosine(a: str, b: str):
-    return dot(a, b) / (norm(a) * norm(b))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkreco.functions import scalar as S
 from sparkreco.operators import candidates as C
 from sparkreco.operators import clean, learning, reports, signals, sinks
+from sparkreco.operators.recommender import FEATURES, Recommender
 from sparkreco.plans.frames import Frames
 from sparkreco.plans.prelude import filled, first_seen, sql
 from sparkreco.sources import tables
@@ -157,7 +158,7 @@ def action_weights(f):
 
 @query(sql("SELECT item_id, CAST(dense_rank() OVER (ORDER BY itemname) - 1 AS INTEGER) AS code FROM i"))
 def factorized_names(f):
-    return S.factorized(f.items.select("item_id", "itemname"), "itemname").select("item_id", "code")
+    return learning.factorized(f.items.select("item_id", "itemname"), "itemname").select("item_id", "code")
 
 
 @query(sql("SELECT user_id, round(user_sum, 6) AS user_sum, CAST(0 AS DOUBLE) AS missing_feature FROM uf"))
@@ -291,13 +292,15 @@ def covis_features(f):
     return signals.covisit_features(f.recents.select("user_id", "item_id"), f.history, f.pairs)
 
 
-@query(sql("""SELECT c.user_id, c.item_id, coalesce(p.n, 0) AS item_pop, coalesce(cp.n, 0) AS cat_pop, coalesce(ua.n, 0) AS user_activity, coalesce(ua.m, 0) AS user_unique_items, coalesce(ua.r, 999) AS user_recency, coalesce(ui.n, 0) AS user_item_count, coalesce(ui.r, 999) AS user_item_days_ago
+@query(sql("""SELECT c.user_id, c.item_id, coalesce(p.n, 0) AS item_pop, coalesce(cp.n, 0) AS cat_pop, coalesce(ua.n, 0) AS user_activity, coalesce(ua.m, 0) AS user_unique_items, coalesce(ua.r, 999) AS user_recency, coalesce(ui.n, 0) AS user_item_count, coalesce(ui.r, 999) AS user_item_days_ago,
+  coalesce(cv.hi, 0) AS covis_max, CAST(coalesce(cv.s, 0) AS BIGINT) AS covis_sum, coalesce(cv.n, 0) AS covis_count
   FROM rec c LEFT JOIN i USING (item_id) LEFT JOIN (SELECT item_id, count(*) AS n FROM o GROUP BY 1) p USING (item_id) LEFT JOIN (SELECT catalogid, count(*) AS n FROM o JOIN i USING (item_id) GROUP BY 1) cp ON cp.catalogid = i.catalogid
   LEFT JOIN (SELECT user_id, count(*) AS n, count(DISTINCT item_id) AS m, CAST(floor((epoch_us((SELECT max(created_timestamp) FROM o)) - epoch_us(max(created_timestamp))) / CAST(86400000000 AS DOUBLE)) AS BIGINT) AS r FROM o GROUP BY 1) ua ON ua.user_id = c.user_id
-  LEFT JOIN (SELECT user_id, item_id, count(*) AS n, CAST(floor((epoch_us((SELECT max(created_timestamp) FROM o)) - epoch_us(max(created_timestamp))) / CAST(86400000000 AS DOUBLE)) AS BIGINT) AS r FROM o GROUP BY 1, 2) ui ON ui.user_id = c.user_id AND ui.item_id = c.item_id"""))
+  LEFT JOIN (SELECT user_id, item_id, count(*) AS n, CAST(floor((epoch_us((SELECT max(created_timestamp) FROM o)) - epoch_us(max(created_timestamp))) / CAST(86400000000 AS DOUBLE)) AS BIGINT) AS r FROM o GROUP BY 1, 2) ui ON ui.user_id = c.user_id AND ui.item_id = c.item_id
+  LEFT JOIN (SELECT rec.user_id, rec.item_id, max(weight) AS hi, sum(weight) AS s, count(*) AS n FROM rec JOIN (SELECT DISTINCT user_id, item_id AS item_y FROM o) h USING (user_id) JOIN cov ON cov.item_x = rec.item_id AND cov.item_y = h.item_y GROUP BY 1, 2) cv ON cv.user_id = c.user_id AND cv.item_id = c.item_id"""))
 def pair_features(f):
     out = signals.pair_features(f.recents.select("user_id", "item_id"), f.orders, f.items, f.pairs)
-    return out.select("user_id", "item_id", "item_pop", "cat_pop", "user_activity", "user_unique_items", "user_recency", "user_item_count", "user_item_days_ago")
+    return out.select("user_id", "item_id", "item_pop", "cat_pop", "user_activity", "user_unique_items", "user_recency", "user_item_count", "user_item_days_ago", "covis_max", "covis_sum", "covis_count")
 
 
 @query(sql("SELECT user_id, catalogid, round(sum(weight), 6) AS weight FROM uiw JOIN i USING (item_id) GROUP BY 1, 2"))
@@ -368,7 +371,7 @@ def feature_sanity(f):
     return reports.non_zero(f.user_features, ["user_sum", "user_orders_count"])
 
 
-@query(sql('SELECT (SELECT max(epoch_us(created_timestamp)) FROM tr) AS train_last_us, (SELECT min(epoch_us(created_timestamp)) FROM te) AS test_first_us, CAST(1 AS INTEGER) AS disjoint'))
+@query(sql('SELECT (SELECT max(epoch_us(created_timestamp)) FROM tr) AS train_last_us, (SELECT min(epoch_us(created_timestamp)) FROM te) AS test_first_us, CAST((SELECT max(created_timestamp) FROM tr) < (SELECT min(created_timestamp) FROM te) AS INTEGER) AS disjoint'))
 def split_overlap(f):
     return reports.overlap(f.train, f.test, "created_timestamp")
 
@@ -576,8 +579,7 @@ def ann_candidates(f):
 
 @query(sql("SELECT user_id, item_id, pos FROM mf", *_RECENT_FULL, *_COVIS_FULL, *_ANN, "ms AS (SELECT user_id, item_id, 0 AS p1, pos AS p2 FROM rl UNION ALL SELECT user_id, item_id, 1, pos FROM cl UNION ALL SELECT user_id, item_id, 2, pos FROM al WHERE user_id IN (SELECT user_id FROM usr))", first_seen("ms", "p1, p2", "ml", 100), filled("ml", 100, "mf")))
 def merged_candidates(f):
-    empty = f.popular.limit(0)
-    return C.merge_lists([C.recent_candidates(f.events, f.users, empty, 30, K), C.covis_candidates(f.history, f.pairs, f.users, empty, 10, K), _ann(f).join(f.users, "user_id", "left_semi")], f.users, f.popular, K)
+    return C.merge_lists([C.recent_lists(f.events, f.users, 30, K), C.covis_lists(f.history, f.pairs, f.users, 10, K), _ann(f).join(f.users, "user_id", "left_semi")], f.users, f.popular, K)
 
 
 _COLD_USERS = "cu AS (SELECT user_id FROM usr WHERE user_id NOT IN (SELECT user_id FROM rec GROUP BY 1 HAVING count(*) >= 3))"
@@ -788,15 +790,92 @@ def ndcg_fast(f):
     return learning.ndcg_grouped(_labelled(f), 3, fast=True)
 
 
-# models: rows only
+# inference: candidates, features, model, ranking, submission
+
+_CAND = "cand AS (SELECT user_id, item_id, min(pos) AS pos FROM (SELECT user_id, item_id, pos FROM warm UNION ALL SELECT user_id, item_id, pos FROM cold) GROUP BY 1, 2)"
+
+
+def _candidates(f):
+    return _warm(f).unionByName(C.cold_candidates(_cold_users(f), f.popular, f.n_popular)).groupBy("user_id", "item_id").agg(F.min("pos").alias("pos"))
+
+
+def _recommender(f):
+    past = f.interactions.groupBy("user_id", "item_id").agg(F.sum("weight").alias("past_weight"), F.count("*").alias("past_events"))
+    return Recommender(f.user_features, f.item_features, past, f.popular.select("item_id", "pop_rank"))
+
+
+@query(sql("""SELECT cand.user_id, cand.item_id, pos, round(coalesce(p.w, 0), 6) AS past_weight, coalesce(p.n, 0) AS past_events, coalesce(user_count, 0) AS user_count, round(coalesce(user_mean, 0), 6) AS user_mean,
+  coalesce(item_count, 0) AS item_count, round(coalesce(item_mean, 0), 6) AS item_mean, coalesce(item_orders_count, 0) AS item_orders_count
+  FROM cand LEFT JOIN (SELECT user_id, item_id, sum(weight) AS w, count(*) AS n FROM inter GROUP BY 1, 2) p ON p.user_id = cand.user_id AND p.item_id = cand.item_id
+  LEFT JOIN uf ON uf.user_id = cand.user_id LEFT JOIN itf ON itf.item_id = cand.item_id""", *_WARM, _COLD, _CAND))
+def inference_frame(f):
+    out = _recommender(f).frame(_candidates(f))
+    r = lambda c: F.round(c, 6).alias(c)
+    return out.select("user_id", "item_id", "pos", r("past_weight"), "past_events", "user_count", r("user_mean"), "item_count", r("item_mean"), "item_orders_count")
+
+
+@query()
+def inference(f):
+    """From the tables to the submission; its candidates and features are those of inference_frame, its model is trained here."""
+    model = _recommender(f).train(f.train, f.interactions)
+    return sinks.submission(model.recommend(_candidates(f), f.users, K))
 
-FEATURES = ["past_weight", "past_events", "user_count", "user_sum", "user_mean", "user_max", "user_min", "user_orders_count", "item_count", "item_sum", "item_mean", "item_max", "item_min", "item_orders_count"]
 
+@query()
+def validation_ndcg(f):
+    """The trained model on the users that validate."""
+    model = _recommender(f).train(f.train, f.interactions)
+    whole = learning.training_set(f.train, f.interactions, f.user_features, f.item_features)
+    return model.evaluate(clean.hash_split(whole).filter("is_train = 0"))
+
+
+_EXPLORED = (
+    "ex AS (SELECT user_id, item_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY (item_id * 7919 + (user_id % 1000) * 104729) % 1000003, item_id) AS INTEGER) AS rank FROM usr, (SELECT item_id FROM i EXCEPT SELECT item_id FROM pop WHERE pop_rank < 500) QUALIFY rank <= 100)",
+    "xs AS (SELECT user_id, item_id, CASE WHEN pos <= 90 THEN 0 ELSE 2 END AS prio, pos AS p1 FROM fin UNION ALL SELECT user_id, item_id, 1, rank FROM ex WHERE rank <= 10 AND NOT EXISTS (SELECT 1 FROM fin WHERE fin.user_id = ex.user_id AND fin.item_id = ex.item_id))",
+    first_seen("xs", "prio, p1", "xl", 100),
+)
+
+
+@query(sql("SELECT user_id, item_id, pos FROM xl", *_FINAL, *_EXPLORED))
+def explored(f):
+    return C.explore(_final(f), C.spread_sample(f.users, C.long_tail(f.items, f.popular), K), K)
+
+
+_SAME = "sl AS (SELECT user_id, list_sort(list(item_id)) AS items FROM rec GROUP BY 1 HAVING count(*) = 5), sm AS (SELECT user_id, min(user_id) OVER (PARTITION BY items) AS other_id FROM sl), sim AS (SELECT user_id, other_id FROM sm WHERE other_id < user_id)"
+
+
+@query(sql("SELECT user_id, item_id, pos FROM fin WHERE user_id NOT IN (SELECT user_id FROM sim) UNION ALL SELECT sim.user_id, item_id, pos FROM sim JOIN fin ON fin.user_id = sim.other_id", *_FINAL, _SAME))
+def reused_lists(f):
+    return C.reuse_lists(_final(f), C.same_recents(f.recents))
+
+
+@query(sql("SELECT u.idx AS user_idx, v.idx AS item_idx, round(sum(weight), 6) AS weight FROM inter JOIN (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS idx FROM (SELECT DISTINCT user_id FROM inter)) u USING (user_id) JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id FROM inter)) v USING (item_id) GROUP BY 1, 2"))
+def indexed_weights(f):
+    weights = signals.user_item_weights(f.interactions)
+    out = learning.indexed(weights, learning.id_index(weights, "user_id"), learning.id_index(weights, "item_id"))
+    return out.select(F.col("user_id").cast("long").alias("user_idx"), F.col("item_id").cast("long").alias("item_idx"), F.round("weight", 6).alias("weight"))
+
+
+@query(sql("SELECT user_id, item_id, coalesce(epoch_us(TRY_CAST(CASE WHEN item_id % 7 = 0 THEN 'soon' ELSE strftime(created_timestamp, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP)), -1) AS ts_us FROM x_orders"))
+def coerced_times(f):
+    text = F.when(F.col("item_id") % 7 == 0, F.lit("soon")).otherwise(F.date_format("created_timestamp", "yyyy-MM-dd HH:mm:ss"))
+    return f.raw.orders.select("user_id", "item_id", text.alias("text")).select("user_id", "item_id", F.coalesce(F.unix_micros(S.parse_time("text")), F.lit(-1)).alias("ts_us"))
+
+
+@query(sql("SELECT target, count(*) AS rows, CAST(0 AS BIGINT) AS lacking FROM tr GROUP BY 1"))
+def target_counts(f):
+    return learning.marked(learning.training_set(f.train, f.interactions, f.user_features, f.item_features), FEATURES)
+
+
+# models: rows only
 
 @query()
 def als_recs(f):
-    model = learning.factorize(signals.user_item_weights(f.interactions).select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), "weight"), rank=16)
-    return learning.factor_scores(model, f.recents.select("user_id", "item_id"))
+    model, users, items = learning.factorize_ids(signals.user_item_weights(f.interactions))
+    asked = f.recents.select("user_id", "item_id", F.col("user_id").alias("user"), F.col("item_id").alias("item"))
+    scores = learning.factor_scores(model, learning.indexed(asked, users, items))
+    names = [t.select(F.col("idx").cast("int").alias(c), F.col(c).alias(f"__{c}")) for t, c in ((users, "user_id"), (items, "item_id"))]
+    return scores.join(names[0], "user_id").join(names[1], "item_id").select(F.col("__user_id").alias("user_id"), F.col("__item_id").alias("item_id"), "score")
 
 
 @query()
@@ -813,7 +892,7 @@ def pca_variance(f):
 
 def _trained(f):
     frame = learning.training_set(f.train, f.interactions, f.user_features, f.item_features)
-    return learning.train_ranker(frame, FEATURES, rounds=10), frame
+    return _recommender(f).train(f.train, f.interactions).model, frame
 
 
 @query()

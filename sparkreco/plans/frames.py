@@ -75,8 +75,9 @@ class Frames:
         return signals.ranked_items(counts).persist()
 
     @cached_property
-    def n_popular(self) -> int:
-        return self.delivered.select("item_id").distinct().count()
+    def n_popular(self) -> DataFrame:
+        """One row: how many items have a rank."""
+        return self.popular.agg(F.count("*").cast("int").alias("n"))
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -84,7 +85,7 @@ class Frames:
 
     @cached_property
     def history(self) -> DataFrame:
-        return C.history_of(self.events)
+        return C.history_of(self.events).persist()
 
     @cached_property
     def recents(self) -> DataFrame:

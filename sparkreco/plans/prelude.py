@@ -32,7 +32,7 @@ vw AS (SELECT * FROM t WHERE action_type = 'page_view'),
 ue AS (SELECT user_id, item_id, created_timestamp AS "timestamp", 'purchase' AS event_type FROM o UNION ALL SELECT user_id, item_id, "timestamp", 'click' FROM t),
 usr AS (SELECT DISTINCT user_id FROM x_test_users),
 pop AS (SELECT item_id, n AS score, CAST(row_number() OVER (ORDER BY n DESC, item_id) - 1 AS INTEGER) AS pop_rank
-  FROM (SELECT item_id, count(*) AS n FROM d GROUP BY 1) QUALIFY pop_rank < 2000),
+  FROM (SELECT item_id, count(*) AS n FROM d GROUP BY 1)),
 ses AS (SELECT DISTINCT user_id, CAST("timestamp" AS DATE) AS day, item_id FROM ue WHERE "timestamp" >= (SELECT max("timestamp") FROM ue) - INTERVAL 60 DAY),
 cov AS (SELECT a.item_id AS item_x, b.item_id AS item_y, count(*) AS weight FROM ses a JOIN ses b ON a.user_id = b.user_id AND a.day = b.day AND a.item_id <> b.item_id
   GROUP BY 1, 2 ORDER BY weight DESC, 1, 2 LIMIT 2000000),

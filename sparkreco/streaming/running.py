@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkreco.operators.learning import factorize_ids
+
 
 def running_weights(events: DataFrame) -> DataFrame:
     """Summed weight of each user and item, for update mode."""
@@ -25,18 +27,34 @@ def recent_per_user(events: DataFrame, n: int = 5) -> DataFrame:
     """Each user's n items with the latest events; the state holds n pairs a user."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = dict(zip(*state.get, strict=True)) if state.exists else {}
-        for f in frames:
-            for item, at in zip(f["item_id"], f["timestamp"].astype("datetime64[us]").astype("int64"), strict=True):
-                best[item] = max(best.get(item, at), at)
-            best = dict(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:n])
-        state.update((list(best), [int(x) for x in best.values()]))
-        yield pd.DataFrame({"user_id": [key[0]], "items": [list(best)]})
+        old = [pd.DataFrame(dict(zip(("item_id", "at"), state.get, strict=True)))] if state.exists else []
+        new = [pd.DataFrame({"item_id": f["item_id"], "at": f["timestamp"].astype("datetime64[us]").astype("int64")}) for f in frames]
+        latest = pd.concat(old + new).groupby("item_id", as_index=False)["at"].max()
+        best = latest.sort_values(["at", "item_id"], ascending=[False, True]).head(n)
+        state.update((best["item_id"].tolist(), best["at"].tolist()))
+        yield pd.DataFrame({"user_id": [key[0]], "items": [best["item_id"].tolist()]})
 
     own = events.select("user_id", "item_id", "timestamp")
     return own.groupBy("user_id").applyInPandasWithState(update, "user_id long, items array<long>", "items array<long>, at array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
+def refit_factors(history: str, rank: int = 64) -> Callable[[DataFrame, int], None]:
+    """For refit_each_batch: a batch's weights (user_id, item_id, weight) join the history folder, and the factors are fitted anew on all of it.
+
+    A batch that comes again after a failure overwrites its own subfolder, so no weight counts twice. The factors of batch k stand in
+    history/factors/k.
+    """
+
+    def fit(batch: DataFrame, number: int) -> None:
+        batch.select("user_id", "item_id", "weight").write.mode("overwrite").parquet(f"{history}/weights/batch={number}")
+        every = batch.sparkSession.read.parquet(f"{history}/weights").groupBy("user_id", "item_id").agg(F.sum("weight").alias("weight"))
+        model, users, items = factorize_ids(every, rank=rank)
+        for name, factors, ids in (("user", model.userFactors, users), ("item", model.itemFactors, items)):
+            factors.join(ids.withColumn("id", F.col("idx").cast("int")), "id").select(f"{name}_id", "features").write.mode("overwrite").parquet(f"{history}/factors/{number}/{name}")
+
+    return fit
+
+
 def refit_each_batch(events: DataFrame, fit: Callable[[DataFrame, int], object], checkpoint: str) -> StreamingQuery:
     """Calls fit with each batch of what has come."""
     return events.writeStream.foreachBatch(fit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

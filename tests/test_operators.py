@@ -41,7 +41,7 @@ def test_popularity_list_has_all_items(spark):
     f.delivered = spark.range(5000).select(F.col("id").alias("item_id"), F.explode(F.sequence(F.lit(0), F.col("id") % 3)).alias("n")).drop("n")
     want = sorted(range(5000), key=lambda i: (-(i % 3), i))
     assert [r["item_id"] for r in f.popular.orderBy("pop_rank").collect()] == want
-    assert sorted(r["pop_rank"] for r in f.popular.collect()) == list(range(5000)) and f.n_popular == 5000
+    assert sorted(r["pop_rank"] for r in f.popular.collect()) == list(range(5000)) and f.n_popular.first()["n"] == 5000
     users = spark.createDataFrame([(19,), (49,)], "user_id long")
     assert _lists(C.cold_candidates(users, f.popular, f.n_popular)) == {19: want[2280:2520], 49: want[:240]}  # 49 starts beyond the end
     assert _lists(C.segment_popular(users, f.popular, f.n_popular)) == {19: want[4750:4850], 49: want[2250:2350]}
@@ -200,7 +200,7 @@ def test_scalars(spark):
     v = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0])], "a array<float>, b array<float>")
     row = v.select(S.dot("a", "b").alias("d"), S.norm("a").alias("n"), S.normalized("a").alias("u"), S.resized(F.col("a"), 3).alias("r")).first()
     assert (row["d"], row["n"], row["u"], row["r"]) == (3.0, 5.0, [0.6, 0.8], [3.0, 4.0, 0.0])
-    codes = S.factorized(spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "c string"), "c")
+    codes = learning.factorized(spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "c string"), "c")
     assert {(r["c"], r["code"]) for r in codes.collect()} == {(None, 0), ("a", 1), ("b", 2)}
 
 
@@ -258,6 +258,60 @@ def test_streaming_states(spark, tmp_path):
     assert {(r["user_id"], r["item_id"]): r["weight"] for r in spark.table("sums").collect()} == {(1, 5): 3.0, (1, 6): 9.0, (2, 5): 4.0}
     assert {r["user_id"]: r["items"] for r in spark.table("recent").collect()} == {1: [6], 2: [5]}
     seen = []
+    weighted = stream.withColumn("weight", F.lit(1.0))
+    running.refit_each_batch(weighted, running.refit_factors(f"{tmp_path}/history", rank=2), f"{tmp_path}/factors").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/history/factors/0/user").count() == spark.read.parquet(f"{tmp_path}/history/weights").select("user_id").distinct().count()
     query = running.refit_each_batch(stream, lambda df, k: seen.append(df.count()), f"{tmp_path}/refit")
     query.awaitTermination()
     assert sum(seen) == 4
+
+
+def test_recommender_round_trip(spark, tmp_path):
+    from sparkreco.operators.recommender import Recommender
+
+    users = spark.createDataFrame([(u, float(u % 4)) for u in range(12)], "user_id long, user_mean double")
+    items = spark.createDataFrame([(i, float(i % 3)) for i in range(6)], "item_id long, item_mean double")
+    past = spark.createDataFrame([(1, 1, 2.0, 1)], "user_id long, item_id long, past_weight double, past_events long")
+    own = Recommender(users, items, past, _pop(spark, 6), features=["past_weight", "user_mean", "item_mean"])
+    orders = _orders(spark, [(u, i, f"2024-01-0{1 + i} 00:00:00", "delivered_orders" if (u + i) % 2 else "canceled_orders") for u in range(12) for i in range(6)]).withColumn("target", (F.col("last_status") == "delivered_orders").cast("int"))
+    events = spark.createDataFrame([(1, 1, 2.0, "2023-12-01")], "user_id long, item_id long, weight double, t string").select("user_id", "item_id", "weight", F.col("t").cast(TS).alias("timestamp"))
+    trained = own.train(orders, events, rounds=2, depth=2)
+    trained.save(f"{tmp_path}/model")
+    again = Recommender.load(spark, f"{tmp_path}/model")
+    candidates = spark.createDataFrame([(u, i, i + 1) for u in (1, 2) for i in range(4)], "user_id long, item_id long, pos int")
+    asked = spark.createDataFrame([(1,), (2,), (7,)], "user_id long")
+    lists = [sorted(map(tuple, r.recommend(candidates, asked, 5).select("user_id", "pos", "item_id").collect())) for r in (trained, again)]
+    assert lists[0] == lists[1] and len(lists[0]) == 15 and [p for u, p, _ in lists[0] if u == 1] == [1, 2, 3, 4, 5]
+    stored = trained.frame(candidates).withColumn("target", (F.col("item_id") == 2).cast("int"))
+    sinks.write_table(stored, f"{tmp_path}/validation")
+    found = again.evaluate(spark.read.parquet(f"{tmp_path}/validation")).first()
+    assert 0 < found["ndcg"] <= 1 and found["users"] == 2
+    sinks.write_table(stored.limit(1), f"{tmp_path}/validation", mode="ignore")
+    assert spark.read.parquet(f"{tmp_path}/validation").count() == 8
+
+
+def test_lists_of_users_with_the_same_recents(spark):
+    rows = [(u, i) for u, items in {1: [1, 2, 3], 2: [3, 2, 1], 3: [1, 2], 4: [1, 2, 3], 5: [1, 2, 4]}.items() for i in items]
+    similar = C.same_recents(spark.createDataFrame(rows, "user_id long, item_id long"), 3)
+    assert {tuple(r) for r in similar.select("user_id", "other_id").collect()} == {(2, 1), (4, 1)}
+    recs = spark.createDataFrame([(1, 7, 1), (2, 8, 1), (4, 9, 1), (5, 6, 1)], "user_id long, item_id long, pos int")
+    assert {(r["user_id"], r["item_id"]) for r in C.reuse_lists(recs, similar).collect()} == {(1, 7), (2, 7), (4, 7), (5, 6)}
+
+
+def test_factors_of_wide_ids_and_a_stored_projection(spark, tmp_path):
+    far = 1 << 60
+    weights = spark.createDataFrame([(far + u, far - i, float(1 + u * i)) for u in range(4) for i in range(3)], "user_id long, item_id long, weight double")
+    model, users, items = learning.factorize_ids(weights, rank=2)
+    assert learning.factor_scores(model, learning.indexed(weights, users, items)).count() == 12
+    vectors = spark.createDataFrame([(i, [float(i), float(i * i % 5), 1.0 / (1 + i)]) for i in range(8)], "item_id long, vector array<double>")
+    pca = learning.fit_pca(vectors, 2)
+    sinks.save_artifacts(f"{tmp_path}/a", {}, {"pca": pca})
+    stored = sinks.load_artifacts(spark, f"{tmp_path}/a")[1]["pca"]
+    new = spark.createDataFrame([(9, [2.0, 1.0, 0.5])], "item_id long, vector array<double>")
+    assert learning.project(stored, new).first()["vector"] == learning.project(pca, new).first()["vector"]
+
+
+def test_arrays_and_times(spark):
+    df = spark.createDataFrame([([1, 2, 3], [5, 3, 4], "2024-01-02 03:04:05"), ([], [1], "soon")], "a array<int>, b array<int>, t string")
+    got = df.select(S.merged_arrays("a", "b", 4).alias("m"), S.parse_time("t").isNull().alias("bad")).collect()
+    assert [(r["m"], r["bad"]) for r in got] == [([4, 3, 5, 1], False), ([1], True)]
