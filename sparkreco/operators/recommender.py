@@ -34,10 +34,8 @@ class Recommender:
         """Learns which orders are delivered; the users that the hash split leaves out validate."""
         whole = learning.training_set(orders, interactions, self.user_features, self.item_features)
         # every round reads the frame again
-        split = clean.hash_split(whole).withColumn("validates", F.col("is_train") == 0).select("target", "validates", *self.features).persist()
-        model = learning.train_ranker(split, self.features, rounds=rounds, depth=depth, validation="validates")
-        split.unpersist()
-        return replace(self, model=model)
+        split = clean.hash_split(whole).withColumn("validates", F.col("is_train") == 0).select("target", "validates", *self.features)
+        return replace(self, model=learning.train_ranker(sinks.stage(split, "training-set"), self.features, rounds=rounds, depth=depth, validation="validates"))
 
     def score(self, frame: DataFrame) -> DataFrame:
         return learning.predict(self.model, frame)
@@ -50,9 +48,9 @@ class Recommender:
     def recommend(self, candidates: DataFrame, users: DataFrame, k: int = 100) -> DataFrame:
         """Each user's k best candidates (user_id, item_id, pos) by score, filled up by popularity: (user_id, item_id, pos)."""
         first = candidates.groupBy("user_id", "item_id").agg(F.min("pos").alias("pos"))
+        scored = self.score(self.frame(first)).select("user_id", "item_id", "pos", F.round("score", 9).alias("score"))
         # the ranking reads the scores several times
-        scored = self.score(self.frame(first)).select("user_id", "item_id", "pos", F.round("score", 9).alias("score")).persist()
-        return C.final_ranking(scored, users, self.popular, k)
+        return C.final_ranking(sinks.stage(scored, "scores"), users, self.popular, k)
 
     def save(self, folder: str) -> None:
         tables = {"user_features": self.user_features, "item_features": self.item_features, "past": self.past, "popular": self.popular}

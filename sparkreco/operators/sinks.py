@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,23 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", rows_per_file
     (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).parquet(path)
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder that spark.checkpoint.dir names, and read back: later plans start from the files.
+
+    Only a local session without that setting gets a folder of its own; on a cluster executors would not see each other's.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='sparkreco-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def submission(recs: DataFrame) -> DataFrame:
     """One row a user, the items joined by blanks in their order."""
     listed = recs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pos", "item_id"))).alias("l"))

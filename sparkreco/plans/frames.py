@@ -19,6 +19,8 @@ from sparkreco.sources.tables import Retail
 
 class Frames:
     def __init__(self, spark: SparkSession, folder: str):
+        # a union that takes over its inputs' partitioning fails where adaptive execution has merged one input's partitions
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
         self.spark, self.raw = spark, Retail(spark, folder)
 
     @cached_property
