@@ -1,7 +1,7 @@
 """Shared storage for intermediate tables.
 
 Lineage is cut with Parquet tables in the folder that the cluster names in spark.checkpoint.dir; only where that is
-unset (tests, local runs) is a folder of our own used. Nothing is kept on an executor's own disk, so a lost executor
+unset in a local session (tests) is a folder of our own used; a cluster without it is refused. Nothing is kept on an executor's own disk, so a lost executor
 costs a re-read and never a result.
 """
 
@@ -18,6 +18,8 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = f"file://{tempfile.gettempdir()}/sparkreco-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
@@ -41,4 +43,4 @@ def _clean() -> None:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001  the session is gone; the cluster's own retention applies
-            return
+            continue
