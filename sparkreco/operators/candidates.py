@@ -35,17 +35,32 @@ def first_occurrences(df: DataFrame, order: list[str], k: int | None = None) ->
     return out.filter(F.col("pos") <= k) if k else out
 
 
+def listed(lists: DataFrame) -> DataFrame:
+    """(user_id, own): each user's list in one row, by pos. For lists that are cut to a length before."""
+    return lists.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pos", "item_id"))).getField("item_id").alias("own"))
+
+
+def unlisted(own: DataFrame) -> DataFrame:
+    """The rows of `listed` as (user_id, item_id, pos) again."""
+    return own.select("user_id", F.posexplode("own").alias("at", "item_id")).select("user_id", "item_id", (F.col("at") + 1).cast("int").alias("pos"))
+
+
+def head_of(popular: DataFrame, k: int) -> DataFrame:
+    """One row (head): the items of the ranks 0 to k - 1 in this order; null at a rank that popular doesn't have."""
+    ranks = popular.filter(F.col("pop_rank") < k).agg(F.map_from_entries(F.collect_list(F.struct("pop_rank", "item_id"))).alias("m"))
+    return ranks.select(F.expr(f"transform(sequence(0, {k - 1}), r -> try_element_at(m, r))").alias("head"))
+
+
 def fill_up(lists: DataFrame, users: DataFrame, popular: DataFrame, k: int) -> DataFrame:
     """Lists of at most k items, filled with popular items that aren't in them; popular: (item_id, pop_rank from 0).
 
-    A list of n items leaves k - n places, and at most n of the first k popular items are in it: the first k suffice.
+    A list of n items leaves k - n places, and at most n of the first k popular items are in it: the first k suffice. They are one
+    row, so nothing but the lists moves, and these are partitioned by user already.
     """
-    head = F.broadcast(popular.filter(F.col("pop_rank") < k).select("item_id", "pop_rank"))
-    counts = lists.groupBy("user_id").agg(F.count("*").alias("have"))
-    open_users = users.select("user_id").join(counts, "user_id", "left").na.fill(0, ["have"]).filter(F.col("have") < k)
-    free = open_users.crossJoin(head).join(lists.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    more = ranked(free, ["user_id"], [F.asc("pop_rank")], "nth").select("user_id", "item_id", (F.col("have") + F.col("nth")).cast("int").alias("pos"))
-    return lists.select("user_id", "item_id", "pos").unionByName(more.filter(F.col("pos") <= k))
+    every = users.select("user_id", F.lit(True).alias("open")).distinct().join(listed(lists), "user_id", "full").crossJoin(F.broadcast(head_of(popular, k)))
+    own = F.coalesce("own", F.expr("slice(head, 1, 0)"))
+    places = F.when(F.col("open"), F.greatest(F.lit(k) - F.size(own), F.lit(0))).otherwise(0)
+    return unlisted(every.select("user_id", F.concat(own, F.slice(F.array_except(F.array_compact("head"), own), F.lit(1), places)).alias("own")))
 
 
 def recent_lists(events: DataFrame, users: DataFrame, last_n: int, k: int) -> DataFrame:
@@ -132,13 +147,12 @@ def warm_candidates(users: DataFrame, history: DataFrame, neighbours: DataFrame,
     cats = own.filter("pos <= 20").join(item_category, "item_id").filter("catalogid IS NOT NULL AND catalogid <> 0").groupBy("user_id", "catalogid").agg(F.min("pos").alias("p1"))
     c = cats.join(category_list, "catalogid").select("user_id", "item_id", F.lit(2).alias("prio"), "p1", F.col("nth").alias("p2"))
     first = first_occurrences(a.unionByName(b).unionByName(c), ["prio", "p1", "p2"], size)
-    counts = first.groupBy("user_id").agg(F.count("*").alias("have"))
-    u = users.select("user_id").join(counts, "user_id", "left").na.fill(0, ["have"]).withColumn("needed", (F.lit(size) - F.col("have")).cast("int")).filter("needed > 0")
-    sa = slice_of_popular(u, popular, 50 + F.col("user_id") % 100, F.floor(F.col("needed") / 2)).withColumn("prio", F.lit(3))
-    sb = slice_of_popular(u, popular, 200 + F.col("user_id") % 150, F.col("needed")).withColumn("prio", F.lit(4))
-    more = sa.unionByName(sb).select("user_id", "item_id", "prio", F.col("at").alias("p1"), F.lit(0).alias("p2"))
-    done = first.select("user_id", "item_id", F.lit(-1).alias("prio"), F.col("pos").alias("p1"), F.lit(0).alias("p2"))
-    return first_occurrences(done.unionByName(more), ["prio", "p1", "p2"], size)
+    # ranks from 50 + at most 99 on for half of the places, and from 200 + at most 149 on for all of them
+    u = users.select("user_id").distinct().join(listed(first), "user_id", "left").crossJoin(F.broadcast(head_of(popular, 349 + size)))
+    u = u.withColumn("own", F.coalesce("own", F.expr("slice(head, 1, 0)"))).withColumn("needed", F.lit(size) - F.size("own"))
+    stretches = [F.slice("head", (F.lit(s + 1) + F.col("user_id") % m).cast("int"), n) for s, m, n in [(50, 100, F.expr("needed div 2").cast("int")), (200, 150, F.col("needed"))]]
+    every = F.array_distinct(F.concat("own", *[F.array_compact(s) for s in stretches]))
+    return unlisted(u.select("user_id", F.slice(every, 1, size).alias("own")))
 
 
 def legacy_candidates(history: DataFrame, neighbours: DataFrame, item_category: DataFrame, category_list: DataFrame, popular: DataFrame, users: DataFrame, cap: int = 300) -> DataFrame:
