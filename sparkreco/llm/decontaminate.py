@@ -10,7 +10,7 @@ trigrams of its first half (the question) and of its second half (the answer) st
 whole, and so is an item of fewer than 5 words: its word sequence must stand in the passage.
 
 The index is broadcast; the items are read in shards of at most SHARD_ITEMS, so its size is bounded, and a larger benchmark takes more
-passes. The number of items, their average and largest length and the terms' document frequencies are those of all items, counted once.
+passes. Posting lists and block bounds are sparse: an item takes some 30 bytes a term, a shard of 50-word items some 12 MB. The number of items, their average and largest length and the terms' document frequencies are those of all items, counted once.
 
 Defined cases: null or empty texts match nothing; items without words are not searched for; a null item id is carried along; repeated
 items match each by itself; documents of any id and length are rows of their own; without items nothing is leaked.
@@ -32,9 +32,9 @@ from sparkreco.llm.blocks import text_bytes
 from sparkreco.llm.hashing import span_hashes
 from sparkreco.llm.toxicity import _WORD, slices
 
-SHARD_ITEMS, BLOCK_ITEMS, HALVED_WORDS, K1, B = 1024, 4, 5, 1.2, 0.75
-#: Pairs of a passage and a term whose block bounds are summed up at once.
-PAIRS = 1 << 14
+SHARD_ITEMS, BLOCK_ITEMS, HALVED_WORDS, K1, B = 8192, 4, 5, 1.2, 0.75
+#: Block bounds of passages' terms that are summed up at once, and the sums that they go to.
+BOUNDS, SUMS = 1 << 20, 1 << 20
 LEAKS = "array<struct<item_id: bigint, score: double, question: double, answer: double>>"
 
 
@@ -77,7 +77,10 @@ class Index:
     items: list[np.ndarray]  # posting lists: item numbers in order, and weights
     weights: list[np.ndarray]
     most: np.ndarray  # each term's largest weight
-    block_most: np.ndarray  # [term, block]
+    blocks: int
+    block_at: np.ndarray  # where each term's blocks start, and the end
+    block_no: np.ndarray  # the blocks that have the term
+    block_most: np.ndarray  # the term's largest weight in each of them
     halves: list[tuple]  # of each item, as halves() gives them
     longest: int
 
@@ -116,10 +119,12 @@ def build_index(ids: list, texts: list[str | None], stats: Stats | None = None)
         total[items[t]] += w
         weights.append(w)
     weights = [w / total[i] for w, i in zip(weights, items, strict=True)]
-    block_most = np.zeros((len(terms), -(-len(use) // BLOCK_ITEMS)), np.float32)
-    for t, (i, w) in enumerate(zip(items, weights, strict=True)):
-        np.maximum.at(block_most[t], i // BLOCK_ITEMS, w * (1 + 1e-6))
-    return Index([ids[i] for i in use], terms, items, weights, np.array([w.max() for w in weights]), block_most, [halves(w) for w in words], longest)
+    starts = [np.flatnonzero(np.diff(i // BLOCK_ITEMS, prepend=-1)) for i in items]
+    block_at = np.concatenate([[0], np.cumsum([len(x) for x in starts])]).astype(np.int64)
+    block_no = np.concatenate([np.zeros(0, np.int32), *[(i[x] // BLOCK_ITEMS).astype(np.int32) for i, x in zip(items, starts, strict=True)]])
+    block_most = np.concatenate([np.zeros(0, np.float32), *[(np.maximum.reduceat(w, x) * (1 + 1e-6)).astype(np.float32) for w, x in zip(weights, starts, strict=True)]])
+    most = np.array([w.max() for w in weights])
+    return Index([ids[i] for i in use], terms, items, weights, most, -(-len(use) // BLOCK_ITEMS), block_at, block_no, block_most, [halves(w) for w in words], longest)
 
 
 def wand(index: Index, terms: np.ndarray, blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -127,7 +132,7 @@ def wand(index: Index, terms: np.ndarray, blocks: np.ndarray, threshold: float)
     out = []
     lists = [(index.items[t], index.weights[t], float(index.most[t])) for t in terms]
     at = [0] * len(lists)
-    allowed = np.zeros(index.block_most.shape[1] + 1, bool)
+    allowed = np.zeros(index.blocks + 1, bool)
     allowed[blocks] = True
     while True:
         live = sorted((int(lists[k][0][at[k]]), k) for k in range(len(lists)) if at[k] < len(lists[k][0]))
@@ -163,13 +168,20 @@ def wand(index: Index, terms: np.ndarray, blocks: np.ndarray, threshold: float)
 
 def _reached(index: Index, kind: np.ndarray, starts: np.ndarray, ends: np.ndarray, retrieve: float) -> Iterator[tuple[int, np.ndarray]]:
     """The passages, and of each the blocks, whose bounds reach the threshold."""
+    first, n = index.block_at[kind], np.diff(index.block_at)[kind]
+    before = np.concatenate([[0], np.cumsum(n)])
     k = 0
     while k < len(starts):
-        upto = max(k + 1, int(np.searchsorted(ends, starts[k] + PAIRS, side="right")))
-        bounds = np.add.reduceat(index.block_most[kind[starts[k] : ends[upto - 1]]], starts[k:upto] - starts[k], axis=0)
-        rows, blocks = np.nonzero(bounds >= retrieve)
-        for r in np.unique(rows).tolist():
-            yield k + r, blocks[rows == r]
+        upto = int(np.searchsorted(before[ends], before[starts[k]] + BOUNDS, side="right"))
+        upto = max(k + 1, min(upto, k + SUMS // index.blocks))
+        s, e = starts[k], ends[upto - 1]
+        at = np.repeat(first[s:e] - before[s:e], n[s:e]) + np.arange(before[s], before[e])
+        row = np.repeat(np.repeat(np.arange(upto - k), ends[k:upto] - starts[k:upto]), n[s:e])
+        sums = np.bincount(row * index.blocks + index.block_no[at], weights=index.block_most[at], minlength=(upto - k) * index.blocks)
+        reached = np.flatnonzero(sums >= retrieve)
+        rows, of_row = np.unique(reached // index.blocks, return_index=True)
+        for r, i, j in zip(rows.tolist(), of_row, [*of_row[1:], len(reached)], strict=False):
+            yield k + r, reached[i:j] % index.blocks
         k = upto
 
 

@@ -157,12 +157,31 @@ def test_wand_finds_what_a_full_scan_finds():
         for t in terms:
             scores[index.items[t]] += index.weights[t]
         threshold = rng.choice([0.2, 0.5, 0.8])
-        blocks = np.flatnonzero(index.block_most[terms].sum(0) >= threshold)
-        got = decontaminate.wand(index, terms, blocks, threshold) if len(blocks) else []
+        reached = dict(decontaminate._reached(index, terms, np.array([0]), np.array([len(terms)]), threshold))
+        got = decontaminate.wand(index, terms, reached[0], threshold) if reached else []
         clear = {i for i in range(90) if abs(scores[i] - threshold) > 1e-9 and scores[i] >= threshold}
         assert {i for i, _ in got} >= clear and all(scores[i] >= threshold - 1e-9 for i, _ in got)
 
 
+@pytest.mark.parametrize("at_once", [1, 70, 1 << 20])
+def test_block_bounds_of_many_passages(monkeypatch, at_once):
+    monkeypatch.setattr(decontaminate, "BOUNDS", at_once)
+    monkeypatch.setattr(decontaminate, "SUMS", at_once)
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 12))) for _ in range(50)]
+    index = decontaminate.build_index(list(range(50)), texts)
+    dense = np.zeros((len(index.terms), index.blocks))
+    for t, (items, weights) in enumerate(zip(index.items, index.weights, strict=True)):
+        np.maximum.at(dense[t], items // decontaminate.BLOCK_ITEMS, weights)
+    passages = [sorted(rng.sample(range(len(index.terms)), rng.randrange(1, 30))) for _ in range(30)]
+    ends = np.cumsum([len(p) for p in passages])
+    starts = np.concatenate([[0], ends[:-1]])
+    got = {k: blocks.tolist() for k, blocks in decontaminate._reached(index, np.concatenate(passages), starts, ends, 0.4)}
+    sums = [dense[p].sum(0) for p in passages]
+    assert all(set(got.get(k, [])) >= set(np.flatnonzero(x >= 0.4)) and all(x[b] >= 0.4 - 1e-5 for b in got.get(k, [])) for k, x in enumerate(sums))
+    assert 0 < len(got) and got.keys() <= set(range(30))
+
+
 def _labelled(seed=1, n=400):
     rng = random.Random(seed)
     rows, labels = [], []
