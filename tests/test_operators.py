@@ -131,6 +131,15 @@ def test_cold_candidates_wrap(spark):
         assert got[u] == want[:300]
 
 
+def test_fill_up_edges(spark):
+    lists = spark.createDataFrame([(1, 101, 1), (1, 7, 2), (9, 8, 1)], "user_id long, item_id long, pos int")
+    users = spark.createDataFrame([(1,), (1,), (2,)], "user_id long")
+    assert _lists(C.fill_up(lists, users, _pop(spark, 10), 4)) == {1: [101, 7, 100, 102], 2: [100, 101, 102, 103], 9: [8]}
+    none = _pop(spark, 10).limit(0)
+    assert _lists(C.fill_up(lists, users, none, 4)) == {1: [101, 7], 9: [8]}
+    assert _lists(C.fill_up(lists.limit(0), users.limit(0), _pop(spark, 10), 4)) == {}
+
+
 def test_warm_candidates_order(spark):
     users = spark.createDataFrame([(3,)], "user_id long")
     history = spark.createDataFrame([(3, 1, 1), (3, 2, 2), (3, 99, 3)], "user_id long, item_id long, pos int")
