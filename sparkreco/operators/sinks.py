@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,14 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", rows_per_file
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder that spark.checkpoint.dir names, and read back: later plans start from the files.
 
+    The files go when the session's Python process ends; staged() frees them earlier.
+    """
+    return staged(df, name)[0]
+
+
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """As stage(), and what deletes the files, for after their last read.
+
     Only a local session without that setting gets a folder of its own; on a cluster executors would not see each other's.
     """
     spark = df.sparkSession
@@ -30,7 +41,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STAGED[path] = spark
+    return spark.read.schema(df.schema).parquet(path), lambda: _free(path)
+
+
+_STAGED: dict[str, SparkSession] = {}
+
+
+def _free(path: str) -> None:
+    spark = _STAGED.pop(path, None)
+    if spark is not None:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@atexit.register
+def _free_all() -> None:
+    for path in list(_STAGED):
+        with contextlib.suppress(Exception):  # the session may have ended: the folder is left to the cluster's own retention
+            _free(path)
 
 
 def submission(recs: DataFrame) -> DataFrame:
