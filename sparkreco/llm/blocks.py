@@ -132,10 +132,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 BLOCK_SCHEMA = "block long, n_docs int, n_bytes long, payload binary, extra binary"
 
 
-def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks", block_bytes: int | None = None, flag: Column | None = None, whole_rows: bool = False) -> DataFrame:
+def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks", block_bytes: int | None = None, flag: Column | None = None, whole_rows: bool = False, bucketed: bool = False) -> DataFrame:
     """Pack (id, text, flag) rows into blocks, written to shared storage: block numbers stay the same for every later job.
 
-    whole_rows: all other columns are packed too, and Block.rows() gives them back.
+    whole_rows: all other columns are packed too, and Block.rows() gives them back. bucketed: the files are bucketed by block, so
+    that answers come to the blocks and the blocks don't move again.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +190,7 @@ def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     names = [*(c for c in df.columns if c != text_col), "__null"] if whole_rows else []
     others = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names[:-1])] + [F.col(f"`{text_col}`").isNull().alias("__null")] * whole_rows
     flagged = F.coalesce(F.lit(False) if flag is None else flag, F.lit(False)).alias("__flag")
-    return materialize(df.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), flagged, *others).mapInArrow(pack, BLOCK_SCHEMA), name)
+    return materialize(df.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), flagged, *others).mapInArrow(pack, BLOCK_SCHEMA), name, "block" if bucketed else None)
 
 
 def bucket_count(blocks: DataFrame, total: int = 0, bucket_bytes: int = 4 << 20) -> int:
@@ -237,10 +238,11 @@ def per_block(blocks: DataFrame, answers: DataFrame | None, fn: Callable[[int, B
     return _with_answers(blocks, answers, fn, schema, whole_rows)
 
 
-def exchange(blocks: DataFrame, ask: Ask, answer: Answer, name: str, answers: DataFrame | None = None, summary: Callable[[list[bytes]], bytes] | None = None) -> DataFrame:
+def exchange(blocks: DataFrame, ask: Ask, answer: Answer, name: str, answers: DataFrame | None = None, summary: Callable[[list[bytes]], bytes] | None = None, stored: bool = True) -> DataFrame:
     """One round: ask() of each block (with the answers of an earlier round, if any), answer() of each bucket.
 
-    Returns (block, bucket, answer), written to shared storage; with summary, each bucket also has a row with block -1.
+    Returns (block, bucket, answer), written to shared storage (unless told not to: for answers that are read once); with summary,
+    each bucket also has a row with block -1.
     """
 
     def asks(b: int, block: Block, got: dict[int, bytes]) -> Iterator[pa.Table]:
@@ -256,7 +258,8 @@ def exchange(blocks: DataFrame, ask: Ask, answer: Answer, name: str, answers: Da
         return pa.table({"block": pa.array(who, pa.int64()), "bucket": pa.array([bucket] * len(who), pa.int32()), "answer": pa.array(said, pa.binary())})
 
     requests = _with_answers(blocks, answers, asks, "block long, bucket int, ask binary")
-    return materialize(requests.groupBy("bucket").applyInArrow(answers_of, "block long, bucket int, answer binary"), name)
+    answered = requests.groupBy("bucket").applyInArrow(answers_of, "block long, bucket int, answer binary")
+    return materialize(answered, name) if stored else answered
 
 
 def tree_merge(rows: DataFrame, merge: Callable[[list[bytes]], bytes], width: int = 16) -> list[bytes]:

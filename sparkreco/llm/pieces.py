@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,8 @@ from sentencepiece import sentencepiece_model_pb2
 from sparkreco.llm.blocks import NO_ID, Block, bucket_count, exchange, pack_blocks, per_block, squeeze, unsqueeze
 from sparkreco.llm.words import MARK, Numbering, gathered, marked_words, numbered_words
 
-#: Bytes of text for which there is a bucket of words.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text for which there is a bucket of words, and bytes of a block: the larger, the fewer different words.
+BUCKET_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
 
 
 def check_model(data: bytes) -> None:
@@ -79,9 +80,13 @@ def _read(packed: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]  # noqa: B905
 
 
-def _by_bucket(words: list[str], n: int) -> tuple[list[bytes], np.ndarray]:
+def _by_bucket(words: list[str], n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words' bytes, their order by bucket and bytes (alike ones side by side, which packs well), and where the buckets start."""
     coded = [w.encode() for w in words]
-    return coded, np.fromiter(map(zlib.crc32, coded), np.int64, len(coded)) % n
+    bucket = np.fromiter(map(zlib.crc32, coded), np.int64, len(coded)) % n
+    order = np.array(sorted(range(len(coded)), key=coded.__getitem__), np.int64)
+    order = order[np.argsort(bucket[order], kind="stable")]
+    return coded, order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
 def ids_digest(ids: str) -> Column:
@@ -99,39 +104,36 @@ def encode_and_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", te
         data = f.read()
     check_model(data)
     file = df.sparkSession.sparkContext.broadcast(data)  # its size doesn't depend on the data
-    blocks = pack_blocks(df, id_col, text_col, name="pieces-blocks")
+    kind = np.uint16 if pieces(data).model.get_piece_size() <= 1 << 16 else np.uint32
+    blocks = pack_blocks(df, id_col, text_col, name="pieces-blocks", block_bytes=BLOCK_BYTES, bucketed=True)
     n = bucket_count(blocks, blocks.agg(F.sum("n_bytes")).first()[0] or 0, BUCKET_BYTES)
 
     def ask(block: Block, _: dict[int, bytes]) -> dict[int, bytes]:
-        coded, bucket = _by_bucket(numbered_words(block, marked_words)[0], n)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(n + 1)).tolist()
-        return {k: _send([coded[i] for i in order[a:b].tolist()]) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a}  # noqa: B905
+        coded, order, edges = _by_bucket(numbered_words(block, marked_words)[0], n)
+        return {k: _send([coded[i] for i in order[edges[k] : edges[k + 1]].tolist()]) for k in np.flatnonzero(np.diff(edges)).tolist()}
 
     def answer(rows: list[bytes]) -> list[bytes]:
         numbers = Numbering()
         asked = [np.fromiter(map(numbers.__getitem__, _read(r)), np.int64) for r in rows]
         ids = pieces(file.value).encode([w.decode() for w in numbers])
         sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
-        flat, starts = np.concatenate([np.asarray(x, np.uint32) for x in ids]), np.cumsum(sizes, dtype=np.int64) - sizes
+        flat, starts = np.fromiter(chain.from_iterable(ids), kind, int(sizes.sum())), np.cumsum(sizes, dtype=np.int64) - sizes
         return [squeeze(sizes[x].tobytes() + flat[gathered(starts, sizes, x)].tobytes()) for x in asked]
 
-    answers = exchange(blocks, ask, answer, "pieces-words")
+    answers = exchange(blocks, ask, answer, "pieces-words", stored=False)
 
     def assemble(_: int, block: Block, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         p = pieces(file.value)
         words, codes, at = numbered_words(block, marked_words)
-        bucket = _by_bucket(words, n)[1]
+        _coded, order, edges = _by_bucket(words, n)
         sizes, parts = np.zeros(len(words) + 2, np.int64), []
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(n + 1))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             own = order[edges[k] : edges[k + 1]]
             raw = unsqueeze(got[k])
             sizes[own] = np.frombuffer(raw, np.uint32, len(own))
-            parts.append(np.frombuffer(raw, np.uint32, offset=4 * len(own)))
+            parts.append(np.frombuffer(raw, kind, offset=4 * len(own)))
         # what the buckets answered stands in the order of the buckets; the begin and end ids are words of their own behind them
-        flat = np.concatenate([*parts, np.array([p.begin, p.end], np.uint32)]).astype(np.int32)
+        flat = np.concatenate([*parts, np.array([p.begin, p.end], kind)]).astype(np.int32)
         sizes[-2:] = 1
         starts, placed = np.zeros(len(words) + 2, np.int64), np.concatenate([order, [len(words), len(words) + 1]]).astype(np.int64)
         starts[placed] = np.cumsum(sizes[placed]) - sizes[placed]

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,17 +27,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and read it back: later jobs start from the files, not from df's lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+def materialize(df: DataFrame, name: str, bucketed_by: str | None = None) -> DataFrame:
+    """Write df once and read it back: later jobs start from the files, not from df's lineage.
+
+    bucketed_by: a column by which the files are dealt to as many buckets as there are shuffle partitions; what is grouped by it later
+    reads these files without a shuffle of their rows.
+    """
+    spark, key = df.sparkSession, uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/{name}-{key}"
+    writer = df.write.option("compression", "zstd")
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    if bucketed_by is None:
+        writer.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table = f"{name}_{key}".replace("-", "_")
+    writer.bucketBy(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), bucketed_by).option("path", path).format("parquet").saveAsTable(table)
+    _TABLES.append((spark, table))
+    return spark.table(table)
 
 
 @atexit.register
 def _clean() -> None:
+    for spark, table in _TABLES:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # noqa: BLE001  as below
+            continue
     for spark, path in _WRITTEN:
         try:
             jvm = spark.sparkContext._jvm
