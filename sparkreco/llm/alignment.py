@@ -18,8 +18,9 @@ different ids, whose number of pairs the vocabularies bound.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ from sparkreco.llm.words import MARK, gathered, numbered_words, plain_words, sum
 BUCKET_BYTES = 8 << 20
 #: Links of a group beyond which they are made from its different ids.
 LARGE_GROUP = 1 << 12
-#: Words that a worker keeps the ids of.
-KEPT_WORDS = 1 << 17
+#: Characters of words that are encoded as one text, and bytes of a block.
+STRETCH, BLOCK_BYTES = 1 << 9, 4 << 20
 B_BITS = 32
 
 
@@ -82,20 +83,43 @@ class Tokens:
         self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
         # an id with what follows it in the text of the groups: another one of its side, or the other side
         self.a_text, self.b_text = [f"{i}{s}" for s in ",|" for i in range(len(self.a_bytes))], [f"{i}{s}" for s in ",;" for i in range(len(self.b_bytes))]
-        self.kept: dict[str, tuple[list[int], list[int]]] = {}
-
-    def encode(self, words: list[str]) -> list[tuple[list[int], list[int]]]:
-        new = [w for w in words if w not in self.kept]
-        found = dict(zip(new, zip(map(self.a.encode, new), self.b.encode(new), strict=True), strict=True))
-        out = [self.kept.get(w) or found[w] for w in words]
-        if len(self.kept) + len(found) > KEPT_WORDS:
-            self.kept = {}
-        self.kept.update(x for x in found.items() if len(x[0]) < 64 and len(self.kept) < KEPT_WORDS)
+
+    def _flat(self, words: list[str], texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """The ids of the words, whose concatenation the texts are, and their number in each word; None if tokens aren't the words' bytes."""
+        out = []
+        own = [w.encode() for w in words]
+        ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+        for coded, size, parts in (([self.a.encode(x) for x in texts], self.a_size, self.a_bytes), (self.b.encode(texts), self.b_size, self.b_bytes)):
+            ids = np.fromiter(chain.from_iterable(coded), np.int64, sum(map(len, coded)))
+            upto = np.cumsum(size[ids])
+            last = np.searchsorted(upto, ends)
+            if len(ids) and (int(last[-1]) >= len(ids) or (upto[last] != ends).any()) or b"".join(map(parts.__getitem__, ids.tolist())) != b"".join(own):
+                return None
+            out.append((ids, np.diff(last, prepend=-1)))
         return out
 
-    def same(self, word: str, a: list[int], b: list[int]) -> bool:
-        own = word.encode()
-        return b"".join(map(self.b_bytes.__getitem__, b)) == own and b"".join(map(self.a_bytes.__getitem__, a)) == own
+    def encode(self, words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Which words are the bytes of their tokens, and for A and B the ids of these words and their numbers."""
+        whole = np.fromiter((MARK not in w for w in words), bool, len(words))
+        # words that no white space ends are encoded together: tokens end between them
+        closed = whole & np.fromiter((not w[-1].isspace() for w in words), bool, len(words))
+        order = np.concatenate([np.flatnonzero(closed), np.flatnonzero(whole & ~closed)])
+        own, n = [words[i] for i in order.tolist()], int(closed.sum())
+        stretch = np.cumsum(np.fromiter(map(len, own[:n]), np.int64, n)) // STRETCH
+        cuts = [*np.flatnonzero(np.diff(stretch, prepend=-1)).tolist(), n]
+        found = self._flat(own, ["".join(own[x:y]) for x, y in zip(cuts, cuts[1:])] + own[n:])  # noqa: B905
+        if found is None:
+            each = [self._flat([w], [w]) for w in own]
+            whole[order[[x is None for x in each]]] = False
+            order = order[[x is not None for x in each]]
+            each = [x for x in each if x is not None]
+            found = [tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*(y[side] for y in each), strict=True)) if each else (np.zeros(0, np.int64),) * 2 for side in (0, 1)]
+        out = []
+        for ids, counts in found:
+            starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            starts[order], sizes[order] = np.cumsum(counts) - counts, counts
+            out.append((ids[gathered(starts, sizes, np.arange(len(words)))], sizes))
+        return whole, out
 
 
 @lru_cache(1)
@@ -115,12 +139,8 @@ class Words:
     texts: list[str]
 
 
-def align_words(t: Tokens, words: list[str]) -> Words:
-    coded = t.encode(words)
-    whole = np.array([t.same(w, a, b) for w, (a, b) in zip(words, coded, strict=True)], bool)
-    none: tuple[list[int], list[int]] = ([], [])
-    coded = [x if ok else none for x, ok in zip(coded, whole.tolist(), strict=True)]
-    (a, n_a), (b, n_b) = ((np.fromiter((i for x in coded for i in x[side]), np.int64), np.fromiter((len(x[side]) for x in coded), np.int64, len(coded))) for side in (0, 1))
+def align_words(t: Tokens, words: list[str], with_texts: bool) -> Words:
+    whole, ((a, n_a), (b, n_b)) = t.encode(words)
     ga, gb = group_tokens(t.a_size[a], t.b_size[b])
     n = int(ga[-1]) + 1 if len(ga) else 0
     p, q = np.bincount(ga, minlength=n), np.bincount(gb, minlength=n)
@@ -143,6 +163,9 @@ def align_words(t: Tokens, words: list[str]) -> Words:
     first = np.flatnonzero(new)
     pair_at = np.searchsorted(who[first], np.arange(len(words) + 1))
 
+    words_of = Words(whole, counts, pair_at, pair[first], np.add.reduceat(times, first) if len(first) else times, [])
+    if not with_texts:
+        return words_of
     # the text of a word's groups: its tokens in the order of the groups, A before B
     a_last, b_last = np.zeros(len(a), bool), np.zeros(len(b), bool)
     a_last[a_at + p - 1], b_last[b_at + q - 1] = True, True
@@ -150,8 +173,7 @@ def align_words(t: Tokens, words: list[str]) -> Words:
     said[np.arange(len(a)) + b_at[ga]] = np.array(list(map(t.a_text.__getitem__, (a + len(t.a_bytes) * a_last).tolist())), object)
     said[np.arange(len(b)) + (a_at + p)[gb]] = np.array(list(map(t.b_text.__getitem__, (b + len(t.b_bytes) * b_last).tolist())), object)
     said, ends = said.tolist(), np.cumsum(n_a + n_b).tolist()
-    texts = ["".join(said[x:y])[:-1] for x, y in zip([0, *ends], ends)]  # noqa: B905
-    return Words(whole, counts, pair_at, pair[first], np.add.reduceat(times, first) if len(first) else times, texts)
+    return replace(words_of, texts=["".join(said[x:y])[:-1] for x, y in zip([0, *ends], ends)])  # noqa: B905
 
 
 @dataclass
@@ -164,9 +186,9 @@ class Aligned:
     words: Words
 
 
-def align_block(t: Tokens, block: Block) -> Aligned:
+def align_block(t: Tokens, block: Block, with_texts: bool = False) -> Aligned:
     different, codes, at = numbered_words(block, plain_words)
-    words = align_words(t, different)
+    words = align_words(t, different, with_texts)
     whole = (sums(~words.whole[codes], at) == 0) & (np.diff(at) > 0)
     return Aligned(codes, at, whole, words)
 
@@ -176,7 +198,7 @@ def document_counts(x: Aligned) -> tuple[np.ndarray, np.ndarray]:
     pairs, own = np.unique(x.words.pairs, return_inverse=True)
     if not len(pairs):
         return pairs, np.zeros(0, np.int64)
-    n = len(x.words.texts)
+    n = len(x.words.whole)
     doc = np.repeat(np.arange(len(x.whole)), np.diff(x.at))
     met = np.unique((doc * n + x.codes)[x.whole[doc]])  # words of documents
     size = np.diff(x.words.pair_at)
@@ -215,15 +237,14 @@ def align(df: DataFrame, ranks_path: str, pattern: str, model_path: str, id_col:
         ranks, model = f.read(), g.read()
     check_model(model)
     files = df.sparkSession.sparkContext.broadcast((ranks, model))  # their size doesn't depend on the data
-    blocks = pack_blocks(df, id_col, text_col, name="align-blocks")
+    blocks = pack_blocks(df, id_col, text_col, name="align-blocks", block_bytes=BLOCK_BYTES)
     n = bucket_count(blocks, blocks.agg(F.sum("n_bytes")).first()[0] or 0, BUCKET_BYTES)
 
-    def aligned(block: Block) -> tuple[Tokens, Aligned]:
-        t = tokens(files.value[0], pattern, files.value[1])
-        return t, align_block(t, block)
+    def aligned(block: Block, with_texts: bool = False) -> Aligned:
+        return align_block(tokens(files.value[0], pattern, files.value[1]), block, with_texts)
 
     def ask(block: Block, _: dict[int, bytes]) -> dict[int, bytes]:
-        pairs, docs = document_counts(aligned(block)[1])
+        pairs, docs = document_counts(aligned(block))
         order, edges = _buckets(pairs, n)
         return {k: squeeze(np.stack([pairs[own], docs[own]]).tobytes()) for k in np.flatnonzero(np.diff(edges)).tolist() for own in [order[edges[k] : edges[k + 1]]]}
 
@@ -238,7 +259,7 @@ def align(df: DataFrame, ranks_path: str, pattern: str, model_path: str, id_col:
     answers = exchange(blocks, ask, answer, "align-pairs", summary=whole_bucket)
 
     def counted(_: int, block: Block, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        _t, x = aligned(block)
+        x = aligned(block, with_texts=True)
         pairs, own = np.unique(x.words.pairs, return_inverse=True)
         counts, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
         order, edges = _buckets(pairs, n)
