@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkreco.operators.signals import ranked, top_per_group
+from sparkreco.operators.signals import numbered, ranked, top_per_group
 
 
 def _as_one(df: DataFrame, order: list[str]) -> Column:
@@ -101,13 +101,11 @@ def merge_lists(sources: list[DataFrame], users: DataFrame, popular: DataFrame,
     return fill_up(first_occurrences(out, ["prio", "at"], k), users, popular, k)
 
 
-def slice_of_popular(users: DataFrame, popular: DataFrame, start: Column, length: Column | int, at: Column | int = 0) -> DataFrame:
-    """(user_id, item_id, at): popular items from rank start on; an equi-join on the rank."""
-    length = F.lit(length) if isinstance(length, int) else length
-    at = F.lit(at) if isinstance(at, int) else at
-    asked = users.filter(length > 0).select("user_id", start.cast("int").alias("s"), length.cast("int").alias("n"), at.cast("int").alias("base"))
-    ranks = asked.select("user_id", "base", "s", F.explode(F.expr("sequence(s, s + n - 1)")).alias("pop_rank"))
-    return ranks.join(popular.select("item_id", "pop_rank"), "pop_rank").select("user_id", "item_id", (F.col("base") + F.col("pop_rank") - F.col("s")).cast("int").alias("at"))
+def stretches(classes: DataFrame, popular: DataFrame) -> DataFrame:
+    """(cls, items): for each of a bounded number of classes (cls, s, n) the popular items of the ranks s to s + n - 1, in this order."""
+    asked = classes.filter("n > 0").select("cls", F.explode(F.expr("sequence(s, s + n - 1)")).alias("pop_rank"))
+    met = popular.select("item_id", "pop_rank").join(F.broadcast(asked), "pop_rank")
+    return met.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("pop_rank", "item_id"))).getField("item_id").alias("items"))
 
 
 def _with_length(users: DataFrame, n: DataFrame | int) -> DataFrame:
@@ -117,17 +115,17 @@ def _with_length(users: DataFrame, n: DataFrame | int) -> DataFrame:
 def cold_candidates(users: DataFrame, popular: DataFrame, n_popular: DataFrame | int, size: int = 300) -> DataFrame:
     """For users without much history: a stretch of the popularity list that depends on the user, wrapping round; repeats stay.
 
-    n_popular: the length of the popularity list, or one row (n) with it.
+    n_popular: the length of the popularity list, or one row (n) with it. The stretch depends on user_id % 50 only: fifty
+    lists are made and broadcast.
     """
     p = int(size * 0.8)
-    start = (F.col("user_id") % 50) * (p // 2)
-    u = _with_length(users, n_popular).select("user_id", "n", start.cast("int").alias("start"))
-    l1 = F.least(F.lit(p), F.greatest(F.col("n") - F.col("start"), F.lit(0)))
-    l2 = F.least(F.lit(p) - l1, F.col("n"))
-    u = u.withColumn("l1", l1).withColumn("l2", l2).withColumn("l3", F.greatest(F.lit(p) - F.col("l1") - F.col("l2"), F.lit(0)))
-    parts = [slice_of_popular(u, popular, F.col("start"), F.col("l1")), slice_of_popular(u, popular, F.lit(0), F.col("l2"), F.col("l1")), slice_of_popular(u, popular, F.lit(500), F.col("l3"), F.col("l1") + F.col("l2"))]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return ranked(out, ["user_id"], [F.asc("at")], "pos").filter(F.col("pos") <= size).drop("at")
+    head = head_of(popular, max(49 * (p // 2) + p, 500 + p))
+    c = _with_length(users.sparkSession.range(50).select(F.col("id").alias("cls"), (F.col("id") * (p // 2)).cast("int").alias("start")), n_popular).crossJoin(F.broadcast(head))
+    c = c.withColumn("l1", F.least(F.lit(p), F.greatest(F.col("n") - F.col("start"), F.lit(0))))
+    c = c.withColumn("l2", F.least(F.lit(p) - F.col("l1"), F.col("n"))).withColumn("l3", F.greatest(F.lit(p) - F.col("l1") - F.col("l2"), F.lit(0)))
+    parts = F.concat(F.slice("head", F.col("start") + 1, F.col("l1")), F.slice("head", F.lit(1), F.col("l2")), F.slice("head", F.lit(501), F.col("l3")))
+    lists = c.select("cls", F.slice(F.array_compact(parts), 1, size).alias("own"))
+    return unlisted(users.withColumn("cls", F.pmod("user_id", F.lit(50))).join(F.broadcast(lists), "cls").select("user_id", "own"))
 
 
 def warm_candidates(users: DataFrame, history: DataFrame, neighbours: DataFrame, item_category: DataFrame, category_list: DataFrame, popular: DataFrame, size: int = 300) -> DataFrame:
@@ -212,23 +210,52 @@ def long_tail(items: DataFrame, popular: DataFrame, head: int = 500) -> DataFram
     return items.select("item_id").join(F.broadcast(popular.filter(F.col("pop_rank") < head).select("item_id")), "item_id", "left_anti")
 
 
+#: What the arithmetic hash that stands in for chance is taken modulo, and the multipliers of items and users.
+RING, ITEM_STEP, USER_STEP, USER_CLASSES = 1000003, 7919, 104729, 1000
+
+
 def spread_sample(users: DataFrame, items: DataFrame, n: int, not_of: DataFrame | None = None) -> DataFrame:
-    """n items a user by an arithmetic hash that stands in for chance.
+    """n items a user by an arithmetic hash that stands in for chance; not_of (user_id, item_id): what a user may not have.
 
-    The hash is a shift by user modulo a constant, so the n first come from a stretch of the items sorted by their own hash: with
-    the items of that stretch, and as many more as the user may not have, no user meets all items.
+    The hash is a shift by user modulo a constant, so the items are a ring in the order of their own hash and a user takes the first n from
+    their place on. Items get their places from range partitions and offsets, and so do the shifts, of which there are a thousand:
+    their stretches are lists that are asked for by place. Users whose barred items left less than n ask again for longer ones; only they do.
     """
-    m = 1000003
-    hashed = items.select("item_id", F.pmod(F.col("item_id") * 7919, F.lit(m)).alias("h"))
-    shift = users.select("user_id", F.pmod((F.col("user_id") % 1000) * 104729, F.lit(m)).alias("shift"))
-    classes = shift.select("shift").distinct()  # a thousand at most
-    barred = not_of.select("user_id", "item_id") if not_of is not None else None
-    most = barred.groupBy("user_id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("most")) if barred is not None else users.sparkSession.range(1).select(F.lit(0).alias("most"))
-    near = F.broadcast(classes).crossJoin(hashed).withColumn("at", F.pmod(F.col("h") + F.col("shift"), F.lit(m)))
-    near = ranked(near, ["shift"], [F.asc("at"), F.asc("item_id")], "nth").crossJoin(F.broadcast(most)).filter(F.col("nth") <= n + F.col("most"))
-    met = shift.join(near.select("shift", "item_id", "at"), "shift")
-    met = met.join(barred, ["user_id", "item_id"], "left_anti") if barred is not None else met
-    return top_per_group(met, ["user_id"], [F.asc("at"), F.asc("item_id")], n).select("user_id", "item_id", "rank")
+    hashed = items.select("item_id", F.pmod(F.col("item_id") * ITEM_STEP, F.lit(RING)).alias("h")).distinct()
+    shift = F.pmod((F.col("user_id") % USER_CLASSES) * USER_STEP, F.lit(RING))
+    marks = users.select(shift.alias("shift")).distinct().select(F.pmod(-F.col("shift"), F.lit(RING)).alias("h"), F.lit(None).cast("long").alias("item_id"), "shift")
+    both = hashed.select("h", "item_id", F.lit(None).cast("long").alias("shift")).unionByName(marks.select("h", "item_id", F.col("shift").cast("long").alias("shift")))
+    placed = numbered(both, [F.asc("h"), F.asc_nulls_first("item_id"), F.asc("shift")], "place", F.col("item_id").isNotNull())
+    ring, starts = placed.filter("item_id IS NOT NULL").select("item_id", "place"), placed.filter("item_id IS NULL").select("shift", F.col("place").alias("start"))
+    total = ring.agg(F.count("*").alias("total"))
+    left = users.select("user_id", shift.cast("long").alias("shift")).distinct()
+
+    def asked(length: int, first: int) -> DataFrame:
+        """(shift, items): the ring's items from the first-th on of each shift, with their places."""
+        s = starts.join(left.select("shift").distinct(), "shift", "left_semi") if first else starts
+        s = s.crossJoin(F.broadcast(total)).filter(F.col("total") > first).select("shift", "start", "total", F.explode(F.sequence(F.lit(first), F.least(F.lit(length), F.col("total")).cast("int") - 1)).alias("nth"))
+        met = s.withColumn("place", (F.col("start") + F.col("nth")) % F.col("total")).join(ring, "place")
+        return met.groupBy("shift").agg(F.array_sort(F.collect_list(F.struct("nth", "item_id"))).alias("items"))
+
+    def taken(length: int) -> DataFrame:
+        lists = left.join(F.broadcast(asked(length, 0)), "shift")  # a thousand lists at most
+        rows = lists.select("user_id", F.explode("items").alias("x")).select("user_id", "x.item_id", "x.nth")
+        return rows if not_of is None else rows.join(not_of.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+
+    if not_of is None:
+        return taken(n).select("user_id", "item_id", (F.col("nth") + 1).cast("int").alias("rank"))
+    out, length, size = None, 2 * n, total.first()[0]
+    while True:
+        found = top_per_group(taken(length), ["user_id"], [F.asc("nth")], n).select("user_id", "item_id", "rank")
+        if length >= size:
+            return found if out is None else out.unionByName(found)
+        full = found.filter(F.col("rank") == n).select("user_id").persist()
+        some = found.join(full, "user_id", "left_semi")
+        out = some if out is None else out.unionByName(some)
+        left = left.join(full, "user_id", "left_anti").persist()
+        if left.isEmpty():
+            return out
+        length *= 8
 
 
 def explore(recs: DataFrame, fresh: DataFrame, k: int, most: int = 10) -> DataFrame:
@@ -239,16 +266,34 @@ def explore(recs: DataFrame, fresh: DataFrame, k: int, most: int = 10) -> DataFr
     return first_occurrences(both.filter("prio <> 1 OR listed = 0"), ["prio", "at"], k)
 
 
-def segment_popular(users: DataFrame, popular: DataFrame, n_popular: DataFrame | int, length: int = 100) -> DataFrame:
-    """n_popular: the length of the popularity list, or one row (n) with it."""
-    return slice_of_popular(_with_length(users, n_popular), popular, (F.col("user_id") % 20) * F.expr("n div 20"), length).select("user_id", "item_id", (F.col("at") + 1).cast("int").alias("pos"))
+def segment_popular(users: DataFrame, popular: DataFrame, n_popular: DataFrame | int, length: int = 100, segments: int = 20) -> DataFrame:
+    """The popular items from the start of the user's segment on. n_popular: the length of the popularity list, or one row (n) with it."""
+    c = _with_length(users.sparkSession.range(segments).select(F.col("id").alias("cls")), n_popular)
+    lists = stretches(c.select("cls", (F.col("cls") * F.expr(f"n div {segments}")).cast("int").alias("s"), F.lit(length).alias("n")), popular)
+    return unlisted(users.withColumn("cls", F.pmod("user_id", F.lit(segments))).join(F.broadcast(lists), "cls").select("user_id", F.col("items").alias("own")))
 
 
-def similar_users(lists: DataFrame, least: int = 5) -> DataFrame:
-    """Of each user the least other user that shares at least so many items."""
-    a, b = lists.select("user_id", "item_id").distinct(), lists.select(F.col("user_id").alias("other_id"), "item_id").distinct()
-    shared = a.join(b, "item_id").filter("other_id < user_id").groupBy("user_id", "other_id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
-    return shared.groupBy("user_id").agg(F.min("other_id").alias("other_id"))
+def similar_users(lists: DataFrame, least: int = 5, part: int = 2048) -> DataFrame:
+    """Of each user the least other user that shares at least so many items, for lists of any length.
+
+    Two lists that share so many items share one of the first size - least + 1 of either, rarest first: users meet by these items only, so
+    an item that most users have brings nobody together, unless lists have little else. Equal lists are one. Items that
+    one user has are left out, lists that are too short too. An item that many lists begin with is dealt to parts of about `part` lists.
+    """
+    once = lists.select("user_id", "item_id").distinct()
+    known = once.groupBy("item_id").agg(F.count("*").alias("n")).filter("n > 1")
+    sets = once.join(known, "item_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("n", "item_id"))).getField("item_id").alias("items")).filter(F.size("items") >= least)
+    classes = sets.groupBy("items").agg(F.min("user_id").alias("rep")).persist()
+    begins = classes.select("rep", F.explode(F.slice("items", F.lit(1), F.size("items") - (least - 1))).alias("item_id"))
+    parts = begins.groupBy("item_id").agg(F.count("*").alias("m")).filter("m > 1").select("item_id", F.ceil(F.col("m") / part).cast("int").alias("parts"))
+    own = begins.join(parts, "item_id")
+    a = own.select("item_id", F.col("rep"), F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"))
+    b = own.select("item_id", F.col("rep").alias("other_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = a.join(b, ["item_id", "part"]).filter("other_id < rep").select("rep", "other_id").distinct()
+    met = pairs.join(classes.select("rep", F.col("items").alias("x")), "rep").join(classes.select(F.col("rep").alias("other_id"), F.col("items").alias("y")), "other_id")
+    linked = met.filter(F.size(F.array_intersect("x", "y")) >= least).groupBy("rep").agg(F.min("other_id").alias("linked"))
+    users = sets.join(classes, "items").select("user_id", "rep").join(linked, "rep", "left")
+    return users.select("user_id", F.least("rep", "linked").alias("other_id")).filter("other_id < user_id")
 
 
 def same_recents(recents: DataFrame, n: int = 5) -> DataFrame:
@@ -276,21 +321,22 @@ def diversify(scored: DataFrame, k: int, per_category: int = 2) -> DataFrame:
 
 
 def final_ranking(scored: DataFrame, users: DataFrame, popular: DataFrame, k: int = 100) -> DataFrame:
-    """Best scores, then earlier candidates; filled from the user's own place in the popularity list, at last from its start even if twice."""
-    best = top_per_group(scored, ["user_id"], [F.desc("score"), F.asc("pos")], k, "at").select("user_id", "item_id", F.col("at").alias("pos"))
-    counts = best.groupBy("user_id").agg(F.count("*").alias("have"))
-    u = users.select("user_id").join(counts, "user_id", "left").na.fill(0, ["have"]).filter(F.col("have") < k)
-    # of k ranks from the start on, no more than have are in the list already
-    ahead = slice_of_popular(u, popular, (F.col("user_id") % 100) * 2, k).join(best.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    ahead = ranked(ahead, ["user_id"], [F.asc("at")], "nth").join(u, "user_id").select("user_id", "item_id", (F.col("have") + F.col("nth")).cast("int").alias("pos")).filter(F.col("pos") <= k)
-    both = best.unionByName(ahead)
-    short = users.select("user_id").join(both.groupBy("user_id").agg(F.count("*").alias("have")), "user_id", "left").na.fill(0, ["have"]).filter(F.col("have") < k)
-    last = slice_of_popular(short, popular, F.lit(0), F.lit(k) - F.col("have"), F.col("have") + 1).select("user_id", "item_id", F.col("at").alias("pos"))
-    return both.unionByName(last)
+    """Best scores, then earlier candidates; filled from the user's own place in the popularity list, at last from its start even if twice.
+
+    Places lie within the first k + 198 ranks, which are one row: a user's list is filled as an array, and nothing but the scores moves. A
+    score that is null or NaN comes after all others.
+    """
+    last = F.when(F.isnan(F.col("score").cast("double")), None).otherwise(F.col("score"))
+    best = top_per_group(scored, ["user_id"], [F.desc_nulls_last(last), F.asc("pos"), F.asc("item_id")], k, "at").select("user_id", "item_id", F.col("at").alias("pos"))
+    every = users.select("user_id", F.lit(True).alias("open")).distinct().join(listed(best), "user_id", "full").crossJoin(F.broadcast(head_of(popular, k + 198)))
+    own = F.coalesce("own", F.expr("slice(head, 1, 0)"))
+    ahead = F.array_except(F.array_compact(F.slice("head", (F.pmod("user_id", F.lit(100)) * 2 + 1).cast("int"), F.lit(k))), own)
+    both = F.concat(own, F.slice(ahead, F.lit(1), F.greatest(F.lit(k) - F.size(own), F.lit(0))))
+    filled = every.select("user_id", "open", "head", own.alias("own"), both.alias("both"))
+    again = F.array_compact(F.slice("head", F.lit(1), F.greatest(F.lit(k) - F.size("both"), F.lit(0))))
+    return unlisted(filled.select("user_id", F.when(F.col("open"), F.concat("both", again)).otherwise(F.col("own")).alias("own")))
 
 
 def negatives(positives: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """n items a user that are none of theirs."""
     return spread_sample(positives.select("user_id").distinct(), items, n, positives.distinct())
-
-

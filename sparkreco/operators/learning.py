@@ -13,18 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkreco.functions.scalar import dot, normalized
-from sparkreco.operators.signals import ranked, top_per_group
+from sparkreco.operators.signals import numbered, ranked, top_per_group
 
 
 def id_index(df: DataFrame, column: str) -> DataFrame:
-    """Numbers 0, 1, ... of the sorted different ids, without sorting them in one task: offsets of sorted partitions are added."""
-    ids = df.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
-    # the range partitions are in order, so a partition's first number is the count before it
-    parts = ids.withColumn("__p", F.spark_partition_id())
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("n"))
-    before = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("before"))
-    local = F.row_number().over(Window.partitionBy("__p").orderBy(column)) - 1
-    return parts.withColumn("__i", local).join(F.broadcast(before), "__p").select(column, (F.col("before") + F.col("__i")).cast("bigint").alias("idx"))
+    """Numbers 0, 1, ... of the sorted different ids."""
+    return numbered(df.select(column).distinct(), [F.asc(column)], "idx")
 
 
 def factorized(df: DataFrame, column: str) -> DataFrame:

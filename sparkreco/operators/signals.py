@@ -24,14 +24,45 @@ def top_items(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return best.withColumn("pop_rank", (F.row_number().over(Window.orderBy(F.desc(score), "item_id")) - 1).cast("int"))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, counted: Column | None = None) -> DataFrame:
+    """df with 0, 1, ... by an order that tells all rows apart, without sorting them in one task: offsets of sorted range partitions are added.
+
+    counted: only these rows count; any other row gets the number that the next one of them has.
+    """
+    one = F.lit(1) if counted is None else counted.cast("int")
+    # persisted, so that the sizes and the rows are of the same range partitions; one shuffle serves both
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__at", 33)).withColumn("__one", one).persist()
+    sizes = parts.groupBy("__p").agg(F.sum("__one").alias("n"), F.min("__at").alias("first"))  # a row a partition
+    before = sizes.select("__p", "first", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("before"))
+    if counted is None:
+        own = F.col("__at") - F.col("first")
+    else:
+        own = F.sum("__one").over(Window.partitionBy("__p").orderBy("__at")) - F.col("__one")
+    return parts.join(F.broadcast(before), "__p").withColumn(name, F.col("before") + own).select(*df.columns, name)
+
+
 def ranked_items(scores: DataFrame, score: str = "score") -> DataFrame:
-    """All items with their ranks from 0, best first, without sorting them in one task: offsets of sorted partitions are added."""
-    # persisted, so that the sizes and the rows are of the same range partitions
-    parts = scores.repartitionByRange(F.desc(score), F.asc("item_id")).withColumn("__p", F.spark_partition_id()).persist()
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("n"))
-    before = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("before"))
-    local = F.row_number().over(Window.partitionBy("__p").orderBy(F.desc(score), "item_id")) - 1
-    return parts.withColumn("__i", local).join(F.broadcast(before), "__p").select(*scores.columns, (F.col("before") + F.col("__i")).cast("int").alias("pop_rank"))
+    """All items with their ranks from 0, best first."""
+    return numbered(scores, [F.desc(score), F.asc("item_id")], "pop_rank").withColumn("pop_rank", F.col("pop_rank").cast("int"))
+
+
+def first_rows(df: DataFrame, score: str, ties: list[str], n: int, bins: int = 1024) -> DataFrame:
+    """The n rows with the highest whole or fractional scores, the ties by further columns; df is read several times.
+
+    A histogram of the scores finds the bin in which the n-th row lies. What is above it stays as it is, and only this bin's rows are
+    put in order, by ranges: no task sees n rows.
+    """
+    ends = df.agg(F.min(score).cast("double").alias("__lo"), F.max(score).cast("double").alias("__hi"))
+    at = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((F.col(score) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1))).otherwise(0)
+    binned = df.crossJoin(F.broadcast(ends)).withColumn("__bin", at.cast("int")).drop("__lo", "__hi")
+    counts = binned.groupBy("__bin").agg(F.count("*").alias("m"))
+    upto = counts.withColumn("upto", F.sum("m").over(Window.orderBy(F.desc("__bin"))))  # at most so many rows as bins
+    cut = upto.filter(F.col("upto") > n).agg(F.coalesce(F.max("__bin"), F.lit(-1)).alias("__cut"), F.lit(n) - F.coalesce(F.max_by(F.col("upto") - F.col("m"), "__bin"), F.lit(0)).alias("__rest"))
+    cut = cut.select("__cut", cut.columns[1]).toDF("__cut", "__rest")
+    both = binned.crossJoin(F.broadcast(cut))
+    order = [F.desc(score), *map(F.asc, ties)]
+    last = numbered(both.filter("__bin = __cut"), order, "__number").filter("__number < __rest")
+    return both.filter("__bin > __cut").select(*df.columns).unionByName(last.select(*df.columns))
 
 
 def popularity(orders: DataFrame, cut: DataFrame) -> DataFrame:
@@ -101,14 +132,31 @@ def covisitation(events: DataFrame, days: int = 60, max_pairs: int = 2000000) ->
     seen = recent(events, days).select("user_id", F.to_date("timestamp").alias("day"), "item_id").distinct()
     left, right = seen.withColumnRenamed("item_id", "item_x"), seen.withColumnRenamed("item_id", "item_y")
     pairs = left.join(right, ["user_id", "day"]).filter("item_x <> item_y").groupBy("item_x", "item_y").agg(F.count("*").alias("weight"))
-    return pairs.orderBy(F.desc("weight"), "item_x", "item_y").limit(max_pairs)
+    return first_rows(pairs.persist(), "weight", ["item_x", "item_y"], max_pairs)
+
 
+def paired(rows: DataFrame, key: str, value: str, part: int = 1024) -> DataFrame:
+    """(key, a, b): each two different values of a key once, a < b; rows are distinct.
+
+    A key's values are dealt to parts of about `part` values, and the pairs of parts are keys of the join: a key with very many
+    values is as many small groups, over all tasks.
+    """
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / F.lit(part)).cast("int").alias("__parts"))
+    own = rows.join(sizes, key).withColumn("__own", F.pmod(F.xxhash64(value), "__parts").cast("int"))
+    left = own.select(key, F.col("__own").alias("__i"), F.explode(F.sequence("__own", F.col("__parts") - 1)).alias("__j"), F.col(value).alias("__x"))
+    right = own.select(key, F.explode(F.sequence(F.lit(0), "__own")).alias("__i"), F.col("__own").alias("__j"), F.col(value).alias("__y"))
+    met = left.join(right, [key, "__i", "__j"]).filter("__i < __j OR __x < __y")
+    return met.select(key, F.least("__x", "__y").alias("a"), F.greatest("__x", "__y").alias("b"))
 
-def covisit_strength(user_items: DataFrame, least: int = 5) -> DataFrame:
-    """Of pairs of items that least users share: an item's sum of these users' numbers."""
+
+def covisit_strength(user_items: DataFrame, least: int = 5, part: int = 1024) -> DataFrame:
+    """Of pairs of items that least users share: an item's sum of these users' numbers.
+
+    An item of fewer users is in no such pair and goes before the pairing.
+    """
     once = user_items.select("user_id", "item_id").distinct()
-    a, b = once.withColumnRenamed("item_id", "a"), once.withColumnRenamed("item_id", "b")
-    pairs = a.join(b, "user_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    known = once.groupBy("item_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    pairs = paired(once.join(known.select("item_id"), "item_id", "left_semi"), "user_id", "item_id", part).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     both = pairs.select(F.col("a").alias("item_id"), "n").unionByName(pairs.select(F.col("b").alias("item_id"), "n"))
     return both.groupBy("item_id").agg(F.sum("n").alias("covisit_strength"))
 
