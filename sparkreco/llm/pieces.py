@@ -16,7 +16,6 @@ memory for each of its bytes.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,10 +23,9 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
@@ -36,6 +34,8 @@ from sparkreco.llm.words import MARK, Numbering, gathered, marked_words, numbere
 
 #: Bytes of text for which there is a bucket of words, and bytes of a block: the larger, the fewer different words.
 BUCKET_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
+#: Ids that are decoded at once, if one document has no more.
+DECODED = 1 << 16
 
 
 def check_model(data: bytes) -> None:
@@ -89,17 +89,11 @@ def _by_bucket(words: list[str], n: int) -> tuple[list[bytes], np.ndarray, np.nd
     return coded, order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-def ids_digest(ids: str) -> Column:
-    """Lowercase hex of the SHA-256 of a column of ids as little-endian unsigned 32-bit integers."""
+def encode_and_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False) -> DataFrame:
+    """(id_col, ids array<int>, decoded string), a row for each row of df; ids with the begin and end ids.
 
-    def digest(lists: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest() for x in lists])
-
-    return F.pandas_udf(digest, "string")(ids)
-
-
-def encode_and_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>, decoded string), a row for each row of df; ids with the begin and end ids."""
+    packed: ids are binary, little-endian unsigned 32-bit integers one after the other, as token files hold them.
+    """
     with open(model_path, "rb") as f:
         data = f.read()
     check_model(data)
@@ -141,8 +135,14 @@ def encode_and_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", te
         bounds = at + 2 * np.arange(len(block) + 1)
         ids = flat[gathered(starts, sizes, every)]
         ends = np.concatenate([[0], np.cumsum(sizes[every])])[bounds]
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
-        decoded = p.decode([ids[a:b].tolist() for a, b in zip(ends, ends[1:])])  # noqa: B905
-        yield pa.RecordBatch.from_arrays([pa.array(block.ids, mask=block.ids == NO_ID), lists, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
-
-    return per_block(blocks, answers, assemble, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+        # documents of some thousand ids at a time: what the library takes and gives are Python objects
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) + DECODED, DECODED))).clip(0, len(block)).tolist()
+        for first, last in zip(cuts, cuts[1:]):  # noqa: B905
+            own = ends[first : last + 1]
+            flat_ids = ids[own[0] : own[-1]]
+            decoded = p.decode([ids[a:b].tolist() for a, b in zip(own, own[1:])])  # noqa: B905
+            at = pa.array(own - own[0], pa.int32())
+            lists = pa.Array.from_buffers(pa.binary(), len(own) - 1, [None, pa.py_buffer((4 * (own - own[0])).astype(np.int32)), pa.py_buffer(flat_ids.astype("<u4"))]) if packed else pa.ListArray.from_arrays(at, pa.array(flat_ids))
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids[first:last], mask=block.ids[first:last] == NO_ID), lists, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+
+    return per_block(blocks, answers, assemble, f"id long, ids {'binary' if packed else 'array<int>'}, decoded string").withColumnRenamed("id", id_col)

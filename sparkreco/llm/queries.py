@@ -123,10 +123,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparkreco.llm.pieces import encode_and_decode, ids_digest
+    from sparkreco.llm.pieces import encode_and_decode
 
-    coded = encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest("ids").alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    coded = encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), packed=True)
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 @query
