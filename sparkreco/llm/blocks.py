@@ -33,8 +33,8 @@ MOST_DOCS = 1 << PLACE_BITS
 NO_ID = np.iinfo(np.int64).max
 
 
-def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+def squeeze(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unsqueeze(data: bytes) -> bytes:
@@ -53,8 +53,8 @@ class Block:
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def pack(self) -> bytes:
-        return squeeze(struct.pack("<q", len(self.ids)) + self.ids.tobytes() + self.offsets.tobytes() + self.flags.tobytes() + self.data.tobytes())
+    def pack(self, level: int = 3) -> bytes:
+        return squeeze(struct.pack("<q", len(self.ids)) + self.ids.tobytes() + self.offsets.tobytes() + self.flags.tobytes() + self.data.tobytes(), level)
 
     @classmethod
     def unpack(cls, payload: bytes, extra: bytes | None = None) -> Block:
@@ -132,11 +132,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 BLOCK_SCHEMA = "block long, n_docs int, n_bytes long, payload binary, extra binary"
 
 
-def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks", block_bytes: int | None = None, flag: Column | None = None, whole_rows: bool = False, bucketed: bool = False) -> DataFrame:
+def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks", block_bytes: int | None = None, flag: Column | None = None, whole_rows: bool = False, bucketed: bool = False, level: int = 3) -> DataFrame:
     """Pack (id, text, flag) rows into blocks, written to shared storage: block numbers stay the same for every later job.
 
     whole_rows: all other columns are packed too, and Block.rows() gives them back. bucketed: the files are bucketed by block, so
-    that answers come to the blocks and the blocks don't move again.
+    that answers come to the blocks and the blocks don't move again. level: of compression.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def pack_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
                 with pa.ipc.new_stream(sink, extras[0].schema) as stream:
                     for x in extras:
                         stream.write_batch(x)
-            out = pa.RecordBatch.from_pydict({"block": [base + seq], "n_docs": pa.array([len(block)], pa.int32()), "n_bytes": pa.array([int(offsets[-1])], pa.int64()), "payload": [block.pack()], "extra": pa.array([squeeze(sink.getvalue().to_pybytes()) if whole_rows else None], pa.binary())})
+            out = pa.RecordBatch.from_pydict({"block": [base + seq], "n_docs": pa.array([len(block)], pa.int32()), "n_bytes": pa.array([int(offsets[-1])], pa.int64()), "payload": [block.pack(level)], "extra": pa.array([squeeze(sink.getvalue().to_pybytes()) if whole_rows else None], pa.binary())})
             seq, ids, flags, sizes, parts, extras, held, count = seq + 1, [], [], [], [], [], 0, 0
             return out
 

@@ -34,6 +34,8 @@ from sparkreco.llm.words import MARK, Numbering, gathered, marked_words, numbere
 
 #: Bytes of text for which there is a bucket of words, and bytes of a block: the larger, the fewer different words.
 BUCKET_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
+#: Of compression: disk is dearer here than time.
+LEVEL = 9
 #: Ids that are decoded at once, if one document has no more.
 DECODED = 1 << 16
 
@@ -70,7 +72,7 @@ def pieces(data: bytes) -> Pieces:
 
 def _send(words: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, words), np.uint32, len(words))
-    return squeeze(np.uint32(len(words)).tobytes() + sizes.tobytes() + b"".join(words))
+    return squeeze(np.uint32(len(words)).tobytes() + sizes.tobytes() + b"".join(words), LEVEL)
 
 
 def _read(packed: bytes) -> list[bytes]:
@@ -99,7 +101,7 @@ def encode_and_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", te
     check_model(data)
     file = df.sparkSession.sparkContext.broadcast(data)  # its size doesn't depend on the data
     kind = np.uint16 if pieces(data).model.get_piece_size() <= 1 << 16 else np.uint32
-    blocks = pack_blocks(df, id_col, text_col, name="pieces-blocks", block_bytes=BLOCK_BYTES, bucketed=True)
+    blocks = pack_blocks(df, id_col, text_col, name="pieces-blocks", block_bytes=BLOCK_BYTES, bucketed=True, level=LEVEL)
     n = bucket_count(blocks, blocks.agg(F.sum("n_bytes")).first()[0] or 0, BUCKET_BYTES)
 
     def ask(block: Block, _: dict[int, bytes]) -> dict[int, bytes]:
@@ -112,7 +114,7 @@ def encode_and_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", te
         ids = pieces(file.value).encode([w.decode() for w in numbers])
         sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
         flat, starts = np.fromiter(chain.from_iterable(ids), kind, int(sizes.sum())), np.cumsum(sizes, dtype=np.int64) - sizes
-        return [squeeze(sizes[x].tobytes() + flat[gathered(starts, sizes, x)].tobytes()) for x in asked]
+        return [squeeze(sizes[x].tobytes() + flat[gathered(starts, sizes, x)].tobytes(), LEVEL) for x in asked]
 
     answers = exchange(blocks, ask, answer, "pieces-words", stored=False)
 
