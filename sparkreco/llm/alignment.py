@@ -38,7 +38,7 @@ BUCKET_BYTES = 8 << 20
 #: Links of a group beyond which they are made from its different ids.
 LARGE_GROUP = 1 << 12
 #: Characters of words that are encoded as one text, and bytes of a block.
-STRETCH, BLOCK_BYTES = 1 << 9, 4 << 20
+STRETCH, BLOCK_BYTES = 1 << 9, 6 << 20
 B_BITS = 32
 
 
@@ -93,16 +93,19 @@ class Tokens:
             ids = np.fromiter(chain.from_iterable(coded), np.int64, sum(map(len, coded)))
             upto = np.cumsum(size[ids])
             last = np.searchsorted(upto, ends)
-            if len(ids) and (int(last[-1]) >= len(ids) or (upto[last] != ends).any()) or b"".join(map(parts.__getitem__, ids.tolist())) != b"".join(own):
+            if len(own) and (not len(ids) or int(last[-1]) >= len(ids) or (upto[last] != ends).any()):
+                return None
+            # A's tokens are the text's bytes whatever the text is
+            if parts is self.b_bytes and b"".join(map(parts.__getitem__, ids.tolist())) != b"".join(own):
                 return None
             out.append((ids, np.diff(last, prepend=-1)))
         return out
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Which words are the bytes of their tokens, and for A and B the ids of these words and their numbers."""
-        whole = np.fromiter((MARK not in w for w in words), bool, len(words))
+        whole = np.ones(len(words), bool)
         # words that no white space ends are encoded together: tokens end between them
-        closed = whole & np.fromiter((not w[-1].isspace() for w in words), bool, len(words))
+        closed = np.array([not w[-1].isspace() for w in words], bool)
         order = np.concatenate([np.flatnonzero(closed), np.flatnonzero(whole & ~closed)])
         own, n = [words[i] for i in order.tolist()], int(closed.sum())
         stretch = np.cumsum(np.fromiter(map(len, own[:n]), np.int64, n)) // STRETCH
@@ -187,7 +190,8 @@ class Aligned:
 
 
 def align_block(t: Tokens, block: Block, with_texts: bool = False) -> Aligned:
-    different, codes, at = numbered_words(block, plain_words)
+    # a text with a marker isn't the bytes of its tokens
+    different, codes, at = numbered_words(block, lambda text: [] if MARK in text else plain_words(text))
     words = align_words(t, different, with_texts)
     whole = (sums(~words.whole[codes], at) == 0) & (np.diff(at) > 0)
     return Aligned(codes, at, whole, words)
