@@ -35,10 +35,40 @@ def finite(column: str) -> Column:
 
 def parse_vector(column: str) -> Column:
     """[0.1, 0.2] or [0.1 0.2] as an array; an unreadable part becomes null."""
-    parts = F.split(F.trim(F.regexp_replace(F.col(column), r"[\[\],]", " ")), r"\s+")
+    return parse_vector_of(F.col(column))
+
+
+def parse_vector_of(text: Column) -> Column:
+    parts = F.split(F.trim(F.regexp_replace(text, r"[\[\],]", " ")), r"\s+")
     return F.transform(F.filter(parts, lambda x: x != ""), lambda x: x.try_cast("float"))
 
 
+def entry_vector(entry: Column, features: list[str]) -> Column:
+    """A VARIANT entry as the numbers of the features: a record gives them by name (a list of one record too), a list by place, a number stands for
+    all of them, and text may hold a list. What is missing, no number or of another kind is 0.
+    """
+    n, kind = len(features), F.schema_of_variant(entry)
+    number = lambda path: F.try_variant_get(entry, path, "double")
+    named = lambda prefix: F.array(*[number(f"{prefix}['{f}']") for f in features])
+    listed = F.transform(F.try_variant_get(entry, "$", "array<variant>"), lambda x: F.try_variant_get(x, "$", "double"))
+    one = F.size(F.try_variant_get(entry, "$", "array<variant>")) == 1
+    found = (
+        F.when(kind.startswith("OBJECT"), named("$"))
+        .when(kind.startswith("ARRAY<OBJECT") & one, named("$[0]"))
+        .when(kind.startswith("ARRAY"), listed)
+        .when(kind == "STRING", parse_vector_of(F.try_variant_get(entry, "$", "string")))
+        .when(kind.isin("BOOLEAN", "VOID"), None)
+        .otherwise(F.array_repeat(number("$"), n))
+    )
+    return F.transform(resized(F.coalesce(found, F.array().cast("array<double>")), n), lambda x: F.when(x.isNull() | F.isnan(x), 0.0).otherwise(x))
+
+
+def prefixed(columns: list[str], prefix: str) -> list[str]:
+    """The columns of a family, such as emb_0, emb_1, ..., in the order of their numbers; what follows the prefix otherwise comes last."""
+    rest = {c: c[len(prefix) :] for c in columns if c.startswith(prefix)}
+    return sorted(rest, key=lambda c: (not rest[c].isdigit(), int(rest[c]) if rest[c].isdigit() else 0, rest[c]))
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

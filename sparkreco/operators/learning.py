@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -12,8 +10,10 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkreco.functions.scalar import dot, normalized
-from sparkreco.operators.signals import numbered, ranked, top_per_group
+from sparkreco.functions.scalar import dot
+from sparkreco.operators import sinks
+from sparkreco.operators.signals import numbered, ranked
+from sparkreco.operators.vectors import VectorIndex
 
 
 def id_index(df: DataFrame, column: str) -> DataFrame:
@@ -84,42 +84,9 @@ def components_for(variance: DataFrame, share: float = 0.95) -> DataFrame:
     return variance.filter(F.col("cumulative") >= share).agg(F.min("component").alias("k"))
 
 
-#: Queries and items that one task compares at once.
-QUERY_ROWS, ITEM_ROWS = 4096, 16384
-
-
-def _dealt(rows: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
-    """Rows dealt to n parts of their own, once for each of the other side's m parts."""
-    return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-
-
 def similar_items(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 4) -> DataFrame:
-    """The k items with the highest rounded cosine for each of a stated set of queries.
-
-    Parts of the queries meet parts of the items, a pair of parts a task: a matrix product gives all cosines, of which each
-    query's k best go on. Nothing is broadcast; what moves is the items once for every QUERY_ROWS queries.
-    """
-    q = queries.select(F.col("item_id").alias("query_id"), normalized("vector").alias("qv")).filter("qv IS NOT NULL")
-    v = vectors.select(F.col("item_id").alias("item_id"), normalized("vector").alias("v")).filter("v IS NOT NULL")
-    n_q, n_v = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_ROWS), (vectors, ITEM_ROWS)))
-
-    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if len(left) and len(right):
-            right = right.sort_by("item_id")  # among equal cosines the first is the one with the smaller id
-            (qi, qm), (vi, vm) = ((t.column(i).to_numpy(), np.array(t.column(x).to_pylist(), float)) for t, i, x in ((left, "query_id", "qv"), (right, "item_id", "v")))
-            cosines = np.round(qm @ vm.T, digits) + 0.0
-            for i, row in enumerate(cosines):
-                free = np.flatnonzero(vi != qi[i])
-                if len(free) > 4 * k:
-                    free = free[row[free] >= np.partition(row[free], len(free) - k)[len(free) - k]]
-                best = free[np.argsort(-row[free], kind="stable")[:k]]
-                out.append((np.full(len(best), qi[i]), vi[best], row[best]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "item_id", "cosine"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
-
-    met = _dealt(q, "query_id", "qp", n_q, "vp", n_v).groupBy("qp", "vp").cogroup(_dealt(v, "item_id", "vp", n_v, "qp", n_q).groupBy("qp", "vp")).applyInArrow(solve, "query_id long, item_id long, cosine double")
-    return top_per_group(met, ["query_id"], [F.desc("cosine"), F.asc("item_id")], k)
+    """The k items with the highest rounded cosine for each of a stated set of queries, by an index that is made for it."""
+    return VectorIndex.build(vectors, sinks.scratch(vectors.sparkSession, "vectors")).search(queries, k, digits=digits)
 
 
 def embedding_neighbours(vectors: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -151,12 +118,17 @@ def leaks(df: DataFrame) -> DataFrame:
     return df.filter("event_ts > created_timestamp").agg(F.count("*").alias("leaks"))
 
 
-def training_set(orders: DataFrame, events: DataFrame, user_features: DataFrame, item_features: DataFrame) -> DataFrame:
-    """Orders with what was known before them and the feature tables of their users and items; nulls are 0."""
-    past = past_join(orders, events).groupBy("user_id", "item_id", "last_status", "created_timestamp", "target").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("past_weight"), F.count("event_ts").alias("past_events"))
+def training_set(orders: DataFrame, events: DataFrame, user_features: DataFrame, item_features: DataFrame, filled: bool = True, before: bool = True) -> DataFrame:
+    """Orders with what was known before them and the feature tables of their users and items; filled: nulls are 0.
+
+    before=False: with all interactions of the user and the item, whatever their time, for splits by user.
+    """
+    e = events.select("user_id", "item_id", "weight", F.col("timestamp").alias("event_ts"))
+    past = (past_join(orders, events) if before else orders.join(e, ["user_id", "item_id"], "left")).groupBy("user_id", "item_id", "last_status", "created_timestamp", "target").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("past_weight"), F.count("event_ts").alias("past_events"))
     users = user_features.join(orders.select("user_id").distinct(), "user_id", "left_semi")
     items = item_features.join(orders.select("item_id").distinct(), "item_id", "left_semi")
-    return past.join(users, "user_id", "left").join(items, "item_id", "left").na.fill(0)
+    out = past.join(users, "user_id", "left").join(items, "item_id", "left")
+    return out.na.fill(0) if filled else out
 
 
 def scoring_frame(candidates: DataFrame, user_features: DataFrame, item_features: DataFrame, items: DataFrame, preferences: DataFrame) -> DataFrame:

@@ -9,54 +9,105 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkreco.operators import candidates as C
-from sparkreco.operators import clean, learning, sinks
+from sparkreco.operators import artifacts, clean, learning, signals, sinks
+from sparkreco.operators.boosting import Booster, Ensemble, Fitted
 
-FEATURES = ["past_weight", "past_events", "user_count", "user_sum", "user_mean", "user_max", "user_min", "user_orders_count", "item_count", "item_sum", "item_mean", "item_max", "item_min", "item_orders_count"]
+#: Of the embeddings, so many first numbers are features.
+EMBEDDED = 8
+FEATURES = ["past_weight", "past_events", "user_count", "user_sum", "user_mean", "user_max", "user_min", "user_orders_count", "item_count", "item_sum", "item_mean", "item_max", "item_min", "item_orders_count", "covisit_strength", "cat_match_score", *[f"emb_{i}" for i in range(EMBEDDED)]]
+
+
+def item_extras(items: DataFrame, strength: DataFrame) -> DataFrame:
+    """(item_id, catalogid, covisit_strength, emb_0, ...): null where an item has none."""
+    emb = learning.embedding_columns(learning.embeddings(items), EMBEDDED)
+    return items.select("item_id", "catalogid").join(strength, "item_id", "left").join(emb, "item_id", "left")
+
+
+def category_shares(weights: DataFrame, items: DataFrame) -> DataFrame:
+    """(user_id, catalogid, cat_match_score): how much of a user's weight lies in a category."""
+    prefs = signals.category_preferences(weights, items)
+    total = prefs.groupBy("user_id").agg(F.sum("weight").alias("__t"))
+    return prefs.join(total, "user_id").select("user_id", "catalogid", F.try_divide("weight", "__t").alias("cat_match_score"))
 
 
 @dataclass(frozen=True)
 class Recommender:
-    """user_features, item_features: tables by user_id and item_id. past: (user_id, item_id, past_weight, past_events). popular: (item_id, pop_rank)."""
+    """user_features, item_features: tables by user_id and item_id. past: (user_id, item_id, past_weight, past_events). popular: (item_id, pop_rank).
+
+    extras and shares: what item_extras() and category_shares() give, for training and serving alike; without them these features are 0.
+    """
 
     user_features: DataFrame
     item_features: DataFrame
     past: DataFrame
     popular: DataFrame
-    model: PipelineModel | None = None
+    extras: DataFrame | None = None
+    shares: DataFrame | None = None
+    model: PipelineModel | Ensemble | None = None
     features: list[str] = field(default_factory=lambda: list(FEATURES))
 
+    def enriched(self, frame: DataFrame) -> DataFrame:
+        """frame (user_id, item_id, ...) with the items' extras and the share of the item's category in the user's weight; null where unknown."""
+        out = frame
+        if self.extras is not None:
+            out = out.join(self.extras, "item_id", "left")
+            out = out.join(self.shares, ["user_id", "catalogid"], "left") if self.shares is not None else out
+            out = out.drop("catalogid")
+        return out.withColumns({c: F.lit(0.0) for c in self.features if c not in out.columns})
+
     def frame(self, candidates: DataFrame) -> DataFrame:
         """Candidates (user_id, item_id, ...) with all features; what isn't known is 0."""
         out = candidates.join(self.past, ["user_id", "item_id"], "left")
-        return out.join(self.user_features, "user_id", "left").join(self.item_features, "item_id", "left").na.fill(0)
+        return self.enriched(out.join(self.user_features, "user_id", "left").join(self.item_features, "item_id", "left")).na.fill(0)
 
-    def train(self, orders: DataFrame, interactions: DataFrame, rounds: int = 50, depth: int = 6) -> Recommender:
-        """Learns which orders are delivered; the users that the hash split leaves out validate."""
-        whole = learning.training_set(orders, interactions, self.user_features, self.item_features)
+    def training_frame(self, orders: DataFrame, interactions: DataFrame, filled: bool = True, before: bool = True) -> DataFrame:
+        """Orders with the same features, of what was known before each (before=False: of all interactions); filled: nulls are 0."""
+        out = self.enriched(learning.training_set(orders, interactions, self.user_features, self.item_features, filled=False, before=before))
+        return out.na.fill(0) if filled else out
+
+    def fit(self, orders: DataFrame, interactions: DataFrame, booster: Booster, start: Ensemble | None = None) -> Fitted:
+        """Learns to order a user's delivered items before the others; the users that the hash split leaves out choose the round."""
+        split = clean.hash_split(self.training_frame(orders, interactions)).withColumn("validates", F.col("is_train") == 0)
+        rows, free = sinks.staged(split.select("user_id", "item_id", "last_status", "target", "validates", *self.features), "training-set")
+        found = booster.fit(rows, self.features, keys=("user_id", "item_id", "last_status"), validation="validates", start=start)
+        free()
+        return found
+
+    def train(self, orders: DataFrame, interactions: DataFrame, rounds: int = 50, depth: int = 6, patience: int | None = 10, start: Ensemble | None = None) -> Recommender:
+        """With a ranking model of at most so many rounds; start: an ensemble to go on from."""
+        return replace(self, model=self.fit(orders, interactions, Booster(rounds=rounds, depth=depth, patience=patience), start).ensemble)
+
+    def train_pointwise(self, orders: DataFrame, interactions: DataFrame, rounds: int = 50, depth: int = 6) -> Recommender:
+        """With trees on the logistic loss of each row."""
         # every round reads the frame again
-        split = clean.hash_split(whole).withColumn("validates", F.col("is_train") == 0).select("target", "validates", *self.features)
-        return replace(self, model=learning.train_ranker(sinks.stage(split, "training-set"), self.features, rounds=rounds, depth=depth, validation="validates"))
+        split = clean.hash_split(self.training_frame(orders, interactions)).withColumn("validates", F.col("is_train") == 0).select("target", "validates", *self.features)
+        rows, free = sinks.staged(split, "training-set")
+        model = learning.train_ranker(rows, self.features, rounds=rounds, depth=depth, validation="validates")
+        free()
+        return replace(self, model=model)
 
     def score(self, frame: DataFrame) -> DataFrame:
-        return learning.predict(self.model, frame)
+        return self.model.score(frame) if isinstance(self.model, Ensemble) else learning.predict(self.model, frame)
 
     def evaluate(self, frame: DataFrame, label: str = "target", k: int = 100) -> DataFrame:
         """Mean NDCG of the scores of a frame with labels, such as a stored validation set."""
         scored = self.score(frame).select("user_id", "item_id", "score", F.col(label).alias("label"))
         return learning.ndcg_grouped(scored, k, fast=True)
 
+    def scored(self, candidates: DataFrame) -> DataFrame:
+        """(user_id, item_id, pos, score) of the candidates, each once."""
+        first = candidates.groupBy("user_id", "item_id").agg(F.min("pos").alias("pos"))
+        return self.score(self.frame(first)).select("user_id", "item_id", "pos", F.round("score", 9).alias("score"))
+
     def recommend(self, candidates: DataFrame, users: DataFrame, k: int = 100) -> DataFrame:
         """Each user's k best candidates (user_id, item_id, pos) by score, filled up by popularity: (user_id, item_id, pos)."""
-        first = candidates.groupBy("user_id", "item_id").agg(F.min("pos").alias("pos"))
-        scored = self.score(self.frame(first)).select("user_id", "item_id", "pos", F.round("score", 9).alias("score"))
-        # the ranking reads the scores several times
-        return C.final_ranking(sinks.stage(scored, "scores"), users, self.popular, k)
+        return C.final_ranking(self.scored(candidates), users, self.popular, k)
 
     def save(self, folder: str) -> None:
-        tables = {"user_features": self.user_features, "item_features": self.item_features, "past": self.past, "popular": self.popular}
-        sinks.save_artifacts(folder, tables, {"model": self.model} if self.model else {}, self.features)
+        tables = {"user_features": self.user_features, "item_features": self.item_features, "past": self.past, "popular": self.popular, "extras": self.extras, "shares": self.shares}
+        artifacts.save_artifacts(folder, {n: t for n, t in tables.items() if t is not None}, {"model": self.model} if self.model else {}, self.features)
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Recommender:
-        tables, models, features = sinks.load_artifacts(spark, folder)
+        tables, models, features = artifacts.load_artifacts(spark, folder)
         return cls(**tables, model=models.get("model"), features=features)

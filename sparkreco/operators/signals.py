@@ -197,15 +197,21 @@ def days_ago(latest: str, ts: str) -> Column:
     return days_between(micros(latest), micros(ts))
 
 
-def user_item_history(orders: DataFrame) -> DataFrame:
-    """How often a user bought an item, and how many days before the latest order of all the last time was."""
-    as_of = orders.agg(F.max("created_timestamp").alias("as_of"))
+def _as_of(orders: DataFrame, as_of: str | None) -> DataFrame:
+    """One row (as_of): a given time, or that of the latest order."""
+    latest = F.max("created_timestamp") if as_of is None else F.lit(as_of).cast("timestamp_ntz")
+    return orders.agg(latest.alias("as_of")) if as_of is None else orders.sparkSession.range(1).select(latest.alias("as_of"))
+
+
+def user_item_history(orders: DataFrame, as_of: str | None = None) -> DataFrame:
+    """How often a user bought an item, and how many days before as_of (the latest order of all, if not given) the last time was."""
+    as_of = _as_of(orders, as_of)
     last = orders.groupBy("user_id", "item_id").agg(F.count("*").alias("user_item_count"), F.max("created_timestamp").alias("last"))
     return last.crossJoin(F.broadcast(as_of)).select("user_id", "item_id", "user_item_count", days_ago("as_of", "last").alias("user_item_days_ago"))
 
 
-def user_activity(orders: DataFrame) -> DataFrame:
-    as_of = orders.agg(F.max("created_timestamp").alias("as_of"))
+def user_activity(orders: DataFrame, as_of: str | None = None) -> DataFrame:
+    as_of = _as_of(orders, as_of)
     per = orders.groupBy("user_id").agg(F.count("*").alias("user_activity"), F.countDistinct("item_id").alias("user_unique_items"), F.max("created_timestamp").alias("last"))
     return per.crossJoin(F.broadcast(as_of)).select("user_id", "user_activity", "user_unique_items", days_ago("as_of", "last").alias("user_recency"))
 

@@ -8,14 +8,14 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int | None = None) -> None:
-    """mode ignore: leave what is there."""
+def write_table(df: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int | None = None, group_bytes: int | None = None) -> None:
+    """mode ignore: leave what is there. group_bytes: of a row group."""
     writer = df.write.mode(mode)
+    writer = writer.option("parquet.block.size", group_bytes) if group_bytes else writer
     (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).parquet(path)
 
 
@@ -30,9 +30,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def staged(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     """As stage(), and what deletes the files, for after their last read.
 
-    Only a local session without that setting gets a folder of its own; on a cluster executors would not see each other's.
     """
-    spark = df.sparkSession
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), lambda: _free(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in shared storage, deleted when the session's Python process ends.
+
+    Only a local session without the setting spark.checkpoint.dir gets a folder of its own; on a cluster executors would not see each other's.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
@@ -40,9 +48,8 @@ def staged(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
         folder = f"file://{tempfile.mkdtemp(prefix='sparkreco-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _STAGED[path] = spark
-    return spark.read.schema(df.schema).parquet(path), lambda: _free(path)
+    return path
 
 
 _STAGED: dict[str, SparkSession] = {}
@@ -71,21 +78,3 @@ def submission(recs: DataFrame) -> DataFrame:
 def write_submission(recs: DataFrame, path: str, k: int = 100) -> None:
     header = " ".join(["item_id_1", "item_id_2", "...", f"item_id_{k}"])
     submission(recs).withColumnRenamed("items", header).write.mode("overwrite").option("header", True).csv(path)
-
-
-def save_artifacts(folder: str, tables: dict[str, DataFrame], models: dict[str, PipelineModel] | None = None, features: list[str] | None = None) -> None:
-    """A table or model a subfolder, and a manifest with the order of the features."""
-    for name, df in tables.items():
-        write_table(df, f"{folder}/{name}")
-    for name, model in (models or {}).items():
-        model.write().overwrite().save(f"{folder}/{name}")
-    spark = SparkSession.getActiveSession()
-    rows = [("table", n, 0) for n in tables] + [("model", n, 0) for n in models or {}] + [("feature", n, i) for i, n in enumerate(features or [])]
-    write_table(spark.createDataFrame(rows, "kind string, name string, at int"), f"{folder}/manifest")
-
-
-def load_artifacts(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict[str, PipelineModel], list[str]]:
-    rows = spark.read.parquet(f"{folder}/manifest").orderBy("kind", "at").collect()
-    tables = {r["name"]: spark.read.parquet(f"{folder}/{r['name']}") for r in rows if r["kind"] == "table"}
-    models = {r["name"]: PipelineModel.load(f"{folder}/{r['name']}") for r in rows if r["kind"] == "model"}
-    return tables, models, [r["name"] for r in rows if r["kind"] == "feature"]

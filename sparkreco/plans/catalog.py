@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from sparkreco.functions import scalar as S
 from sparkreco.operators import candidates as C
 from sparkreco.operators import clean, learning, reports, signals, sinks
-from sparkreco.operators.recommender import FEATURES, Recommender
+from sparkreco.operators.boosting import Booster
+from sparkreco.operators.factors import FactorStore
+from sparkreco.operators.pairs import look_up, store_pairs
+from sparkreco.operators.recommender import FEATURES, Recommender, category_shares, item_extras
+from sparkreco.operators.vectors import VectorIndex
 from sparkreco.plans.frames import Frames
 from sparkreco.plans.prelude import filled, first_seen, sql
 from sparkreco.sources import tables
@@ -249,9 +253,7 @@ def category_popularity(f):
 
 @query(sql("""SELECT user_id, item_id, action_type, epoch_us("timestamp") AS ts_us, CAST(isodow("timestamp") >= 6 AS INTEGER) AS is_weekend, CAST(hour("timestamp") AS INTEGER) AS hour,
   item_popularity, count(*) OVER (PARTITION BY coalesce(catalogid, -1)) AS category_popularity, count(*) OVER (PARTITION BY user_id) AS user_activity, round(avg(item_popularity) OVER (PARTITION BY user_id), 6) AS user_mean_popularity
-  FROM (SELECT inter.*, catalogid, count(*) OVER (PARTITION BY item_id) AS item_popularity FROM inter LEFT JOIN i USING (item_id)) WHERE catalogid IS NOT NULL
-  UNION ALL SELECT user_id, item_id, action_type, epoch_us("timestamp"), CAST(isodow("timestamp") >= 6 AS INTEGER), CAST(hour("timestamp") AS INTEGER), n, CAST(0 AS BIGINT), ua, CAST(round(m, 6) AS DOUBLE) FROM (
-    SELECT inter.*, i.catalogid, count(*) OVER (PARTITION BY inter.item_id) AS n, count(*) OVER (PARTITION BY user_id) AS ua, CAST(0 AS DOUBLE) AS m FROM inter LEFT JOIN i USING (item_id)) WHERE catalogid IS NULL AND false"""))
+  FROM (SELECT inter.*, catalogid, count(*) OVER (PARTITION BY item_id) AS item_popularity FROM inter LEFT JOIN i USING (item_id)) WHERE catalogid IS NOT NULL"""))
 def rich_features(f):
     known = f.interactions.join(f.items.select("item_id"), "item_id", "left_semi")
     return signals.rich_features(known, f.items)
@@ -494,8 +496,10 @@ def category_ranked(f):
 
 @query(sql("SELECT r.user_id, r.item_id, user_item.n FROM rec r JOIN (SELECT user_id, item_id, count(*) AS n FROM ue GROUP BY 1, 2) user_item ON r.user_id = user_item.user_id AND r.item_id = user_item.item_id"))
 def pair_lookup(f):
-    stored = f.events.groupBy("user_id", "item_id").agg(F.count("*").alias("n"))
-    return stored.join(f.recents.select("user_id", "item_id"), ["user_id", "item_id"]).select("user_id", "item_id", "n")
+    folder = sinks.scratch(f.spark, "pairs")
+    table = folder.rpartition("/")[2].replace("-", "_")
+    store_pairs(f.events.groupBy("user_id", "item_id").agg(F.count("*").alias("n")), table, folder, buckets=16)
+    return look_up(f.spark, table, f.recents).select("user_id", "item_id", "n")
 
 
 @query(sql("SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT user_id FROM inter)"))
@@ -537,10 +541,50 @@ def vector_add(f):
     return learning.embeddings(f.items).select("item_id", F.round(F.get(total, F.lit(0)), 5).alias("first_sum"), F.round(F.aggregate(total, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("SELECT CAST(id AS BIGINT) AS id, CAST(id AS DOUBLE) + 0.5 AS first, CAST(3 AS INTEGER) AS n FROM range(20) t(id)")
+@query("SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS DOUBLE) + 0.5 AS first, CAST(3 AS INTEGER) AS n FROM part")
 def parsed_vectors(f):
-    text = f.spark.range(20).select("id", F.when(F.col("id") % 2 == 0, F.format_string("[%d.5, 2.0, 3.0]", "id")).otherwise(F.format_string("[%d.5 2.0  3.0]", "id")).alias("text"))
-    return text.select("id", S.parse_vector("text").alias("v")).select("id", F.get("v", F.lit(0)).cast("double").alias("first"), F.size("v").alias("n"))
+    """Vectors written as text in either of two ways."""
+    size, even = F.col("p_size").cast("string"), F.col("p_partkey") % 2 == 0
+    text = F.when(even, F.concat(F.lit("["), size, F.lit(".5, 2.0, 3.0]"))).otherwise(F.concat(F.lit("["), size, F.lit(".5 2.0  3.0]")))
+    return f.raw.table("part").select(F.col("p_partkey").cast("long").alias("id"), text.alias("text")).select("id", S.parse_vector("text").alias("v")).select("id", F.get("v", F.lit(0)).cast("double").alias("first"), F.size("v").alias("n"))
+
+
+_KIND = "event_id % 7"
+_K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
+
+
+@query(f"""SELECT CAST(event_id AS BIGINT) AS event_id, CASE WHEN {_KIND} IN (0, 1, 2, 3, 4) THEN {_K} ELSE 0 END AS k,
+  CASE {_KIND} WHEN 1 THEN 2.5 WHEN 2 THEN {_K} WHEN 3 THEN 0.5 ELSE 0 END AS z FROM events""")
+def entry_vectors(f):
+    """Feature entries of all kinds (records, lists, numbers, text, lists of a record, others) as one kind of vector."""
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_id") % 7
+    text = F.when(kind == 0, F.col("props")).when(kind == 1, F.concat(F.lit("["), k, F.lit(", 2.5, null]"))).when(kind == 2, k).when(kind == 3, F.concat(F.lit('"['), k, F.lit(' 0.5]"')))
+    text = text.when(kind == 4, F.concat(F.lit("["), F.col("props"), F.lit("]"))).when(kind == 5, F.lit("true"))
+    v = S.entry_vector(F.col("entry"), ["k", "z"])
+    rows = f.raw.table("events").select("event_id", F.try_parse_json(text).alias("entry")).select(F.col("event_id").cast("long").alias("event_id"), v.alias("v"))
+    return rows.select("event_id", F.col("v")[0].alias("k"), F.col("v")[1].alias("z"))
+
+
+@query(sql("SELECT item_id, round(list_sum(list_transform(v[1:4], lambda x: x)), 5) AS first_four FROM ve", _VECTORS))
+def prefixed_columns(f):
+    """A family of columns, found by its prefix, in the order of its numbers."""
+    wide = learning.embedding_columns(learning.embeddings(f.items).select("item_id", S.normalized("vector").alias("vector")), 12)
+    first = S.prefixed(wide.columns, "emb_")[:4]
+    return wide.select("item_id", F.round(sum((F.col(c) for c in first[1:]), F.col(first[0])), 5).alias("first_four"))
+
+
+@query()
+def embedding_probed(f):
+    """What a probed search finds of the exact neighbours, and how many rows either search compares; the probes are set on a sample of the queries."""
+    vectors = learning.embeddings(f.items)
+    index = VectorIndex.build(vectors, sinks.scratch(f.spark, "vectors"))
+    asked = vectors.join(_last_five(f).select("item_id").distinct(), "item_id", "left_semi")
+    probes = index.probes_for(asked, 10)
+    found = {n: index.found(asked, 10, probes, exact=e).persist() for n, e in (("exact", True), ("probed", False))}
+    best = {n: signals.top_per_group(df, ["query_id"], [F.desc("cosine"), F.asc("item_id")], 10).select("query_id", "item_id") for n, df in found.items()}
+    both = best["exact"].join(best["probed"].withColumn("hit", F.lit(1)), ["query_id", "item_id"], "left").agg(F.count("*").alias("neighbours"), F.count("hit").alias("hits"))
+    counts = [df.agg(F.sum("compared").alias(f"compared_{n}")) for n, df in found.items()]
+    return both.crossJoin(counts[0]).crossJoin(counts[1]).withColumn("probes", F.lit(probes)).withColumn("recall", F.round(F.col("hits") / F.col("neighbours"), 4))
 
 
 # candidates
@@ -769,12 +813,11 @@ def ndcg_list(f):
     return learning.ndcg_lists(_final(f), f.test)
 
 
-_LABELLED = "lb AS (SELECT user_id, item_id, score, CAST(EXISTS (SELECT 1 FROM te WHERE te.user_id = rec.user_id AND te.item_id % 7 = rec.item_id % 7) AS INTEGER) AS label, pos FROM rec)"
+_LABELLED = "lb AS (SELECT user_id, item_id, score, CAST(EXISTS (SELECT 1 FROM te WHERE te.user_id = rec.user_id AND te.item_id = rec.item_id) AS INTEGER) AS label, pos FROM rec)"
 
 
 def _labelled(f):
-    hit = f.test.select("user_id", (F.col("item_id") % 7).alias("m")).distinct().withColumn("label", F.lit(1))
-    return f.recents.withColumn("m", F.col("item_id") % 7).join(hit, ["user_id", "m"], "left").na.fill(0, ["label"])
+    return learning.labels_of(f.recents, f.test)
 
 
 _NDCG = "SELECT round(coalesce(avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END), 0), 6) AS ndcg, count(*) AS users FROM (SELECT user_id, sum(CASE WHEN pos <= 3 THEN label / log2(pos + 1) ELSE 0 END) AS dcg, sum(CASE WHEN ia <= 3 THEN label / log2(ia + 1) ELSE 0 END) AS idcg, max(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY label DESC, pos) AS ia FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM lb){w}) GROUP BY 1){f}"
@@ -801,32 +844,85 @@ def _candidates(f):
 
 def _recommender(f):
     past = f.interactions.groupBy("user_id", "item_id").agg(F.sum("weight").alias("past_weight"), F.count("*").alias("past_events"))
-    return Recommender(f.user_features, f.item_features, past, f.popular.select("item_id", "pop_rank"))
+    known = f.interactions.select("user_id", "item_id")
+    return Recommender(f.user_features, f.item_features, past, f.popular.select("item_id", "pop_rank"), item_extras(f.items, signals.covisit_strength(known)), category_shares(signals.user_item_weights(f.interactions), f.items))
+
+
+_EXTRAS = (
+    "ui AS (SELECT DISTINCT user_id, item_id FROM inter)",
+    "cs AS (SELECT item_id, CAST(sum(n) AS BIGINT) AS covisit_strength FROM (SELECT n, unnest([a, b]) AS item_id FROM (SELECT x.item_id AS a, y.item_id AS b, count(*) AS n FROM ui x JOIN ui y ON x.user_id = y.user_id AND x.item_id < y.item_id GROUP BY 1, 2) WHERE n >= 5) GROUP BY 1)",
+    "sh AS (SELECT user_id, catalogid, w / sum(w) OVER (PARTITION BY user_id) AS share FROM (SELECT user_id, catalogid, sum(weight) AS w FROM uiw JOIN i USING (item_id) GROUP BY 1, 2))",
+)
+_EXTRA_COLUMNS = "coalesce(covisit_strength, 0) AS covisit_strength, round(coalesce(share, 0), 6) AS cat_match_score, round(coalesce(CAST(fclip_embed[1] AS DOUBLE), 0), 6) AS emb_0"
+_EXTRA_JOINS = "LEFT JOIN i ON i.item_id = {t}.item_id LEFT JOIN cs ON cs.item_id = {t}.item_id LEFT JOIN sh ON sh.user_id = {t}.user_id AND sh.catalogid = i.catalogid"
 
 
 @query(sql("""SELECT cand.user_id, cand.item_id, pos, round(coalesce(p.w, 0), 6) AS past_weight, coalesce(p.n, 0) AS past_events, coalesce(user_count, 0) AS user_count, round(coalesce(user_mean, 0), 6) AS user_mean,
-  coalesce(item_count, 0) AS item_count, round(coalesce(item_mean, 0), 6) AS item_mean, coalesce(item_orders_count, 0) AS item_orders_count
+  coalesce(item_count, 0) AS item_count, round(coalesce(item_mean, 0), 6) AS item_mean, coalesce(item_orders_count, 0) AS item_orders_count, """ + _EXTRA_COLUMNS + """
   FROM cand LEFT JOIN (SELECT user_id, item_id, sum(weight) AS w, count(*) AS n FROM inter GROUP BY 1, 2) p ON p.user_id = cand.user_id AND p.item_id = cand.item_id
-  LEFT JOIN uf ON uf.user_id = cand.user_id LEFT JOIN itf ON itf.item_id = cand.item_id""", *_WARM, _COLD, _CAND))
+  LEFT JOIN uf ON uf.user_id = cand.user_id LEFT JOIN itf ON itf.item_id = cand.item_id """ + _EXTRA_JOINS.format(t="cand"), *_WARM, _COLD, _CAND, *_EXTRAS))
 def inference_frame(f):
     out = _recommender(f).frame(_candidates(f))
     r = lambda c: F.round(c, 6).alias(c)
-    return out.select("user_id", "item_id", "pos", r("past_weight"), "past_events", "user_count", r("user_mean"), "item_count", r("item_mean"), "item_orders_count")
+    return out.select("user_id", "item_id", "pos", r("past_weight"), "past_events", "user_count", r("user_mean"), "item_count", r("item_mean"), "item_orders_count", "covisit_strength", r("cat_match_score"), r("emb_0"))
+
+
+#: What the queries train: fewer rounds than the defaults.
+ROUNDS, DEPTH = 12, 4
 
 
 @query()
 def inference(f):
-    """From the tables to the submission; its candidates and features are those of inference_frame, its model is trained here."""
-    model = _recommender(f).train(f.train, f.interactions)
+    """From the tables to the submission; its candidates and features are those of inference_frame, its model is trained here to order."""
+    model = _recommender(f).train(f.train, f.interactions, rounds=ROUNDS, depth=DEPTH)
     return sinks.submission(model.recommend(_candidates(f), f.users, K))
 
 
 @query()
 def validation_ndcg(f):
     """The trained model on the users that validate."""
-    model = _recommender(f).train(f.train, f.interactions)
-    whole = learning.training_set(f.train, f.interactions, f.user_features, f.item_features)
-    return model.evaluate(clean.hash_split(whole).filter("is_train = 0"))
+    own = _recommender(f)
+    model = own.train(f.train, f.interactions, rounds=ROUNDS, depth=DEPTH)
+    return model.evaluate(clean.hash_split(own.training_frame(f.train, f.interactions)).filter("is_train = 0"))
+
+
+@query()
+def lambdarank_rounds(f):
+    """NDCG@100 of the users that validate after each round, and the round that is kept."""
+    return _recommender(f).fit(f.train, f.interactions, Booster(rounds=ROUNDS, depth=DEPTH)).rounds(f.spark)
+
+
+@query()
+def lambdarank_scores(f):
+    own = _recommender(f)
+    model = own.train(f.train, f.interactions, rounds=ROUNDS, depth=DEPTH)
+    return model.score(own.training_frame(f.train, f.interactions)).select("user_id", "item_id", "last_status", "target", "score")
+
+
+@query()
+def warm_start_rounds(f):
+    """Learns from the older half of the orders and goes on with the newer half: (round, ndcg, chosen) of the second run."""
+    own, cut = _recommender(f), clean.cutoff(f.train, 0.5)
+    older, newer = clean.split(f.train, cut)
+    first = own.fit(older, f.interactions, Booster(rounds=ROUNDS // 2, depth=DEPTH)).ensemble
+    return own.fit(newer, f.interactions, Booster(rounds=ROUNDS // 2, depth=DEPTH), start=first).rounds(f.spark)
+
+
+@query(sql("""SELECT tr.user_id, tr.item_id, last_status, target, count(inter.item_id) AS past_events, coalesce(round(sum(weight), 6), 0) AS past_weight FROM tr LEFT JOIN inter ON tr.user_id = inter.user_id AND tr.item_id = inter.item_id GROUP BY ALL"""))
+def train_set_by_user(f):
+    """The training frame for splits by user: interactions of any time count."""
+    out = _recommender(f).training_frame(f.train, f.interactions, before=False)
+    return out.select("user_id", "item_id", "last_status", "target", "past_events", F.round("past_weight", 6).alias("past_weight"))
+
+
+@query()
+def incremental_factors(f):
+    """Factors learnt in two batches of interactions, half of the users each: scores of recent items."""
+    weights = f.interactions.withColumn("half", F.pmod(F.xxhash64("user_id"), F.lit(2)))
+    store = FactorStore(f.spark, sinks.scratch(f.spark, "factors"), rank=16, buckets=8)
+    for number in (0, 1):
+        store.update(weights.filter(F.col("half") == number).select("user_id", "item_id", "weight"), number, iterations=2)
+    return store.scores(f.recents)
 
 
 _EXPLORED = (
@@ -862,9 +958,10 @@ def coerced_times(f):
     return f.raw.orders.select("user_id", "item_id", text.alias("text")).select("user_id", "item_id", F.coalesce(F.unix_micros(S.parse_time("text")), F.lit(-1)).alias("ts_us"))
 
 
-@query(sql("SELECT target, count(*) AS rows, CAST(0 AS BIGINT) AS lacking FROM tr GROUP BY 1"))
+@query(sql("SELECT target, count(*) AS rows, count(*) FILTER (WHERE covisit_strength IS NULL OR share IS NULL OR fclip_embed IS NULL OR len(fclip_embed) = 0) AS lacking FROM tr " + _EXTRA_JOINS.format(t="tr") + " GROUP BY 1", *_EXTRAS))
 def target_counts(f):
-    return learning.marked(learning.training_set(f.train, f.interactions, f.user_features, f.item_features), FEATURES)
+    """Training rows by target, and how many of them lack a feature before nulls are filled."""
+    return learning.marked(_recommender(f).training_frame(f.train, f.interactions, filled=False), FEATURES)
 
 
 # models: rows only
@@ -891,8 +988,8 @@ def pca_variance(f):
 
 
 def _trained(f):
-    frame = learning.training_set(f.train, f.interactions, f.user_features, f.item_features)
-    return _recommender(f).train(f.train, f.interactions).model, frame
+    own = _recommender(f)
+    return own.train_pointwise(f.train, f.interactions).model, own.training_frame(f.train, f.interactions)
 
 
 @query()

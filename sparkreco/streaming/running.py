@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sparkreco.operators.learning import factorize_ids
 
@@ -23,19 +23,49 @@ def daily_sessions(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("timestamp", late).groupBy("user_id", F.window("timestamp", "1 day").alias("day")).agg(F.collect_set("item_id").alias("items"), F.count("*").alias("events"))
 
 
-def recent_per_user(events: DataFrame, n: int = 5) -> DataFrame:
-    """Each user's n items with the latest events; the state holds n pairs a user."""
+class _Recent(StatefulProcessor):
+    """A user's n latest items: a list state, and a timer that clears it when no event has come for a while."""
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = [pd.DataFrame(dict(zip(("item_id", "at"), state.get, strict=True)))] if state.exists else []
-        new = [pd.DataFrame({"item_id": f["item_id"], "at": f["timestamp"].astype("datetime64[us]").astype("int64")}) for f in frames]
-        latest = pd.concat(old + new).groupby("item_id", as_index=False)["at"].max()
-        best = latest.sort_values(["at", "item_id"], ascending=[False, True]).head(n)
-        state.update((best["item_id"].tolist(), best["at"].tolist()))
-        yield pd.DataFrame({"user_id": [key[0]], "items": [best["item_id"].tolist()]})
+    def __init__(self, n: int, keep_ms: int):
+        self.n, self.keep_ms = n, keep_ms
 
-    own = events.select("user_id", "item_id", "timestamp")
-    return own.groupBy("user_id").applyInPandasWithState(update, "user_id long, items array<long>", "items array<long>, at array<long>", "update", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.items = handle.getListState("items", "item_id long, at long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        latest = dict(self.items.get()) if self.items.exists() else {}
+        for f in rows:
+            for item, at in zip(f["item_id"].tolist(), f["timestamp"].astype("datetime64[us]").astype("int64").tolist(), strict=True):
+                latest[item] = max(at, latest.get(item, at))
+        best = sorted(latest.items(), key=lambda x: (-x[1], x[0]))[: self.n]
+        self.items.put(best)
+        if self.keep_ms:
+            at = best[0][1] // 1000 + self.keep_ms
+            if self.timer.exists():
+                self.handle.deleteTimer(self.timer.get()[0])
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+        yield pd.DataFrame({"user_id": [key[0]], "items": [[i for i, _ in best]], "expired": [False]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.items.clear()
+        self.timer.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "items": [[]], "expired": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def recent_per_user(events: DataFrame, n: int = 5, late: str = "1 day", keep_days: int = 0) -> DataFrame:
+    """(user_id, items, expired): each user's n items with the latest events, for update mode; the state holds n pairs a user.
+
+    Events later than the watermark allows are left out. keep_days: a user without events for so long loses the state, and a row with
+    expired says so. The state store must be RocksDB's (spark.sql.streaming.stateStore.providerClass).
+    """
+    own = events.withWatermark("timestamp", late).select("user_id", "item_id", "timestamp")
+    return own.groupBy("user_id").transformWithStateInPandas(_Recent(n, keep_days * 86400000), "user_id long, items array<long>, expired boolean", "update", "eventTime")
 
 
 def refit_factors(history: str, rank: int = 64) -> Callable[[DataFrame, int], None]:
