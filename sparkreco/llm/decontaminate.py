@@ -1,7 +1,9 @@
 """Benchmark decontamination: passages of training documents as BM25 queries against an inverted index of test items.
 
-Words are runs of letters, digits and bytes beyond ASCII, in lower case. Every document is read whole, as passages of twice the longest
-item's words, each starting halfway into the one before, so that any item lies within one passage. A passage's score for
+Words are runs of letters, digits and bytes beyond ASCII, in lower case. Every document is read whole, as passages that suit an item's own
+length: their half is the least power of two that is a quarter more than its words, and each starts halfway into the one before, so
+that the item lies within one passage. Items of one such half make an index of their own, so what is found of an item doesn't depend
+on the lengths of others. A passage's score for
 an item is the sum of the BM25 weights of the item's terms that it has, divided by the item's sum over all of its terms: from 0 to 1. All
 items of `retrieve` or more are retrieved: first the block-max bounds, the sums over a passage's terms of each term's
 largest weight in a block of items, leave out blocks that can't reach the threshold; in the blocks that are left, WAND moves along the
@@ -10,7 +12,7 @@ trigrams of its first half (the question) and of its second half (the answer) st
 whole, and so is an item of fewer than 5 words: its word sequence must stand in the passage.
 
 The index is broadcast; the items are read in shards of at most SHARD_ITEMS, so its size is bounded, and a larger benchmark takes more
-passes. Posting lists and block bounds are sparse: an item takes some 30 bytes a term, a shard of 50-word items some 12 MB. The number of items, their average and largest length and the terms' document frequencies are those of all items, counted once.
+passes. Posting lists and block bounds are sparse: an item takes some 30 bytes a term, a shard of 50-word items some 12 MB. The number of items, their average length and the terms' document frequencies are those of all items, counted once.
 
 Defined cases: null or empty texts match nothing; items without words are not searched for; a null item id is carried along; repeated
 items match each by itself; documents of any id and length are rows of their own; without items nothing is leaked.
@@ -82,24 +84,39 @@ class Index:
     block_no: np.ndarray  # the blocks that have the term
     block_most: np.ndarray  # the term's largest weight in each of them
     halves: list[tuple]  # of each item, as halves() gives them
-    longest: int
+    half: int  # words of half a passage
 
 
 @dataclass
 class Stats:
-    """Of all items that have words: their number, average and largest number of words, and how many of them have each term."""
+    """Of all items that have words: their number, average number of words, and how many of them have each term."""
 
     items: int
     mean: float
-    longest: int
     having: dict[int, int]  # by the term's hash as a signed number
 
 
-def build_index(ids: list, texts: list[str | None], stats: Stats | None = None) -> Index:
-    """stats: of all items, if these are a shard of them."""
+def half_passage(n_words: int) -> int:
+    """Words of half a passage for an item: a power of two, a quarter more than the item's at least."""
+    return 1 << (-(-5 * n_words // 4) - 1).bit_length()
+
+
+def build_indexes(ids: list, texts: list[str | None], stats: Stats | None = None) -> list[Index]:
+    """An index for each half of passages that the items have. stats: of all items, if these are a shard of them."""
     hashes, at = term_hashes(*lowered(pa.array(texts, pa.string())))
-    use = [i for i in range(len(ids)) if at[i + 1] > at[i]]
-    words = [hashes[at[i] : at[i + 1]] for i in use]
+    words = [hashes[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
+    if stats is None:
+        kinds, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, words)]), return_counts=True)
+        used = [len(w) for w in words if len(w)]
+        stats = Stats(len(used), float(np.mean(used)) if used else 0.0, dict(zip(kinds.view(np.int64).tolist(), counts.tolist(), strict=True)))
+    own: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        if len(w):
+            own.setdefault(half_passage(len(w)), []).append(i)
+    return [_index([ids[i] for i in use], [words[i] for i in use], half, stats) for half, use in sorted(own.items())]
+
+
+def _index(use: list, words: list[np.ndarray], half: int, stats: Stats) -> Index:
     sizes = np.array([len(w) for w in words], float)
     terms = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
     found = [[] for _ in terms]
@@ -107,8 +124,8 @@ def build_index(ids: list, texts: list[str | None], stats: Stats | None = None)
         kinds, counts = np.unique(w, return_counts=True)
         for t, c in zip(np.searchsorted(terms, kinds).tolist(), counts.tolist(), strict=True):
             found[t].append((i, c))
-    having = [stats.having[t] for t in terms.view(np.int64).tolist()] if stats else [len(f) for f in found]
-    n, mean, longest = (stats.items, stats.mean, stats.longest) if stats else (len(use), sizes.mean() if use else 0.0, int(sizes.max(initial=0)))
+    having = [stats.having[t] for t in terms.view(np.int64).tolist()]
+    n, mean = stats.items, stats.mean
     idf = np.array([np.log(1 + (n - df + 0.5) / (df + 0.5)) for df in having])
     items = [np.array([i for i, _ in f]) for f in found]
     weights = []
@@ -124,7 +141,7 @@ def build_index(ids: list, texts: list[str | None], stats: Stats | None = None)
     block_no = np.concatenate([np.zeros(0, np.int32), *[(i[x] // BLOCK_ITEMS).astype(np.int32) for i, x in zip(items, starts, strict=True)]])
     block_most = np.concatenate([np.zeros(0, np.float32), *[(np.maximum.reduceat(w, x) * (1 + 1e-6)).astype(np.float32) for w, x in zip(weights, starts, strict=True)]])
     most = np.array([w.max() for w in weights])
-    return Index([ids[i] for i in use], terms, items, weights, most, -(-len(use) // BLOCK_ITEMS), block_at, block_no, block_most, [halves(w) for w in words], longest)
+    return Index(use, terms, items, weights, most, -(-len(use) // BLOCK_ITEMS), block_at, block_no, block_most, [halves(w) for w in words], half)
 
 
 def wand(index: Index, terms: np.ndarray, blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -185,17 +202,23 @@ def _reached(index: Index, kind: np.ndarray, starts: np.ndarray, ends: np.ndarra
         k = upto
 
 
-def leaks_of(index: Index, offsets: np.ndarray, data: np.ndarray, retrieve: float, overlap: float) -> list[list[tuple]]:
+def leaks_of(indexes: list[Index], offsets: np.ndarray, data: np.ndarray, retrieve: float, overlap: float) -> list[list[dict]]:
     """For each text the leaked items, with the best passage's score and overlaps."""
-    out: list[dict] = [{} for _ in range(len(offsets) - 1)]
-    if not len(index.terms):
-        return [[] for _ in out]
+    out: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
     hashes, at = term_hashes(offsets, data)
+    for index in indexes:
+        for own, found in zip(out, _leaks_of(index, hashes, at, retrieve, overlap), strict=True):
+            own += [{"item_id": index.ids[i], "score": s, "question": q, "answer": a} for i, (s, q, a) in sorted(found.items())]
+    return [sorted(x, key=lambda y: (y["item_id"] is None, y["item_id"] or 0)) for x in out]
+
+
+def _leaks_of(index: Index, hashes: np.ndarray, at: np.ndarray, retrieve: float, overlap: float) -> list[dict]:
+    out: list[dict] = [{} for _ in range(len(at) - 1)]
     term = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
     place = np.flatnonzero(index.terms[term] == hashes)
     term = term[place]
     doc = np.searchsorted(at, place, side="right") - 1
-    step = index.longest
+    step = index.half
     half = (place - at[doc]) // step  # a passage is two halves
     base = np.concatenate([[0], np.cumsum(np.maximum(-(-np.diff(at) // step), 1))])
     n_terms = len(index.terms)
@@ -203,7 +226,7 @@ def leaks_of(index: Index, offsets: np.ndarray, data: np.ndarray, retrieve: floa
     both = np.unique(np.concatenate([one * n_terms + term, (one - 1)[half > 0] * n_terms + term[half > 0]]))
     passage, kind = both // n_terms, both % n_terms
     if not len(passage):
-        return [[] for _ in out]
+        return out
     starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
     ends = np.concatenate([starts[1:], [len(passage)]])
     for k, blocks in _reached(index, kind, starts, ends, retrieve):
@@ -219,7 +242,7 @@ def leaks_of(index: Index, offsets: np.ndarray, data: np.ndarray, retrieve: floa
             q, a = (float(np.isin(g, words[n], assume_unique=True).mean()) for n, g in index.halves[item])
             if q >= overlap and a >= overlap and score > out[d].get(item, (0.0,))[0]:
                 out[d][item] = (score, q, a)
-    return [[{"item_id": index.ids[i], "score": s, "question": q, "answer": a} for i, (s, q, a) in sorted(found.items())] for found in out]
+    return out
 
 
 def _counted(items: DataFrame) -> DataFrame:
@@ -239,7 +262,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     spark = docs.sparkSession
     rows = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
     counted = _counted(rows).persist()
-    n_items, n_used, mean, longest = counted.agg(F.count("*"), F.count_if(F.col("words") > 0), F.avg(F.when(F.col("words") > 0, F.col("words"))), F.max("words")).first()
+    n_items, n_used, mean = counted.agg(F.count("*"), F.count_if(F.col("words") > 0), F.avg(F.when(F.col("words") > 0, F.col("words")))).first()
     having = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).persist()
     shards = max(1, -(-n_items // (SHARD_ITEMS // 2)))  # by hash: half full on average, so that none is over
     names = [c for c in docs.columns if c != name]
@@ -250,8 +273,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
         part = counted.filter(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == shard)
         own = part.select("id", "text").orderBy("id", "text").collect()
         terms = having.join(part.select(F.explode("terms").alias("term")), "term", "left_semi").collect()
-        stats = Stats(n_used, mean, longest, {r["term"]: r["n"] for r in terms})
-        index = spark.sparkContext.broadcast(build_index([r["id"] for r in own], [r["text"] for r in own], stats))
+        stats = Stats(n_used, mean or 0.0, {r["term"]: r["n"] for r in terms})
+        index = spark.sparkContext.broadcast(build_indexes([r["id"] for r in own], [r["text"] for r in own], stats))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:

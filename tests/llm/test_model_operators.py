@@ -146,11 +146,67 @@ def test_decontamination_is_alike_in_any_number_of_shards(spark, monkeypatch):
     assert len(runs[0]) > 20 and runs[0] == runs[1]
 
 
-def test_wand_finds_what_a_full_scan_finds():
+def _plain_leaks(docs, items, retrieve, overlap):
+    """BM25 of every passage with every item, then overlap; all in plain sets and dicts."""
+    split = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    words = [split(t) for _, t in items]
+    used = [w for w in words if w]
+    mean = sum(map(len, used)) / len(used)
+    having = Counter(x for w in used for x in set(w))
+    idf = {t: math.log(1 + (len(used) - n + 0.5) / (n + 0.5)) for t, n in having.items()}
+    run = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    out = set()
+    for d, text in docs:
+        doc = split(text)
+        for i, w in enumerate(words):
+            if not w:
+                continue
+            weight = {t: idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, c in Counter(w).items()}
+            half = 1
+            while half * 4 < len(w) * 5:
+                half *= 2
+            parts = [w, w] if len(w) < 5 else [w[: len(w) // 2], w[len(w) // 2 :]]
+            sizes = [len(w)] * 2 if len(w) < 5 else [min(3, len(x)) for x in parts]
+            for s in range(0, max(1, len(doc)), half):
+                passage = doc[s : s + 2 * half]
+                score = sum(weight[t] for t in set(passage) & weight.keys()) / sum(weight.values())
+                shares = [len(run(x, n) & run(passage, n)) / len(run(x, n)) for x, n in zip(parts, sizes, strict=True)]
+                if score >= retrieve and min(shares) >= overlap:
+                    out.add((d, items[i][0]))
+    return out
+
+
+def test_decontamination_against_a_plain_version(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{int(80 * rng.random() ** 2)}" for _ in range(rng.choice([2, 4, 5, 9, 17, 30, 120])))) for i in range(40)]
+    docs = []
+    for i in range(90):
+        w = items[i % 40][1].split()
+        lost = [x for x in w if rng.random() < 0.9]
+        docs.append((i, " ".join([f"w{rng.randrange(80)}" for _ in range(rng.randrange(60))] + (lost if i % 3 else w) + [f"x{rng.randrange(9)}" for _ in range(rng.randrange(90))])))
+    want = _plain_leaks(docs, items, 0.5, 0.5)
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], x["item_id"]) for r in found for x in r["leaks"]} == want and len(want) > 60
+
+
+def test_an_item_leaks_alike_whatever_the_others_length(spark):
+    item = "the old mill stands behind seven white birches since winter"
+    words = item.split()
+    spread = " ".join(" ".join(words[k : k + 3]) + " " + "and so on it goes " * 12 for k in range(0, 10, 2))  # its trigrams, sixty words apart
+    near = "he wrote that " + item + " and nothing else"
+    docs = spark.createDataFrame([(0, spread), (1, near)], "doc_id long, text string")
+    long_item = " ".join(f"z{k}" for k in range(1500))
+    for items in ([(1, item)], [(1, item), (2, long_item)]):
+        found = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in found} == {0: [], 1: [1]}
+
+
+def test_wand_finds_what_a_full_scan_finds(monkeypatch):
+    monkeypatch.setattr(decontaminate, "half_passage", lambda n: 64)
     rng = random.Random(5)
     vocabulary = [f"w{k}" for k in range(60)]
     texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(5, 25))) for _ in range(90)]
-    index = decontaminate.build_index(list(range(90)), texts)
+    (index,) = decontaminate.build_indexes(list(range(90)), texts)
     for _ in range(40):
         terms = np.array(sorted(rng.sample(range(len(index.terms)), min(len(index.terms), rng.randrange(1, 50)))))
         scores = np.zeros(90)
@@ -169,7 +225,8 @@ def test_block_bounds_of_many_passages(monkeypatch, at_once):
     monkeypatch.setattr(decontaminate, "SUMS", at_once)
     rng = random.Random(6)
     texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 12))) for _ in range(50)]
-    index = decontaminate.build_index(list(range(50)), texts)
+    monkeypatch.setattr(decontaminate, "half_passage", lambda n: 64)
+    (index,) = decontaminate.build_indexes(list(range(50)), texts)
     dense = np.zeros((len(index.terms), index.blocks))
     for t, (items, weights) in enumerate(zip(index.items, index.weights, strict=True)):
         np.maximum.at(dense[t], items // decontaminate.BLOCK_ITEMS, weights)
