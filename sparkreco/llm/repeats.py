@@ -1,19 +1,21 @@
 """Substring dedup by repeated-phrase automata.
 
 A window is a run of consecutive words. Each window holds an anchor, the phrase of half its length with the least hash, and
-equal windows hold it at the same place. Three rounds between the blocks of documents and the buckets of hashes, then a pass:
+equal windows hold it at the same place. Four rounds between the blocks of documents and the buckets of hashes, then a pass:
 
 1. Blocks exchange the hashes of their anchors and learn which recur.
 2. They exchange the hashes of the windows around these and learn which may recur; so a phrase that a third of all documents have
    in surroundings of their own costs each block one entry a window, and no bucket gets these surroundings' texts.
-3. Runs of windows that may recur, around one anchor, go to the anchor's bucket as texts, each different text once a block. The bucket
-   confirms the recurring passages: it compares their windows word by word.
-4. Each block compiles the confirmed passages into an Aho-Corasick automaton over words, its shard, and streams all of its documents
-   through it. What the automaton locates is removed, and nothing else is.
+3. Runs of windows that may recur, around one anchor, are pieces. Blocks claim theirs by a hash at the anchor's bucket; the first two
+   blocks of a piece are chosen to bring its text. A piece that all blocks hold is a text twice, not once a block.
+4. The bucket compares the texts' windows word by word and so confirms the recurring passages: its shard. Each block that claimed
+   a piece gets the passages in it.
+5. Each block compiles the passages of all shards that it shares an anchor with into an Aho-Corasick automaton over words and streams
+   all of its documents through it. Blocks know of no places beforehand: what is removed is what the automaton locates.
 
-A shard holds the passages that occur in its block alone, so its size is bounded by the block's, no document needs another
-shard, and no list of passages is held in one place. The hashes of rounds 1 and 2 only leave out what can't recur: a false
-match there costs work.
+A shard's part for a block holds passages around the block's own anchors, so its size is bounded by the block's, and no list of
+passages is held in one place. The hashes only leave out what can't recur and say whose text is brought; a false match there costs
+work, and the automaton still compares words.
 
 Defined cases: a null or empty text has no words and stays empty; texts shorter than a window keep all words; a null or
 repeated id is carried along, each row is a document of its own; other columns are left out, whatever their names; an empty
@@ -81,31 +83,67 @@ class _Pieces:
         chosen = order[begins]
         self.starts, self.ends, self.windows = starts[chosen], ends[chosen], ends[chosen] - starts[chosen] - window + 1
         self.several = np.diff(np.append(begins, len(order))) > 1
+        self.hashes = own[chosen]
         self.edges = bucket_bounds(key[chosen], n)
 
-    def ask(self) -> dict[int, bytes]:
-        out = {}
+    def _buckets(self) -> Iterator[tuple[int, slice]]:
         for k in np.flatnonzero(np.diff(self.edges)).tolist():
-            own = range(self.edges[k], self.edges[k + 1])
-            lines = b"\n".join(self.text[self.at[self.starts[i]] : self.at[self.ends[i]] - 1] for i in own)
-            out[k] = squeeze(struct.pack("<q", len(own)) + self.several[own.start : own.stop].astype(np.uint8).tobytes() + lines)
+            yield k, slice(int(self.edges[k]), int(self.edges[k + 1]))
+
+    def claims(self) -> dict[int, bytes]:
+        return {k: self.hashes[own].tobytes() for k, own in self._buckets()}
+
+    def texts(self, chosen: dict[int, bytes]) -> dict[int, bytes]:
+        """For each bucket the pieces' hashes, whether the block has them several times, whether it brings their text, and these texts."""
+        out = {}
+        for k, own in self._buckets():
+            m = own.stop - own.start
+            brings = np.unpackbits(np.frombuffer(chosen[k], np.uint8), count=m).astype(bool)
+            lines = b"\n".join(self.text[self.at[self.starts[i]] : self.at[self.ends[i]] - 1] for i in (own.start + np.flatnonzero(brings)).tolist())
+            out[k] = squeeze(struct.pack("<q", m) + self.hashes[own].tobytes() + self.several[own].astype(np.uint8).tobytes() + brings.astype(np.uint8).tobytes() + lines)
         return out
 
 
+def _choose(rows: list[bytes]) -> list[bytes]:
+    """For each request a bit for each of its pieces: whether this is one of the first two that claim it."""
+    lists = [np.frombuffer(r, np.uint64) for r in rows]
+    every = np.concatenate(lists)
+    order = np.argsort(every, kind="stable")  # of equal ones the requests' order stays
+    new = np.concatenate([[True], every[order][1:] != every[order][:-1]])
+    first = np.flatnonzero(new)
+    chosen = np.empty(len(every), bool)
+    chosen[order] = np.arange(len(every)) - first[np.cumsum(new) - 1] < 2
+    ends = np.cumsum([len(x) for x in lists])
+    return [np.packbits(x).tobytes() for x in np.split(chosen, ends[:-1])]
+
+
 def _confirm(rows: list[bytes], window: int) -> list[bytes]:
-    """For each request a bit for each window of its pieces, one piece after the other: whether its words start elsewhere too."""
-    known: dict[bytes, int] = {}
-    ids, sizes, times, counts = [], [], [], []
+    """For each request the confirmed passages in its pieces: runs of windows whose words start elsewhere too; one a line."""
+    claimed: Counter[int] = Counter()
+    brought: dict[int, list[bytes]] = {}
+    asked = []
     for r in rows:
         raw = unsqueeze(r)
         m = struct.unpack_from("<q", raw)[0]
-        times.append(1 + np.frombuffer(raw, np.uint8, m, 8).astype(np.int64))
-        counts.append(m)
-        for line in raw[8 + m :].split(b"\n"):
+        hashes = np.frombuffer(raw, np.uint64, m, 8).tolist()
+        several, brings = np.frombuffer(raw, np.uint8, m, 8 + 8 * m).tolist(), np.frombuffer(raw, np.uint8, m, 8 + 9 * m).tolist()
+        asked.append(hashes)
+        for h, more in zip(hashes, several, strict=True):
+            claimed[h] += 1 + more
+        for h, line in zip([h for h, b in zip(hashes, brings, strict=True) if b], raw[8 + 10 * m :].split(b"\n"), strict=False):
+            texts = brought.setdefault(h, [])
+            if line not in texts:
+                texts.append(line)
+    known: dict[bytes, int] = {}
+    ids, sizes, times, lines = [], [], [], []
+    for h, texts in brought.items():
+        for line in texts:
             own = [known.setdefault(w, len(known)) for w in line.split(b" ")]
             ids += own
             sizes.append(len(own))
-    ids, sizes, times = np.array(ids, np.int64), np.array(sizes), np.concatenate(times)
+            times.append(claimed[h])
+            lines.append(line)
+    ids, sizes, times = np.array(ids, np.int64), np.array(sizes), np.array(times, np.int64)
     windows = sizes - window + 1
     inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     places = np.repeat(np.cumsum(sizes) - sizes, windows) + inner
@@ -129,8 +167,21 @@ def _confirm(rows: list[bytes], window: int) -> list[bytes]:
         for e, w in zip(exact, weight[own].tolist(), strict=True):
             found[e] += w
         recurs[own] = [found[e] > 1 for e in exact]
-    bounds = np.concatenate([[0], np.cumsum(windows)])[np.concatenate([[0], np.cumsum(counts)])]
-    return [np.packbits(recurs[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+    # runs of confirmed windows within a piece
+    piece = np.repeat(np.arange(len(sizes)), windows)[recurs]
+    at = inner[recurs]
+    first = np.ones(len(at), bool)
+    first[1:] = (at[1:] != at[:-1] + 1) | (piece[1:] != piece[:-1])
+    passages: dict[int, list[bytes]] = {}
+    for p, s, e in zip(piece[first].tolist(), at[first].tolist(), (at[np.append(first[1:], True)[: len(at)]] + window).tolist(), strict=True):
+        passages.setdefault(p, []).append(b" ".join(lines[p].split(b" ")[s:e]))
+    of_hash: dict[int, list[bytes]] = {}
+    number = 0
+    for h, texts in brought.items():
+        for _ in texts:
+            of_hash.setdefault(h, []).extend(passages.get(number, []))
+            number += 1
+    return [squeeze(b"\n".join(dict.fromkeys(x for h in hashes for x in of_hash[h]))) for hashes in asked]
 
 
 def automaton(passages: list[tuple[int, ...]]) -> ahocorasick.Automaton:
@@ -142,32 +193,20 @@ def automaton(passages: list[tuple[int, ...]]) -> ahocorasick.Automaton:
     return out
 
 
-def _located(words: Words, got: dict[int, bytes], n: int, window: int) -> np.ndarray:
-    """Words covered by an occurrence of a confirmed passage."""
-    pieces = _Pieces(words, got, n, window)
-    bits = np.zeros(int(pieces.windows.sum()), bool)
-    base = np.concatenate([[0], np.cumsum(pieces.windows)])
-    for k in np.flatnonzero(np.diff(pieces.edges)).tolist():
-        s, e = base[pieces.edges[k]], base[pieces.edges[k + 1]]
-        bits[s:e] = np.unpackbits(np.frombuffer(got[2 * n + k], np.uint8), count=int(e - s)).astype(bool)
-    # confirmed passages: runs of confirmed windows within a piece
-    piece = np.repeat(np.arange(len(pieces.starts)), pieces.windows)
-    word = pieces.starts[piece] + np.arange(len(bits)) - base[piece]
-    word, piece = word[bits], piece[bits]
+def _located(words: Words, got: dict[int, bytes], window: int) -> np.ndarray:
+    """Words covered by what the automaton of the shards' passages locates in the block's documents."""
     covered = np.zeros(len(words) + 1, np.int64)
-    if not len(word):
-        return covered[:-1] > 0
-    first = np.ones(len(word), bool)
-    first[1:] = (word[1:] != word[:-1] + 1) | (piece[1:] != piece[:-1])
-    known: dict[bytes, int] = {}
-    ids = [known.setdefault(w, len(known)) for w in pieces.text[:-1].split(b" ")]
-    ends = word[np.append(first[1:], True)] + window
-    shard = automaton([tuple(ids[s:e]) for s, e in zip(word[first].tolist(), ends.tolist(), strict=True)])
-    for s, e in zip(words.at[:-1].tolist(), words.at[1:].tolist(), strict=True):
-        if e - s >= window:
-            for end, size in shard.iter(tuple(ids[s:e])):
-                covered[s + end + 1 - size] += 1
-                covered[s + end + 1] -= 1
+    passages = {line for packed in got.values() for line in unsqueeze(packed).split(b"\n") if line}
+    if passages:
+        known: dict[bytes, int] = {}
+        text, _ = _gather(words, np.arange(len(words)))
+        ids = [known.setdefault(w, len(known)) for w in text[:-1].split(b" ")]
+        shard = automaton([tuple(known[w] for w in own) for own in (p.split(b" ") for p in passages) if all(w in known for w in own)])
+        for s, e in zip(words.at[:-1].tolist(), words.at[1:].tolist(), strict=True):
+            if e - s >= window and len(shard):
+                for end, size in shard.iter(tuple(ids[s:e])):
+                    covered[s + end + 1 - size] += 1
+                    covered[s + end + 1] -= 1
     return np.cumsum(covered[:-1]) > 0
 
 
@@ -185,8 +224,11 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
         places, _ = _around(words, got, n, window)
         return send_by_bucket(np.unique(words.grams(window)[0][places]), n, width)
 
-    def ask_pieces(block: Block, got: dict[int, bytes]) -> dict[int, bytes]:
-        return _Pieces(block.words(), got, n, window).ask()
+    def ask_claims(block: Block, got: dict[int, bytes]) -> dict[int, bytes]:
+        return _Pieces(block.words(), got, n, window).claims()
+
+    def ask_texts(block: Block, got: dict[int, bytes]) -> dict[int, bytes]:
+        return _Pieces(block.words(), got, n, window).texts({k - 2 * n: v for k, v in got.items() if k >= 2 * n})
 
     def later(answers: DataFrame, k: int) -> DataFrame:
         """Answers of round k, their buckets numbered on."""
@@ -194,11 +236,12 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
 
     answers = exchange(blocks, ask_anchors, lambda rows: answer_shared(rows, width), "repeats-anchors")
     answers = answers.unionByName(later(exchange(blocks, ask_windows, lambda rows: answer_shared(rows, width), "repeats-windows", answers), 1))
-    answers = answers.unionByName(later(exchange(blocks, ask_pieces, lambda rows: _confirm(rows, window), "repeats-pieces", answers), 2))
+    answers = answers.unionByName(later(exchange(blocks, ask_claims, _choose, "repeats-claims", answers), 2))
+    passages = exchange(blocks, ask_texts, lambda rows: _confirm(rows, window), "repeats-passages", answers, stored=False)
 
     def finish(_: int, block: Block, got: dict[int, bytes]) -> Iterator[pa.Table]:
         words = block.words()
-        removed = _located(words, got, n, window)
+        removed = _located(words, got, window)
         owner = words.owner()
         kept, pieces = np.flatnonzero(~removed), []
         text, offsets = _gather(words, kept)
@@ -215,7 +258,7 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
             }
         )
 
-    return per_block(blocks, answers, finish, f"`{id_col}` long, n_words long, n_removed long, kept string")
+    return per_block(blocks, passages, finish, f"`{id_col}` long, n_words long, n_removed long, kept string")
 
 
 def _ids(ids: np.ndarray) -> pa.Array:

@@ -279,13 +279,40 @@ def test_patterned_texts_do_not_collide(spark):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in remove_repeated_bytes(pair, 50).collect()) == _brute_bytes([(1, x), (2, y)], 50)
 
 
-def test_only_what_the_automaton_locates_is_removed(spark, texts, monkeypatch):
-    from sparkreco.llm import repeats
-
-    words = B.Block(np.arange(2), np.array([0, 300, 600]), np.frombuffer((b"ab cd ef gh " * 25) * 2, np.uint8), np.zeros(2, np.uint8)).words()
-    n, window = 1, 8
-    got = {0: b"\xff" * 99, 1: b"\xff" * 99}
-    got[2] = repeats._confirm([repeats._Pieces(words, got, n, window).ask()[0]], window)[0]
-    assert repeats._located(words, got, n, window).all()
-    monkeypatch.setattr(repeats, "automaton", lambda passages: type("None_", (), {"iter": staticmethod(lambda text: [])}))
-    assert not repeats._located(words, got, n, window).any()
+def _rounds(blocks, window):
+    """The exchanges of three blocks and one bucket, by hand: what each brings, and the passages that it gets."""
+    from sparkreco.llm import repeats as R
+
+    got = [{} for _ in blocks]
+    asks = [lambda w, g: B.send_by_bucket(np.unique(R._Anchors(w, window).keys), 1, 8), lambda w, g: B.send_by_bucket(np.unique(w.grams(window)[0][R._around(w, g, 1, window)[0]]), 1, 8), lambda w, g: R._Pieces(w, g, 1, window).claims()]
+    for k, (ask, answer) in enumerate(zip(asks, [lambda r: B.answer_shared(r, 8), lambda r: B.answer_shared(r, 8), R._choose], strict=True)):
+        for g, said in zip(got, answer([ask(w, g)[0] for w, g in zip(blocks, got, strict=True)]), strict=True):
+            g[k] = said
+    brought = [R._Pieces(w, g, 1, window).texts({0: g[2]})[0] for w, g in zip(blocks, got, strict=True)]
+    return brought, R._confirm(brought, window)
+
+
+def test_the_automaton_finds_what_a_block_never_brought(monkeypatch):
+    from sparkreco.llm import repeats as R
+
+    passage = " ".join(f"p{k}" for k in range(12))
+    texts = [f"{' '.join(f'{c}{k}' for k in range(20))} {passage} {' '.join(f'{c}{k}' for k in range(20, 40))}" for c in "abc"]
+    blocks = [B.Block(np.array([i]), np.array([0, len(t)]), np.frombuffer(t.encode(), np.uint8), np.zeros(1, np.uint8)).words() for i, t in enumerate(texts)]
+    brought, passages = _rounds(blocks, 8)
+    assert [b"p5" in B.unsqueeze(r) for r in brought] == [True, True, False]  # the third block's text goes nowhere
+    for w, p in zip(blocks, passages, strict=True):
+        assert np.flatnonzero(R._located(w, {0: p}, 8)).tolist() == list(range(20, 32))
+    # a passage of the shard that this block's own windows say nothing of is found too
+    more = B.squeeze(B.unsqueeze(passages[2]) + b"\n" + " ".join(f"c{k}" for k in range(3, 11)).encode())
+    assert np.flatnonzero(R._located(blocks[2], {0: more}, 8)).tolist() == [*range(3, 11), *range(20, 32)]
+    monkeypatch.setattr(R, "automaton", lambda passages: type("Nothing", (), {"iter": staticmethod(lambda text: []), "__len__": lambda self: 1})())
+    assert not R._located(blocks[2], {0: passages[2]}, 8).any()
+
+
+def test_repeats_of_a_passage_in_many_blocks(spark, monkeypatch):
+    rng = random.Random(21)
+    passage = _words(rng, 50)
+    rows = [(i, f"{_words(rng, 40)} {passage if i % 3 else ' '.join(passage.split()[5:44])} {_words(rng, 40)}") for i in range(30)]
+    monkeypatch.setattr(B, "BLOCK_BYTES", 700)
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 35).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == _brute_repeats(rows, 35)
