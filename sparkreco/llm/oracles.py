@@ -55,3 +55,33 @@ l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.t = b.t AND a.d
 r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)
 """
+
+
+def _merkle(levels: int = 6, over: int = 3, fanout: int = 16) -> str:
+    """Trees of up to fanout ** levels rows a source and fanout ** over sources, level by level."""
+    hashed = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+    # the checksum's polynomial, bit by bit over the digits
+    crc = "xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, c: list_reduce(range(8), lambda b, x: xor(b // 2, CASE WHEN b % 2 = 1 THEN 3988292384 ELSE 0 END), xor(a, c)), CAST(4294967295 AS BIGINT)), 4294967295)"
+    parts = [
+        f"d AS (SELECT *, {hashed('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {hashed("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents)",
+        "p AS (SELECT doc_id, source AS g, leaf, coalesce(changed, leaf) AS f, '' AS proof, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)",
+        "n0 AS (SELECT g, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM p)",
+        "p0 AS (SELECT * FROM p)",
+    ]
+    up = "SELECT g, i // {f} AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h, (any_value(n) + {f} - 1) // {f} AS n FROM {n} GROUP BY g, i // {f}"
+    run = "SELECT g, i // {f} AS i, list(h ORDER BY i) AS hs, any_value(n) AS n FROM {n} GROUP BY g, i // {f}"
+    step = "SELECT p.* EXCLUDE (f, proof, i), CASE WHEN r.n > 1 THEN sha256(array_to_string(hs[1:p.i % {f}], '') || p.f || array_to_string(hs[p.i % {f} + 2:], '')) ELSE p.f END AS f, proof || array_to_string(hs[1:p.i % {f}], '') || array_to_string(hs[p.i % {f} + 2:], '') AS proof, p.i // {f} AS i FROM {p} p JOIN {r} r ON p.g IS NOT DISTINCT FROM r.g AND p.i // {f} = r.i"
+    for prefix, count in (("", levels), ("t", over)):
+        for k in range(count):
+            n, r, p = f"{prefix}n{k}", f"{prefix}r{k}", f"{prefix}p{k}"
+            parts += [f"{r} AS ({run.format(f=fanout, n=n)})", f"{prefix}p{k + 1} AS ({step.format(f=fanout, p=p, r=r)})", f"{prefix}n{k + 1} AS ({up.format(f=fanout, n=n)})"]
+        if not prefix:
+            parts += [
+                f"s AS (SELECT g AS source, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM n{count})",
+                "tn0 AS (SELECT 0 AS g, i, subroot AS h, n FROM s)",
+                f"tp0 AS (SELECT doc_id, leaf, f, proof, subroot, 0 AS g, s.i FROM p{count} p JOIN s ON p.g IS NOT DISTINCT FROM s.source)",
+            ]
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified FROM tp{over} JOIN tn{over} USING (g)"
+
+
+MERKLE = _merkle()

@@ -10,7 +10,7 @@ from sparkreco.llm import oracles
 
 QUERIES = {}
 #: DuckDB SQL for what SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_knn": oracles.KNN, "op4_html_text": oracles.HTML, "op6_suffix_dedup": oracles.SUFFIX, "op7_repeats": oracles.REPEATS, "op10_jaccard": oracles.JACCARD}
+ORACLE_SQL: dict[str, str] = {"op2_knn": oracles.KNN, "op4_html_text": oracles.HTML, "op6_suffix_dedup": oracles.SUFFIX, "op7_repeats": oracles.REPEATS, "op10_jaccard": oracles.JACCARD, "op13_merkle": oracles.MERKLE}
 
 
 def query(f):
