@@ -4,8 +4,8 @@ A page becomes a tree. Parts that are never the article (menus, headers and foot
 forms, scripts, styles, comments of readers) are cut off by element, role and class names. Each block with text of its own
 passes points for its length and its commas to its ancestors, less with each level up, discounted by the share of its text that
 stands in links. The container with the most points is kept; if it lies in an article or main element, that whole element is, however
-long, and elsewhere its parent is if what that adds is poor in links. Siblings that score well beside it are kept too; the blocks are
-joined in page order.
+long, and elsewhere its parent is if what that adds is poor in links. Siblings that score well beside it are kept too, and outside of
+article and main elements all that are poor in links, however short; the blocks are joined in page order.
 
 Defined cases: null, empty or text-free html gives an empty text; broken markup is repaired as browsers do in outline (implied
 ends of paragraphs, items and cells; unmatched end tags are ignored; an unclosed comment, script or tag runs to the end); a
@@ -249,8 +249,11 @@ def main_text(page: str | None) -> str:
             if id(b) in beside and not b.points:
                 own[id(b)] += (1 + t.count(",") + len(t) / CHARS_A_POINT) * (1 - linked / len(t))
         kept |= {k for k, points in own.items() if points >= least}
+        if not best.in_article:  # no element says where the article ends: a title, a lead or closing words may be short
+            kept |= {k for k, c in beside.items() if c.chars and c.linked <= LINK_POOR * c.chars}
     inside = _below(nodes, kept)
-    return " ".join(text for block, text, _ in blocks if id(block) in inside)
+    loose = None if best.in_article else best.parent
+    return " ".join(text for block, text, linked in blocks if id(block) in inside or block is loose and linked <= LINK_POOR * len(text))
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -227,6 +227,18 @@ def test_main_text_keeps_what_stands_beside_the_body(outer, sentences):
     assert main_text(page) == f"T Lead. {body} {body} End Last words."
 
 
+@pytest.mark.parametrize("paragraphs", [1, 2, 4, 40])
+def test_main_text_keeps_titles_and_closing_words_of_any_size(paragraphs):
+    body = "<p>One sentence, with a comma, and some more words in it.</p>" * paragraphs
+    text = " ".join(["One sentence, with a comma, and some more words in it."] * paragraphs)
+    page = f"<body><nav><a href=1>Home</a></nav><h1>The title</h1><p>Lead.</p><div class=text>{body}</div></body>"
+    assert main_text(page) == f"The title Lead. {text}"
+    page = f"<body><div id=page><div class=head2><h1>The title</h1><a href=4>by A</a></div><div class=text>{body}</div><p>Closing words.</p></div></body>"
+    assert main_text(page) == f"The title by A {text} Closing words."
+    links = "<ul><li><a href=2>One</a><li><a href=3>Two</a></ul>"
+    assert main_text(page.replace("</p></div></body>", f"</p>{links}</div></body>")) in (f"The title by A {text} Closing words.", f"The title by A {text} Closing words. One Two")
+
+
 def test_main_text_of_deep_and_broken_pages():
     deep = "<div>" * 20000 + "<p>one, two</p></span></b>" + "<p>three</p></x>" * 2000
     assert main_text(deep) == "one, two" + " three" * 2000
