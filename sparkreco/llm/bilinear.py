@@ -24,7 +24,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -275,23 +274,37 @@ def fit(texts: list[str], counts: Counts) -> Model:
     return model
 
 
-def _learned(blocks: DataFrame, model: Model, net: Net) -> Net:
-    """The network after the tokens of all marked texts: each task's own pass from the same start, averaged by tokens."""
-    sent = blocks.sparkSession.sparkContext.broadcast((model, net))
+#: Bytes of a shard of training texts, and of what a network learns from at a time.
+SHARD_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _learned(texts: DataFrame, total: int, model: Model, net: Net) -> Net:
+    """The network after the tokens of all training texts (id, text): each shard's own pass from the same start, averaged by tokens.
+
+    Shards go by a hash of the rows, their number by the bytes of all texts, and a shard's rows are put in order: how the table is dealt to
+    tasks doesn't matter.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast((model, net))
+    shards = max(1, -(-total // SHARD_BYTES))
+
+    def run(table: pa.Table) -> pa.Table:
         m, begin = sent.value
         own = Net(*(x.copy() for x in begin.parts), [x.copy() for x in begin.sums])
-        part, seen = TaskContext.get().partitionId(), 0
-        for b in batches:
-            for number, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                tokens = m.training_tokens(Block.unpack(payload.as_py()))
-                learn(own, *tokens, m.prior, np.random.default_rng(number))
-                seen += len(tokens[0])
-        if seen:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "state": pa.array([own.pack(seen)], pa.binary())})
-
-    states = materialize(blocks.select("block", "payload").mapInArrow(run, "part long, state binary"), "bilinear-nets")
+        part, seen = table.column("part")[0].as_py(), 0
+        table = table.sort_by([("id", "ascending"), ("text", "ascending")])
+        offsets, data = text_bytes(table.column("text").combine_chunks())
+        rng, at = np.random.default_rng(part), 0
+        while at < len(table):
+            upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
+            block = Block(np.zeros(upto - at, np.int64), offsets[at : upto + 1] - offsets[at], data[offsets[at] : offsets[upto]], np.ones(upto - at, np.uint8))
+            tokens = m.training_tokens(block)
+            learn(own, *tokens, m.prior, rng)
+            seen += len(tokens[0])
+            at = upto
+        return pa.table({"part": pa.array([part], pa.int64()), "state": pa.array([own.pack(seen)], pa.binary())})
+
+    dealt = texts.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
+    states = materialize(dealt.groupBy("part").applyInArrow(run, "part long, state binary"), "bilinear-nets")
     found = tree_merge(states, add_states)
     return net.unpack(add_states(found)) if found else net
 
@@ -314,7 +327,8 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
     picked = df.filter(chosen & (F.pmod(rank, F.lit(1_000_000)) < share) & (F.length(text) <= longest))
     picked = picked.select(F.col(id_col).alias("id"), text.alias("text")).orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(2 * sample_texts).collect()
     model, net = start([r["text"] for r in picked], counts)
-    model.use(_learned(blocks, model, net))
+    total_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    model.use(_learned(df.filter(chosen).select(F.col(id_col).cast("long").alias("id"), text.alias("text")), total_bytes, model, net))
     sent = df.sparkSession.sparkContext.broadcast(model)
     # the end is a token that each text has
     total, kinds = counts.tokens + counts.texts, counts.kinds + (counts.texts > 0)

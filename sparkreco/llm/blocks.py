@@ -266,13 +266,14 @@ def tree_merge(rows: DataFrame, merge: Callable[[list[bytes]], bytes], width: in
     """merge() the states of rows (part long, state binary), width parts at a time, until the driver gets width of them at most."""
 
     def some(table: pa.Table) -> pa.Table:
-        return pa.table({"part": table.column("part").slice(0, 1), "state": pa.array([merge(table.column("state").to_pylist())], pa.binary())})
+        table = table.sort_by("at")  # sums of fractions depend on the order
+        return pa.table({"part": table.column("part").slice(0, 1), "at": table.column("at").slice(0, 1), "state": pa.array([merge(table.column("state").to_pylist())], pa.binary())})
 
     most = rows.agg(F.max("part")).first()[0] or 0
     while most >= width:
-        rows = rows.withColumn("part", F.expr(f"part div {width}")).groupBy("part").applyInArrow(some, "part long, state binary")
+        rows = rows.withColumn("at", F.col("part")).withColumn("part", F.expr(f"part div {width}")).groupBy("part").applyInArrow(some, "part long, at long, state binary").drop("at")
         most //= width
-    return [r["state"] for r in rows.select("state").collect()]
+    return [r["state"] for r in rows.orderBy("part").select("state").collect()]
 
 
 #: Bytes of a hash that are sent where a false match only costs work, for so many bytes of text.

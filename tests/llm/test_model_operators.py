@@ -69,6 +69,18 @@ def test_language_model_sums_and_normalisation(spark, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_language_model_is_alike_in_any_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(bilinear, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(bilinear, "SLICE_BYTES", 700)
+    df = spark.createDataFrame(_docs(), "doc_id long, text string")
+    runs = []
+    for parts in (1, 4, 16):
+        monkeypatch.setattr(B, "BLOCK_BYTES", 500 * parts)
+        got = bilinear.score_texts(df.repartition(parts, F.rand(parts)), fold("doc_id", 5) != 1, sample_texts=20).collect()
+        runs.append(sorted((r["doc_id"] or -1, r["n_tokens"], round(r["score"], 6)) for r in got))
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_language_model_is_normalised():
     rng = np.random.default_rng(1)
     by_class = np.zeros((3, bilinear.CLASSES), np.int64)
