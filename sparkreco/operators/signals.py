@@ -233,12 +233,14 @@ def pair_features(candidates: DataFrame, orders: DataFrame, items: DataFrame, pa
     return out.join(covisit_features(candidates, history, pairs), ["user_id", "item_id"], "left")
 
 
-def rich_features(interactions: DataFrame, items: DataFrame) -> DataFrame:
-    """Time of day and week, item and category popularity, activity and mean popularity of a user's items."""
+def rich_features(interactions: DataFrame, items: DataFrame, extras: DataFrame | None = None) -> DataFrame:
+    """Time of day and week, item and category popularity, activity and mean popularity of a user's items; with extras (item_id, ...) their columns, 0 where an item has none."""
     item_pop = interactions.groupBy("item_id").agg(F.count("*").alias("item_popularity"))
     rows = interactions.join(items.select("item_id", "catalogid"), "item_id", "left").join(item_pop, "item_id", "left")
     cat_pop = rows.groupBy("catalogid").agg(F.count("*").alias("category_popularity"))
     users = rows.groupBy("user_id").agg(F.count("*").alias("user_activity"), F.avg("item_popularity").alias("user_mean_popularity"))
     weekend, hour = (F.weekday("timestamp") >= 5).cast("int"), F.hour("timestamp").cast("int")
     out = rows.join(cat_pop, "catalogid", "left").join(users, "user_id", "left")
-    return out.select("user_id", "item_id", "action_type", micros("timestamp").alias("ts_us"), weekend.alias("is_weekend"), hour.alias("hour"), "item_popularity", F.coalesce("category_popularity", F.lit(0)).alias("category_popularity"), "user_activity", F.round("user_mean_popularity", 6).alias("user_mean_popularity"))
+    more = [c for c in extras.columns if c not in ("item_id", "catalogid")] if extras is not None else []
+    out = out.join(extras.select("item_id", *more), "item_id", "left").na.fill(0, more) if more else out
+    return out.select("user_id", "item_id", *more, "action_type", micros("timestamp").alias("ts_us"), weekend.alias("is_weekend"), hour.alias("hour"), "item_popularity", F.coalesce("category_popularity", F.lit(0)).alias("category_popularity"), "user_activity", F.round("user_mean_popularity", 6).alias("user_mean_popularity"))

@@ -38,6 +38,13 @@ def us(column: str, name: str):
     return S.micros(column).alias(name)
 
 
+_EXTRAS = (
+    "ui AS (SELECT DISTINCT user_id, item_id FROM inter)",
+    "cs AS (SELECT item_id, CAST(sum(n) AS BIGINT) AS covisit_strength FROM (SELECT n, unnest([a, b]) AS item_id FROM (SELECT x.item_id AS a, y.item_id AS b, count(*) AS n FROM ui x JOIN ui y ON x.user_id = y.user_id AND x.item_id < y.item_id GROUP BY 1, 2) WHERE n >= 5) GROUP BY 1)",
+    "sh AS (SELECT user_id, catalogid, w / sum(w) OVER (PARTITION BY user_id) AS share FROM (SELECT user_id, catalogid, sum(weight) AS w FROM uiw JOIN i USING (item_id) GROUP BY 1, 2))",
+)
+
+
 # scans
 
 
@@ -251,12 +258,13 @@ def category_popularity(f):
     return signals.category_popularity(f.orders, f.items)
 
 
-@query(sql("""SELECT user_id, item_id, action_type, epoch_us("timestamp") AS ts_us, CAST(isodow("timestamp") >= 6 AS INTEGER) AS is_weekend, CAST(hour("timestamp") AS INTEGER) AS hour,
+@query(sql("""SELECT user_id, item_id, coalesce(covisit_strength, 0) AS covisit_strength, round(coalesce(CAST(fclip_embed[1] AS DOUBLE), 0), 6) AS emb_0, action_type, epoch_us("timestamp") AS ts_us, CAST(isodow("timestamp") >= 6 AS INTEGER) AS is_weekend, CAST(hour("timestamp") AS INTEGER) AS hour,
   item_popularity, count(*) OVER (PARTITION BY coalesce(catalogid, -1)) AS category_popularity, count(*) OVER (PARTITION BY user_id) AS user_activity, round(avg(item_popularity) OVER (PARTITION BY user_id), 6) AS user_mean_popularity
-  FROM (SELECT inter.*, catalogid, count(*) OVER (PARTITION BY item_id) AS item_popularity FROM inter LEFT JOIN i USING (item_id)) WHERE catalogid IS NOT NULL"""))
+  FROM (SELECT inter.*, catalogid, fclip_embed, count(*) OVER (PARTITION BY item_id) AS item_popularity FROM inter LEFT JOIN i USING (item_id)) LEFT JOIN cs USING (item_id) WHERE catalogid IS NOT NULL""", *_EXTRAS[:2]))
 def rich_features(f):
     known = f.interactions.join(f.items.select("item_id"), "item_id", "left_semi")
-    return signals.rich_features(known, f.items)
+    extras = item_extras(f.items, signals.covisit_strength(f.interactions.select("user_id", "item_id"))).select("item_id", "covisit_strength", F.round("emb_0", 6).alias("emb_0"))
+    return signals.rich_features(known, f.items, extras)
 
 
 @query(sql("SELECT user_id, item_id, count(*) AS user_item_count, CAST(floor((epoch_us((SELECT max(created_timestamp) FROM o)) - epoch_us(max(created_timestamp))) / CAST(86400000000 AS DOUBLE)) AS BIGINT) AS user_item_days_ago FROM o GROUP BY 1, 2"))
@@ -662,7 +670,7 @@ _WARM = (
 
 def _warm(f):
     users = f.users.join(f.recents.groupBy("user_id").count().filter("count >= 3"), "user_id", "left_semi")
-    return C.warm_candidates(users, f.recents, f.neighbours, f.items.select("item_id", "catalogid"), f.category_list, f.popular)
+    return C.warm_candidates(users, f.recents, f.neighbours, f.items.select("item_id", "catalogid"), f.category_head, f.popular)
 
 
 @query(sql("SELECT user_id, item_id, pos FROM warm", *_WARM))
@@ -673,7 +681,7 @@ def warm_candidates(f):
 @query(sql("SELECT user_id, item_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY coalesce(pop_rank, 1000000000), item_id) AS INTEGER) AS pos FROM lg LEFT JOIN pop USING (item_id) QUALIFY pos <= 300", "lh AS (SELECT rec.* FROM rec JOIN usr USING (user_id))", """lg AS (SELECT user_id, item_id FROM lh WHERE pos <= 30 UNION SELECT user_id, nbr_id FROM lh JOIN cop ON cop.item_id = lh.item_id AND rank <= 15 WHERE pos <= 10
   UNION SELECT user_id, clist.item_id FROM lh JOIN i USING (item_id) JOIN clist ON clist.catalogid = i.catalogid AND nth <= 15 WHERE pos <= 5 UNION SELECT user_id, item_id FROM usr JOIN pop ON pop_rank < 5)"""))
 def legacy_candidates(f):
-    return C.legacy_candidates(f.recents, f.neighbours, f.items.select("item_id", "catalogid"), f.category_list, f.popular, f.users)
+    return C.legacy_candidates(f.recents, f.neighbours, f.items.select("item_id", "catalogid"), f.category_head, f.popular, f.users)
 
 
 _RELATED = "rel AS (SELECT a.item_id, b.item_id AS related_id, CAST(row_number() OVER (PARTITION BY a.item_id ORDER BY b.item_id) AS INTEGER) AS rank FROM i a JOIN i b ON a.catalogid = b.catalogid AND a.item_id <> b.item_id QUALIFY rank <= 3)"
@@ -848,11 +856,6 @@ def _recommender(f):
     return Recommender(f.user_features, f.item_features, past, f.popular.select("item_id", "pop_rank"), item_extras(f.items, signals.covisit_strength(known)), category_shares(signals.user_item_weights(f.interactions), f.items))
 
 
-_EXTRAS = (
-    "ui AS (SELECT DISTINCT user_id, item_id FROM inter)",
-    "cs AS (SELECT item_id, CAST(sum(n) AS BIGINT) AS covisit_strength FROM (SELECT n, unnest([a, b]) AS item_id FROM (SELECT x.item_id AS a, y.item_id AS b, count(*) AS n FROM ui x JOIN ui y ON x.user_id = y.user_id AND x.item_id < y.item_id GROUP BY 1, 2) WHERE n >= 5) GROUP BY 1)",
-    "sh AS (SELECT user_id, catalogid, w / sum(w) OVER (PARTITION BY user_id) AS share FROM (SELECT user_id, catalogid, sum(weight) AS w FROM uiw JOIN i USING (item_id) GROUP BY 1, 2))",
-)
 _EXTRA_COLUMNS = "coalesce(covisit_strength, 0) AS covisit_strength, round(coalesce(share, 0), 6) AS cat_match_score, round(coalesce(CAST(fclip_embed[1] AS DOUBLE), 0), 6) AS emb_0"
 _EXTRA_JOINS = "LEFT JOIN i ON i.item_id = {t}.item_id LEFT JOIN cs ON cs.item_id = {t}.item_id LEFT JOIN sh ON sh.user_id = {t}.user_id AND sh.catalogid = i.catalogid"
 

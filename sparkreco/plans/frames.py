@@ -97,10 +97,18 @@ class Frames:
     def neighbours(self) -> DataFrame:
         return signals.copurchase(self.train).persist()
 
+    @property
+    def _in_categories(self) -> DataFrame:
+        return signals.category_items(self.items, self.categories).join(self.popular.select("item_id", "pop_rank"), "item_id", "left")
+
     @cached_property
     def category_list(self) -> DataFrame:
-        listed = signals.category_items(self.items, self.categories).join(self.popular.select("item_id", "pop_rank"), "item_id", "left")
-        return signals.ranked(listed, ["catalogid"], [F.asc_nulls_last("pop_rank"), F.asc("item_id")], "nth").persist()
+        return signals.ranked(self._in_categories, ["catalogid"], [F.asc_nulls_last("pop_rank"), F.asc("item_id")], "nth")
+
+    @cached_property
+    def category_head(self) -> DataFrame:
+        """The first 15 of each category, which is what lists of candidates take: group limits on either side of the shuffle."""
+        return signals.top_per_group(self._in_categories, ["catalogid"], [F.asc_nulls_last("pop_rank"), F.asc("item_id")], 15, "nth").persist()
 
     @cached_property
     def user_features(self) -> DataFrame:
