@@ -27,6 +27,7 @@ from __future__ import annotations
 import struct
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -184,9 +185,13 @@ def _confirm(rows: list[bytes], window: int) -> list[bytes]:
     return [squeeze(b"\n".join(dict.fromkeys(x for h in hashes for x in of_hash[h]))) for hashes in asked]
 
 
-def automaton(passages: list[tuple[int, ...]]) -> ahocorasick.Automaton:
-    """A shard: passages as sequences of word numbers."""
-    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+#: Different words that there are characters for.
+MOST_CHARACTERS = 0x10F000
+
+
+def automaton(passages: list[str] | list[tuple[int, ...]]) -> ahocorasick.Automaton:
+    """The compiled passages, a character or a number a word."""
+    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE if isinstance(passages[0], tuple) else ahocorasick.KEY_STRING)
     for p in passages:
         out.add_word(p)
     out.make_automaton()
@@ -198,13 +203,18 @@ def _located(words: Words, got: dict[int, bytes], window: int) -> np.ndarray:
     covered = np.zeros(len(words) + 1, np.int64)
     passages = {line for packed in got.values() for line in unsqueeze(packed).split(b"\n") if line}
     if passages:
-        known: dict[bytes, int] = {}
+        split = [p.split(b" ") for p in passages]
+        numbers = {w: n for n, w in enumerate(dict.fromkeys(chain.from_iterable(split)), 1)}
+        if len(numbers) < MOST_CHARACTERS:
+            code, join, other = {w: chr(n if n < 0xD800 else n + 0x800) for w, n in numbers.items()}, "".join, "\0"
+        else:
+            code, join, other = numbers, tuple, 0
+        shard = automaton([join(map(code.__getitem__, p)) for p in split])
         text, _ = _gather(words, np.arange(len(words)))
-        ids = [known.setdefault(w, len(known)) for w in text[:-1].split(b" ")]
-        shard = automaton([tuple(known[w] for w in own) for own in (p.split(b" ") for p in passages) if all(w in known for w in own)])
+        coded = join(map(code.get, text[:-1].split(b" "), repeat(other)))
         for s, e in zip(words.at[:-1].tolist(), words.at[1:].tolist(), strict=True):
-            if e - s >= window and len(shard):
-                for end, size in shard.iter(tuple(ids[s:e])):
+            if e - s >= window:
+                for end, size in shard.iter(coded[s:e]):
                     covered[s + end + 1 - size] += 1
                     covered[s + end + 1] -= 1
     return np.cumsum(covered[:-1]) > 0

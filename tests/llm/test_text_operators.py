@@ -304,9 +304,11 @@ def _rounds(blocks, window):
     return brought, R._confirm(brought, window)
 
 
-def test_the_automaton_finds_what_a_block_never_brought(monkeypatch):
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_the_automaton_finds_what_a_block_never_brought(monkeypatch, most):
     from sparkreco.llm import repeats as R
 
+    monkeypatch.setattr(R, "MOST_CHARACTERS", most)
     passage = " ".join(f"p{k}" for k in range(12))
     texts = [f"{' '.join(f'{c}{k}' for k in range(20))} {passage} {' '.join(f'{c}{k}' for k in range(20, 40))}" for c in "abc"]
     blocks = [B.Block(np.array([i]), np.array([0, len(t)]), np.frombuffer(t.encode(), np.uint8), np.zeros(1, np.uint8)).words() for i, t in enumerate(texts)]
@@ -317,7 +319,7 @@ def test_the_automaton_finds_what_a_block_never_brought(monkeypatch):
     # a passage of the shard that this block's own windows say nothing of is found too
     more = B.squeeze(B.unsqueeze(passages[2]) + b"\n" + " ".join(f"c{k}" for k in range(3, 11)).encode())
     assert np.flatnonzero(R._located(blocks[2], {0: more}, 8)).tolist() == [*range(3, 11), *range(20, 32)]
-    monkeypatch.setattr(R, "automaton", lambda passages: type("Nothing", (), {"iter": staticmethod(lambda text: []), "__len__": lambda self: 1})())
+    monkeypatch.setattr(R, "automaton", lambda passages: type("Nothing", (), {"iter": staticmethod(lambda text: [])})())
     assert not R._located(blocks[2], {0: passages[2]}, 8).any()
 
 
