@@ -332,8 +332,9 @@ def minimizers(hashes: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
     n = len(hashes) - w + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    # the low bits give way to the place, so that a running minimum carries it; places count downwards
-    bits = max(1, int(len(hashes)).bit_length())
+    # the low bits give way to the place, so that a running minimum carries it; places count downwards. As many bits for all blocks:
+    # where hashes agree in the rest, equal windows still choose alike
+    bits = 32
     packed = (hashes >> np.uint64(bits) << np.uint64(bits)) | (np.uint64(len(hashes)) - np.arange(len(hashes), dtype=np.uint64))
     least, span = packed, 1
     while span * 2 <= w:
