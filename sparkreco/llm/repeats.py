@@ -7,11 +7,12 @@ equal windows hold it at the same place. Four rounds between the blocks of docum
 2. They exchange the hashes of the windows around these and learn which may recur; so a phrase that a third of all documents have
    in surroundings of their own costs each block one entry a window, and no bucket gets these surroundings' texts.
 3. Runs of windows that may recur, around one anchor, are pieces. Blocks claim theirs by a hash at the anchor's bucket; the first two
-   blocks of a piece are chosen to bring its text. A piece that all blocks hold is a text twice, not once a block.
+   blocks of a piece are chosen to bring its text. A piece that all blocks hold is a text twice, not once a block. A block notes where its
+   pieces lie, so that the next round cuts them out and looks for nothing again.
 4. The bucket compares the texts' windows word by word and so confirms the recurring passages: its shard. Each block that claimed
    a piece gets the passages in it.
-5. Each block compiles the passages of all shards that it shares an anchor with into an Aho-Corasick automaton over words and streams
-   all of its documents through it. Blocks know of no places beforehand: what is removed is what the automaton locates.
+5. Each block compiles the passages of all shards that it shares an anchor with into an Aho-Corasick automaton over words (each two
+   characters, from alphabets of their own, so that no state has very many successors) and streams all of its documents through it. Blocks know of no places beforehand: what is removed is what the automaton locates.
 
 A shard's part for a block holds passages around the block's own anchors, so its size is bounded by the block's, and no list of
 passages is held in one place. The hashes only leave out what can't recur and say whose text is brought; a false match there costs
@@ -25,9 +26,11 @@ table gives no rows. A document is one task's work, at some 100 bytes of memory
 from __future__ import annotations
 
 import struct
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
+from math import isqrt
 
 import ahocorasick
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkreco.llm.blocks import NO_ID, Block, Words, answer_shared, bucket_bounds, bucket_count, exchange, key_bytes, minimizers, pack_blocks, per_block, read_bits, send_by_bucket, squeeze, unsqueeze
-from sparkreco.llm.hashing import grams, mix, span_hashes
+from sparkreco.llm.hashing import grams, mix
 
 
 class _Anchors:
@@ -72,37 +75,48 @@ class _Pieces:
         anchor = a.place[places]
         first = np.ones(len(places), bool)
         first[1:] = (places[1:] != places[:-1] + 1) | (anchor[1:] != anchor[:-1])
-        starts, ends = places[first], places[np.append(first[1:], True)[: len(places)]] + window
-        key = a.keys[np.searchsorted(a.places, anchor[first])]
-        #: All words, one blank after each, and where each starts, and the end.
-        self.text, self.at = _gather(words, np.arange(len(words)))
-        own = span_hashes(np.frombuffer(self.text, np.uint8), self.at[starts], self.at[ends])
+        begins = np.flatnonzero(first)
+        sizes = np.diff(np.append(begins, len(places)))
+        starts, ends = places[begins], places[begins] + sizes - 1 + window
+        key = a.keys[np.searchsorted(a.places, anchor[begins])]
+        # a piece's hash is made of its windows', each with its place
+        inner = np.arange(len(places), dtype=np.uint64) - np.repeat(begins, sizes).astype(np.uint64)
+        own = mix(np.add.reduceat(mix(hashes[places] + mix(inner)), begins)) if len(begins) else np.empty(0, np.uint64)
         order = np.lexsort((starts, own, key))
         new = np.ones(len(order), bool)
         new[1:] = own[order][1:] != own[order][:-1]
         begins = np.flatnonzero(new)
         chosen = order[begins]
-        self.starts, self.ends, self.windows = starts[chosen], ends[chosen], ends[chosen] - starts[chosen] - window + 1
+        #: Where the pieces lie in the block's bytes.
+        self.spans = np.stack([words.starts[starts[chosen]], words.ends[ends[chosen] - 1]])
         self.several = np.diff(np.append(begins, len(order))) > 1
         self.hashes = own[chosen]
         self.edges = bucket_bounds(key[chosen], n)
 
-    def _buckets(self) -> Iterator[tuple[int, slice]]:
-        for k in np.flatnonzero(np.diff(self.edges)).tolist():
-            yield k, slice(int(self.edges[k]), int(self.edges[k + 1]))
-
     def claims(self) -> dict[int, bytes]:
-        return {k: self.hashes[own].tobytes() for k, own in self._buckets()}
-
-    def texts(self, chosen: dict[int, bytes]) -> dict[int, bytes]:
-        """For each bucket the pieces' hashes, whether the block has them several times, whether it brings their text, and these texts."""
-        out = {}
-        for k, own in self._buckets():
-            m = own.stop - own.start
-            brings = np.unpackbits(np.frombuffer(chosen[k], np.uint8), count=m).astype(bool)
-            lines = b"\n".join(self.text[self.at[self.starts[i]] : self.at[self.ends[i]] - 1] for i in (own.start + np.flatnonzero(brings)).tolist())
-            out[k] = squeeze(struct.pack("<q", m) + self.hashes[own].tobytes() + self.several[own].astype(np.uint8).tobytes() + brings.astype(np.uint8).tobytes() + lines)
-        return out
+        return {k: self.hashes[self.edges[k] : self.edges[k + 1]].tobytes() for k in np.flatnonzero(np.diff(self.edges)).tolist()}
+
+    def note(self) -> bytes:
+        """For texts(): the buckets and how many pieces each has, then the pieces' hashes, spans and whether there are several."""
+        buckets = np.flatnonzero(np.diff(self.edges))
+        listed = [np.array([len(buckets), len(self.hashes)]), buckets, np.diff(self.edges)[buckets], self.hashes.view(np.int64), *self.spans]
+        return squeeze(b"".join(x.astype(np.int64).tobytes() for x in listed) + self.several.astype(np.uint8).tobytes())
+
+
+def _texts(data: np.ndarray, note: bytes, chosen: dict[int, bytes]) -> dict[int, bytes]:
+    """For each bucket the pieces' hashes, whether the block has them several times, whether it brings their text, and these texts."""
+    raw = unsqueeze(note)
+    k, m = np.frombuffer(raw, np.int64, 2).tolist()
+    buckets, counts, hashes, starts, ends = np.split(np.frombuffer(raw, np.int64, 2 * k + 3 * m, 16), np.cumsum([k, k, m, m]))
+    several = np.frombuffer(raw, np.uint8, m, 16 + 8 * (2 * k + 3 * m))
+    out, at = {}, 0
+    for bucket, size in zip(buckets.tolist(), counts.tolist(), strict=True):
+        own = slice(at, at + size)
+        brings = np.unpackbits(np.frombuffer(chosen[bucket], np.uint8), count=size)
+        lines = b"\n".join(b" ".join(data[starts[i] : ends[i]].tobytes().split()) for i in (at + np.flatnonzero(brings)).tolist())
+        out[bucket] = squeeze(struct.pack("<q", size) + hashes[own].tobytes() + several[own].tobytes() + brings.tobytes() + lines)
+        at += size
+    return out
 
 
 def _choose(rows: list[bytes]) -> list[bytes]:
@@ -185,38 +199,43 @@ def _confirm(rows: list[bytes], window: int) -> list[bytes]:
     return [squeeze(b"\n".join(dict.fromkeys(x for h in hashes for x in of_hash[h]))) for hashes in asked]
 
 
-#: Different words that there are characters for.
-MOST_CHARACTERS = 0x10F000
-
-
-def automaton(passages: list[str] | list[tuple[int, ...]]) -> ahocorasick.Automaton:
-    """The compiled passages, a character or a number a word."""
-    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE if isinstance(passages[0], tuple) else ahocorasick.KEY_STRING)
+def automaton(passages: list[str]) -> ahocorasick.Automaton:
+    """The compiled passages, two characters a word."""
+    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for p in passages:
         out.add_word(p)
     out.make_automaton()
     return out
 
 
+#: What stands for a word that no passage holds, and the first character of the alphabets.
+OTHER, LETTERS = "\0\0", 0x100
+
+
+def _coded(passages: set[bytes]) -> tuple[dict[bytes, str], list[str]]:
+    """Two characters for each word, of an alphabet for the first and one for the second; and the passages in them."""
+    listed = b" \n ".join(passages).split(b" ")
+    numbers = dict.fromkeys([b"\n", *listed])
+    base = isqrt(len(numbers)) + 1
+    letters = [chr(k if k < 0xD800 else k + 0x800) for k in range(LETTERS, LETTERS + 2 * base)]
+    code = {w: letters[k // base] + letters[base + k % base] for k, w in enumerate(numbers)}
+    return code, "".join(map(code.__getitem__, listed)).split(code[b"\n"])
+
+
 def _located(words: Words, got: dict[int, bytes], window: int) -> np.ndarray:
     """Words covered by what the automaton of the shards' passages locates in the block's documents."""
     covered = np.zeros(len(words) + 1, np.int64)
     passages = {line for packed in got.values() for line in unsqueeze(packed).split(b"\n") if line}
     if passages:
-        split = [p.split(b" ") for p in passages]
-        numbers = {w: n for n, w in enumerate(dict.fromkeys(chain.from_iterable(split)), 1)}
-        if len(numbers) < MOST_CHARACTERS:
-            code, join, other = {w: chr(n if n < 0xD800 else n + 0x800) for w, n in numbers.items()}, "".join, "\0"
-        else:
-            code, join, other = numbers, tuple, 0
-        shard = automaton([join(map(code.__getitem__, p)) for p in split])
-        text, _ = _gather(words, np.arange(len(words)))
-        coded = join(map(code.get, text[:-1].split(b" "), repeat(other)))
+        code, coded = _coded(passages)
+        shard = automaton(coded)
         for s, e in zip(words.at[:-1].tolist(), words.at[1:].tolist(), strict=True):
             if e - s >= window:
-                for end, size in shard.iter(coded[s:e]):
-                    covered[s + end + 1 - size] += 1
-                    covered[s + end + 1] -= 1
+                own = words.data[words.starts[s] : words.ends[e - 1]].tobytes().split()
+                for end, size in shard.iter("".join(map(code.get, own, repeat(OTHER)))):
+                    last = s + end // 2 + 1
+                    covered[last - size // 2] += 1
+                    covered[last] -= 1
     return np.cumsum(covered[:-1]) > 0
 
 
@@ -235,10 +254,12 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
         return send_by_bucket(np.unique(words.grams(window)[0][places]), n, width)
 
     def ask_claims(block: Block, got: dict[int, bytes]) -> dict[int, bytes]:
-        return _Pieces(block.words(), got, n, window).claims()
+        pieces = _Pieces(block.words(), got, n, window)
+        note = pieces.note()
+        return pieces.claims() | {-1 - (zlib.crc32(note) >> 1): note}
 
     def ask_texts(block: Block, got: dict[int, bytes]) -> dict[int, bytes]:
-        return _Pieces(block.words(), got, n, window).texts({k - 2 * n: v for k, v in got.items() if k >= 2 * n})
+        return _texts(block.data, next(v for k, v in got.items() if k < 0), {k: v for k, v in got.items() if k >= 0})
 
     def later(answers: DataFrame, k: int) -> DataFrame:
         """Answers of round k, their buckets numbered on."""
@@ -246,8 +267,8 @@ def remove_repeats(df: DataFrame, window: int = 35, id_col: str = "doc_id", text
 
     answers = exchange(blocks, ask_anchors, lambda rows: answer_shared(rows, width), "repeats-anchors")
     answers = answers.unionByName(later(exchange(blocks, ask_windows, lambda rows: answer_shared(rows, width), "repeats-windows", answers), 1))
-    answers = answers.unionByName(later(exchange(blocks, ask_claims, _choose, "repeats-claims", answers), 2))
-    passages = exchange(blocks, ask_texts, lambda rows: _confirm(rows, window), "repeats-passages", answers, stored=False)
+    claimed = exchange(blocks, ask_claims, _choose, "repeats-claims", answers)
+    passages = exchange(blocks, ask_texts, lambda rows: _confirm(rows, window), "repeats-passages", claimed, stored=False)
 
     def finish(_: int, block: Block, got: dict[int, bytes]) -> Iterator[pa.Table]:
         words = block.words()

@@ -300,15 +300,15 @@ def _rounds(blocks, window):
     for k, (ask, answer) in enumerate(zip(asks, [lambda r: B.answer_shared(r, 8), lambda r: B.answer_shared(r, 8), R._choose], strict=True)):
         for g, said in zip(got, answer([ask(w, g)[0] for w, g in zip(blocks, got, strict=True)]), strict=True):
             g[k] = said
-    brought = [R._Pieces(w, g, 1, window).texts({0: g[2]})[0] for w, g in zip(blocks, got, strict=True)]
+    brought = [R._texts(w.data, R._Pieces(w, g, 1, window).note(), {0: g[2]})[0] for w, g in zip(blocks, got, strict=True)]
     return brought, R._confirm(brought, window)
 
 
-@pytest.mark.parametrize("most", [0, 1 << 20])
-def test_the_automaton_finds_what_a_block_never_brought(monkeypatch, most):
+@pytest.mark.parametrize("letters", [0x100, 0xD7FA])  # the second: alphabets around the surrogates
+def test_the_automaton_finds_what_a_block_never_brought(monkeypatch, letters):
     from sparkreco.llm import repeats as R
 
-    monkeypatch.setattr(R, "MOST_CHARACTERS", most)
+    monkeypatch.setattr(R, "LETTERS", letters)
     passage = " ".join(f"p{k}" for k in range(12))
     texts = [f"{' '.join(f'{c}{k}' for k in range(20))} {passage} {' '.join(f'{c}{k}' for k in range(20, 40))}" for c in "abc"]
     blocks = [B.Block(np.array([i]), np.array([0, len(t)]), np.frombuffer(t.encode(), np.uint8), np.zeros(1, np.uint8)).words() for i, t in enumerate(texts)]
