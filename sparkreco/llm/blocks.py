@@ -68,8 +68,9 @@ class Block:
     def rows(self, columns: list[str], text_col: str, keep: np.ndarray, texts: list[bytes] | None = None, counted: str = "") -> pa.Table:
         """The kept rows with all columns of the packed table; texts: new ones, of which the column `counted` gets the lengths."""
         table = pa.ipc.open_stream(unsqueeze(self.extra)).read_all()
-        null = table.column("__null").to_numpy()
-        out = {c: table.column(c).combine_chunks() for c in columns if c != text_col}
+        # by place: a column of any name may be there; the last says which texts are null
+        null = table.column(table.num_columns - 1).to_numpy()
+        out = {c: table.column(k).combine_chunks() for k, c in enumerate(c for c in columns if c != text_col)}
         if texts is None:
             out[text_col] = pa.array([None if null[i] else self.text(i) for i in range(len(self))], pa.binary()).cast(pa.string())
         else:

@@ -8,7 +8,8 @@ are encoded on their own. If an overlap has no shared boundary (a run of letters
 put together again and encoded whole. Decoding concatenates the raw bytes of the ids.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; a null or repeated id is carried along, a row is a row; a
-text in Spark is always valid UTF-8, and every byte has an id, so decoding gives back exactly the text's bytes.
+text in Spark is always valid UTF-8, and every byte has an id, so decoding gives back exactly the text's bytes. Very long texts are
+cut into chunks and encoded by several tasks; other columns than the id are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

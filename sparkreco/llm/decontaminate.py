@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from sparkreco.llm import hashing
 from sparkreco.llm.blocks import text_bytes
 from sparkreco.llm.hashing import span_hashes
+from sparkreco.llm.samples import unused
 from sparkreco.llm.toxicity import _WORD, slices
 
 SHARD_ITEMS, BLOCK_ITEMS, HALVED_WORDS, K1, B = 8192, 4, 5, 1.2, 0.75
@@ -293,4 +294,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
 
 def drop_leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs without leaked items; columns as in docs."""
-    return find_leaks(docs, items, name="__leaks").filter(F.size("__leaks") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = unused("__leaks", docs.columns)
+    return find_leaks(docs, items, name=name).filter(F.size(name) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -48,7 +48,7 @@ _KEPT: dict[int, np.ndarray] = {}
 
 
 def kept_powers(m: int, n: int) -> np.ndarray:
-    if len(_KEPT.get(m, ())) < n:
+    if m not in _KEPT or len(_KEPT[m]) < n:
         _KEPT[m] = powers(m, max(1 << 16, 1 << (n - 1).bit_length()))
     return _KEPT[m][:n]
 

@@ -10,7 +10,9 @@ Shingles are compared by 64-bit hashes. A link needs 100 * |A & B| >= percent *
 
 Defined cases: A-Z count as a-z; words are the runs between the bytes 0x20 and 0x09 to 0x0D; a text of fewer than n words is one shingle; a null or
 empty text has an empty set and no links; a null id counts as larger than all others, and a component of null ids alone has a
-null component_id; rows with a repeated id are documents of their own; an empty table gives no rows.
+null component_id; rows with a repeated id are documents of their own; an empty table gives no rows. Other columns are left out by
+jaccard_components and come back as they were from drop_near_copies, whatever their names. A document is one task's work, at some 100
+bytes of memory for each of its own.
 """
 
 from __future__ import annotations

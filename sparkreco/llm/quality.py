@@ -8,7 +8,7 @@ source and id are never inputs. The output is shifted so that the network's own
 
 Defined cases: a null or empty text has all shares zero and is scored like any other; texts are read whole; a null or repeated id is
 carried along, a row is a row; a column quality_score takes the place of one of that name; with no trusted positives or no unlabelled
-text all scores are alike.
+text all scores are alike; other columns stay, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

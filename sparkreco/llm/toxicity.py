@@ -8,7 +8,8 @@ descent. Decision thresholds are calibrated by language on rows set aside from t
 
 Defined cases: a null or empty text is scored as a text without words; every other text is scored whole, in stretches that
 overlap by the width of the filters; a null or repeated id is carried along, a row is a row; labels, language, source and id are
-never inputs of a score. Without any labelled row the score is 0.5 less a constant, the same for all.
+never inputs of a score. Without any labelled row the score is 0.5 less a constant, the same for all. Other columns stay, whatever their
+names (one with the score's name is replaced); an empty table gives no rows. A very long text is scored whole, in the memory of a stretch.
 """
 
 from __future__ import annotations
@@ -261,5 +262,6 @@ def threshold(model: ToxicityModel, lang_col: str = "lang") -> Column:
 def reject_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of docs below their language's threshold; columns as in docs."""
     least = threshold(model) if "lang" in docs.columns else F.lit(0.5)
-    kept = score_toxicity(docs, model, name="__toxicity").filter(F.col("__toxicity") < least)
+    name = samples.unused("__toxicity", docs.columns)
+    kept = score_toxicity(docs, model, name=name).filter(F.col(name) < least)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
