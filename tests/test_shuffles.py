@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from sparkreco.operators import candidates as C
 from sparkreco.operators import learning
 from sparkreco.plans.frames import Frames
 
@@ -28,3 +29,12 @@ def frames(spark):
 
 def test_orders_meet_their_users_interactions_where_they_lie(frames):
     assert pair_shuffles(learning.training_set(frames.train, frames.interactions, frames.user_features, frames.item_features)) == []
+
+
+def test_users_and_the_popular_list_are_no_product_that_moves(spark):
+    users, popular = spark.range(40).selectExpr("id AS user_id"), spark.range(9).selectExpr("id + 100 AS item_id", "cast(id as int) AS pop_rank")
+    seen = spark.createDataFrame([(1, 100), (1, 102), (1, 100), (2, 999)], "user_id long, item_id long")
+    found = C.unseen_popular(users, popular, seen, 3)
+    assert pair_shuffles(found) == []
+    assert {r["user_id"]: 0 for r in found.collect()}.keys() == set(range(40))
+    assert sorted(map(tuple, found.filter("user_id < 3").collect())) == [(0, 100, 1), (0, 101, 2), (0, 102, 3), (1, 101, 1), (1, 103, 2), (1, 104, 3), (2, 100, 1), (2, 101, 2), (2, 102, 3)]
