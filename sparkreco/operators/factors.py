@@ -71,34 +71,42 @@ class FactorStore:
         return found.select("id", F.coalesce("factor", self._start(kind)).alias("factor"), F.coalesce("m", zeros).alias("m"), F.coalesce("v", zeros).alias("v"), F.coalesce("step", F.lit(0).cast("long")).alias("step"))
 
     def _stepped(self, state: DataFrame, errors: DataFrame, n: int) -> DataFrame:
-        """state after one step of Adam on the gradients that errors (id, e, other) add up to."""
-        sums = errors.groupBy("id").agg(F.count("*").alias("pairs"), *[F.sum(F.col("e") * F.col("other")[d]).alias(f"g{d}") for d in range(self.rank)])
-        g = sums.select("id", "pairs", F.array(*[f"g{d}" for d in range(self.rank)]).alias("g"))
+        """state (kind, id, ...) after one step of Adam on the gradients that errors (kind, id, e, other) add up to."""
+        sums = errors.groupBy("kind", "id").agg(F.count("*").alias("pairs"), *[F.sum(F.col("e") * F.col("other")[d]).alias(f"g{d}") for d in range(self.rank)])
+        g = sums.select("kind", "id", "pairs", F.array(*[f"g{d}" for d in range(self.rank)]).alias("g"))
         own = F.col("pairs") * (2 * self.reg / (n * self.rank)) + self.reg  # the loss's part, and weight decay
         b1, b2 = self.decay
-        out = state.join(g, "id").withColumn("step", F.col("step") + 1).withColumn("g", F.zip_with("g", "factor", lambda x, p: x * (2.0 / n) + p * own))
+        out = state.join(g, ["kind", "id"]).withColumn("step", F.col("step") + 1).withColumn("g", F.zip_with("g", "factor", lambda x, p: x * (2.0 / n) + p * own))
         out = out.withColumn("m", F.zip_with("m", "g", lambda m, x: m * b1 + x * (1 - b1))).withColumn("v", F.zip_with("v", "g", lambda v, x: v * b2 + x * x * (1 - b2)))
         c1, c2 = 1 - F.pow(F.lit(b1), F.col("step")), 1 - F.pow(F.lit(b2), F.col("step"))
         move = F.zip_with("m", "v", lambda m, v: self.rate * (m / c1) / (F.sqrt(v / c2) + self.eps))
-        return out.withColumn("factor", F.zip_with("factor", move, lambda p, d: p - d)).select("id", "factor", "m", "v", "step")
+        return out.withColumn("factor", F.zip_with("factor", move, lambda p, d: p - d)).select("kind", "id", "factor", "m", "v", "step")
+
+    def _errors(self, pairs: DataFrame, state: DataFrame) -> DataFrame:
+        """(kind, id, e, other): each pair's error for its user and for its item, with the other's factor.
+
+        Both come from one join, in the tasks of the items: an item's rows add up there, and a user's go on as sums.
+        """
+        u, i = (state.filter(F.col("kind") == k).select(F.col("id").alias(f"{k}_id"), F.col("factor").alias(f"{k}_factor")) for k in KINDS)
+        met = pairs.join(u, "user_id").join(i, "item_id").withColumn("e", dot("user_factor", "item_factor") - F.col("weight"))
+        sides = [F.struct(F.lit(k).alias("kind"), F.col(f"{k}_id").cast("long").alias("id"), F.col(f"{other}_factor").alias("other")) for k, other in (KINDS, KINDS[::-1])]
+        return met.select("e", F.explode(F.array(*sides)).alias("s")).select("s.kind", "s.id", "e", "s.other")
 
     def update(self, batch: DataFrame, number: int, iterations: int = 5) -> None:
         """Learn from (user_id, item_id, weight) rows, of which equal pairs add up. A batch that comes again with its number replaces what it wrote."""
         pairs, free_pairs = staged(batch.groupBy("user_id", "item_id").agg(F.sum("weight").alias("weight")).filter("user_id IS NOT NULL AND item_id IS NOT NULL AND weight IS NOT NULL"), "factor-batch")
         n = pairs.count()
         if n:
-            now = {k: staged(self._touched(k, pairs, number), f"factor-{k}") for k in KINDS}
+            users, items = (self._touched(k, pairs, number).select(F.lit(k).alias("kind"), "*") for k in KINDS)
+            now, free = staged(users.unionByName(items), "factor-state")
             for _ in range(iterations):
-                u, i = (now[k][0].select(F.col("id").alias(f"{k}_id"), F.col("factor").alias(f"{k}_factor")) for k in KINDS)
-                errors, free_errors = staged(pairs.join(u, "user_id").join(i, "item_id").select("*", (dot("user_factor", "item_factor") - F.col("weight")).alias("e")), "factor-errors")
-                after = {k: staged(self._stepped(now[k][0], errors.select(F.col(f"{k}_id").alias("id"), "e", F.col(f"{other}_factor").alias("other")), n), f"factor-{k}") for k, other in (KINDS, KINDS[::-1])}
-                free_errors()
-                for _, free in now.values():
-                    free()
-                now = after
-            for k, (rows, free) in now.items():
-                self._write(rows, k, number)
+                # nothing of a pair is stored but its weight: what moves is a user's factor to the item's task, and sums back
+                after = staged(self._stepped(now, self._errors(pairs, now), n), "factor-state")
                 free()
+                now, free = after
+            for k in KINDS:
+                self._write(now.filter(F.col("kind") == k).drop("kind"), k, number)
+            free()
         free_pairs()
 
     def _write(self, rows: DataFrame, kind: str, number: int) -> None:
