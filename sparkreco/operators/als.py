@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sparkreco.operators.sinks import stage
 
 #: Weights of a block, on average at most; ids of a packed row of factors; numbers that are gathered at a time.
-PER_BLOCK, PER_ROW, AT_A_TIME = 1_000_000, 8192, 1 << 22
+PER_BLOCK, PER_ROW, AT_A_TIME = 500_000, 8192, 1 << 22
 PACKED = "side int, block int, src binary, dst binary, weight binary, goes binary"
 SENT = "block int, ids binary, factors binary, first boolean"
 

@@ -66,7 +66,7 @@ def test_blocks_are_dealt_to_a_partition_each(spark):
     for n in (1, 8, 37):
         df = spark.createDataFrame([(k,) for k in als._keys(spark, n)], "block int").repartition(n, "block")
         assert df.rdd.glom().map(len).collect() == [1] * n
-    assert [als.blocks_for(n, 12) for n in (0, 12_000_000, 12_000_001)] == [12, 12, 24]
+    assert [als.blocks_for(n, 12) for n in (0, 6_000_000, 6_000_001)] == [12, 12, 24]
 
 
 def test_no_weights(spark):
