@@ -1,7 +1,8 @@
 """Alternating least squares on summed weights, block by block.
 
 Users and items are dealt to blocks by a hash. A block keeps the weights of its ids, packed, and stays where it is; from the other side it gets each
-factor once that some id of it has a weight with. The least squares of ids with equally many weights are solved together: with no more
+factor once that some id of it has a weight with. What a half round finds is stored, each factor once with the blocks that need it: the copies that go to these
+move in the next half round only, and the shuffle's files and the factors before go as soon as it is done. The least squares of ids with equally many weights are solved together: with no more
 weights than the rank in their dual form, which is a system as large as their number, else in that of the rank. It is the
 same regularisation as that of Spark's ALS (reg times the number of weights), and the same sequence: items from users, users from items.
 Ids may be any 64-bit numbers.
@@ -16,32 +17,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkreco.operators.sinks import stage
+from sparkreco.operators.sinks import ROWS_OF_MB, staged
 
 #: Weights of a block, on average at most; ids of a packed row of factors; numbers that are gathered at a time.
 PER_BLOCK, PER_ROW, AT_A_TIME = 500_000, 8192, 1 << 22
-PACKED = "side int, block int, src binary, dst binary, weight binary, goes binary"
-SENT = "block int, ids binary, factors binary, first boolean"
+PACKED = "block int, src binary, dst binary, weight binary, goes binary"
+FOUND, SENT = "ids binary, factors binary, which binary, goes binary", "block int, ids binary, factors binary"
 
 
 def factors_by_block(weights: DataFrame, rank: int = 64, iterations: int = 5, reg: float = 1e-3, seed: int = 42, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, features) of users and of items from (user_id, item_id, weight) rows, of which each pair is in one."""
     spark = weights.sparkSession
-    own = weights.na.drop().select(F.col("user_id").cast("long").alias("user_id"), F.col("item_id").cast("long").alias("item_id"), F.col("weight").cast("float").alias("weight")).persist()
+    own = weights.na.drop().select(F.col("user_id").cast("long").alias("user_id"), F.col("item_id").cast("long").alias("item_id"), F.col("weight").cast("float").alias("weight"))
+    own, free_own = staged(own, "weights")
     n = blocks or blocks_for(own.count(), spark.sparkContext.defaultParallelism)
     keys = _keys(spark, n)
     at = lambda c: F.get(F.lit(keys), F.pmod(F.xxhash64(c), F.lit(n)).cast("int")).alias(f"{c}_block")
-    packed = own.select("*", at("user_id"), at("item_id")).mapInArrow(_pack, PACKED).persist()
-    items, users = (packed.filter(F.col("side") == s).drop("side").repartition(n, "block").persist() for s in (0, 1))
+    dealt = own.select("*", at("user_id"), at("item_id"))
+    items, users = (dealt.mapInArrow(_pack(src, dst), PACKED).repartition(n, "block").persist() for src, dst in (("user_id", "item_id"), ("item_id", "user_id")))
+    kept = lambda df: staged(df, "factors", ROWS_OF_MB)
     # the users' start is computed where it is needed
-    sent = items.groupBy("block").applyInArrow(lambda key, own: _step(None, own, rank, reg, seed), SENT)
-    for _ in range(iterations - 1):
-        sent = _met(_met(sent, users, rank, reg), items, rank, reg)
-    sent = stage(sent, "item-factors")  # read for the users and as a result
-    found = stage(_met(sent, users, rank, reg, last=True), "user-factors")
-    for df in (own, packed, items, users):
+    found, free = kept(items.groupBy("block").applyInArrow(lambda key, own: _step(None, own, rank, reg, seed), FOUND))
+    for side in (users, items) * (iterations - 1):
+        old = free
+        found, free = kept(_met(found, side, rank, reg))
+        old()
+    last, _ = kept(_met(found, users, rank, reg, last=True))
+    for df in (items, users):
         df.unpersist()
-    return tuple(df.filter("first").mapInArrow(_unpack(rank), "id long, features array<float>") for df in (found, sent))
+    free_own()
+    return tuple(df.select("ids", "factors").mapInArrow(_unpack(rank), "id long, features array<float>") for df in (last, found))
 
 
 def blocks_for(n: int, parallelism: int) -> int:
@@ -55,34 +60,58 @@ def _keys(spark: SparkSession, n: int) -> list[int]:
     return [r["k"] for r in met.orderBy("p").collect()]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.num_rows
-        if size >= 1 << 19:
-            yield _packed(held)
-            held, size = [], 0
-    if size:
-        yield _packed(held)
+def _pack(src: str, dst: str):
+    """The weights of each block of dst in rows of half a million at most."""
 
-
-def _packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """The weights of each block in a row, for the items' side (0) and for the users' (1)."""
-    t = pa.Table.from_batches(held)
-    c = {x: t[x].to_numpy() for x in t.column_names}
-    rows = []
-    for side, (src, dst) in enumerate((("user_id", "item_id"), ("item_id", "user_id"))):
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        c = {x: t[x].to_numpy() for x in (src, dst, "weight", f"{src}_block", f"{dst}_block")}
         order = np.argsort(c[f"{dst}_block"], kind="stable")
         blocks, starts = np.unique(c[f"{dst}_block"][order], return_index=True)
-        for b, part in zip(blocks.tolist(), np.split(order, starts[1:]), strict=True):
-            rows.append((side, b, *(c[x][part].tobytes() for x in (src, dst, "weight", f"{src}_block"))))
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32()] * 2 + [pa.binary()] * 4, strict=True)], names=["side", "block", "src", "dst", "weight", "goes"])
+        rows = [(b, *(c[x][part].tobytes() for x in (src, dst, "weight", f"{src}_block"))) for b, part in zip(blocks.tolist(), np.split(order, starts[1:]), strict=True)]
+        return _batch(rows, PACKED)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= 1 << 19:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return rows
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, {"int": pa.int32(), "binary": pa.binary()}[k]) for x, k in zip(columns, kinds, strict=True)], names=list(names))
 
 
-def _met(sent: DataFrame, own: DataFrame, rank: int, reg: float, last: bool = False) -> DataFrame:
-    """One half of a round: the factors that own's blocks get from those that were sent to them. last: they go nowhere."""
-    return sent.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(lambda a, b: _step(a, b, rank, reg, last=last), SENT)
+def _met(found: DataFrame, own: DataFrame, rank: int, reg: float, last: bool = False) -> DataFrame:
+    """One half of a round: the factors that own's blocks get from those that the other side found. last: they go nowhere."""
+    sent = found.mapInArrow(_sent(rank), SENT)
+    return sent.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(lambda a, b: _step(a, b, rank, reg, last=last), FOUND)
+
+
+def _sent(rank: int):
+    """Each stored factor once for each block that needs it, by blocks."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, factors, which, goes in zip(*(b[c] for c in ("ids", "factors", "which", "goes")), strict=True):
+                ids, factors = np.frombuffer(ids.as_buffer(), "i8"), np.frombuffer(factors.as_buffer(), "f4").reshape(-1, rank)
+                which, goes = np.frombuffer(which.as_buffer(), "i4"), np.frombuffer(goes.as_buffer(), "i4")
+                order = np.argsort(goes, kind="stable")
+                blocks, starts = np.unique(goes[order], return_index=True)
+                if len(blocks):
+                    parts = np.split(which[order], starts[1:])
+                    yield _batch([(to, ids[part].tobytes(), factors[part].tobytes()) for to, part in zip(blocks.tolist(), parts, strict=True)], SENT)
+
+    return rows
 
 
 def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -95,7 +124,7 @@ def _step(sent: pa.Table | None, own: pa.Table, rank: int, reg: float, seed: int
         src, dst, weight, goes = (_joined(own[c], k) for c, k in (("src", "i8"), ("dst", "i8"), ("weight", "f4"), ("goes", "i4")))
         if sent is None:
             ids, src_at = np.unique(src, return_inverse=True)
-            known = start(ids, rank, seed)
+            known = np.concatenate([start(ids[a : a + PER_ROW], rank, seed) for a in range(0, len(ids), PER_ROW)])
         else:
             ids, known = _joined(sent["ids"], "i8"), _joined(sent["factors"], "f4").reshape(-1, rank)
             order = np.argsort(ids)
@@ -103,26 +132,14 @@ def _step(sent: pa.Table | None, own: pa.Table, rank: int, reg: float, seed: int
         order = np.argsort(dst, kind="stable")
         new, starts, counts = np.unique(dst[order], return_index=True, return_counts=True)
         found = solved(known, src_at[order], weight[order], starts, counts, reg)
-        block = own["block"][0].as_py()
-        if last:
-            to, which, first = np.full(len(new), block), np.arange(len(new)), np.ones(len(new), bool)
-        else:
-            # (block, id) pairs once each, by blocks; an id's first one is marked
-            width = int(goes.max()) + 1
-            pairs = np.unique(np.repeat(np.arange(len(new)), counts) * width + goes[order])
-            which, to = pairs // width, pairs % width
-            first = np.r_[True, which[1:] != which[:-1]]
-        rows = list(_rows(new, found, to, which, first))
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["block", "ids", "factors", "first"])
-
-
-def _rows(ids: np.ndarray, factors: np.ndarray, to: np.ndarray, which: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
-    order = np.lexsort((first, to))
-    cuts = np.flatnonzero((np.diff(to[order]) != 0) | (np.diff(first[order].astype("i1")) != 0)) + 1
-    for part in np.split(order, cuts):
-        for s in range(0, len(part), PER_ROW):
-            p = part[s : s + PER_ROW]
-            yield int(to[p[0]]), ids[which[p]].tobytes(), factors[which[p]].tobytes(), bool(first[p[0]])
+        # (id, block) pairs once each
+        width = int(goes.max()) + 1
+        pairs = np.unique(np.repeat(np.arange(len(new)), counts) * width + goes[order]) if not last else np.zeros(0, np.int64)
+        which, to = (pairs // width).astype("i4"), (pairs % width).astype("i4")
+        for s in range(0, len(new), PER_ROW):
+            lo, hi = np.searchsorted(which, [s, s + PER_ROW])
+            rows.append((new[s : s + PER_ROW].tobytes(), found[s : s + PER_ROW].tobytes(), (which[lo:hi] - s).astype("i4").tobytes(), to[lo:hi].tobytes()))
+    return pa.Table.from_batches([_batch(rows, FOUND)])
 
 
 def solved(known: np.ndarray, at: np.ndarray, weight: np.ndarray, starts: np.ndarray, counts: np.ndarray, reg: float) -> np.ndarray:
